@@ -215,4 +215,7 @@ def with_star(select_sql: str, extra: dict[str, str] | None = None) -> str:
     ctes = dict(CTES)
     ctes.update(extra or {})
     body = ",\n".join(f"{name} AS ({sql}\n)" for name, sql in ctes.items())
+    head = select_sql.lstrip()
+    if head[:5].upper() == "WITH ":                 # merge the query's own CTEs into the chain
+        return f"WITH {body},\n{head[5:]}"
     return f"WITH {body}\n{select_sql}"

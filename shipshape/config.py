@@ -38,3 +38,31 @@ OUTCOME_SORT = {"On time": 1, "Late": 2, "Not delivered": 3, "Unknown": 4}
 DELAY_BANDS = (("On time", 1), ("Late 1-3 days", 2), ("Late 4-7 days", 3), ("Late 8-14 days", 4),
                ("Late 15+ days", 5), ("Not delivered", 6), ("Unknown", 7))
 Z_95 = 1.96
+
+# --- fixed values: bands and thresholds of the cuts ------------------------------------------------
+DELIVERY_BANDS = ((None, 7, "0-7 days"), (None, 14, "8-14 days"), (None, 21, "15-21 days"),
+                  (None, 28, "22-28 days"))          # first matching upper bound; else "29+ days"
+DELIVERY_BAND_OTHER = "29+ days"
+# money is the driver's extended price (order values of 10^3..10^6), so value bands are scaled
+VALUE_BANDS = ((50000, "under 50k"), (100000, "50k-100k"), (200000, "100k-200k"), (500000, "200k-500k"))
+VALUE_BAND_OTHER = "500k+"
+# freight is price x tax (0-8 %), so freight-ratio bands are scaled to that range
+FREIGHT_BANDS = ((0.02, "freight under 2% of price"), (0.04, "freight 2-4% of price"),
+                 (0.06, "freight 4-6% of price"))
+FREIGHT_BAND_OTHER = "freight 6%+ of price"
+REVIEW_TIMING = ("answered before delivery", "answered after delivery")
+HANDOVER_LABELS = ("handed over after the deadline", "handed over in time")
+SHIPMENT_LABELS = ("same state", "different states")
+COMPOSITION = (("1 item", 1), ("2+ units of the same product", 2), ("2+ different products, one seller", 3),
+               ("2+ items from different sellers", 4))
+SCORE_CLASSES = ("1-2 stars", "3 stars", "4-5 stars")
+SIZE_CLASSES = ("1 item", "2+ items")
+MIN_SELLER_ORDERS = 30
+MIN_STATE_ORDERS = 300
+MIN_CATEGORY_ORDERS = 500
+LARGE_CATEGORY_SHARE = 0.03
+TOP_CATEGORIES = 15
+WORST_CATEGORIES = 10
+WORST_MONTHS = 3
+DECILES = 10
+COHORT_END = "1997-01-01"              # first orders in the first year of the period

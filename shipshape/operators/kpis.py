@@ -64,17 +64,16 @@ def kpi_customers(dim_customer: DataFrame) -> DataFrame:
 
 
 def order_measures() -> list[Column]:
-    """K7: the standard pack reused by every cut (orders, late rate, reviewed, score, low share)."""
+    """K7: the pack reused by every cut: orders, late rate, reviewed, avg score, low reviews, low share."""
     f = F.col
     delivered = count_if(f("is_delivered"))
     late = count_if(f("delivery_outcome") == "Late")
     reviewed = count_if(f("has_review"))
     low = count_if(f("is_low_score"))
     return [
-        F.count(F.lit(1)).cast("bigint").alias("orders"),
-        delivered.alias("delivered"), late.alias("late"), ratio(late, delivered).alias("late_rate"),
+        F.count(F.lit(1)).cast("bigint").alias("orders"), ratio(late, delivered).alias("late_rate"),
         reviewed.alias("reviewed"), F.avg(f("review_score").cast("double")).alias("avg_score"),
-        low.alias("low"), ratio(low, reviewed).alias("low_share"),
+        low.alias("low_reviews"), ratio(low, reviewed).alias("low_share"),
     ]
 
 
@@ -83,3 +82,68 @@ def cut(fact: DataFrame, group: list[Column], where: Column | None = None,
     """``orders_by(group, where)`` -> the measure pack per group."""
     x = fact if where is None else fact.filter(where)
     return x.groupBy(*group).agg(*order_measures(), *(extra or []))
+
+
+def kpi_sheet(kpi: DataFrame, customers: DataFrame) -> DataFrame:
+    """K3: the KPI sheet, one row per KPI with value, numerator and denominator (unpivot)."""
+    t = kpi.filter(F.col("period") == "Total")
+    c = customers
+    x = t.select("*", *[c.select(F.col(n)).scalar().alias(n) for n in c.columns])
+    rows = [
+        ("Number of orders", "orders", None, None),
+        ("GMV", "gmv", None, None),
+        ("Average order value", "avg_order_value", "gmv", "orders_with_items"),
+        ("Freight share of order value", "freight_share", "freight_total", "(gmv + freight_total)"),
+        ("On-time delivery rate", "on_time_rate", "on_time_orders", "delivered_orders"),
+        ("Late delivery rate", "late_rate", "late_orders", "delivered_orders"),
+        ("Not-delivered rate", "not_delivered_rate", "not_delivered_orders", "orders"),
+        ("Average delay, late orders only", "avg_delay_days_late", None, "late_orders"),
+        ("Median delay, late orders only", "median_delay_days_late", None, "late_orders"),
+        ("Average delivery time", "avg_delivery_days", None, "delivered_orders"),
+        ("Median delivery time", "median_delivery_days", None, "delivered_orders"),
+        ("Average review score", "avg_review_score", None, "reviewed_orders"),
+        ("Share of 1-2 star reviews", "low_score_rate", "low_score_orders", "reviewed_orders"),
+        ("Share of reviews with a written comment", "comment_rate", "commented_orders", "reviewed_orders"),
+        ("Repeat purchase rate", "repeat_purchase_rate", "repeat_customers", "customers"),
+    ]
+    parts = ", ".join(
+        f"'{label}', CAST({v} AS DOUBLE), CAST({n or 'NULL'} AS DOUBLE), CAST({d or 'NULL'} AS DOUBLE)"
+        for label, v, n, d in rows)
+    return x.selectExpr(f"stack({len(rows)}, {parts}) AS (kpi, value, numerator, denominator)")
+
+
+def supporting_figures(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
+    """K4: figures behind the KPIs (one row)."""
+    f = F.col
+    nd = f("delivery_outcome") == "Not delivered"
+    s = fact.agg(
+        F.sum(F.when(nd, f("items_value"))).cast("double").alias("gmv_not_delivered"),
+        count_if(nd & f("has_items")).alias("not_delivered_with_items"),
+        F.sum("items_value").cast("double").alias("gmv"),
+        count_if(~f("has_items")).alias("orders_without_items"),
+        count_if(~f("has_review")).alias("orders_without_review"),
+        count_if(f("delivery_outcome") == "Unknown").alias("unknown_outcome"),
+        F.median(f("items_value").cast("double")).alias("median_order_value"),
+        F.median(f("delay_days").cast("double")).alias("median_delay_all_delivered"))
+    multi = count_if(f("order_count") > 1)
+    r = dim_customer.agg(multi.alias("multi_order_customers"), ratio(multi, F.count(F.lit(1))).alias("multi_order_rate"))
+    return s.select("*", ratio(f("gmv_not_delivered"), f("gmv")).alias("gmv_not_delivered_share"),
+                    r.select("multi_order_customers").scalar().alias("multi_order_customers"),
+                    r.select("multi_order_rate").scalar().alias("multi_order_rate"))
+
+
+def score_distribution(fact: DataFrame) -> DataFrame:
+    """K5: reviewed orders by score with the share of all reviewed orders."""
+    g = fact.filter(F.col("has_review")).groupBy("review_score").agg(F.count(F.lit(1)).cast("bigint").alias("orders"))
+    total = fact.filter(F.col("has_review")).agg(F.count(F.lit(1))).scalar()
+    return g.select("review_score", "orders", ratio(F.col("orders"), total).alias("share_of_reviewed"))
+
+
+MONTHLY_COLUMNS = ["period", "orders", "gmv", "avg_order_value", "freight_share", "on_time_rate", "late_rate",
+                   "not_delivered_rate", "avg_delay_days_late", "median_delivery_days", "avg_review_score",
+                   "low_score_rate", "comment_rate"]
+
+
+def kpi_monthly(kpi: DataFrame) -> DataFrame:
+    """K6: the monthly sheet (total row excluded)."""
+    return kpi.filter(F.col("period") != "Total").select(*MONTHLY_COLUMNS)

@@ -1,11 +1,158 @@
-"""Query registrations (one per SURVEY §2 operator group)."""
+"""Query registrations: SURVEY §7.3 keys -> plans over the star."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from shipshape import config as C
 from shipshape.catalog import query
-from shipshape.operators import kpis
+from shipshape.operators import cuts, kpis
+from shipshape.plans.star import numbered_facts, stg_reviews_text
+
+f = F.col
+
+
+def fo(s):
+    return s.model["fact_orders"]
+
+
+def fi(s):
+    return s.model["fact_order_items"]
 
 
+def _kpi(s):
+    return kpis.kpi_orders(fo(s), s.model["dim_date"])
+
+
+# --- step 0-1: star ------------------------------------------------------------------------------
 @query("kpi_orders")
 def _kpi_orders(s):
-    return kpis.kpi_orders(s.model["fact_orders"], s.model["dim_date"])
+    return _kpi(s)
+
+
+@query("stg_orders")
+def _stg_orders(s):
+    return s.stg["orders"]
+
+
+@query("stg_reviews_latest")
+def _stg_reviews(s):
+    return stg_reviews_text(s.stg["reviews"], s.tables)
+
+
+@query("stg_order_items")
+def _stg_items(s):
+    return s.stg["order_items"]
+
+
+for _name in ("dim_date", "dim_geography", "dim_product", "dim_seller", "dim_customer", "fact_order_items"):
+    query(_name)(lambda s, _n=_name: s.model[_n])
+
+
+@query("fact_orders")
+def _fact_orders(s):
+    return numbered_facts(s)
+
+
+# --- step 2: KPIs ------------------------------------------------------------------------------------
+@query("kpi_customers")
+def _kpi_customers(s):
+    return kpis.kpi_customers(s.model["dim_customer"])
+
+
+@query("kpi_sheet")
+def _kpi_sheet(s):
+    return kpis.kpi_sheet(_kpi(s), kpis.kpi_customers(s.model["dim_customer"]))
+
+
+@query("supporting_figures")
+def _supporting(s):
+    return kpis.supporting_figures(fo(s), s.model["dim_customer"])
+
+
+@query("score_distribution")
+def _scores(s):
+    return kpis.score_distribution(fo(s))
+
+
+@query("kpi_monthly")
+def _kpi_monthly(s):
+    return kpis.kpi_monthly(_kpi(s))
+
+
+# --- step 6: delivery cuts ---------------------------------------------------------------------------
+query("by_outcome")(lambda s: cuts.by_outcome(fo(s)))
+query("by_delay_band")(lambda s: cuts.by_delay_band(fo(s)))
+query("not_delivered_by_status")(lambda s: cuts.not_delivered_by_status(fo(s)))
+query("late_review_timing")(lambda s: cuts.late_review_timing(fo(s)))
+query("on_time_by_speed")(lambda s: cuts.on_time_by_speed(fo(s)))
+query("time_decomposition")(lambda s: cuts.time_decomposition(fo(s)))
+query("monthly_rates_corr")(lambda s: cuts.monthly_rates_corr(_kpi(s)))
+query("gap_region_range")(lambda s: cuts.gap_region_range(fo(s), s.model["dim_geography"]))
+query("worst_months")(lambda s: cuts.worst_months(_kpi(s)))
+query("outcome_share_known")(lambda s: cuts.outcome_share_known(fo(s)))
+query("on_time_order_size")(lambda s: cuts.on_time_order_size(fo(s)))
+
+
+# --- step 7: composition, categories, sellers, geography, price -----------------------------------
+def _cat(s):
+    return cuts.category_stats(fi(s), s.model["dim_product"], fo(s))
+
+
+def _sellers(s):
+    return cuts.seller_stats(fi(s))
+
+
+def _national_late(s):
+    return _kpi(s).filter(f("period") == "Total").select("late_rate").scalar()
+
+
+def _overall_low(s):
+    return _kpi(s).filter(f("period") == "Total").select("low_score_rate").scalar()
+
+
+def _states(s):
+    return cuts.by_state_excess(fo(s), s.model["dim_geography"], _national_late(s))
+
+
+query("order_composition")(lambda s: cuts.order_composition(fo(s), fi(s)))
+query("composition_on_time_share")(lambda s: cuts.composition_on_time_share(fo(s), fi(s)))
+query("category_stats")(_cat)
+query("top_categories_gmv")(lambda s: cuts.top_categories_gmv(_cat(s)))
+query("worst_categories")(lambda s: cuts.worst_categories(_cat(s)))
+query("category_clean_range")(lambda s: cuts.category_clean_range(_cat(s)))
+query("category_flags")(lambda s: cuts.category_flags(_cat(s), _overall_low(s)))
+query("seller_stats")(_sellers)
+query("seller_base")(lambda s: cuts.seller_base(_sellers(s)))
+query("seller_deciles_volume")(lambda s: cuts.seller_deciles_volume(_sellers(s)))
+query("seller_deciles_late")(lambda s: cuts.seller_deciles_late(_sellers(s)))
+query("seller_deciles_low")(lambda s: cuts.seller_deciles_low(_sellers(s)))
+query("worst_decile_summary")(lambda s: cuts.worst_decile_summary(_sellers(s)))
+query("handover_split")(lambda s: cuts.handover_split(fo(s)))
+query("by_region")(lambda s: cuts.by_region(fo(s), s.model["dim_geography"]))
+query("by_state_excess")(_states)
+query("largest_excess_state")(lambda s: cuts.largest_excess_state(_states(s)))
+query("by_seller_state")(lambda s: cuts.by_seller_state(fi(s), s.model["dim_seller"]))
+query("same_state_split")(lambda s: cuts.same_state_split(fo(s)))
+query("value_bands")(lambda s: cuts.value_bands(fo(s)))
+query("freight_ratio_bands")(lambda s: cuts.freight_ratio_bands(fo(s)))
+
+
+# --- step 8: cohorts and robustness ----------------------------------------------------------------
+def _first(s):
+    return cuts.first_orders(fo(s), s.stg["orders"])
+
+
+query("repeat_by_first_outcome")(lambda s: cuts.repeat_by(
+    _first(s), s.model["dim_customer"], f("delivery_outcome"), f("delivery_outcome") != "Unknown"))
+query("repeat_by_first_outcome_cohort")(lambda s: cuts.repeat_by(
+    _first(s), s.model["dim_customer"], f("delivery_outcome"),
+    (f("delivery_outcome") != "Unknown") & (f("purchase_date") < F.lit(C.COHORT_END).cast("date"))))
+query("repeat_by_first_score")(lambda s: cuts.repeat_by(
+    _first(s), s.model["dim_customer"], cuts.score_class(f("review_score")), f("has_review")))
+query("gap_by_region")(lambda s: cuts.gap_by(
+    cuts._with_region(fo(s), s.model["dim_geography"]), f("region")))
+query("gap_by_size")(lambda s: cuts.gap_by(fo(s), cuts.size_class(f("item_count"))))
+query("gap_by_value")(lambda s: cuts.gap_by(fo(s), cuts.value_band(f("items_value")),
+                                            f("items_value").cast("double")))
+query("gap_by_year")(lambda s: cuts.gap_by(fo(s), F.year("purchase_date").cast("string")))

@@ -65,14 +65,26 @@ def latest_review_per_order(reviews: DataFrame, keep: list[str]) -> DataFrame:
     return reviews.groupBy("order_id").agg(picked).select("order_id", *[F.col(f"_r.{c}").alias(c) for c in keep])
 
 
-def stg_reviews(raw_reviews: DataFrame, orders: DataFrame) -> DataFrame:
-    """B2: one review per in-period order, blank comment -> NULL, survey date as DATE."""
-    r = raw_reviews.join(orders.select("order_id"), "order_id", "left_semi")
-    r = r.select("order_id", "review_id", "review_score",
-                 blank_to_null(F.col("review_comment_message")).alias("review_comment_message"),
+def stg_reviews(raw_reviews_keyed: DataFrame, orders: DataFrame, flags: DataFrame) -> DataFrame:
+    """B2: one review per in-period order; ``has_comment`` = comment present after trimming.
+
+    The dedupe carries the comment's document key, not its text; the text is attached afterwards
+    only by :func:`stg_reviews_text`.
+    """
+    r = raw_reviews_keyed.join(orders.select("order_id"), "order_id", "left_semi")
+    r = r.select("order_id", "review_id", "review_score", "comment_doc_id",
                  F.to_date("review_creation_date").alias("survey_sent_date"), "review_answer_timestamp")
-    return latest_review_per_order(r, ["review_id", "review_score", "review_comment_message",
-                                       "survey_sent_date", "review_answer_timestamp"])
+    latest = latest_review_per_order(r, ["review_id", "review_score", "comment_doc_id", "survey_sent_date",
+                                         "review_answer_timestamp"])
+    return (latest.join(flags, "comment_doc_id", "left")
+            .withColumn("has_comment", F.coalesce(F.col("comment_present"), F.lit(False))).drop("comment_present"))
+
+
+def stg_reviews_text(reviews: DataFrame, t: Tables) -> DataFrame:
+    """stg.reviews with the cleaned comment text."""
+    x = binding.attach_comment(reviews, t, clean=blank_to_null)
+    return x.select("order_id", "review_id", "review_score", "review_comment_message", "survey_sent_date",
+                    "review_answer_timestamp")
 
 
 def stg_order_items(raw_items: DataFrame, orders: DataFrame, raw_sellers: DataFrame) -> DataFrame:
@@ -174,8 +186,8 @@ def fact_orders(orders: DataFrame, agg: DataFrame, reviews: DataFrame, numbered:
                 low_max: int = C.LOW_SCORE_MAX) -> DataFrame:
     """One row per order; outcome labels, flags (NULL when not measurable), value, review."""
     a = agg.withColumn("_has_items", F.lit(True))
-    r = reviews.select("order_id", "review_score", "review_comment_message", "review_answer_timestamp",
-                       F.lit(True).alias("_has_review"))
+    r = reviews.select("order_id", "review_score", F.col("has_comment").alias("_has_comment"),
+                       "review_answer_timestamp", F.lit(True).alias("_has_review"))
     x = orders.join(a, "order_id", "left").join(r, "order_id", "left")
     outcome, outcome_sort, band, band_sort = _outcome_cols()
     d = F.col("is_delivered")
@@ -196,7 +208,7 @@ def fact_orders(orders: DataFrame, agg: DataFrame, reviews: DataFrame, numbered:
         (F.col("items_value") + F.col("freight_value")).cast("decimal(12,2)").alias("order_total"),
         "is_same_state", has_review.alias("has_review"), "review_score",
         (F.col("review_score") <= low_max).alias("is_low_score"),
-        F.col("review_comment_message").isNotNull().alias("has_comment"),
+        F.coalesce(F.col("_has_comment"), F.lit(False)).alias("has_comment"),
         F.when(d & has_review, F.col("review_answer_timestamp") < F.col("order_delivered_customer_date"))
         .alias("review_before_delivery"),
         "order_purchase_timestamp")
@@ -236,6 +248,7 @@ class Star:
 
     spark: SparkSession
     src: str
+    tables: Tables
     raw: dict = field(default_factory=dict)
     stg: dict = field(default_factory=dict)
     model: dict = field(default_factory=dict)
@@ -250,20 +263,36 @@ class Star:
 def build_star(spark: SparkSession, src: str) -> Star:
     t = Tables(spark, src)
     raw = binding.raw_tables(t)
+    raw["order_reviews_keyed"] = binding.raw_order_reviews_keyed(t)
     geo = binding.geography(t)
     so = stg_orders(raw["orders"], raw["customers"])
-    sr = stg_reviews(raw["order_reviews"], so)
+    sr = stg_reviews(raw["order_reviews_keyed"], so, binding.comment_flags(t, blank_to_null))
     si = stg_order_items(raw["order_items"], so, raw["sellers"])
     ia = item_agg(si, so)
-    fo = fact_orders(so, ia, sr)
+    fo = fact_orders(so, ia, sr, numbered=False)
     fi = fact_order_items(si, fo, so)
     model = {
         "dim_geography": dim_geography(geo), "dim_date": dim_date(spark), "dim_product":
         dim_product(raw["products"], raw["category_translation"]), "dim_seller": dim_seller(raw["sellers"], geo),
         "dim_customer": dim_customer(so), "item_agg": ia, "fact_orders": fo, "fact_order_items": fi,
     }
-    return Star(spark, src, raw=raw, stg={"orders": so, "reviews": sr, "order_items": si, "geography": geo},
-                model=model)
+    return Star(spark, src, tables=t, raw=raw,
+                stg={"orders": so, "reviews": sr, "order_items": si, "geography": geo}, model=model)
+
+
+def numbered_facts(star: "Star") -> DataFrame:
+    """fact_orders with ``customer_order_number`` (skew-safe numbering per person)."""
+    if "fact_orders_numbered" not in star.model:
+        star.model["fact_orders_numbered"] = _number(star)
+    return star.model["fact_orders_numbered"]
+
+
+def _number(star: "Star") -> DataFrame:
+    so = star.stg["orders"].select("order_id", "order_purchase_timestamp")
+    fo = star.model["fact_orders"].drop("customer_order_number").join(so, "order_id", "inner")
+    fo = sequence_in_group(fo, ["customer_unique_id"], ["order_purchase_timestamp", "order_id"],
+                           "customer_order_number")
+    return fo.select(*FACT_ORDER_COLUMNS)
 
 
 _CACHE: dict = {}

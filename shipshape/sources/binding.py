@@ -96,12 +96,12 @@ def comment_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text")
 
 
-def raw_order_reviews(t: Tables, with_text: bool = True) -> DataFrame:
-    """Reviews derived from the event stream.
+def raw_order_reviews_keyed(t: Tables) -> DataFrame:
+    """Reviews derived from the event stream, with the comment as a document key.
 
     order = event_id (+1 when event_id mod 5 = 0), review id = event_id div 2 (shared ids), score from
     the event value, survey date = purchase date + event_id mod 60 days, answered on that day at the
-    event's time of day; comment = a document text for order_id mod 5 < 2.
+    event's time of day; comment = the document order_id div 15 when order_id mod 5 < 2.
     """
     e = t.events.select("event_id", "ts", "value")
     oid = F.when(F.col("event_id") % C.REVIEW_SHIFT_EVERY == 0, F.col("event_id") + 1).otherwise(F.col("event_id"))
@@ -111,18 +111,31 @@ def raw_order_reviews(t: Tables, with_text: bool = True) -> DataFrame:
          .join(o, "order_id", "left"))
     created = _ts(_days_after(F.col("_purchase_date"), F.col("event_id") % C.SURVEY_SPREAD_DAYS))
     time_of_day = F.col("ts") - F.date_trunc("DAY", F.col("ts")).cast("timestamp_ntz")
-    r = r.select("review_id", "order_id", "review_score",
-                 F.lit(None).cast("string").alias("review_comment_title"),
-                 created.alias("review_creation_date"),
-                 (created + time_of_day).alias("review_answer_timestamp"))
-    if not with_text:
-        return r
     has = (F.col("order_id") % C.COMMENT_MOD) < C.COMMENT_BELOW
-    docs = comment_texts(t).withColumnRenamed("doc_id", "_doc")
-    r = r.withColumn("_doc", F.when(has, F.floor(F.col("order_id") / C.COMMENT_DOC_STRIDE).cast("bigint")))
-    return (r.join(docs, "_doc", "left")
-            .select("review_id", "order_id", "review_score", "review_comment_title",
-                    F.col("text").alias("review_comment_message"), "review_creation_date", "review_answer_timestamp"))
+    return r.select("review_id", "order_id", "review_score",
+                    F.lit(None).cast("string").alias("review_comment_title"),
+                    F.when(has, F.floor(F.col("order_id") / C.COMMENT_DOC_STRIDE).cast("bigint")).alias("comment_doc_id"),
+                    created.alias("review_creation_date"),
+                    (created + time_of_day).alias("review_answer_timestamp"))
+
+
+def attach_comment(df: DataFrame, t: Tables, out: str = "review_comment_message", clean=None) -> DataFrame:
+    """Join the comment text by document key (only where the text itself is needed)."""
+    docs = comment_texts(t).select(F.col("doc_id").alias("comment_doc_id"), F.col("text"))
+    text = F.col("text") if clean is None else clean(F.col("text"))
+    return df.join(docs, "comment_doc_id", "left").withColumn(out, text).drop("text")
+
+
+def comment_flags(t: Tables, clean) -> DataFrame:
+    """doc key -> has a usable (non-blank) comment; a boolean instead of the text for flags."""
+    return comment_texts(t).select(F.col("doc_id").alias("comment_doc_id"),
+                                   clean(F.col("text")).isNotNull().alias("comment_present"))
+
+
+def raw_order_reviews(t: Tables) -> DataFrame:
+    r = raw_order_reviews_keyed(t)
+    return attach_comment(r, t).select("review_id", "order_id", "review_score", "review_comment_title",
+                                       "review_comment_message", "review_creation_date", "review_answer_timestamp")
 
 
 def geography(t: Tables) -> DataFrame:
