@@ -66,3 +66,23 @@ WORST_CATEGORIES = 10
 WORST_MONTHS = 3
 DECILES = 10
 COHORT_END = "1997-01-01"              # first orders in the first year of the period
+
+# --- fixed values: review sampling ------------------------------------------------------------------
+SAMPLE_SEED = "20261002"               # text appended to ids before hashing (reproducible draw)
+SAMPLE_SIZE = 60
+PILOT_PER_GROUP = 5
+RECODE_SIZE = 10
+DELIVERY_GROUPS = ("On time, single item", "On time, several items", "Late", "Not delivered")
+PHONE_PATTERN = r"(?:\d[\t\n\f\r .-]?){9,}"   # runs of 9+ digits with optional separators
+PHONE_MASK = "[number removed] "
+
+# --- fixed values: coding codebook (8 categories, in codebook order) ---------------------------------
+CATEGORIES = ("Not received", "Late delivery", "Incomplete order", "Wrong item", "Damaged or defective",
+              "Poor quality or not as described", "Seller service and refunds", "Other or unclear")
+DELIVERY_CATEGORIES = ("Not received", "Late delivery")
+CONTENT_CATEGORIES = ("Incomplete order", "Wrong item", "Damaged or defective", "Poor quality or not as described")
+FAMILIES = ("Delivery (not received or late)", "What arrived (incomplete, wrong, damaged, poor quality)",
+            "Service and other")
+SECONDARY_EVERY = 3                    # doc_id mod 3 = 0 -> secondary category = (primary + 3) mod 8
+SECONDARY_SHIFT = 3
+QUOTE_EVERY = 7                        # doc_id mod 7 = 0 -> marked as a quote candidate

@@ -156,3 +156,55 @@ query("gap_by_size")(lambda s: cuts.gap_by(fo(s), cuts.size_class(f("item_count"
 query("gap_by_value")(lambda s: cuts.gap_by(fo(s), cuts.value_band(f("items_value")),
                                             f("items_value").cast("double")))
 query("gap_by_year")(lambda s: cuts.gap_by(fo(s), F.year("purchase_date").cast("string")))
+
+
+# --- step 9-10: sampling and coding ---------------------------------------------------------------
+from shipshape.operators import coding, sampling  # noqa: E402
+from shipshape.sources import binding  # noqa: E402
+from shipshape.functions.exprs import blank_to_null  # noqa: E402
+
+
+def _frame(s):
+    if "_frame" not in s.model:
+        rt = binding.attach_comment(s.stg["reviews"], s.tables, clean=blank_to_null)
+        s.model["_frame"] = sampling.sample_frame(rt, fo(s), s.raw["order_reviews_keyed"])
+    return s.model["_frame"]
+
+
+def _drawn(s):
+    return sampling.stratified_sample(_frame(s))
+
+
+query("sample_frame")(lambda s: _frame(s).drop("comment_doc_id"))
+query("sample_allocation")(lambda s: sampling.allocation(sampling.stratum_sizes(_frame(s))))
+query("stratified_sample")(lambda s: _drawn(s)[0].drop("comment_doc_id"))
+query("pilot_sample")(lambda s: _drawn(s)[1].drop("comment_doc_id"))
+query("recode_sample")(lambda s: sampling.recode_sample(_drawn(s)[0]).drop("comment_doc_id"))
+query("blind_text")(lambda s: sampling.blind_split(_drawn(s)[0])[0])
+query("sample_key")(lambda s: sampling.blind_split(_drawn(s)[0])[1])
+query("masked_text")(lambda s: s.tables.documents.select(
+    "doc_id", sampling.mask_text(f("text")).alias("masked_text")))
+query("sample_checks")(lambda s: sampling.sample_checks(
+    _drawn(s)[0], _drawn(s)[1], sampling.recode_sample(_drawn(s)[0])))
+query("sample_mix")(lambda s: sampling.sample_mix(_frame(s), _drawn(s)[0]))
+
+
+def _coded(s):
+    return coding.coded_reviews(_frame(s), s.tables.documents)
+
+
+def _cats(s):
+    return coding.categories(s.spark)
+
+
+query("coded_reviews")(_coded)
+query("coding_violations")(lambda s: coding.coding_violations(_coded(s), _frame(s), _cats(s)))
+query("category_shares_ci")(lambda s: coding.category_shares_ci(_coded(s), _cats(s)))
+query("category_families")(lambda s: coding.category_families(_coded(s)))
+query("category_crosstab")(lambda s: coding.category_crosstab(_coded(s)))
+query("key_shares_ci")(lambda s: coding.key_shares_ci(_coded(s)))
+query("tag_counts")(lambda s: coding.tag_counts(_coded(s)))
+query("coder_agreement_kappa")(lambda s: coding.coder_agreement(s.tables.labels))
+query("coder_disagreements")(lambda s: coding.coder_disagreements(s.tables.labels))
+query("quote_candidates")(lambda s: coding.quote_candidates(_coded(s)))
+query("mentioned_share")(lambda s: coding.mentioned_share(_frame(s), _coded(s)))
