@@ -86,3 +86,9 @@ FAMILIES = ("Delivery (not received or late)", "What arrived (incomplete, wrong,
 SECONDARY_EVERY = 3                    # doc_id mod 3 = 0 -> secondary category = (primary + 3) mod 8
 SECONDARY_SHIFT = 3
 QUOTE_EVERY = 7                        # doc_id mod 7 = 0 -> marked as a quote candidate
+
+# --- fixed values: what-if scenarios -----------------------------------------------------------------
+SCENARIO_TOP_STATES = 5
+SCENARIO_CASES = (("Low", 0.50), ("Base", 0.75), ("High", 1.00))
+PERIOD_MONTHS = 60
+SLOW_ON_TIME_DAYS = 22

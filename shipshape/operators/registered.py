@@ -208,3 +208,24 @@ query("coder_agreement_kappa")(lambda s: coding.coder_agreement(s.tables.labels)
 query("coder_disagreements")(lambda s: coding.coder_disagreements(s.tables.labels))
 query("quote_candidates")(lambda s: coding.quote_candidates(_coded(s)))
 query("mentioned_share")(lambda s: coding.mentioned_share(_frame(s), _coded(s)))
+
+
+# --- step 11: what-if ------------------------------------------------------------------------------
+from shipshape.operators import scenario  # noqa: E402
+
+
+def _base(s):
+    return scenario.base_totals(fo(s))
+
+
+def _targets(s):
+    return scenario.scenario_a_targets(scenario.state_inputs(fo(s), s.model["dim_geography"]), _base(s))
+
+
+query("scenario_base")(_base)
+query("scenario_inputs")(lambda s: scenario.state_inputs(fo(s), s.model["dim_geography"]))
+query("scenario_targets")(_targets)
+query("scenario_b_inputs")(lambda s: scenario.scenario_b_inputs(fo(s)))
+query("scenario_grid")(lambda s: scenario.scenario_grid(_targets(s), scenario.scenario_b_inputs(fo(s)), _base(s)))
+query("scenario_ceiling")(lambda s: scenario.scenario_ceiling(fo(s), _base(s)))
+query("scenario_anchor")(lambda s: scenario.scenario_anchor(fo(s)))
