@@ -304,3 +304,29 @@ def star_for(spark: SparkSession, src: str) -> Star:
     if key not in _CACHE:
         _CACHE[key] = build_star(spark, src)
     return _CACHE[key]
+
+
+def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_orders", "fact_order_items",
+                                   "dim_customer")) -> Star:
+    """Cut lineage of the reused layers with reliable checkpoints (written to the cluster's
+    ``spark.checkpoint.dir``), so later queries neither recompute nor depend on lost executors."""
+    from shipshape.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(star.spark)
+    stg, model = dict(star.stg), dict(star.model)
+    for n in names:
+        if n in stg:
+            stg[n] = stg[n].checkpoint(eager=True)
+    # facts must be rebuilt on the checkpointed staging tables before they are checkpointed
+    si, so, sr = stg["order_items"], stg["orders"], stg["reviews"]
+    ia = item_agg(si, so)
+    fo = fact_orders(so, ia, sr, numbered=False)
+    if "fact_orders" in names:
+        fo = fo.checkpoint(eager=True)
+    fi = fact_order_items(si, fo, so)
+    if "fact_order_items" in names:
+        fi = fi.checkpoint(eager=True)
+    dc = dim_customer(so)
+    if "dim_customer" in names:
+        dc = dc.checkpoint(eager=True)
+    model.update({"item_agg": ia, "fact_orders": fo, "fact_order_items": fi, "dim_customer": dc})
+    return Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model)
