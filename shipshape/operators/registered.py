@@ -229,3 +229,9 @@ query("scenario_b_inputs")(lambda s: scenario.scenario_b_inputs(fo(s)))
 query("scenario_grid")(lambda s: scenario.scenario_grid(_targets(s), scenario.scenario_b_inputs(fo(s)), _base(s)))
 query("scenario_ceiling")(lambda s: scenario.scenario_ceiling(fo(s), _base(s)))
 query("scenario_anchor")(lambda s: scenario.scenario_anchor(fo(s)))
+
+
+# --- step 5: model validation -----------------------------------------------------------------------
+from shipshape.operators import validate  # noqa: E402
+
+query("model_validation")(validate.model_validation)
