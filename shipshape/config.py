@@ -92,3 +92,9 @@ SCENARIO_TOP_STATES = 5
 SCENARIO_CASES = (("Low", 0.50), ("Base", 0.75), ("High", 1.00))
 PERIOD_MONTHS = 60
 SLOW_ON_TIME_DAYS = 22
+
+# --- fixed values: dashboard visuals and slicers ----------------------------------------------------
+TOP_SELLERS = 10
+TOP_MATRIX_CATEGORIES = 12
+SLICER_YEAR = 1998
+SLICER_REGION = "EUROPE"

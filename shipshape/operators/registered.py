@@ -235,3 +235,18 @@ query("scenario_anchor")(lambda s: scenario.scenario_anchor(fo(s)))
 from shipshape.operators import validate  # noqa: E402
 
 query("model_validation")(validate.model_validation)
+
+
+# --- step 12: semantic layer ------------------------------------------------------------------------
+from shipshape.operators import semantic  # noqa: E402
+
+query("measures_total")(semantic.measures_total)
+query("measures_by_month")(semantic.measures_by_month)
+query("share_pair_by_outcome")(semantic.share_pair_by_outcome)
+query("state_late_flag")(semantic.state_late_flag)
+query("band_visuals")(semantic.band_visuals)
+query("seller_ranking")(semantic.seller_ranking)
+query("size_by_outcome")(semantic.size_by_outcome)
+query("complaint_matrix")(lambda s: semantic.complaint_matrix(s, _coded(s)))
+query("category_matrix")(semantic.category_matrix)
+query("measures_sliced")(semantic.measures_sliced)
