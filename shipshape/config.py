@@ -98,3 +98,31 @@ TOP_SELLERS = 10
 TOP_MATRIX_CATEGORIES = 12
 SLICER_YEAR = 1998
 SLICER_REGION = "EUROPE"
+
+# --- fixed values: profiling ---------------------------------------------------------------------------
+RAW_KEYS = {                            # row order used for "first example" (A16)
+    "orders": ("order_id",), "order_items": ("order_id", "order_item_id"),
+    "order_payments": ("order_id", "payment_sequential"), "order_reviews": ("review_id", "order_id"),
+    "customers": ("customer_id",), "sellers": ("seller_id",), "products": ("product_id",),
+    "category_translation": ("product_category_name",), "geolocation": ("geolocation_zip_code_prefix",),
+}
+KEY_CANDIDATES = (
+    ("orders", ("order_id",)), ("customers", ("customer_id",)), ("customers", ("customer_unique_id",)),
+    ("order_items", ("order_id", "order_item_id")), ("order_payments", ("order_id", "payment_sequential")),
+    ("order_reviews", ("review_id",)), ("order_reviews", ("order_id",)), ("order_reviews", ("review_id", "order_id")),
+    ("sellers", ("seller_id",)), ("products", ("product_id",)), ("category_translation", ("product_category_name",)),
+    ("geolocation", ("geolocation_zip_code_prefix",)),
+)
+RELATIONSHIPS = (
+    ("orders", "customer_id", "customers", "customer_id"),
+    ("order_items", "order_id", "orders", "order_id"),
+    ("order_payments", "order_id", "orders", "order_id"),
+    ("order_reviews", "order_id", "orders", "order_id"),
+    ("order_items", "product_id", "products", "product_id"),
+    ("order_items", "seller_id", "sellers", "seller_id"),
+    ("products", "product_category_name", "category_translation", "product_category_name"),
+    ("customers", "customer_zip_code_prefix", "geolocation", "geolocation_zip_code_prefix"),
+    ("sellers", "seller_zip_code_prefix", "geolocation", "geolocation_zip_code_prefix"),
+)
+LATE_LIMIT_TS = "2001-06-30 23:59:59"  # shipping limits after the data's horizon
+ACCTBAL_RANGE = (-999.99, 9999.99)     # plausible account balance (bounding-box check)

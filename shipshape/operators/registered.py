@@ -250,3 +250,19 @@ query("size_by_outcome")(semantic.size_by_outcome)
 query("complaint_matrix")(lambda s: semantic.complaint_matrix(s, _coded(s)))
 query("category_matrix")(semantic.category_matrix)
 query("measures_sliced")(semantic.measures_sliced)
+
+
+# --- step 3: profiling -------------------------------------------------------------------------------
+from shipshape.operators import profile  # noqa: E402
+
+query("table_overview")(profile.table_overview)
+query("column_profile")(profile.column_profiles)
+query("key_candidates")(profile.key_candidates)
+query("fk_profile")(profile.fk_profile)
+query("trap_checks")(profile.trap_checks)
+query("status_breakdown")(profile.status_breakdown)
+query("orders_without_items")(profile.orders_without_items)
+query("payment_types")(profile.payment_types)
+query("untranslated_categories")(profile.untranslated_categories)
+query("score_by_comment")(profile.score_by_comment)
+query("month_completeness")(profile.month_completeness)

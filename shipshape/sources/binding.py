@@ -188,9 +188,17 @@ def raw_category_translation(t: Tables) -> DataFrame:
                        english_name(F.col("product_category_name")).alias("product_category_name_english"))
 
 
+def raw_geolocation(t: Tables) -> DataFrame:
+    """Zip-prefix lookup: one row per nation (prefix = zero-padded nation key)."""
+    return t.nation.select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("geolocation_zip_code_prefix"),
+                           F.lit(None).cast("string").alias("geolocation_city"),
+                           F.col("n_name").alias("geolocation_state"))
+
+
 def raw_tables(t: Tables) -> dict[str, DataFrame]:
     return {
         "orders": raw_orders(t), "order_items": raw_order_items(t), "order_payments": raw_order_payments(t),
         "order_reviews": raw_order_reviews(t), "customers": raw_customers(t), "sellers": raw_sellers(t),
         "products": raw_products(t), "category_translation": raw_category_translation(t),
+        "geolocation": raw_geolocation(t),
     }
