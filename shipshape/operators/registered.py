@@ -266,3 +266,17 @@ query("payment_types")(profile.payment_types)
 query("untranslated_categories")(profile.untranslated_categories)
 query("score_by_comment")(profile.score_by_comment)
 query("month_completeness")(profile.month_completeness)
+
+
+# --- step 4: quality --------------------------------------------------------------------------------
+from shipshape.operators import quality  # noqa: E402
+
+for _name in ("scope_checks", "review_outcome_by_status", "timestamp_checks", "duration_quantiles", "value_checks",
+              "payment_reconciliation", "price_quantiles", "top5_price", "top5_freight", "duplicate_reviews",
+              "shared_review_ids", "comment_checks", "survey_timing", "review_gaps_by_outcome",
+              "review_gaps_by_status", "entity_checks", "value_without_category"):
+    query(_name)(getattr(quality, _name))
+query("fact_fill")(lambda s: quality.fact_fill(numbered_facts(s)))
+query("flag_tristate")(lambda s: quality.flag_tristate(fo(s)))
+query("repeat_definitions")(lambda s: quality.repeat_definitions(s.model["dim_customer"]))
+query("outcome_band_contents")(lambda s: quality.outcome_band_contents(fo(s)))
