@@ -280,3 +280,15 @@ query("fact_fill")(lambda s: quality.fact_fill(numbered_facts(s)))
 query("flag_tristate")(lambda s: quality.flag_tristate(fo(s)))
 query("repeat_definitions")(lambda s: quality.repeat_definitions(s.model["dim_customer"]))
 query("outcome_band_contents")(lambda s: quality.outcome_band_contents(fo(s)))
+
+
+# --- step 13: sources and sinks -------------------------------------------------------------------
+from shipshape.sources import files  # noqa: E402
+
+
+@query("table_listing")
+def _table_listing(s):
+    tabs = {f"raw.{k}": v for k, v in s.raw.items() if k != "order_reviews_keyed"}
+    tabs.update({f"model.{k}": s.model[k] for k in ("dim_geography", "dim_date", "dim_product", "dim_seller",
+                                                     "dim_customer", "fact_orders", "fact_order_items")})
+    return files.list_tables(s.spark, tabs)
