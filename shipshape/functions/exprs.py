@@ -84,9 +84,18 @@ def wilson(successes: Column | str, total: Column | str, z: float = C.Z_95) -> t
     return low, high
 
 
+# --- fixed value: the Unicode space separators (category Zs), stripped by trim ---------------------
+SPACE_SEPARATORS = ("\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                    "\u202f\u205f\u3000")
+
+
 def unicode_trim(c: Column) -> Column:
-    """Strip leading/trailing spaces, Unicode space separators included (not tabs or newlines)."""
-    return F.regexp_replace(c, r"^[\p{Zs}]+|[\p{Zs}]+$", "")
+    """Strip leading/trailing spaces, Unicode space separators included (not tabs or newlines).
+
+    Set-based ``trim`` walks in from both ends only; a regex anchored at the end would scan the
+    whole text.
+    """
+    return F.trim(c, F.lit(SPACE_SEPARATORS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -94,6 +103,12 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(unicode_trim(c), F.lit(""))
 
 
+def has_text(c: Column) -> Column:
+    """``blank_to_null(c) IS NOT NULL`` without building the trimmed copy: some character is not a
+    space separator (the search stops at the first one, normally the first character)."""
+    return F.coalesce(c.rlike(r"[^\p{Zs}]"), F.lit(False))
+
+
 # --- fixed value: digit runs of nine or more, optionally separated by a space, dot or dash ---------
 PHONE_PATTERN = r"\d(?:[ .\-]?\d){8,}"
 PHONE_MASK = "[number removed]"

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape.functions.exprs import avg_if, count_if, median_if, ratio
+from shipshape.operators.rank import exact_quantiles
 
 
 def order_kpi_columns() -> list[Column]:
@@ -123,8 +124,9 @@ def supporting_figures(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
         count_if(~f("has_items")).alias("orders_without_items"),
         count_if(~f("has_review")).alias("orders_without_review"),
         count_if(f("delivery_outcome") == "Unknown").alias("unknown_outcome"),
-        F.median(f("items_value").cast("double")).alias("median_order_value"),
         F.median(f("delay_days").cast("double")).alias("median_delay_all_delivered"))
+    # day counts have few distinct values (built-in median is fine); order values do not
+    s = s.select("*", exact_quantiles(fact, "items_value", [0.5])[0].alias("median_order_value"))
     multi = count_if(f("order_count") > 1)
     r = dim_customer.agg(multi.alias("multi_order_customers"), ratio(multi, F.count(F.lit(1))).alias("multi_order_rate"))
     return s.select("*", ratio(f("gmv_not_delivered"), f("gmv")).alias("gmv_not_delivered_share"),

@@ -107,8 +107,25 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
 
 def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], out_col: str = "rn",
                       partitions: int | None = None) -> DataFrame:
-    """Exact ``row_number() over (order by order_cols)`` without a single-partition window."""
-    return sequence_in_group(df, [], order_cols, out_col, partitions)
+    """Exact ``row_number() over (order by order_cols)`` without a single-partition window.
+
+    JVM only: after the range partitioning and the sort inside each partition,
+    ``monotonically_increasing_id`` is (partition index << 33) + position in the partition, so the
+    local number is plain arithmetic; each partition's offset is the running count of the earlier
+    partitions (one row per partition, broadcast).
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    n = _num_partitions(df, partitions)
+    local = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+             .withColumn(_PID, F.spark_partition_id())
+             .withColumn(_LRN, F.monotonically_increasing_id()
+                         - F.shiftleft(F.col(_PID).cast("bigint"), 33) + F.lit(1)))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (local.groupBy(_PID).agg(F.count(F.lit(1)).alias("_cnt"))
+               .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))
+    out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
+           .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
+    return out.drop(_PID, _LRN, "_o_pid", "_carry")
 
 
 def ntile(df: DataFrame, buckets: int, order_cols: Sequence[Column | str], out_col: str = "ntile",
@@ -131,3 +148,74 @@ def top_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     WindowGroupLimit before the shuffle, so each task sends at most k rows per group."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return df.withColumn(out_col, F.row_number().over(w).cast("bigint")).filter(F.col(out_col) <= k)
+
+
+def _local_cumsum(weight_col: str):
+    """Per partition (sorted): running total of ``weight_col``, carried across Arrow batches."""
+
+    def run(batches):
+        carry = 0
+        for batch in batches:
+            w = batch.column(weight_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            cs = np.cumsum(w) + carry
+            if len(cs):
+                carry = int(cs[-1])
+            yield batch.append_column(_LRN, pa.array(cs, pa.int64()))
+
+    return run
+
+
+def running_total(df: DataFrame, order_cols: Sequence[Column | str], weight_col: str, out_col: str = "cum",
+                  partitions: int | None = None) -> DataFrame:
+    """Exact ``sum(weight) over (order by order_cols rows unbounded preceding)``, no single-partition
+    window: range partitions are summed locally in one Arrow pass, then shifted by the totals of the
+    earlier partitions (one row per partition, broadcast). ``order_cols`` must be a total order."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    n = _num_partitions(df, partitions)
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn(_PID, F.spark_partition_id()))
+    schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
+    local = ranged.mapInArrow(_local_cumsum(weight_col), schema)
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (local.groupBy(_PID).agg(F.max(_LRN).alias("_cnt"))
+               .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))
+    out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
+           .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
+    return out.drop(_PID, _LRN, "_o_pid", "_carry")
+
+
+def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
+                    partitions: int | None = None) -> Column:
+    """Exact interpolated quantiles (``quantile_cont`` / ``percentile``) of ``value`` as a scalar
+    subquery returning ``array<double>`` in the order of ``probs``.
+
+    Built-in ``percentile`` merges one value -> count map per group in a single task; with money
+    values the distinct set grows with the data. Here the values are first counted per distinct
+    value (a value holding a third of the rows collapses to one row in the partial aggregation),
+    the (value, count) pairs are range-partitioned and given a running total, and only the rows
+    holding the ranks floor/ceil((n - 1) * p) are kept: at most two per quantile.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    counts = (df.select(v.alias("_qv")).filter(F.col("_qv").isNotNull())
+              .groupBy("_qv").agg(F.count(F.lit(1)).alias("_qn")))
+    cum = running_total(counts, ["_qv"], "_qn", "_qc", partitions)
+    total = counts.agg(F.sum("_qn")).scalar()
+    start = F.col("_qc") - F.col("_qn")                 # 0-based rank of the value's first row
+
+    def holds(k: Column) -> Column:
+        return (start <= k) & (k < F.col("_qc"))
+
+    pos = [(total - 1).cast("double") * F.lit(p) for p in probs]
+    lo = [F.floor(x) for x in pos]
+    hi = [F.ceil(x) for x in pos]
+    keep = None
+    for a, b in zip(lo, hi):
+        c = holds(a) | holds(b)
+        keep = c if keep is None else keep | c
+    picked = cum.filter(keep)
+    qs = []
+    for x, a, b in zip(pos, lo, hi):
+        v_lo = F.max(F.when(holds(a), F.col("_qv")))
+        v_hi = F.max(F.when(holds(b), F.col("_qv")))
+        qs.append(v_lo + (x - a) * (v_hi - v_lo))
+    return picked.agg(F.array(*qs)).scalar()

@@ -166,7 +166,9 @@ from shipshape.functions.exprs import blank_to_null  # noqa: E402
 
 def _frame(s):
     if "_frame" not in s.model:
-        rt = binding.attach_comment(s.stg["reviews"], s.tables, clean=blank_to_null)
+        # only low-score reviews with a usable comment can enter the frame: attach texts to those only
+        low = s.stg["reviews"].filter((f("review_score") <= C.LOW_SCORE_MAX) & f("has_comment"))
+        rt = binding.attach_comment(low, s.tables, clean=blank_to_null)
         s.model["_frame"] = sampling.sample_frame(rt, fo(s), s.raw["order_reviews_keyed"])
     return s.model["_frame"]
 

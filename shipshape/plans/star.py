@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import blank_to_null, days_between, guarded_days
+from shipshape.functions.exprs import blank_to_null, days_between, guarded_days, has_text
 from shipshape.operators.rank import sequence_in_group
 from shipshape.sources import binding
 from shipshape.sources.tables import Tables
@@ -266,7 +266,7 @@ def build_star(spark: SparkSession, src: str) -> Star:
     raw["order_reviews_keyed"] = binding.raw_order_reviews_keyed(t)
     geo = binding.geography(t)
     so = stg_orders(raw["orders"], raw["customers"])
-    sr = stg_reviews(raw["order_reviews_keyed"], so, binding.comment_flags(t, blank_to_null))
+    sr = stg_reviews(raw["order_reviews_keyed"], so, binding.comment_flags(t, has_text))
     si = stg_order_items(raw["order_items"], so, raw["sellers"])
     ia = item_agg(si, so)
     fo = fact_orders(so, ia, sr, numbered=False)

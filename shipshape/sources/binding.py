@@ -126,10 +126,13 @@ def attach_comment(df: DataFrame, t: Tables, out: str = "review_comment_message"
     return df.join(docs, "comment_doc_id", "left").withColumn(out, text).drop("text")
 
 
-def comment_flags(t: Tables, clean) -> DataFrame:
-    """doc key -> has a usable (non-blank) comment; a boolean instead of the text for flags."""
+def comment_flags(t: Tables, present) -> DataFrame:
+    """doc key -> has a usable (non-blank) comment; a boolean instead of the text for flags.
+
+    ``present(text)`` decides it without copying the text (see ``exprs.has_text``).
+    """
     return comment_texts(t).select(F.col("doc_id").alias("comment_doc_id"),
-                                   clean(F.col("text")).isNotNull().alias("comment_present"))
+                                   present(F.col("text")).alias("comment_present"))
 
 
 def raw_order_reviews(t: Tables) -> DataFrame:

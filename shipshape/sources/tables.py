@@ -20,13 +20,20 @@ def read_table(spark: SparkSession, src: str, name: str) -> DataFrame:
 
 
 class Tables:
-    """Lazy accessor ``Tables(spark, src).orders`` -> DataFrame."""
+    """Lazy accessor ``Tables(spark, src).orders`` -> DataFrame.
+
+    One DataFrame per table and folder: the file listing and footer (schema) read happen once,
+    not once per use in a plan.
+    """
 
     def __init__(self, spark: SparkSession, src: str):
         self.spark = spark
         self.src = src
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return read_table(self.spark, self.src, name)
+        if name not in self._frames:
+            self._frames[name] = read_table(self.spark, self.src, name)
+        return self._frames[name]

@@ -35,3 +35,23 @@ def test_sequence_with_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "g int, o int")
     got = {(r.g, r.o): r.rn for r in sequence_in_group(df, ["g"], ["o"], "rn", partitions=2).collect()}
     assert got == {(None, 1): 1, (None, 2): 2, (1, 3): 1}
+
+
+def test_global_row_number_with_empty_partitions(spark):
+    df = spark.range(0, 40).select(((F.col("id") * 7) % 40).alias("v"))
+    got = global_row_number(df, [F.col("v").desc()], "rn", partitions=64)
+    assert sorted((r.v, r.rn) for r in got.collect()) == sorted((v, 40 - v) for v in range(40))
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from shipshape.operators.rank import exact_quantiles
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    # a hot value holds a third of the rows; the rest are spread with duplicates
+    hot = spark.range(0, 3000).select(F.lit(12.5).alias("x"))
+    rest = spark.range(3000, 9000).select(((F.col("id") * 37) % 1001 / 4.0).alias("x"))
+    df = hot.unionByName(rest).unionByName(spark.createDataFrame([(None,)], "x double"))
+    got = df.limit(1).select(exact_quantiles(df, "x", probs, partitions=7).alias("q")).first().q
+    want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert [round(a, 9) for a in got] == [round(b, 9) for b in want]
+    empty = df.filter("x > 1e9")
+    assert df.limit(1).select(exact_quantiles(empty, "x", [0.5]).alias("q")).first().q == [None]
