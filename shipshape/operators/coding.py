@@ -61,19 +61,30 @@ def coding_violations(coded: DataFrame, frame: DataFrame, cats: DataFrame) -> Da
     return empty.unionByName(unk_p).unionByName(unk_s).unionByName(rep).unionByName(missing).unionByName(extra)
 
 
-def category_shares_ci(coded: DataFrame, cats: DataFrame) -> DataFrame:
+def _stacked(one: DataFrame, label: str, labels, cols) -> DataFrame:
+    """Unpivot a one-row aggregate holding ``<col><i>`` per label into one row per label."""
+    esc = [lab.replace("'", "''") for lab in labels]
+    parts = ", ".join(f"'{lab}', " + ", ".join(f"{c}{i}" for c in cols) for i, lab in enumerate(esc))
+    return one.selectExpr("_total", f"stack({len(labels)}, {parts}) AS ({label}, {', '.join(cols)})")
+
+
+def category_shares_ci(coded: DataFrame, cats: DataFrame | None = None) -> DataFrame:
     """Primary count, share with Wilson CI, and 'mentioned' (primary or secondary) share;
-    every codebook category appears, also with zero reviews."""
-    total = coded.agg(F.count(F.lit(1))).scalar()
-    prim = coded.groupBy(f("primary_category").alias("category")).agg(F.count(F.lit(1)).alias("primary_n"))
-    ment = (coded.select(F.explode(F.array_distinct(F.array_compact(F.array("primary_category", "secondary_category"))))
-                         .alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("mentioned_n")))
-    x = cats.join(prim, "category", "left").join(ment, "category", "left")
-    pn = F.coalesce(f("primary_n"), F.lit(0)).cast("bigint")
-    mn = F.coalesce(f("mentioned_n"), F.lit(0)).cast("bigint")
-    lo, hi = wilson(pn, total)
-    return x.select("category", pn.alias("reviews"), ratio(pn, total).alias("share"), lo.alias("ci_low"),
-                    hi.alias("ci_high"), mn.alias("mentioned"), ratio(mn, total).alias("mentioned_share"))
+    every codebook category appears, also with zero reviews.
+
+    One aggregation pass over the coded rows (the codebook is a fixed list), so the coded set is
+    read once and no total has to be joined back.
+    """
+    mentioned = F.array_compact(F.array("primary_category", "secondary_category"))
+    aggs = [F.count(F.lit(1)).alias("_total")]
+    for i, c in enumerate(C.CATEGORIES):
+        aggs += [count_if(f("primary_category") == c).alias(f"p{i}"),
+                 count_if(F.array_contains(mentioned, F.lit(c))).alias(f"m{i}")]
+    x = _stacked(coded.agg(*aggs), "category", C.CATEGORIES, ["p", "m"])
+    total = f("_total")
+    lo, hi = wilson(f("p"), total)
+    return x.select("category", f("p").alias("reviews"), ratio(f("p"), total).alias("share"), lo.alias("ci_low"),
+                    hi.alias("ci_high"), f("m").alias("mentioned"), ratio(f("m"), total).alias("mentioned_share"))
 
 
 def family(c: Column) -> Column:
@@ -82,11 +93,15 @@ def family(c: Column) -> Column:
 
 
 def category_families(coded: DataFrame) -> DataFrame:
-    """The three families of primary categories with share and CI."""
-    total = coded.agg(F.count(F.lit(1))).scalar()
-    g = coded.groupBy(family(f("primary_category")).alias("family")).agg(F.count(F.lit(1)).cast("bigint").alias("reviews"))
-    lo, hi = wilson(f("reviews"), total)
-    return g.select("family", "reviews", ratio(f("reviews"), total).alias("share"), lo.alias("ci_low"), hi.alias("ci_high"))
+    """The three families of primary categories with share and CI (one pass, fixed families).
+    A family without reviews is not listed (as a grouping would not list it)."""
+    fam = family(f("primary_category"))
+    aggs = [F.count(F.lit(1)).alias("_total")] + [count_if(fam == name).alias(f"n{i}")
+                                                   for i, name in enumerate(C.FAMILIES)]
+    x = _stacked(coded.agg(*aggs), "family", C.FAMILIES, ["n"]).filter(f("n") > 0)
+    lo, hi = wilson(f("n"), f("_total"))
+    return x.select("family", f("n").alias("reviews"), ratio(f("n"), f("_total")).alias("share"),
+                    lo.alias("ci_low"), hi.alias("ci_high"))
 
 
 def category_crosstab(coded: DataFrame) -> DataFrame:

@@ -160,17 +160,11 @@ query("gap_by_year")(lambda s: cuts.gap_by(fo(s), F.year("purchase_date").cast("
 
 # --- step 9-10: sampling and coding ---------------------------------------------------------------
 from shipshape.operators import coding, sampling  # noqa: E402
-from shipshape.sources import binding  # noqa: E402
-from shipshape.functions.exprs import blank_to_null  # noqa: E402
+from shipshape.plans.star import review_frame  # noqa: E402
 
 
 def _frame(s):
-    if "_frame" not in s.model:
-        # only low-score reviews with a usable comment can enter the frame: attach texts to those only
-        low = s.stg["reviews"].filter((f("review_score") <= C.LOW_SCORE_MAX) & f("has_comment"))
-        rt = binding.attach_comment(low, s.tables, clean=blank_to_null)
-        s.model["_frame"] = sampling.sample_frame(rt, fo(s), s.raw["order_reviews_keyed"])
-    return s.model["_frame"]
+    return review_frame(s)
 
 
 def _drawn(s):
@@ -294,3 +288,9 @@ def _table_listing(s):
     tabs.update({f"model.{k}": s.model[k] for k in ("dim_geography", "dim_date", "dim_product", "dim_seller",
                                                      "dim_customer", "fact_orders", "fact_order_items")})
     return files.list_tables(s.spark, tabs)
+
+
+@query("figures_json")
+def _figures_json(s):
+    from shipshape.operators import figures
+    return figures.figures_long(figures.figure_sections(fo(s), _kpi(s), s.stg["orders"], s.model["dim_customer"]))

@@ -295,6 +295,20 @@ def _number(star: "Star") -> DataFrame:
     return fo.select(*FACT_ORDER_COLUMNS)
 
 
+def review_frame(star: "Star") -> DataFrame:
+    """R1 sampling frame of a star (with the comment text and its document key).
+
+    Only low-score reviews with a usable comment can enter the frame, so texts are attached to
+    those only.
+    """
+    if "_frame" not in star.model:
+        from shipshape.operators.sampling import sample_frame
+        low = star.stg["reviews"].filter((F.col("review_score") <= C.LOW_SCORE_MAX) & F.col("has_comment"))
+        rt = binding.attach_comment(low, star.tables, clean=blank_to_null)
+        star.model["_frame"] = sample_frame(rt, star.model["fact_orders"], star.raw["order_reviews_keyed"])
+    return star.model["_frame"]
+
+
 _CACHE: dict = {}
 
 
@@ -313,7 +327,7 @@ def _persist_parquet(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_orders", "fact_order_items",
-                                   "dim_customer")) -> Star:
+                                   "dim_customer", "frame")) -> Star:
     """Cut lineage of the reused layers by writing them as Parquet tables into the cluster's shared
     checkpoint folder (``spark.checkpoint.dir``) and reading them back.
 
@@ -330,9 +344,11 @@ def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_ord
             stg[n] = _persist_parquet(stg[n], folder, f"stg_{n}")
     si, so, sr = stg["order_items"], stg["orders"], stg["reviews"]
     ia = item_agg(si, so)
-    fo = fact_orders(so, ia, sr, numbered=False)
+    # written once with the per-person order number, so no later query has to number it again
+    fo = fact_orders(so, ia, sr, numbered="fact_orders" in names)
     if "fact_orders" in names:
         fo = _persist_parquet(fo, folder, "fact_orders")
+        model["fact_orders_numbered"] = fo
     fi = fact_order_items(si, fo, so)
     if "fact_order_items" in names:
         fi = _persist_parquet(fi, folder, "fact_order_items")
@@ -340,4 +356,8 @@ def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_ord
     if "dim_customer" in names:
         dc = _persist_parquet(dc, folder, "dim_customer")
     model.update({"item_agg": ia, "fact_orders": fo, "fact_order_items": fi, "dim_customer": dc})
-    return Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model)
+    model.pop("_frame", None)
+    out = Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model)
+    if "frame" in names:   # the review sampling frame, reused by every sampling and coding query
+        out.model["_frame"] = _persist_parquet(review_frame(out), folder, "review_frame")
+    return out
