@@ -86,9 +86,11 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
     local = ranged.mapInArrow(_local_numbering(g), schema)
 
-    # last group of each partition and its row count there (one row per non-empty partition)
-    last = F.max(F.struct(*[F.col(c) for c in g], F.col(_LRN).alias("_cnt"))).alias("_last")
-    summary = local.groupBy(_PID).agg(last).select(
+    # last group of each partition and its row count there (one row per non-empty partition); taken
+    # from the partitioned rows by two partial aggregations, so the Arrow pass runs only once
+    per_group = ranged.groupBy(_PID, *g).agg(F.count(F.lit(1)).alias("_cnt"))
+    last = F.max(F.struct(*[F.col(c) for c in g], F.col("_cnt"))).alias("_last")
+    summary = per_group.groupBy(_PID).agg(last).select(
         _PID, *[F.col(f"_last.{c}").alias(c) for c in g], F.col("_last._cnt").alias("_cnt"))
     by_group = Window.partitionBy(*g).orderBy(_PID) if g else Window.orderBy(_PID)
     by_pid = Window.orderBy(_PID)
@@ -177,7 +179,7 @@ def running_total(df: DataFrame, order_cols: Sequence[Column | str], weight_col:
     schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
     local = ranged.mapInArrow(_local_cumsum(weight_col), schema)
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (local.groupBy(_PID).agg(F.max(_LRN).alias("_cnt"))
+    offsets = (ranged.groupBy(_PID).agg(F.sum(weight_col).alias("_cnt"))
                .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))
     out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
            .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
