@@ -86,11 +86,12 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
     local = ranged.mapInArrow(_local_numbering(g), schema)
 
-    # last group of each partition and its row count there (one row per non-empty partition); taken
-    # from the partitioned rows by two partial aggregations, so the Arrow pass runs only once
-    per_group = ranged.groupBy(_PID, *g).agg(F.count(F.lit(1)).alias("_cnt"))
-    last = F.max(F.struct(*[F.col(c) for c in g], F.col("_cnt"))).alias("_last")
-    summary = per_group.groupBy(_PID).agg(last).select(
+    # last group of each partition and its row count there (one row per non-empty partition).
+    # Taken from the numbered rows themselves: the Arrow pass reads every column, so both branches
+    # stand on one and the same range exchange (reused). A branch that pruned columns would get an
+    # exchange of its own, with its own sampled range bounds, i.e. a different partitioning.
+    last = F.max(F.struct(*[F.col(c) for c in g], F.col(_LRN).alias("_cnt"))).alias("_last")
+    summary = local.groupBy(_PID).agg(last).select(
         _PID, *[F.col(f"_last.{c}").alias(c) for c in g], F.col("_last._cnt").alias("_cnt"))
     by_group = Window.partitionBy(*g).orderBy(_PID) if g else Window.orderBy(_PID)
     by_pid = Window.orderBy(_PID)
@@ -109,25 +110,8 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
 
 def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], out_col: str = "rn",
                       partitions: int | None = None) -> DataFrame:
-    """Exact ``row_number() over (order by order_cols)`` without a single-partition window.
-
-    JVM only: after the range partitioning and the sort inside each partition,
-    ``monotonically_increasing_id`` is (partition index << 33) + position in the partition, so the
-    local number is plain arithmetic; each partition's offset is the running count of the earlier
-    partitions (one row per partition, broadcast).
-    """
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = _num_partitions(df, partitions)
-    local = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-             .withColumn(_PID, F.spark_partition_id())
-             .withColumn(_LRN, F.monotonically_increasing_id()
-                         - F.shiftleft(F.col(_PID).cast("bigint"), 33) + F.lit(1)))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (local.groupBy(_PID).agg(F.count(F.lit(1)).alias("_cnt"))
-               .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))
-    out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
-           .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
-    return out.drop(_PID, _LRN, "_o_pid", "_carry")
+    """Exact ``row_number() over (order by order_cols)`` without a single-partition window."""
+    return sequence_in_group(df, [], order_cols, out_col, partitions)
 
 
 def ntile(df: DataFrame, buckets: int, order_cols: Sequence[Column | str], out_col: str = "ntile",
@@ -179,7 +163,7 @@ def running_total(df: DataFrame, order_cols: Sequence[Column | str], weight_col:
     schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
     local = ranged.mapInArrow(_local_cumsum(weight_col), schema)
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy(_PID).agg(F.sum(weight_col).alias("_cnt"))
+    offsets = (local.groupBy(_PID).agg(F.max(_LRN).alias("_cnt"))     # same subtree as the rows (see above)
                .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))
     out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
            .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))

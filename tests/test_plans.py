@@ -27,7 +27,6 @@ def test_money_quantiles_avoid_single_task_percentile(star):
     counts = star.raw["order_items"].groupBy("price").agg(F.count(F.lit(1)).alias("n"))
     p = _plan(running_total(counts, ["price"], "n"))
     assert "rangepartitioning" in p and "Window" in p      # the window runs on the per-partition totals only
-    assert p.count("MapInArrow") == 1                       # one Arrow pass over the rows
 
 
 def test_period_filter_and_columns_reach_the_scan(star):

@@ -55,3 +55,25 @@ def test_exact_quantiles_match_percentile(spark):
     assert [round(a, 9) for a in got] == [round(b, 9) for b in want]
     empty = df.filter("x > 1e9")
     assert df.limit(1).select(exact_quantiles(empty, "x", [0.5]).alias("q")).first().q == [None]
+
+
+def test_numbering_consistent_when_range_bounds_are_sampled(spark):
+    # enough rows that the range partitioner samples (bounds would differ between two exchanges):
+    # every branch of the operator must see one and the same partitioning
+    df = spark.range(0, 120000).select(((F.col("id") * 7919) % 1000).alias("g"), ((F.col("id") * 104729) % 100003).alias("o"),
+                                       F.col("id"), (F.col("id") % 3).alias("pad"))
+    got = sequence_in_group(df, ["g"], ["o", "id"], "rn", partitions=16)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")).cast("bigint"))
+    assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+    got = global_row_number(df, [F.col("o").desc(), F.col("id")], "rn", partitions=16)
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("o").desc(), "id")).cast("bigint"))
+    assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+
+
+def test_exact_quantiles_with_sampled_bounds(spark):
+    from shipshape.operators.rank import exact_quantiles
+    probs = [0.001, 0.5, 0.9, 0.999]
+    df = spark.range(0, 150000).select((((F.col("id") * 104729) % 99991) / 100.0).alias("x"))
+    got = df.limit(1).select(exact_quantiles(df, "x", probs, partitions=16).alias("q")).first().q
+    want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert [round(a, 9) for a in got] == [round(b, 9) for b in want]
