@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape import config as C
 
@@ -124,5 +124,14 @@ def squash_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row result bound once, as a struct-valued scalar subquery: ``one_row(base)["low"]``.
+
+    Reading several fields of one subquery computes the row once; a scalar subquery per field
+    would be planned and computed once per field (each prunes the row to a different column).
+    """
+    return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)

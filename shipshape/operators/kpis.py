@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shipshape.functions.exprs import avg_if, count_if, median_if, ratio
+from shipshape.functions.exprs import avg_if, count_if, median_if, one_row, ratio
 from shipshape.operators.rank import exact_quantiles
 
 
@@ -89,7 +89,8 @@ def kpi_sheet(kpi: DataFrame, customers: DataFrame) -> DataFrame:
     """K3: the KPI sheet, one row per KPI with value, numerator and denominator (unpivot)."""
     t = kpi.filter(F.col("period") == "Total")
     c = customers
-    x = t.select("*", *[c.select(F.col(n)).scalar().alias(n) for n in c.columns])
+    r = one_row(c)
+    x = t.select("*", *[r[n].alias(n) for n in c.columns])
     rows = [
         ("Number of orders", "orders", None, None),
         ("GMV", "gmv", None, None),
@@ -129,9 +130,10 @@ def supporting_figures(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
     s = s.select("*", exact_quantiles(fact, "items_value", [0.5])[0].alias("median_order_value"))
     multi = count_if(f("order_count") > 1)
     r = dim_customer.agg(multi.alias("multi_order_customers"), ratio(multi, F.count(F.lit(1))).alias("multi_order_rate"))
+    one = one_row(r)
     return s.select("*", ratio(f("gmv_not_delivered"), f("gmv")).alias("gmv_not_delivered_share"),
-                    r.select("multi_order_customers").scalar().alias("multi_order_customers"),
-                    r.select("multi_order_rate").scalar().alias("multi_order_rate"))
+                    one["multi_order_customers"].alias("multi_order_customers"),
+                    one["multi_order_rate"].alias("multi_order_rate"))
 
 
 def score_distribution(fact: DataFrame) -> DataFrame:

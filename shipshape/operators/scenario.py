@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import count_if, ratio
+from shipshape.functions.exprs import count_if, one_row, ratio
 
 f = F.col
 
@@ -58,7 +58,8 @@ def scenario_a_targets(states: DataFrame, base: DataFrame, top: int = C.SCENARIO
     parts = [_pool(ranked.limit(top), f"top {top}"), _pool(ranked.limit(1), "top 1"),
              _pool(states.filter(f("excess_late") > 0), "all above national")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    late, delivered = base.select("late").scalar(), base.select("delivered").scalar()
+    b = one_row(base)
+    late, delivered = b["late"], b["delivered"]
     return out.select("*", ratio(late - f("orders_moved"), delivered).alias("national_late_after"))
 
 
@@ -94,8 +95,8 @@ def scenario_grid(targets: DataFrame, b: DataFrame, base: DataFrame, top: int =
           .agg(F.sum("avoided").alias("avoided"), F.sum("score_points").alias("score_points"))
           .select(F.lit("A+B").alias("scenario"), "case", "factor", "avoided", "score_points"))
     x = x.unionByName(ab)
-    low, reviewed = base.select("low").scalar(), base.select("reviewed").scalar()
-    low_share, avg = base.select("low_share").scalar(), base.select("avg_score").scalar()
+    b = one_row(base)
+    low, reviewed, low_share, avg = b["low"], b["reviewed"], b["low_share"], b["avg_score"]
     new_low = ratio(low - f("avoided"), reviewed)
     new_avg = avg + f("score_points") / reviewed
     return x.select("scenario", "case", "factor", "avoided", (f("avoided") / months).alias("avoided_per_month"),
@@ -114,7 +115,8 @@ def scenario_ceiling(fact: DataFrame, base: DataFrame) -> DataFrame:
     """Every late order on time with the full observed gap."""
     x = _late_on(fact)
     ceiling = f("late_reviewed") * (ratio(f("late_low"), f("late_reviewed")) - ratio(f("on_low"), f("on_reviewed")))
-    low, reviewed = base.select("low").scalar(), base.select("reviewed").scalar()
+    b = one_row(base)
+    low, reviewed = b["low"], b["reviewed"]
     return x.select(ceiling.alias("ceiling"), ratio(ceiling, low).alias("share_of_all_bad"),
                     ratio(low - ceiling, reviewed).alias("new_low_share"))
 
@@ -126,6 +128,7 @@ def scenario_anchor(fact: DataFrame, min_days: int = C.SLOW_ON_TIME_DAYS) -> Dat
     x = _late_on(fact)
     p_late = ratio(f("late_low"), f("late_reviewed"))
     p_on = ratio(f("on_low"), f("on_reviewed"))
-    p_slow = ratio(slow.select("slow_low").scalar(), slow.select("slow_reviewed").scalar())
-    return x.select(slow.select("slow_reviewed").scalar().alias("slow_reviewed"), p_slow.alias("p_slow"),
+    sl = one_row(slow)
+    p_slow = ratio(sl["slow_low"], sl["slow_reviewed"])
+    return x.select(sl["slow_reviewed"].alias("slow_reviewed"), p_slow.alias("p_slow"),
                     p_on.alias("p_on"), p_late.alias("p_late"), F.try_divide(p_late - p_slow, p_late - p_on).alias("realised"))

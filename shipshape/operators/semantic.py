@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import count_if, ratio
+from shipshape.functions.exprs import count_if, one_row, ratio
 from shipshape.plans.star import Star
 
 f = F.col
@@ -204,8 +204,9 @@ def evaluate(star: Star, measures: list[str], by: list[str] | None = None, slice
         if keep:
             out = out.join(den, keep, "left")
         else:
+            one = one_row(den)
             for p in parts:
-                out = out.withColumn(p + "__all", den.select(p + "__all").scalar())
+                out = out.withColumn(p + "__all", one[p + "__all"])
     cols = [f(k) for k in by]
     for n in measures:
         m = REGISTRY[n]
@@ -231,7 +232,8 @@ def measures_total(star: Star) -> DataFrame:
     """V1: the card values, no filter (order measures + customer measures)."""
     o = evaluate(star, CARD_ORDER_MEASURES)
     c = evaluate(star, ["customers", "repeat_customers", "repeat_purchase_rate"])
-    return o.select("*", *[c.select(n).scalar().alias(n) for n in c.columns])
+    r = one_row(c)
+    return o.select("*", *[r[n].alias(n) for n in c.columns])
 
 
 def measures_by_month(star: Star, slicers: dict | None = None) -> DataFrame:
@@ -294,4 +296,5 @@ def measures_sliced(star: Star, year: int = C.SLICER_YEAR, region: str = C.SLICE
     """Year + region slicers: order measures by month are filtered, customer measures are not."""
     x = measures_by_month(star, {"year": [year], "region": [region]})
     c = evaluate(star, ["customers", "repeat_purchase_rate"], slicers={"year": [year]})
-    return x.select("*", *[c.select(n).scalar().alias(n) for n in c.columns])
+    r = one_row(c)
+    return x.select("*", *[r[n].alias(n) for n in c.columns])
