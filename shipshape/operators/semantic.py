@@ -225,7 +225,8 @@ CARD_ORDER_MEASURES = ["orders", "delivered_orders", "on_time_orders", "late_ord
                        "on_time_rate", "late_rate", "not_delivered_rate", "gmv", "orders_with_items",
                        "average_order_value", "freight_share", "avg_delay_late", "median_delay_late",
                        "median_delivery_days", "reviewed_orders", "avg_review_score", "low_score_orders",
-                       "low_score_share", "comment_share", "late_handed_over_late_share"]
+                       "low_score_share", "comment_share", "late_handed_over_late_share",
+                       "problem_order_share", "problem_low_share"]   # the last two: page headline (M27)
 
 
 def measures_total(star: Star) -> DataFrame:
@@ -241,10 +242,12 @@ def measures_by_month(star: Star, slicers: dict | None = None) -> DataFrame:
     return evaluate(star, ["orders", "late_rate", "low_score_share", "avg_review_score"], ["year_month"], slicers)
 
 
-def share_pair_by_outcome(star: Star) -> DataFrame:
-    """V3 (M22, M23): shares over all outcomes (filter on the outcome removed)."""
-    return evaluate(star, ["orders", "share_of_orders", "low_score_orders", "share_of_low_score_reviews"],
-                    ["delivery_outcome", "delivery_outcome_sort"])
+def share_pair_by_outcome(star: Star, reference: str = "On time") -> DataFrame:
+    """V3 (M22, M23): shares over all outcomes (filter on the outcome removed); M26: the bar colour
+    rule as a boolean (the bar of the reference outcome vs the others)."""
+    x = evaluate(star, ["orders", "share_of_orders", "low_score_orders", "share_of_low_score_reviews"],
+                 ["delivery_outcome", "delivery_outcome_sort"])
+    return x.withColumn("is_reference_outcome", f("delivery_outcome") == reference)
 
 
 def state_late_flag(star: Star, min_orders: int = C.MIN_STATE_ORDERS) -> DataFrame:
