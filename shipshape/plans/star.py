@@ -326,38 +326,53 @@ def _persist_parquet(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _persist_level(jobs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, DataFrame]:
+    """Write independent tables as concurrent Spark jobs (one driver thread each); the scheduler
+    interleaves their stages, so small stages of one table do not leave the cluster idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if not jobs:
+        return {}
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        futures = {k: pool.submit(_persist_parquet, df, folder, name) for k, (df, name) in jobs.items()}
+        return {k: fut.result() for k, fut in futures.items()}
+
+
 def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_orders", "fact_order_items",
                                    "dim_customer", "frame")) -> Star:
     """Cut lineage of the reused layers by writing them as Parquet tables into the cluster's shared
     checkpoint folder (``spark.checkpoint.dir``) and reading them back.
 
     One computation per table (a reliable RDD checkpoint would compute twice), the tables survive
-    executor loss, and later queries get column pruning and filter pushdown on them.
+    executor loss, and later queries get column pruning and filter pushdown on them. Tables that do
+    not depend on each other are written concurrently, in three levels: staging; facts and
+    customers; item facts and the review frame.
     """
     import uuid
 
     from shipshape.session import ensure_checkpoint_dir
     folder = f"{ensure_checkpoint_dir(star.spark).rstrip('/')}/star-{uuid.uuid4().hex}"
     stg, model = dict(star.stg), dict(star.model)
-    for n in names:
-        if n in stg:
-            stg[n] = _persist_parquet(stg[n], folder, f"stg_{n}")
+    stg.update(_persist_level({n: (stg[n], f"stg_{n}") for n in names if n in stg}, folder))
     si, so, sr = stg["order_items"], stg["orders"], stg["reviews"]
     ia = item_agg(si, so)
     # written once with the per-person order number, so no later query has to number it again
     fo = fact_orders(so, ia, sr, numbered="fact_orders" in names)
-    if "fact_orders" in names:
-        fo = _persist_parquet(fo, folder, "fact_orders")
+    dc = dim_customer(so)
+    level = {k: v for k, v in {"fact_orders": (fo, "fact_orders"), "dim_customer": (dc, "dim_customer")}.items()
+             if k in names}
+    done = _persist_level(level, folder)
+    fo, dc = done.get("fact_orders", fo), done.get("dim_customer", dc)
+    if "fact_orders" in done:
         model["fact_orders_numbered"] = fo
     fi = fact_order_items(si, fo, so)
-    if "fact_order_items" in names:
-        fi = _persist_parquet(fi, folder, "fact_order_items")
-    dc = dim_customer(so)
-    if "dim_customer" in names:
-        dc = _persist_parquet(dc, folder, "dim_customer")
     model.update({"item_agg": ia, "fact_orders": fo, "fact_order_items": fi, "dim_customer": dc})
     model.pop("_frame", None)
     out = Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model)
+    level = {}
+    if "fact_order_items" in names:
+        level["fact_order_items"] = (fi, "fact_order_items")
     if "frame" in names:   # the review sampling frame, reused by every sampling and coding query
-        out.model["_frame"] = _persist_parquet(review_frame(out), folder, "review_frame")
+        level["_frame"] = (review_frame(out), "review_frame")
+    out.model.update(_persist_level(level, folder))
     return out
