@@ -143,12 +143,19 @@ def on_time_order_size(fact: DataFrame) -> DataFrame:
 # --- B: composition and categories ---------------------------------------------------------------
 
 def composition(items: DataFrame) -> DataFrame:
-    """Order composition class from the item grain (one row per order)."""
-    g = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("seller_id").alias("_s"),
-                                      F.count_distinct("product_id").alias("_p"))
+    """Order composition class from the item grain (one row per order).
+
+    Only "more than one seller" and "exactly one product" matter, so min/max comparisons replace the
+    two distinct counts: plain partial aggregates, one shuffle, no Expand.
+    """
+    g = items.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        (F.min("seller_id") != F.max("seller_id")).alias("_several_sellers"),
+        (F.min("product_id") == F.max("product_id")).alias("_one_product"))
     (l1, s1), (l2, s2), (l3, s3), (l4, s4) = C.COMPOSITION
-    label = F.when(f("_n") == 1, l1).when(f("_s") > 1, l4).when(f("_p") == 1, l2).otherwise(l3)
-    sort = F.when(f("_n") == 1, s1).when(f("_s") > 1, s4).when(f("_p") == 1, s2).otherwise(s3)
+    several, one = f("_several_sellers"), f("_one_product")
+    label = F.when(f("_n") == 1, l1).when(several, l4).when(one, l2).otherwise(l3)
+    sort = F.when(f("_n") == 1, s1).when(several, s4).when(one, s2).otherwise(s3)
     return g.select("order_id", label.alias("composition"), sort.cast("bigint").alias("composition_sort"))
 
 
