@@ -23,6 +23,13 @@ def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False))).cast("bigint")
 
 
+def varies(c: Column | str) -> Column:
+    """``count(DISTINCT c) > 1`` as ``min(c) <> max(c)``: two partial aggregates instead of a distinct
+    aggregation (several distinct counts in one ``agg`` would make Spark plan an Expand). NULLs are
+    ignored by both forms; an all-NULL group is false in both."""
+    return F.min(col(c)) != F.max(col(c))
+
+
 def sum_if(cond: Column, value: Column | str) -> Column:
     return F.sum(F.when(cond, col(value)))
 
