@@ -27,6 +27,19 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _one_partitioning(local: DataFrame) -> DataFrame:
+    """Both branches of a ranking (rows and per-partition summary) must see one range partitioning.
+    Spark guarantees it by reusing the identical exchange; where exchange reuse is switched off, the
+    numbered rows are checkpointed (reliably, into ``spark.checkpoint.dir``) and both branches read
+    them."""
+    reuse = local.sparkSession.conf.get("spark.sql.exchange.reuse", "true")
+    if str(reuse).lower() == "true":
+        return local
+    from shipshape.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(local.sparkSession)
+    return local.checkpoint(eager=True)
+
+
 def _local_numbering(group_cols: Sequence[str]):
     """Per partition (sorted by group, order): 1-based row number inside each group run."""
 
@@ -84,7 +97,7 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn(_PID, F.spark_partition_id()))
     schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
-    local = ranged.mapInArrow(_local_numbering(g), schema)
+    local = _one_partitioning(ranged.mapInArrow(_local_numbering(g), schema))
 
     # last group of each partition and its row count there (one row per non-empty partition).
     # Taken from the numbered rows themselves: the Arrow pass reads every column, so both branches
@@ -161,7 +174,7 @@ def running_total(df: DataFrame, order_cols: Sequence[Column | str], weight_col:
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id()))
     schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
-    local = ranged.mapInArrow(_local_cumsum(weight_col), schema)
+    local = _one_partitioning(ranged.mapInArrow(_local_cumsum(weight_col), schema))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (local.groupBy(_PID).agg(F.max(_LRN).alias("_cnt"))     # same subtree as the rows (see above)
                .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))

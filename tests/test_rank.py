@@ -77,3 +77,15 @@ def test_exact_quantiles_with_sampled_bounds(spark):
     got = df.limit(1).select(exact_quantiles(df, "x", probs, partitions=16).alias("q")).first().q
     want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
     assert [round(a, 9) for a in got] == [round(b, 9) for b in want]
+
+
+def test_numbering_without_exchange_reuse_falls_back_to_checkpoint(spark):
+    df = spark.range(0, 60000).select(((F.col("id") * 7919) % 500).alias("g"), ((F.col("id") * 104729) % 100003).alias("o"),
+                                      F.col("id"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sequence_in_group(df, ["g"], ["o", "id"], "rn", partitions=16)
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")).cast("bigint"))
+        assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
