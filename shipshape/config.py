@@ -83,6 +83,16 @@ DELIVERY_CATEGORIES = ("Not received", "Late delivery")
 CONTENT_CATEGORIES = ("Incomplete order", "Wrong item", "Damaged or defective", "Poor quality or not as described")
 FAMILIES = ("Delivery (not received or late)", "What arrived (incomplete, wrong, damaged, poor quality)",
             "Service and other")
+# deck variant: four families of the primary category, reported per delivery group
+FAMILIES_4 = ("Not received or late", "Part of the order missing", "Wrong, damaged or poor product",
+              "Service or unclear")
+FAMILY_4_OF = {
+    "Not received": "Not received or late", "Late delivery": "Not received or late",
+    "Incomplete order": "Part of the order missing",
+    "Wrong item": "Wrong, damaged or poor product", "Damaged or defective": "Wrong, damaged or poor product",
+    "Poor quality or not as described": "Wrong, damaged or poor product",
+    "Seller service and refunds": "Service or unclear", "Other or unclear": "Service or unclear",
+}
 SECONDARY_EVERY = 3                    # doc_id mod 3 = 0 -> secondary category = (primary + 3) mod 8
 SECONDARY_SHIFT = 3
 QUOTE_EVERY = 7                        # doc_id mod 7 = 0 -> marked as a quote candidate

@@ -104,6 +104,23 @@ def category_families(coded: DataFrame) -> DataFrame:
                     lo.alias("ci_low"), hi.alias("ci_high"))
 
 
+def family_by_group(coded: DataFrame) -> DataFrame:
+    """R13, deck variant: the four families of the primary category per delivery group, with counts
+    and shares of the group's reviews (families without reviews included). One grouped pass; the
+    families are a fixed list, unpivoted with ``stack``."""
+    fam = None
+    for cat, name in C.FAMILY_4_OF.items():
+        fam = F.when(f("primary_category") == cat, name) if fam is None else fam.when(f("primary_category") == cat, name)
+    aggs = [F.count(F.lit(1)).alias("_total")] + [count_if(fam == name).alias(f"n{i}")
+                                                   for i, name in enumerate(C.FAMILIES_4)]
+    g = coded.groupBy("delivery_group").agg(*aggs)
+    esc = [x.replace("'", "''") for x in C.FAMILIES_4]
+    parts = ", ".join(f"'{x}', n{i}" for i, x in enumerate(esc))
+    x = g.selectExpr("delivery_group", "_total", f"stack({len(esc)}, {parts}) AS (family, reviews)")
+    return x.select("delivery_group", "family", "reviews", f("_total").alias("group_reviews"),
+                    ratio(f("reviews"), f("_total")).alias("share"))
+
+
 def category_crosstab(coded: DataFrame) -> DataFrame:
     """Category x delivery group, hits and column share (long form, zero cells included)."""
     groups = coded.groupBy("delivery_group", "delivery_group_sort").agg(F.count(F.lit(1)).cast("bigint").alias("members"))

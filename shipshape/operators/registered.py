@@ -201,6 +201,7 @@ query("coding_violations")(lambda s: coding.coding_violations(_coded(s), _frame(
 query("category_shares_ci")(lambda s: coding.category_shares_ci(_coded(s), _cats(s)))
 query("category_families")(lambda s: coding.category_families(_coded(s)))
 query("category_crosstab")(lambda s: coding.category_crosstab(_coded(s)))
+query("family_by_group")(lambda s: coding.family_by_group(_coded(s)))
 query("key_shares_ci")(lambda s: coding.key_shares_ci(_coded(s)))
 query("tag_counts")(lambda s: coding.tag_counts(_coded(s)))
 query("coder_agreement_kappa")(lambda s: coding.coder_agreement(s.tables.labels))
