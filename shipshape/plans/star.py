@@ -263,7 +263,6 @@ class Star:
 def build_star(spark: SparkSession, src: str) -> Star:
     t = Tables(spark, src)
     raw = binding.raw_tables(t)
-    raw["order_reviews_keyed"] = binding.raw_order_reviews_keyed(t)
     geo = binding.geography(t)
     so = stg_orders(raw["orders"], raw["customers"])
     sr = stg_reviews(raw["order_reviews_keyed"], so, binding.comment_flags(t, has_text))

@@ -8,6 +8,8 @@ their constants in :mod:`shipshape.config`.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape import config as C
@@ -198,10 +200,33 @@ def raw_geolocation(t: Tables) -> DataFrame:
                            F.col("n_name").alias("geolocation_state"))
 
 
-def raw_tables(t: Tables) -> dict[str, DataFrame]:
-    return {
-        "orders": raw_orders(t), "order_items": raw_order_items(t), "order_payments": raw_order_payments(t),
-        "order_reviews": raw_order_reviews(t), "customers": raw_customers(t), "sellers": raw_sellers(t),
-        "products": raw_products(t), "category_translation": raw_category_translation(t),
-        "geolocation": raw_geolocation(t),
-    }
+RAW_BUILDERS = {
+    "orders": raw_orders, "order_items": raw_order_items, "order_payments": raw_order_payments,
+    "order_reviews": raw_order_reviews, "customers": raw_customers, "sellers": raw_sellers,
+    "products": raw_products, "category_translation": raw_category_translation, "geolocation": raw_geolocation,
+    "order_reviews_keyed": raw_order_reviews_keyed,
+}
+
+
+class RawLayer(Mapping):
+    """The raw tables as a read-only mapping whose plans are built on first access (a query that
+    needs two raw tables does not pay for analysing all ten)."""
+
+    def __init__(self, t: Tables):
+        self._t = t
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = RAW_BUILDERS[name](self._t)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(RAW_BUILDERS)
+
+    def __len__(self) -> int:
+        return len(RAW_BUILDERS)
+
+
+def raw_tables(t: Tables) -> RawLayer:
+    return RawLayer(t)

@@ -14,9 +14,32 @@ def table_path(src: str, name: str) -> str:
     return os.path.join(src, f"{name}.parquet")
 
 
+# --- fixed values: schemas of the input tables (as documented in FIXTURES.md §2) ------------------
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def read_table(spark: SparkSession, src: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(table_path(src, name))
+    """Parquet scan with the declared schema (no inference job reading footers); Catalyst prunes
+    columns and pushes filters into the scan. Tables without a declared schema are inferred."""
+    reader = spark.read
+    if name in SCHEMAS:
+        reader = reader.schema(SCHEMAS[name])
+    return reader.parquet(table_path(src, name))
 
 
 class Tables:
