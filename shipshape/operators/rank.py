@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 _PID = "_rk_pid"
@@ -41,7 +42,11 @@ def _one_partitioning(local: DataFrame) -> DataFrame:
 
 
 def _local_numbering(group_cols: Sequence[str]):
-    """Per partition (sorted by group, order): 1-based row number inside each group run."""
+    """Per partition (sorted by group, order): 1-based row number inside each group run.
+
+    Group changes are found with typed Arrow comparisons of each row with its predecessor (two
+    NULLs count as the same group); a run continuing across batches keeps counting.
+    """
 
     def number(batches):
         prev_key = None
@@ -51,25 +56,17 @@ def _local_numbering(group_cols: Sequence[str]):
             if n == 0:
                 yield batch.append_column(_LRN, pa.array([], pa.int64()))
                 continue
-            if group_cols:
-                cols = [batch.column(c).to_pandas() for c in group_cols]
-                change = np.zeros(n, dtype=bool)
-                for s in cols:
-                    cur = s.to_numpy(dtype=object)
-                    nulls = s.isna().to_numpy()
-                    diff = np.empty(n, dtype=bool)
-                    if n > 1:
-                        same = (cur[1:] == cur[:-1]) | (nulls[1:] & nulls[:-1])
-                        diff[1:] = ~same
-                    diff[0] = False
-                    change |= diff
-                first_key = tuple(None if s.isna().iloc[0] else s.iloc[0] for s in cols)
-                last_key = tuple(None if s.isna().iloc[-1] else s.iloc[-1] for s in cols)
-                starts_new = prev_key is None or first_key != prev_key
-            else:
-                change = np.zeros(n, dtype=bool)
-                first_key = last_key = ()
-                starts_new = prev_key is None
+            change = np.zeros(n, dtype=bool)
+            for c in group_cols:
+                a = batch.column(c)
+                if n > 1:
+                    cur, prev = a.slice(1), a.slice(0, n - 1)
+                    same = pc.or_(pc.fill_null(pc.equal(cur, prev), False),
+                                  pc.and_(pc.is_null(cur), pc.is_null(prev)))
+                    change[1:] |= ~same.to_numpy(zero_copy_only=False)
+            first_key = tuple(batch.column(c)[0].as_py() for c in group_cols)
+            last_key = tuple(batch.column(c)[n - 1].as_py() for c in group_cols)
+            starts_new = prev_key is None or first_key != prev_key
             change[0] = starts_new
             gid = np.cumsum(change)                      # run id inside the batch
             idx = np.arange(n)
