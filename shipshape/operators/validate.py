@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import count_if
 from shipshape.plans.star import Star, in_period
 
 f = F.col
