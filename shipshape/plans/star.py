@@ -286,12 +286,22 @@ def numbered_facts(star: "Star") -> DataFrame:
     return star.model["fact_orders_numbered"]
 
 
+def order_numbers(orders: DataFrame) -> DataFrame:
+    """order_id -> position in the person's history (by purchase time, then id), numbered on the
+    narrow (order, person, time) projection only (skew-safe, see :mod:`shipshape.operators.rank`)."""
+    narrow = orders.select("order_id", "customer_unique_id", "order_purchase_timestamp")
+    numbered = sequence_in_group(narrow, ["customer_unique_id"], ["order_purchase_timestamp", "order_id"],
+                                 "customer_order_number")
+    return numbered.select("order_id", "customer_order_number")
+
+
+def attach_numbers(facts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """fact_orders with ``customer_order_number`` (one key join on order_id)."""
+    return facts.drop("customer_order_number").join(numbers, "order_id", "inner").select(*FACT_ORDER_COLUMNS)
+
+
 def _number(star: "Star") -> DataFrame:
-    so = star.stg["orders"].select("order_id", "order_purchase_timestamp")
-    fo = star.model["fact_orders"].drop("customer_order_number").join(so, "order_id", "inner")
-    fo = sequence_in_group(fo, ["customer_unique_id"], ["order_purchase_timestamp", "order_id"],
-                           "customer_order_number")
-    return fo.select(*FACT_ORDER_COLUMNS)
+    return attach_numbers(star.model["fact_orders"], order_numbers(star.stg["orders"]))
 
 
 def review_frame(star: "Star") -> DataFrame:
@@ -355,23 +365,24 @@ def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_ord
     stg.update(_persist_level({n: (stg[n], f"stg_{n}") for n in names if n in stg}, folder))
     si, so, sr = stg["order_items"], stg["orders"], stg["reviews"]
     ia = item_agg(si, so)
-    # written once with the per-person order number, so no later query has to number it again
-    fo = fact_orders(so, ia, sr, numbered="fact_orders" in names)
+    fo = fact_orders(so, ia, sr, numbered=False)
     dc = dim_customer(so)
-    level = {k: v for k, v in {"fact_orders": (fo, "fact_orders"), "dim_customer": (dc, "dim_customer")}.items()
-             if k in names}
+    level = {k: v for k, v in {"fact_orders": (fo, "fact_orders"), "dim_customer": (dc, "dim_customer"),
+                               "_numbers": (order_numbers(so), "order_numbers")}.items()
+             if k in names or (k == "_numbers" and "fact_orders" in names)}
     done = _persist_level(level, folder)
     fo, dc = done.get("fact_orders", fo), done.get("dim_customer", dc)
-    if "fact_orders" in done:
-        model["fact_orders_numbered"] = fo
     fi = fact_order_items(si, fo, so)
     model.update({"item_agg": ia, "fact_orders": fo, "fact_order_items": fi, "dim_customer": dc})
     model.pop("_frame", None)
+    model.pop("fact_orders_numbered", None)
     out = Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model)
     level = {}
     if "fact_order_items" in names:
         level["fact_order_items"] = (fi, "fact_order_items")
     if "frame" in names:   # the review sampling frame, reused by every sampling and coding query
         level["_frame"] = (review_frame(out), "review_frame")
+    if "_numbers" in done:  # the facts with the per-person order number, written once
+        level["fact_orders_numbered"] = (attach_numbers(fo, done["_numbers"]), "fact_orders_numbered")
     out.model.update(_persist_level(level, folder))
     return out
