@@ -87,6 +87,12 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
 
     ``order_cols`` must be a total order inside each group (add a unique tie-break).
     """
+    return _sequence(df, group_cols, order_cols, out_col, partitions)[0]
+
+
+def _sequence(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], out_col: str,
+              partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows and the per-partition summary (pid, last group, its row count there)."""
     g = list(group_cols)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = _num_partitions(df, partitions)
@@ -115,7 +121,7 @@ def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
         cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     out = (local.join(F.broadcast(offsets), cond, "left")
            .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
-    return out.drop(_PID, _LRN, "_o_pid", "_carry", *[f"_o_{c}" for c in g])
+    return out.drop(_PID, _LRN, "_o_pid", "_carry", *[f"_o_{c}" for c in g]), summary
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], out_col: str = "rn",
@@ -127,8 +133,10 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], out_col
 def ntile(df: DataFrame, buckets: int, order_cols: Sequence[Column | str], out_col: str = "ntile",
           partitions: int | None = None) -> DataFrame:
     """Exact ``ntile(buckets) over (order by order_cols)`` (first N mod b buckets get one more row)."""
-    numbered = global_row_number(df, order_cols, "_nt_rn", partitions)
-    total = df.agg(F.count(F.lit(1))).scalar()          # scalar subquery, evaluated once
+    numbered, summary = _sequence(df, [], order_cols, "_nt_rn", partitions)
+    # the row total from the per-partition counts the numbering already has (one row per partition),
+    # not from a second evaluation of the input; the sum does not depend on the partition bounds
+    total = summary.agg(F.sum("_cnt")).scalar()
     x = numbered.withColumn("_nt_n", total)
     q = F.floor(F.col("_nt_n") / buckets)
     rem = F.col("_nt_n") % buckets

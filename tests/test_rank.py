@@ -89,3 +89,10 @@ def test_numbering_without_exchange_reuse_falls_back_to_checkpoint(spark):
         assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_ntile_matches_window_on_large_input(spark):
+    df = spark.range(0, 100003).select(((F.col("id") * 104729) % 99991).alias("o"), F.col("id"))
+    got = ntile(df, 10, [F.col("o").desc(), F.col("id")], "d", partitions=16)
+    want = df.withColumn("d", F.ntile(10).over(Window.orderBy(F.col("o").desc(), "id")).cast("bigint"))
+    assert got.select("id", "d").exceptAll(want.select("id", "d")).count() == 0
