@@ -36,13 +36,20 @@ def _is_text(dt) -> bool:
     return isinstance(dt, T.StringType)
 
 
-def column_profile(df: DataFrame, table: str, keys) -> DataFrame:
-    """Q2: per column type, nulls, null share, distinct, first example (in key order), min, max."""
+def column_profile(df: DataFrame, table: str, keys, exact: bool = True, rsd: float = 0.01) -> DataFrame:
+    """Q2: per column type, nulls, null share, distinct, first example (in key order), min, max.
+
+    One aggregation pass per table. Exact distinct counts (the default, as the reference reports
+    them) make Spark expand each row once per column before the partial aggregation; with
+    ``exact=False`` they are HyperLogLog++ estimates (relative error ``rsd``): mergeable sketches,
+    no expansion, for profiling very large raw tables.
+    """
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, fld in enumerate(df.schema.fields):
         c = f(fld.name)
         order = F.struct(*[f(k) for k in keys], c.cast("string"))
-        aggs += [F.count_if(c.isNull()).cast("bigint").alias(f"n{i}"), F.count_distinct(c).cast("bigint").alias(f"d{i}"),
+        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)
+        aggs += [F.count_if(c.isNull()).cast("bigint").alias(f"n{i}"), distinct.cast("bigint").alias(f"d{i}"),
                  F.min_by(c.cast("string"), F.when(c.isNotNull(), order)).alias(f"e{i}")]
         if _is_text(fld.dataType):
             aggs += [F.lit(None).cast("string").alias(f"lo{i}"), F.lit(None).cast("string").alias(f"hi{i}")]
@@ -58,8 +65,8 @@ def column_profile(df: DataFrame, table: str, keys) -> DataFrame:
                     "max_value")
 
 
-def column_profiles(star: Star, tables=PROFILED) -> DataFrame:
-    return _union([column_profile(star.raw[t], t, C.RAW_KEYS[t]) for t in tables])
+def column_profiles(star: Star, tables=PROFILED, exact: bool = True) -> DataFrame:
+    return _union([column_profile(star.raw[t], t, C.RAW_KEYS[t], exact) for t in tables])
 
 
 def key_candidates(star: Star, candidates=C.KEY_CANDIDATES) -> DataFrame:

@@ -34,3 +34,14 @@ def test_period_filter_and_columns_reach_the_scan(star):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
     li = [line for line in _plan(catalog.QUERIES["kpi_orders"](star)).splitlines() if "lineitem.parquet" in line]
     assert li and all("l_comment" not in line and "l_quantity" not in line for line in li)
+
+
+def test_profile_with_sketches_has_no_expand(star):
+    from shipshape.operators import profile
+    assert "Expand" in _plan(profile.column_profile(star.raw["orders"], "orders", ("order_id",)))
+    approx = profile.column_profile(star.raw["orders"], "orders", ("order_id",), exact=False)
+    assert "Expand" not in _plan(approx)
+    exact = {r.column_name: r.distinct_values for r in
+             profile.column_profile(star.raw["orders"], "orders", ("order_id",)).collect()}
+    est = {r.column_name: r.distinct_values for r in approx.collect()}
+    assert all(abs(est[k] - v) <= max(2, 0.05 * v) for k, v in exact.items())
