@@ -23,7 +23,7 @@ def base_totals(fact: DataFrame) -> DataFrame:
 
 def state_inputs(fact: DataFrame, geo: DataFrame) -> DataFrame:
     """Per-state inputs with the excess of late orders over the national rate."""
-    nat = base_totals(fact).select("national_late_rate").scalar()
+    nat = one_row(base_totals(fact))["national_late_rate"]   # same subquery as the scenario's other base reads
     g = geo.select(f("state_code").alias("customer_state"), "state_name")
     late, on = f("delivery_outcome") == "Late", f("delivery_outcome") == "On time"
     x = fact.join(F.broadcast(g), "customer_state", "inner")
