@@ -32,3 +32,17 @@ def test_sample_disjoint_from_pilot_and_sized(star, spark):
     sample, pilot = _drawn(star)
     assert sample.count() == 60
     assert sample.join(pilot, "review_id").count() == 0
+
+
+def test_results_do_not_depend_on_the_session_time_zone(star, spark):
+    from shipshape import catalog
+    names = ("stg_orders", "dim_date", "survey_timing", "stg_reviews_latest")
+    def snap():
+        return {n: sorted(map(tuple, catalog.round_doubles(catalog.QUERIES[n](star)).collect()), key=str) for n in names}
+    utc = snap()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        assert snap() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
