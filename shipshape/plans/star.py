@@ -242,6 +242,27 @@ def fact_order_items(items: DataFrame, facts: DataFrame, orders: DataFrame) -> D
         "is_on_time", "delay_days", "has_review", "review_score", "is_low_score")
 
 
+class LazyLayer(dict):
+    """A layer of named DataFrames whose plans are built on first access (``builders``: name ->
+    function of the layer). Assigned entries take precedence; ``copy`` keeps the builders."""
+
+    def __init__(self, builders: dict, built: dict | None = None):
+        super().__init__(built or {})
+        self._builders = builders
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in self._builders:
+            raise KeyError(name)
+        self[name] = self._builders[name](self)
+        return dict.__getitem__(self, name)
+
+    def __contains__(self, name) -> bool:
+        return dict.__contains__(self, name) or name in self._builders
+
+    def copy(self) -> "LazyLayer":
+        return LazyLayer(self._builders, dict(self))
+
+
 @dataclass
 class Star:
     """All layers of one source folder, as lazy DataFrames (built once per session and folder)."""
@@ -267,14 +288,14 @@ def build_star(spark: SparkSession, src: str) -> Star:
     so = stg_orders(raw["orders"], raw["customers"])
     sr = stg_reviews(raw["order_reviews_keyed"], so, binding.comment_flags(t, has_text))
     si = stg_order_items(raw["order_items"], so, raw["sellers"])
-    ia = item_agg(si, so)
-    fo = fact_orders(so, ia, sr, numbered=False)
-    fi = fact_order_items(si, fo, so)
-    model = {
-        "dim_geography": dim_geography(geo), "dim_date": dim_date(spark), "dim_product":
-        dim_product(raw["products"], raw["category_translation"]), "dim_seller": dim_seller(raw["sellers"], geo),
-        "dim_customer": dim_customer(so), "item_agg": ia, "fact_orders": fo, "fact_order_items": fi,
-    }
+    model = LazyLayer({
+        "dim_geography": lambda m: dim_geography(geo), "dim_date": lambda m: dim_date(spark),
+        "dim_product": lambda m: dim_product(raw["products"], raw["category_translation"]),
+        "dim_seller": lambda m: dim_seller(raw["sellers"], geo), "dim_customer": lambda m: dim_customer(so),
+        "item_agg": lambda m: item_agg(si, so),
+        "fact_orders": lambda m: fact_orders(so, m["item_agg"], sr, numbered=False),
+        "fact_order_items": lambda m: fact_order_items(si, m["fact_orders"], so),
+    })
     return Star(spark, src, tables=t, raw=raw,
                 stg={"orders": so, "reviews": sr, "order_items": si, "geography": geo}, model=model)
 
@@ -361,7 +382,7 @@ def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_ord
 
     from shipshape.session import ensure_checkpoint_dir
     folder = f"{ensure_checkpoint_dir(star.spark).rstrip('/')}/star-{uuid.uuid4().hex}"
-    stg, model = dict(star.stg), dict(star.model)
+    stg, model = dict(star.stg), star.model.copy()
     stg.update(_persist_level({n: (stg[n], f"stg_{n}") for n in names if n in stg}, folder))
     si, so, sr = stg["order_items"], stg["orders"], stg["reviews"]
     ia = item_agg(si, so)
