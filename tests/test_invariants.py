@@ -46,3 +46,18 @@ def test_results_do_not_depend_on_the_session_time_zone(star, spark):
         assert snap() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_lazy_layer_builds_on_first_access_only():
+    import pytest
+
+    from shipshape.plans.star import LazyLayer
+    calls = []
+    layer = LazyLayer({"a": lambda m: calls.append("a") or 1, "b": lambda m: m["a"] + 1})
+    assert "a" in layer and "b" in layer and "c" not in layer and calls == []
+    assert layer["b"] == 2 and layer["a"] == 1 and calls == ["a"]      # each builder runs once
+    copy = layer.copy()
+    copy["a"] = 10
+    assert copy["a"] == 10 and layer["a"] == 1 and "b" in copy
+    with pytest.raises(KeyError):
+        layer["c"]
