@@ -93,6 +93,7 @@ FAMILY_4_OF = {
     "Poor quality or not as described": "Wrong, damaged or poor product",
     "Seller service and refunds": "Service or unclear", "Other or unclear": "Service or unclear",
 }
+SERVICE_CATEGORY = "Seller service and refunds"   # deck figure: share of coded reviews mentioning it
 SECONDARY_EVERY = 3                    # doc_id mod 3 = 0 -> secondary category = (primary + 3) mod 8
 SECONDARY_SHIFT = 3
 QUOTE_EVERY = 7                        # doc_id mod 7 = 0 -> marked as a quote candidate

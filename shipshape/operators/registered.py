@@ -208,6 +208,7 @@ query("coder_agreement_kappa")(lambda s: coding.coder_agreement(s.tables.labels)
 query("coder_disagreements")(lambda s: coding.coder_disagreements(s.tables.labels))
 query("quote_candidates")(lambda s: coding.quote_candidates(_coded(s)))
 query("mentioned_share")(lambda s: coding.mentioned_share(_frame(s), _coded(s)))
+query("service_mentioned_share")(lambda s: coding.mentioned_share(_frame(s), _coded(s), C.SERVICE_CATEGORY))
 
 
 # --- step 11: what-if ------------------------------------------------------------------------------
