@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shipshape.llm.balance import mix
 from shipshape.llm.common import table
+from shipshape.llm.decontaminate import leaks
 from shipshape.llm.jaccard_join import jaccard_components
+from shipshape.llm.quality import classify
+from shipshape.llm.tokens import token_digests
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that sources weigh 1, 2, 3, repeating."""
+    return mix(table(spark, sf_dir, "documents")).withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select(
+        F.col("id").alias("doc_id"), "size", F.col("class_size").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written and read back."""
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +41,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from ``labels.quality``."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_entropy_mix": op1_entropy_mix,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_token_files": op7_token_files,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
