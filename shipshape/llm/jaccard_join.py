@@ -9,6 +9,11 @@ frequent shingles last); the smallest document of each such shingle is a pivot,
 copied into the region of every pivot that it meets. Two documents within the radius meet in at
 least one region.
 
+Most documents can be settled before that. Over a fixed slice of the shingle universe (1.6 times the
+radius wide), shingles that occur in one distinct set only are counted per set; in an order with
+those first, a set that has enough of them has no shingle to share and links with nothing. Only the
+others list their shingles, once for each ring of set sizes (ratio 1.3) in which a partner may be.
+
 Regions that are too large for a task are split again by Voronoi cells: pivots drawn from the
 region, exact distances to them, each document in the cell of its nearest pivot and, as a boundary
 copy, in every cell that the triangle inequality leaves open (distance to that pivot at most the
@@ -34,6 +39,8 @@ FREQUENT = 0.001
 CHUNK = 2_000_000
 #: Voronoi levels before a region is cut into blocks; pivots of a region; member ids sent to every task.
 DEPTH, PIVOTS, SENT_IDS = 3, 32, 2_000_000
+#: Width of the slice in which lone shingles are counted, in radii; ratio of the size rings.
+SLICE, RING = 1.6, 1.3
 
 
 def _sketches(k: int):
@@ -63,15 +70,35 @@ def _sketches(k: int):
     return run
 
 
+def _slices(k: int, num: int, den: int):
+    """(shingle, set digest) of the universe's slice; a shingle of several sets of a batch comes once, with digest 0."""
+    top = np.uint64(min(1.0, SLICE * (1 - num / den)) * (2**64 - 2048))
+
+    def run(it):
+        for b in it:
+            vals, off = shingle_sets(b.column("text"), k)
+            digest = mix(sums(mix(vals), off)) | np.uint64(1)
+            keep = vals < top
+            own = np.repeat(digest, np.diff(off))[keep]
+            vals, first, inv = np.unique(vals[keep], return_index=True, return_inverse=True)
+            one = own[first]
+            one[inv[own != one[inv]]] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(vals.view("i8")), pa.array(one.view("i8"))], names=["shingle", "d"])
+    return run
+
+
+def _needed(n, num: int, den: int):
+    """Shingles of a set of ``n`` of which any partner within the radius shares one."""
+    return n - (num * n + den - 1) // den + 1
+
+
 def _prefixes(k: int, num: int, den: int, frequent):
     def run(it):
         last = frequent.value
         for b in it:
-            ok = np.asarray(b.column("id").is_valid())
-            b = b.filter(pa.array(ok))
             vals, off = shingle_sets(b.column("text"), k)
             n = np.diff(off)
-            take = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
+            take = np.where(n > 0, _needed(n, num, den), 0)
             hot = np.zeros(len(vals), bool)
             if len(last):
                 at = np.searchsorted(last, vals)
@@ -83,21 +110,36 @@ def _prefixes(k: int, num: int, den: int, frequent):
             rank_cold = cold[:-1] - cold[start]
             rank = np.where(hot, np.arange(len(vals)) - start - rank_cold + (cold[off[1:]] - cold[off[:-1]])[row], rank_cold)
             keep = rank < take[row]
+            vals, row = vals[keep], row[keep]
             ids = np.asarray(b.column("id"))
-            yield pa.RecordBatch.from_arrays([pa.array(vals[keep].view("i8")), pa.array(ids[row[keep]])], names=["shingle", "id"])
+            ring = lambda m: np.floor(np.log(np.maximum(m, 1)) / np.log(RING)).astype("i8")
+            low, high = ring(n), ring(den * n // num)
+            for more in range(int((high - low).max(initial=0)) + 1):
+                in_ring = (low + more <= high)[row]
+                key = mix(vals[in_ring] + (low + more + 1).astype(np.uint64)[row[in_ring]] * np.uint64(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(ids[row[in_ring]])], names=["shingle", "id"])
     return run
 
 
-def _sets(k: int, wanted):
+def _only(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``base`` with one of ``ids``: by a set sent to every task if it is small (checked), else by a join."""
+    if ids.count() > SENT_IDS:
+        return base.join(ids, "id", "left_semi")
+    wanted = base.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.toLocalIterator()], "i8")))
+
+    def run(it):
+        w = wanted.value
+        for b in it:
+            own = np.asarray(b.column("id").fill_null(-1 << 62))
+            hit = w[np.minimum(np.searchsorted(w, own), len(w) - 1)] == own if len(w) else np.zeros(len(own), bool)
+            if hit.any():
+                yield b.filter(pa.array(hit))
+    return base.mapInArrow(run, base.schema)
+
+
+def _sets(k: int):
     def run(it):
         for b in it:
-            if wanted is not None:
-                ids = np.asarray(b.column("id").fill_null(-1 << 62))
-                w = wanted.value
-                at = np.minimum(np.searchsorted(w, ids), max(len(w) - 1, 0))
-                b = b.filter(pa.array((w[at] == ids) if len(w) else np.zeros(len(ids), bool)))
-            if not b.num_rows:
-                continue
             vals, off = shingle_sets(b.column("text"), k)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(off)),
                                               pa.LargeListArray.from_arrays(pa.array(off), pa.array(vals.view("i8"))).cast(pa.list_(pa.int64()))],
@@ -257,30 +299,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     valid = own.where("id is not null and n > 0")
     first = valid.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    reps = written(valid.join(first, ["d1", "d2", "n"]).select("id", "rep"))
-
-    prefix = base.mapInArrow(_prefixes(words, num, den, shared), "shingle long, id long").repartition(partitions(spark), "shingle")
-    met = prefix.groupBy("shingle").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other").select("shingle", "pivot")
-    pairs = prefix.join(met.hint("shuffle_hash"), "shingle").select("pivot", "id").where("pivot < id").distinct()
-    left = reps.select(F.col("id").alias("pivot"), F.col("rep").alias("p"))
-    pairs = written(pairs.join(left, "pivot").join(reps, "id").where("p <> rep").select("p", F.col("rep").alias("x")).distinct())
-    pairs = pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
+    reps = written(valid.join(first, ["d1", "d2", "n"]).select("id", "rep", "d1", "n"))
+
+    sliced = base.mapInArrow(_slices(words, num, den), "shingle long, d long").repartition(partitions(spark), "shingle")
+    lone = sliced.groupBy("shingle").agg(F.min("d").alias("d"), F.max("d").alias("d_max")).where("d = d_max and d <> 0")
+    lone = lone.groupBy("d").agg(F.count("*").alias("lone"))
+    needed = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    open_ = written(reps.where("id = rep").join(lone, F.col("d1").bitwiseOR(F.lit(1)) == F.col("d"), "left")
+                    .where(F.coalesce("lone", F.lit(0)) < needed).select("id"))
+
+    prefix = _only(base, open_).mapInArrow(_prefixes(words, num, den, shared), "shingle long, id long").repartition(partitions(spark), "shingle")
+    met = prefix.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("other")).where("p < other").select("shingle", "p")
+    pairs = written(prefix.join(met.hint("shuffle_hash"), "shingle").where("p < id").select("p", F.col("id").alias("x")).distinct())
     members = pairs.select(F.col("p").cast("string").alias("region"), F.col("x").alias("id")).union(
         pairs.select(F.col("p").cast("string"), F.col("p")).distinct())
-
-    wanted = written(members.select("id").distinct())
-    few = wanted.count() <= SENT_IDS  # checked size; beyond it a join does the same
-    if few:
-        ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], "i8")))
-        sets = base.mapInArrow(_sets(words, ids), "id long, n long, shingles array<long>")
-    else:
-        sets = base.join(wanted, "id", "left_semi").mapInArrow(_sets(words, None), "id long, n long, shingles array<long>")
-    sets = written(sets)
+    sets = written(_only(base, written(members.select("id").distinct())).mapInArrow(_sets(words), "id long, n long, shingles array<long>"))
     regions = _split(members, sets, num, den).distinct()
     edges = (regions.join(sets.select("id", "shingles"), "id").repartition(partitions(spark), "region").sortWithinPartitions("region", "id")
              .mapInArrow(_join_regions(num, den), "a long, b long"))
     roots = components(edges, "a", "b")
-    comp = reps.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
+    comp = reps.select("id", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
     return (rows.join(comp, "id", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "id").alias("component_id")))
