@@ -228,47 +228,96 @@ def _cells(pivots, num: int, den: int):
                 at = np.minimum(np.searchsorted(own, vals), max(len(own) - 1, 0))
                 both = np.bincount(which[own[at] == vals] if len(own) else which[:0], minlength=len(sizes))
                 d = 1 - both / (len(own) + sizes - both)
-                out += [(f"{key}.{j}", ids[i]) for j in np.flatnonzero(d <= d.min() + radius2)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["region", "id"])
+                out += [(key, int(j), ids[i]) for j in np.flatnonzero(d <= d.min() + radius2)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64())],
+                                             names=["region", "cell", "id"])
     return run
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Large regions (region, id, parts) as pairs of blocks: each document in as many pairs as there are blocks."""
+    half = F.col("parts") * 2
+    cut = members.select("region", "id", half.alias("half"), F.pmod(F.xxhash64("id"), half).alias("block"))
+    cut = cut.select("region", "id", "block", F.explode(F.sequence(F.lit(0), F.col("half").cast("int") - 1)).cast("long").alias("other"))
+    return cut.select(F.concat_ws(":", "region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "id")
+
+
 def _split(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(region, id) in which every region is small enough for one task."""
-    spark, small = members.sparkSession, []
+    spark, done = members.sparkSession, []
     for depth in range(DEPTH + 1):
         members = written(members.join(sets.select("id", "n"), "id"))
         size = members.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
         size = size.withColumn("parts", F.ceil(F.greatest(F.col("docs") / REGION_DOCS, F.col("total") / REGION_SHINGLES)))
-        large = written(size.where("parts > 1").select("region", "parts"))
-        small.append(members.join(large, "region", "left_anti").select("region", "id"))
+        large = written(size.where("parts > 1").select("region", "parts", "docs"))
         if large.isEmpty():
+            done.append(members.select("region", "id"))
             break
+        done.append(members.join(large, "region", "left_anti").select("region", "id"))
         members = members.join(large, "region")
-        if depth == DEPTH:  # pairs of blocks
-            half = F.col("parts") * 2
-            block = F.pmod(F.xxhash64("id"), half)
-            small.append(members.select("region", "id", half.alias("half"), block.alias("block"))
-                         .select("region", "id", "block", F.explode(F.sequence(F.lit(0), F.col("half").cast("int") - 1)).alias("other"))
-                         .select(F.concat_ws(":", "region", F.least("block", F.col("other").cast("long")), F.greatest("block", F.col("other").cast("long"))).alias("region"), "id"))
+        if depth == DEPTH:
+            done.append(_blocks(members))
             break
         drawn = (members.withColumn("draw", F.xxhash64("id", F.lit(depth)))
                  .groupBy("region", "parts", F.pmod("draw", F.lit(PIVOTS)).alias("slot")).agg(F.min_by("id", "draw").alias("id"))
                  .where("slot < parts * 4").join(sets, "id").select("region", "shingles"))
-        pivots: dict[str, tuple] = {}
         held: dict[str, list] = {}
         for r in drawn.toLocalIterator():  # at most PIVOTS sets for each region beyond a task's size
             held.setdefault(r["region"], []).append(np.array(r["shingles"], "i8").view(np.uint64))
-        for key, lists in held.items():
-            pivots[key] = (np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([len(x) for x in lists]))
+        pivots = {key: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x]), np.array([len(y) for y in x])) for key, x in held.items()}
         shared = spark.sparkContext.broadcast(pivots)
-        members = members.select("region", "id").join(sets, "id").select("region", "id", "shingles").mapInArrow(_cells(shared, num, den), "region string, id long")
-    out = small[0]
-    for x in small[1:]:
-        out = out.union(x)
+        cells = written(members.select("region", "id").join(sets, "id").select("region", "id", "shingles")
+                        .mapInArrow(_cells(shared, num, den), "region string, cell int, id long"))
+        # cells that copy most documents separate nothing: such a region goes to pairs of blocks
+        copied = cells.groupBy("region").agg(F.count("*").alias("copies")).join(large, "region").where("copies > 2 * docs").select("region")
+        done.append(_blocks(members.join(copied, "region", "left_semi")))
+        members = cells.join(copied, "region", "left_anti").select(F.concat_ws(".", "region", "cell").alias("region"), "id")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
     return out
 
 
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of all regions of ``members`` (region, id)."""
+    regions = _split(members, sets, num, den)
+    return written(regions.join(sets.select("id", "shingles"), "id").repartition(partitions(sets.sparkSession), "region").sortWithinPartitions("region", "id")
+                   .mapInArrow(_join_regions(num, den), "a long, b long"))
+
+
+def _slice_rows(num: int, den: int):
+    top = np.uint64(min(1.0, 2 * SLICE * (1 - num / den)) * (2**64 - 2048))
+
+    def run(it):
+        for b in it:
+            lists = b.column("shingles")
+            off, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            flat, n = flat[off[0]:off[-1]], np.diff(off).astype("i8")
+            keep = flat < top
+            ids, needed = np.repeat(np.asarray(b.column("id")), n), np.repeat(_needed(n, num, den), n)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view("i8")), pa.array(ids[keep]), pa.array(needed[keep].astype("i8"))], names=["shingle", "id", "needed"])
+    return run
+
+
+def _unsettled(sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Ids that may link outside their component (``label``: id, root).
+
+    In an order with those shingles of a slice first that occur in one component only, a set that
+    has enough of them meets a partner within its component only.
+    """
+    spark = sets.sparkSession
+    rows = sets.select("id", "shingles").mapInArrow(_slice_rows(num, den), "shingle long, id long, needed long")
+    rows = rows.join(label, "id", "left").select("shingle", "id", "needed", F.coalesce("root", "id").alias("root")).repartition(partitions(spark), "shingle")
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("r_max")).where("r <> r_max").select("shingle")
+    enough = rows.join(shared.hint("shuffle_hash"), "shingle", "left_anti").groupBy("id", "needed").agg(F.count("*").alias("lone")).where("lone >= needed").select("id")
+    return sets.select("id").join(enough, "id", "left_anti")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    """(region, id) of pairs (p, x): the region of every pivot p holds p and its x."""
+    return pairs.select(F.col("p").cast("string").alias("region"), F.col("x").alias("id")).union(pairs.select(F.col("p").cast("string"), "p").distinct())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                        num: int = 80, den: int = 100) -> DataFrame:
     """Link documents of which ``den * |A and B| >= num * |A or B|`` over distinct ``words``-word shingles.
@@ -310,13 +359,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     prefix = _only(base, open_).mapInArrow(_prefixes(words, num, den, shared), "shingle long, id long").repartition(partitions(spark), "shingle")
     met = prefix.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("other")).where("p < other").select("shingle", "p")
-    pairs = written(prefix.join(met.hint("shuffle_hash"), "shingle").where("p < id").select("p", F.col("id").alias("x")).distinct())
-    members = pairs.select(F.col("p").cast("string").alias("region"), F.col("x").alias("id")).union(
-        pairs.select(F.col("p").cast("string"), F.col("p")).distinct())
-    sets = written(_only(base, written(members.select("id").distinct())).mapInArrow(_sets(words), "id long, n long, shingles array<long>"))
-    regions = _split(members, sets, num, den).distinct()
-    edges = (regions.join(sets.select("id", "shingles"), "id").repartition(partitions(spark), "region").sortWithinPartitions("region", "id")
-             .mapInArrow(_join_regions(num, den), "a long, b long"))
+    pairs = written(prefix.join(met.hint("shuffle_hash"), "shingle").where("p < id").groupBy("p", F.col("id").alias("x")).agg(F.count("*").alias("met")))
+    sets = written(_only(base, written(pairs.select("x").union(pairs.select("p")).distinct().toDF("id"))).mapInArrow(_sets(words), "id long, n long, shingles array<long>"))
+
+    # first each document with its nearest pivot only, then the regions of what may still link elsewhere
+    nearest = pairs.groupBy("x").agg(F.max_by("p", F.struct("met", -F.col("p"))).alias("p"))
+    edges = _links(_members(nearest), sets, num, den)
+    label = components(edges, "a", "b")
+    left = written(_unsettled(sets, label, num, den))
+    pairs = pairs.join(left.toDF("x"), "x")
+    rest = pairs.select(F.col("p").cast("string").alias("region"), F.col("x").alias("id")).union(
+        pairs.select("p").distinct().join(left.toDF("p"), "p").select(F.col("p").cast("string"), "p"))
+    edges = edges.union(_links(rest, sets, num, den))
     roots = components(edges, "a", "b")
     comp = reps.select("id", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
     return (rows.join(comp, "id", "left")
