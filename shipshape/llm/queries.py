@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shipshape.llm import urls
+from shipshape.llm.ann import neighbours
 from shipshape.llm.balance import mix
-from shipshape.llm.common import table
+from shipshape.llm.chat import read_back, windows
+from shipshape.llm.common import table, written
 from shipshape.llm.decontaminate import leaks
 from shipshape.llm.jaccard_join import jaccard_components
+from shipshape.llm.lines import removed
 from shipshape.llm.quality import classify
+from shipshape.llm.secrets import scan
 from shipshape.llm.tokens import token_digests
 
 
@@ -26,16 +31,44 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", F.col("class_size").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, models trained from the corpus's own labelled samples."""
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts spell control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    hard = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(written(windows(turns.union(hard)))).withColumnRenamed("conv", "conv_id")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it holds."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of all documents: what is removed from each, with original offsets."""
+    return removed(table(spark, sf_dir, "documents"))
+
+
+def op6_hashing_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest rows of each row whose id is divisible by 100."""
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written and read back."""
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose distinct 3-word shingles overlap by 90 of 100."""
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
@@ -46,12 +79,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_entropy_mix": op1_entropy_mix,
-    "op4_decontaminate": op4_decontaminate,
-    "op7_token_files": op7_token_files,
-    "op9_jaccard_join": op9_jaccard_join,
-    "op10_quality": op10_quality,
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_entropy_mix, op2_secrets, op3_chat_windows, op4_decontaminate, op5_line_dedup, op6_hashing_ann, op7_token_files, op8_url_filter, op9_jaccard_join, op10_quality)}
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filter": rf"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, h, p) AS (VALUES {_RULES}),
+judged AS (
+    SELECT t.page_id, t.host, t.path,
+           (SELECT max_by(struct_pack(rule := h || p, verdict := r.verdict), length(h || p)) FROM rules r
+            WHERE (t.host = h OR ends_with(t.host, '.' || h)) AND starts_with(t.path, p)) AS best
+    FROM parts t)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN regexp_matches(host || path, '^[^/]*/.*login') OR regexp_matches(host || path, '^[^/]*/.*wp-admin/') OR regexp_matches(host || path, '^[^/]*/.*\.exe$')
+                 OR regexp_matches(host || path, '^ads\.[^/]*/') OR regexp_matches(host || path, '^[^/]*\.ads\.[^/]*/')
+                THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged""",
 }
-
-ORACLE_SQL: dict[str, str] = {}
