@@ -70,26 +70,27 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     bench = written(items.select(F.col(item_col).alias("item"), normal_words(F.col(item_text_col)).alias("w")).where("size(w) > 0").distinct())
     sizes = [words] + sorted(r[0] for r in bench.where(F.size("w") < words).select(F.size("w")).distinct().collect())  # at most ``words`` values
-    hits = []
+    text = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w"))
+    few = (bench.agg(F.sum(F.size("w"))).first()[0] or 0) <= SENT_SHINGLES
+    hits = None
     for k in sizes:
         some = bench.where(F.size("w") >= k if k == words else F.size("w") == k)
-        held = some.select("item", F.size("w").alias("n_words"), word_shingles(F.col("w"), k).alias("item_shingles"))
-        seeds = held.select("item", "n_words", "item_shingles", F.posexplode("item_shingles").alias("j", "h"))
-        if bench.agg(F.sum(F.size("w"))).first()[0] and bench.agg(F.sum(F.size("w"))).first()[0] <= SENT_SHINGLES:
-            seeds = F.broadcast(seeds)
-        text = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w")).select("id", word_shingles(F.col("w"), k).alias("sh"))
-        met = text.select("id", "sh", F.posexplode("sh").alias("i", "h")).join(seeds, "h")
-        start = F.col("i") - F.col("j")
-        # of all shingles that a window shares with the item in place, only the first lays it
-        first = F.array_position(F.transform(F.sequence(F.lit(0), F.col("j")), lambda p: F.coalesce(F.get("sh", start + p) == F.get("item_shingles", p), F.lit(False))), True) == F.col("j") + 1
-        begin = F.greatest(start, F.lit(0))
-        window = F.slice("sh", begin + 1, F.size("item_shingles") + F.least(start, F.lit(0)))
-        hits.append(met.where(first).select("id", begin.alias("start"), "n_words", F.lit(k).alias("k"), window.alias("window")))
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.union(more)
-    found = found.withColumn("own", F.xxhash64("window")).dropDuplicates(["id", "start", "n_words", "k", "own"])
-    found = written(written(found).withColumn("fingerprint", simhash(F.col("window"))))
+        seeds = some.select(F.size("w").alias("n_words"), F.posexplode(word_shingles(F.col("w"), k)).alias("j", "h")).distinct()
+        met = text.select("id", F.posexplode(word_shingles(F.col("w"), k)).alias("i", "h")).join(F.broadcast(seeds) if few else seeds, "h")
+        laid = met.select("id", (F.col("i") - F.col("j")).alias("at"), "n_words", F.lit(k).alias("k")).distinct()
+        hits = laid if hits is None else hits.union(laid)
+    hits = written(hits)
+    places = hits.select(F.col("id").alias("hit"), "at", "n_words", "k")
+    places = F.broadcast(places) if hits.count() <= SENT_SHINGLES else places
+    begin = F.greatest("at", F.lit(0))
+    held = text.join(places, F.col("id").eqNullSafe(F.col("hit"))).select(
+        "id", begin.alias("start"), "n_words", "k", F.slice("w", begin + 1, F.col("n_words") + F.least("at", F.lit(0))).alias("words"))
+    held = written(held)  # windows at the ends of a text are shorter
+    shingled = F.lit(None).cast("array<bigint>")
+    for k in sizes:
+        shingled = F.when(F.col("k") == k, word_shingles(F.col("words"), k)).otherwise(shingled)
+    found = written(held.select("id", "start", "n_words", "k", shingled.alias("window")).withColumn("own", F.xxhash64("window")))
+    found = written(found.withColumn("fingerprint", simhash(F.col("window"))))
 
     items_ = bench.select("item", "w", F.size("w").alias("n_words"), F.least(F.size("w"), F.lit(words)).alias("k"))
     marked = F.lit(None).cast("array<bigint>")
