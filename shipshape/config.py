@@ -73,7 +73,9 @@ SAMPLE_SIZE = 60
 PILOT_PER_GROUP = 5
 RECODE_SIZE = 10
 DELIVERY_GROUPS = ("On time, single item", "On time, several items", "Late", "Not delivered")
-PHONE_PATTERN = r"(?:\d[\t\n\f\r .-]?){9,}"   # runs of 9+ digits with optional separators
+# white space as Python's str.strip and \s see it, for a regex character class
+WHITE_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PHONE_PATTERN = rf"(?:\p{{Nd}}[{WHITE_SPACE}.\-]?){{9,}}"   # runs of 9+ digits of any script, optional separators
 PHONE_MASK = "[number removed] "
 
 # --- fixed values: coding codebook (8 categories, in codebook order) ---------------------------------

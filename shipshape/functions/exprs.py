@@ -116,19 +116,14 @@ def has_text(c: Column) -> Column:
     return F.coalesce(c.rlike(r"[^\p{Zs}]"), F.lit(False))
 
 
-# --- fixed value: digit runs of nine or more, optionally separated by a space, dot or dash ---------
-PHONE_PATTERN = r"\d(?:[ .\-]?\d){8,}"
-PHONE_MASK = "[number removed]"
-
-
-def mask_digits(c: Column, pattern: str = PHONE_PATTERN, mask: str = PHONE_MASK) -> Column:
-    """Replace phone-like digit runs in free text."""
-    return F.regexp_replace(c, pattern, mask)
+def strip_white_space(c: Column) -> Column:
+    """Remove white space of every script (line breaks and no-break spaces too) from both ends."""
+    return F.regexp_replace(c, rf"\A[{C.WHITE_SPACE}]+|[{C.WHITE_SPACE}]+\z", "")
 
 
 def squash_spaces(c: Column) -> Column:
-    """Collapse whitespace runs to one space and trim."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Collapse runs of white space of every script to one space and trim."""
+    return F.trim(F.regexp_replace(c, rf"[{C.WHITE_SPACE}]+", " "))
 
 
 def one_row(df: DataFrame) -> Column:

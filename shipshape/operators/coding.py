@@ -162,7 +162,7 @@ def tags(coded: DataFrame) -> DataFrame:
     """``tag: x`` parts of the ';'-separated notes."""
     x = coded.select("delivery_group", F.explode(F.split(F.coalesce(f("notes"), F.lit("")), ";")).alias("_p"))
     x = x.select("delivery_group", F.trim(f("_p")).alias("_p"))
-    return x.filter(f("_p").startswith("tag: ")).select("delivery_group", F.substring(f("_p"), 6, 1 << 30).alias("tag"))
+    return x.filter(f("_p").startswith("tag: ")).select("delivery_group", F.expr("substring(_p, 6)").alias("tag"))
 
 
 def tag_counts(coded: DataFrame) -> DataFrame:

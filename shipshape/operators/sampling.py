@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import count_if, ratio
+from shipshape.functions.exprs import count_if, ratio, strip_white_space
 from shipshape.operators.rank import top_per_group
 
 f = F.col
@@ -21,7 +21,7 @@ f = F.col
 
 def mask_text(c: Column, pattern: str = C.PHONE_PATTERN, mask: str = C.PHONE_MASK) -> Column:
     """Replace phone-like digit runs, then strip surrounding whitespace."""
-    return F.regexp_replace(F.regexp_replace(c, pattern, mask), r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", "")
+    return strip_white_space(F.regexp_replace(c, pattern, mask))
 
 
 def hash_rank(key: Column, seed: str, tag: str = "") -> Column:

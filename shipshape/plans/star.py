@@ -344,7 +344,7 @@ _CACHE: dict = {}
 
 def star_for(spark: SparkSession, src: str) -> Star:
     """Session-scoped memo of the lazy star (plans only; no data is held)."""
-    key = (id(spark), src)
+    key = (spark.sparkContext.applicationId, id(spark), src)
     if key not in _CACHE:
         _CACHE[key] = build_star(spark, src)
     return _CACHE[key]

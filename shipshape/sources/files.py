@@ -16,7 +16,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from shipshape.functions.exprs import unicode_trim
+from shipshape.functions.exprs import strip_white_space
 
 # --- fixed values: raw CSV schemas of the marketplace export (types overridden where inference fails)
 RAW_CSV_SCHEMAS = {
@@ -53,7 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 def read_csv_trimmed(spark: SparkSession, path: str) -> DataFrame:
     """BOM-safe header CSV, every cell trimmed, empty -> NULL (all columns text)."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    clean = [F.nullif(unicode_trim(F.col(c)), F.lit("")).alias(c.lstrip("﻿").strip()) for c in df.columns]
+    clean = [F.nullif(strip_white_space(F.col(c)), F.lit("")).alias(c.lstrip("﻿").strip()) for c in df.columns]
     return df.select(*clean)
 
 
