@@ -22,7 +22,7 @@ from shipshape.llm.common import batches, partitions, shared_folder
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10),
            "parquet.page.row.count.limit": "20000", "parquet.enable.dictionary": "true", "compression": "zstd"}
 #: Encoded words a worker keeps.
-CACHE = 300_000
+CACHE = 600_000
 #: White space before or after a space that stands at a cut: there a word doesn't encode by itself.
 _UNSAFE = re.compile(r"\s \s|\s \Z|\A ")
 _state: dict = {}
@@ -53,10 +53,18 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if len(words) > CACHE:
         words.clear()
     new = {x for p in pieces if p for x in p[1:]}.difference(words)
-    new = list(new)
-    for i in range(0, len(new), 2000):
-        part = new[i:i + 2000]
-        words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, own.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False)))
+    # pieces without other white space are encoded many at a time, a line break (one id, in none of them) between
+    plain = [x for x in new if x and len(x.split()) == 1 and x.strip() == x]
+    odd = list(new.difference(plain))
+    brk = own.encode("\n", add_special_tokens=False).ids
+    lots = [plain[i:i + 200] for i in range(0, len(plain), 200)] if len(brk) == 1 else []
+    odd += plain if len(brk) != 1 else []
+    for i in range(0, len(lots), 20):
+        for lot, e in zip(lots[i:i + 20], own.encode_batch_fast(["\n".join(f" {w}" for w in lot) for lot in lots[i:i + 20]], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == brk[0])
+            words.update(zip(lot, (ids[j:k].tobytes() for j, k in zip([0, *(cut + 1)], [*cut, len(ids)]))))
+    words.update((w, np.array(own.encode(f" {w}", add_special_tokens=False).ids, "<u4").tobytes()) for w in odd)
     get, out = words.__getitem__, []
     for t, p in zip(texts, pieces):
         head = t if p is None else p[0]
