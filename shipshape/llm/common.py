@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds the worker's memory for long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 4000
 
 
