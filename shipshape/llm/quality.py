@@ -152,7 +152,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     stats = written(base.mapInArrow(_statistics, f"id {dict(base.dtypes)['id']}, stats array<double>"))
     known = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
              .groupBy("k").agg(F.max("y").alias("y")).where(~held_out(F.col("k"))))
-    drawn = stats.join(known, F.col("id") == F.col("k")).select("id", "stats", "y").orderBy(F.xxhash64("id"), "id", "stats").limit(sample).collect()
+    drawn = stats.join(known, F.col("id") == F.col("k")).select("id", "stats", "y").orderBy(F.xxhash64("id"), "id", "stats").limit(sample)
+    drawn = written(drawn).collect()  # collected at once, every partition would send its own ``sample`` rows to the driver
     if drawn:
         model = grow(np.array([r["stats"] for r in drawn]), np.array([r["y"] for r in drawn], float))
     else:
