@@ -125,7 +125,8 @@ def neighbours(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     own = own.where(F.size("v") == shape["d"])
-    drawn = np.array([r["v"] for r in own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
+    drawn = written(own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # collected at once, every partition would send its own SAMPLE rows to the driver
+    drawn = np.array([r["v"] for r in drawn.collect()])
     model = learn(drawn, k)
     shared = spark.sparkContext.broadcast(model)
     queries = own.where(F.col("id") % every == 0)
