@@ -238,7 +238,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     """Large regions (region, id, parts) as pairs of blocks: each document in as many pairs as there are blocks."""
     half = F.col("parts") * 2
     cut = members.select("region", "id", half.alias("half"), F.pmod(F.xxhash64("id"), half).alias("block"))
-    cut = cut.select("region", "id", "block", F.explode(F.sequence(F.lit(0), F.col("half").cast("int") - 1)).cast("long").alias("other"))
+    cut = cut.select("region", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("half").cast("long") - 1)).alias("other"))
     return cut.select(F.concat_ws(":", "region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "id")
 
 
