@@ -18,8 +18,9 @@ Regions that are too large for a task are split again by Voronoi cells: pivots d
 region, exact distances to them, each document in the cell of its nearest pivot and, as a boundary
 copy, in every cell that the triangle inequality leaves open (distance to that pivot at most the
 nearest distance plus twice the radius). A region that this doesn't shrink is cut into blocks, and
-each pair of blocks becomes a region. Small regions are joined exactly. Linked documents become
-components.
+each pair of blocks becomes a region. Small regions are joined exactly: first on the slice of each
+set, which bounds from above what two sets share, then on the whole sets of those documents that
+the bound leaves together. Linked documents become components.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def _sketches(k: int):
 
 def _slices(k: int, num: int, den: int):
     """(shingle, set digest) of the universe's slice; a shingle of several sets of a batch comes once, with digest 0."""
-    top = np.uint64(min(1.0, SLICE * (1 - num / den)) * (2**64 - 2048))
+    top = _top(SLICE, num, den)
 
     def run(it):
         for b in it:
@@ -137,13 +138,25 @@ def _only(base: DataFrame, ids: DataFrame) -> DataFrame:
     return base.mapInArrow(run, base.schema)
 
 
-def _sets(k: int):
+def _top(radii: float, num: int, den: int) -> np.uint64:
+    """Upper end of a slice of the shingle universe, ``radii`` times the radius wide."""
+    return np.uint64(min(1.0, radii * (1 - num / den)) * (2**64 - 2048))
+
+
+def _sets(k: int, num: int, den: int):
+    """(id, n, shingles, part): the set of each document, and what of it lies in the slice."""
+    top = _top(SLICE, num, den)
+
+    def lists(vals, n):
+        off = pa.array(np.concatenate([[0], np.cumsum(n)]))
+        return pa.LargeListArray.from_arrays(off, pa.array(vals.view("i8"))).cast(pa.list_(pa.int64()))
+
     def run(it):
         for b in it:
             vals, off = shingle_sets(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(off)),
-                                              pa.LargeListArray.from_arrays(pa.array(off), pa.array(vals.view("i8"))).cast(pa.list_(pa.int64()))],
-                                             names=["id", "n", "shingles"])
+            n, low = np.diff(off), vals < top
+            in_slice = np.diff(np.concatenate([[0], np.cumsum(low)])[off])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), lists(vals, n), lists(vals[low], in_slice)], names=["id", "n", "shingles", "part"])
     return run
 
 
@@ -159,16 +172,10 @@ def _least_labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def join_region(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Exact links of one region as (id, smallest linked-up id of the region)."""
-    n = np.array([len(s) for s in sets])
-    if len(ids) == 2:  # the usual region
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(int(max(ids)), int(min(ids)))] if den * both >= num * (n.sum() - both) else []
-    order = np.argsort(ids, kind="stable")
-    ids, sets, n = ids[order], [sets[i] for i in order], n[order]
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share."""
     vals, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), n)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     number = np.cumsum(df > 1) - 1
     keep = df[inv] > 1
     row, col = row[keep], number[inv[keep]]
@@ -182,35 +189,66 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
         part[row[a:b], col[a:b] - c] = 1
         common += part @ part.T
     common = common.astype(np.int64)
+    np.fill_diagonal(common, [len(s) for s in sets])
+    return common
+
+
+def join_region(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Exact links of one region as (id, smallest linked-up id of the region)."""
+    n = np.array([len(s) for s in sets])
+    if len(ids) == 2:  # the usual region
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(int(max(ids)), int(min(ids)))] if den * both >= num * (n.sum() - both) else []
+    order = np.argsort(ids, kind="stable")
+    ids, sets, n = ids[order], [sets[i] for i in order], n[order]
+    common = _common(sets)
     linked = den * common >= num * (n[:, None] + n[None, :] - common)
     label = _least_labels(linked)
     return [(int(ids[i]), int(ids[label[i]])) for i in np.flatnonzero(label != np.arange(len(ids)))]
 
 
-def _join_regions(num: int, den: int):
-    """Partitions sorted by region: one region at a time is held."""
+def possible_groups(key: str, ids: np.ndarray, n: np.ndarray, parts: list[np.ndarray], num: int, den: int) -> list[tuple[str, int]]:
+    """Smaller regions (region, id) that hold every link of a region, told from the slice alone.
+
+    Two sets share at most what their slices share and all that the smaller rest holds; two documents
+    that could then be linked, or are joined by a chain of such, stay together. Others leave.
+    """
+    rest = n - np.array([len(s) for s in parts])
+    if len(ids) == 2:
+        most = len(np.intersect1d(parts[0], parts[1], assume_unique=True)) + rest.min()
+        return [(key, int(i)) for i in ids] if (num + den) * most >= num * n.sum() else []
+    most = _common(parts) + np.minimum(rest[:, None], rest[None, :])
+    label = _least_labels((num + den) * most >= num * (n[:, None] + n[None, :]))
+    together = np.bincount(label, minlength=len(ids))[label] > 1
+    return [(f"{key}/{ids[label[i]]}", int(ids[i])) for i in np.flatnonzero(together)]
+
+
+def _each_region(column: str, close, types: dict):
+    """Partitions sorted by region, one region held at a time: the rows of ``close(region, ids, n, sets)``."""
     def run(it):
-        now, ids, sets, out = None, [], [], []
+        now, ids, n, sets = None, [], [], []
 
-        def close():
-            return join_region(np.array(ids), sets, num, den) if len(ids) > 1 else []
+        def closed():
+            return close(now, np.array(ids), np.array(n), sets) if len(ids) > 1 else []
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], names=list(types))
 
         for b in it:
-            keys = b.column("region").to_pylist()
-            members = np.asarray(b.column("id"))
-            lists = b.column("shingles")
+            keys, members, size = b.column("region").to_pylist(), np.asarray(b.column("id")), np.asarray(b.column("n"))
+            lists, out = b.column(column), []
             off, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
             for i, key in enumerate(keys):
                 if key != now:
-                    out += close()
-                    now, ids, sets = key, [], []
+                    out += closed()
+                    now, ids, n, sets = key, [], [], []
                 ids.append(members[i])
+                n.append(size[i])
                 sets.append(flat[off[i]:off[i + 1]].copy())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-                out = []
-        if out := close():
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield batch(out)
+        if out := closed():
+            yield batch(out)
     return run
 
 
@@ -279,14 +317,19 @@ def _split(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of all regions of ``members`` (region, id)."""
-    regions = _split(members, sets, num, den)
-    return written(regions.join(sets.select("id", "shingles"), "id").repartition(partitions(sets.sparkSession), "region").sortWithinPartitions("region", "id")
-                   .mapInArrow(_join_regions(num, den), "a long, b long"))
+    """Links (a, b) of all regions of ``members`` (region, id): whole sets only of what the slices leave together."""
+    def by_region(regions, column):
+        return (regions.join(sets.select("id", "n", column), "id").repartition(partitions(sets.sparkSession), "region")
+                .sortWithinPartitions("region", "id"))
+
+    regions = by_region(_split(members, sets, num, den), "part").mapInArrow(
+        _each_region("part", lambda key, ids, n, parts: possible_groups(key, ids, n, parts, num, den), {"region": pa.string(), "id": pa.int64()}), "region string, id long")
+    return written(by_region(written(regions), "shingles").mapInArrow(
+        _each_region("shingles", lambda key, ids, n, sets: join_region(ids, sets, num, den), {"a": pa.int64(), "b": pa.int64()}), "a long, b long"))
 
 
 def _slice_rows(num: int, den: int):
-    top = np.uint64(min(1.0, 2 * SLICE * (1 - num / den)) * (2**64 - 2048))
+    top = _top(2 * SLICE, num, den)
 
     def run(it):
         for b in it:
@@ -360,7 +403,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = _only(base, open_).mapInArrow(_prefixes(words, num, den, shared), "shingle long, id long").repartition(partitions(spark), "shingle")
     met = prefix.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("other")).where("p < other").select("shingle", "p")
     pairs = written(prefix.join(met.hint("shuffle_hash"), "shingle").where("p < id").groupBy("p", F.col("id").alias("x")).agg(F.count("*").alias("met")))
-    sets = written(_only(base, written(pairs.select("x").union(pairs.select("p")).distinct().toDF("id"))).mapInArrow(_sets(words), "id long, n long, shingles array<long>"))
+    sets = written(_only(base, written(pairs.select("x").union(pairs.select("p")).distinct().toDF("id"))).mapInArrow(_sets(words, num, den), "id long, n long, shingles array<long>, part array<long>"))
 
     # first each document with its nearest pivot only, then the regions of what may still link elsewhere
     nearest = pairs.groupBy("x").agg(F.max_by("p", F.struct("met", -F.col("p"))).alias("p"))
@@ -370,7 +413,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.join(left.toDF("x"), "x")
     rest = pairs.select(F.col("p").cast("string").alias("region"), F.col("x").alias("id")).union(
         pairs.select("p").distinct().join(left.toDF("p"), "p").select(F.col("p").cast("string"), "p"))
-    edges = edges.union(_links(rest, sets, num, den))
+    # a region within one component has nothing to add
+    several = (rest.join(label, "id", "left").groupBy("region").agg(F.min(F.coalesce("root", "id")).alias("low"), F.max(F.coalesce("root", "id")).alias("high"))
+               .where("low <> high").select("region"))
+    edges = edges.union(_links(rest.join(several, "region", "left_semi"), sets, num, den))
     roots = components(edges, "a", "b")
     comp = reps.select("id", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("component_id"))
     return (rows.join(comp, "id", "left")
