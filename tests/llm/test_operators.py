@@ -63,6 +63,20 @@ def test_components_equal_brute_force(spark, k, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out if r["doc_id"] is not None} == expected_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("depth", [0, 1])
+def test_large_regions_are_split_without_losing_links(spark, monkeypatch, depth):
+    """Regions of more than two documents go through Voronoi cells (depth 1) and pairs of blocks."""
+    from shipshape.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "REGION_DOCS", 2)
+    monkeypatch.setattr(jaccard_join, "DEPTH", depth)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, *(f"x{i}y{j}" for j in range(i % 4))]), "a", 1, 2, "x") for i in range(14)]
+    rows += [(50 + i, " ".join(f"z{i}v{j}" for j in range(40)), "a", 1, 2, "x") for i in range(6)]
+    out = jaccard_components(spark.createDataFrame(rows, DOCS), words=3, num=90, den=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected_components(rows, 3, 90, 100)
+
+
 def test_components_of_an_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
 
