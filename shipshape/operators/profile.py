@@ -70,31 +70,27 @@ def column_profiles(star: Star, tables=PROFILED, exact: bool = True) -> DataFram
 
 
 def key_candidates(star: Star, candidates=C.KEY_CANDIDATES) -> DataFrame:
-    """Q3: rows vs distinct key tuples (NULL tuples count as values, like DISTINCT)."""
+    """Q3: rows vs distinct key tuples (NULL tuples count as values, like DISTINCT), one grouping per candidate."""
     parts = []
     for t, key in candidates:
-        df = star.raw[t]
-        n = df.agg(F.count(F.lit(1))).scalar()
-        k = df.select(*key).distinct().agg(F.count(F.lit(1))).scalar()
-        parts.append(star.spark.range(1).select(
-            F.lit(f"raw.{t}").alias("table_name"), F.lit(", ".join(key)).alias("key_columns"),
-            n.cast("bigint").alias("rows"), k.cast("bigint").alias("distinct_keys"), (n == k).alias("is_unique")))
+        one = star.raw[t].groupBy(*key).count().agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("rows"),
+                                                    F.count(F.lit(1)).cast("bigint").alias("distinct_keys"))
+        parts.append(one.select(F.lit(f"raw.{t}").alias("table_name"), F.lit(", ".join(key)).alias("key_columns"),
+                                "rows", "distinct_keys", (f("rows") == f("distinct_keys")).alias("is_unique")))
     return _union(parts)
 
 
 def fk_profile(star: Star, relations=C.RELATIONSHIPS) -> DataFrame:
-    """Q4: orphan keys (child side), childless parents, max children per key."""
+    """Q4: orphan keys (child side), childless parents, max children per key; one full join of keys per relation."""
     parts = []
     for child, fk, parent, pk in relations:
-        c = star.raw[child].select(f(fk).alias("k")).filter(f("k").isNotNull())
-        p = star.raw[parent].select(f(pk).alias("k"))
-        orphans = c.distinct().join(p, "k", "left_anti").agg(F.count(F.lit(1))).scalar()
-        childless = p.distinct().join(c, "k", "left_anti").agg(F.count(F.lit(1))).scalar()
-        max_children = c.groupBy("k").count().agg(F.max("count")).scalar()
-        parts.append(star.spark.range(1).select(
-            F.lit(f"{child}.{fk}").alias("child"), F.lit(f"{parent}.{pk}").alias("parent"),
-            orphans.cast("bigint").alias("orphan_keys"), childless.cast("bigint").alias("childless_parents"),
-            max_children.cast("bigint").alias("max_children")))
+        c = star.raw[child].groupBy(f(fk).alias("k")).agg(F.count(F.lit(1)).alias("children")).filter(f("k").isNotNull())
+        p = star.raw[parent].select(f(pk).alias("k")).distinct().withColumn("in_parent", F.lit(True))
+        both = c.join(p, "k", "full_outer")
+        parts.append(both.agg(count_if(f("in_parent").isNull()).alias("orphan_keys"), count_if(f("children").isNull()).alias("childless_parents"),
+                              F.max("children").cast("bigint").alias("max_children"))
+                     .select(F.lit(f"{child}.{fk}").alias("child"), F.lit(f"{parent}.{pk}").alias("parent"),
+                             "orphan_keys", "childless_parents", "max_children"))
     return _union(parts)
 
 
