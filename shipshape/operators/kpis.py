@@ -1,60 +1,61 @@
-"""K1-K7: KPI cube (month + total in one grouping-sets pass), customer KPIs, KPI sheet and the
+"""K1-K7: KPI cube (month + total, rolled up from one aggregation), customer KPIs, KPI sheet and the
 standard measure pack reused by every cut."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shipshape.functions.exprs import avg_if, count_if, median_if, one_row, ratio
+from shipshape.functions.exprs import count_if, one_row, ratio
 from shipshape.operators.rank import exact_quantiles
 
 
-def order_kpi_columns() -> list[Column]:
-    """The 23 order KPIs of K1 (ratios of totals; numerators and denominators kept)."""
+def _roll_up(parts: DataFrame, *group: str) -> DataFrame:
+    """The order KPIs from partial sums by (month, delivery days, late delay); without a group one row, on empty input too."""
     f = F.col
-    with_items = count_if(f("has_items"))
-    delivered = count_if(f("is_delivered"))
-    on_time = count_if(f("delivery_outcome") == "On time")
-    late = count_if(f("delivery_outcome") == "Late")
-    not_delivered = count_if(f("delivery_outcome") == "Not delivered")
-    reviewed = count_if(f("has_review"))
-    low = count_if(f("is_low_score"))
-    commented = count_if(f("has_comment"))
-    gmv = F.sum("items_value")
-    is_late = f("delivery_outcome") == "Late"
-    return [
-        F.count(F.lit(1)).cast("bigint").alias("orders"),
-        with_items.alias("orders_with_items"),
-        gmv.cast("double").alias("gmv"),
-        ratio(gmv, with_items).alias("avg_order_value"),
-        F.sum("freight_value").cast("double").alias("freight_total"),
-        ratio(F.sum("freight_value"), F.sum("order_total")).alias("freight_share"),
-        delivered.alias("delivered_orders"), on_time.alias("on_time_orders"), late.alias("late_orders"),
-        not_delivered.alias("not_delivered_orders"),
-        ratio(on_time, delivered).alias("on_time_rate"), ratio(late, delivered).alias("late_rate"),
-        ratio(not_delivered, F.count(F.lit(1))).alias("not_delivered_rate"),
-        avg_if(is_late, "delay_days").alias("avg_delay_days_late"),
-        median_if(is_late, "delay_days").alias("median_delay_days_late"),
-        F.avg(f("delivery_days").cast("double")).alias("avg_delivery_days"),
-        F.median(f("delivery_days").cast("double")).alias("median_delivery_days"),
-        reviewed.alias("reviewed_orders"), F.avg(f("review_score").cast("double")).alias("avg_review_score"),
-        low.alias("low_score_orders"), ratio(low, reviewed).alias("low_score_rate"),
-        commented.alias("commented_orders"), ratio(commented, reviewed).alias("comment_rate"),
-    ]
+
+    def count(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+    def mean(days: str, where: Column) -> Column:
+        return F.try_divide(F.sum(F.when(where, f(days) * f("orders"))).cast("double"), F.sum(F.when(where, f("orders"))).cast("double"))
+
+    def median(days: str) -> Column:
+        return F.percentile(f(days).cast("double"), 0.5, f("orders"))
+
+    return parts.groupBy(*group).agg(
+        count("orders").alias("orders"), count("orders_with_items").alias("orders_with_items"),
+        F.sum("gmv").cast("double").alias("gmv"), ratio(F.sum("gmv"), F.sum("orders_with_items")).alias("avg_order_value"),
+        F.sum("freight").cast("double").alias("freight_total"), ratio(F.sum("freight"), F.sum("total")).alias("freight_share"),
+        *[count(c).alias(c) for c in ("delivered_orders", "on_time_orders", "late_orders", "not_delivered_orders")],
+        ratio(F.sum("on_time_orders"), F.sum("delivered_orders")).alias("on_time_rate"),
+        ratio(F.sum("late_orders"), F.sum("delivered_orders")).alias("late_rate"),
+        ratio(F.sum("not_delivered_orders"), F.sum("orders")).alias("not_delivered_rate"),
+        mean("late_delay", f("late_delay").isNotNull()).alias("avg_delay_days_late"), median("late_delay").alias("median_delay_days_late"),
+        mean("delivery_days", f("delivery_days").isNotNull()).alias("avg_delivery_days"), median("delivery_days").alias("median_delivery_days"),
+        count("reviewed_orders").alias("reviewed_orders"), ratio(F.sum("scores"), F.sum("scored")).alias("avg_review_score"),
+        count("low_score_orders").alias("low_score_orders"), ratio(F.sum("low_score_orders"), F.sum("reviewed_orders")).alias("low_score_rate"),
+        count("commented_orders").alias("commented_orders"), ratio(F.sum("commented_orders"), F.sum("reviewed_orders")).alias("comment_rate"))
 
 
 def kpi_orders(fact_orders: DataFrame, dim_date: DataFrame) -> DataFrame:
-    """K1: one row per month plus a 'Total' row, from one GROUPING SETS aggregation.
+    """K1: one row per month plus a 'Total' row; on empty input the Total row alone.
 
-    GROUPING SETS on an empty input returns no total row in Spark (one in DuckDB); the analysis
-    period is never empty, so the plain grouping-sets plan is kept (one scan, one shuffle).
+    The fact is aggregated once by (month, delivery days, late delay), a few thousand rows whatever
+    its size; months and total (medians too) are rolled up from these.
     """
-    d = dim_date.select(F.col("date_day").alias("purchase_date"), "year_month")
-    x = fact_orders.join(F.broadcast(d), "purchase_date", "inner")
-    g = x.groupingSets([[F.col("year_month")], []], F.col("year_month")).agg(
-        F.grouping_id().alias("_gid"), *order_kpi_columns())
-    period = F.when(F.col("_gid") == 1, F.lit("Total")).otherwise(F.col("year_month"))
-    return g.select(period.alias("period"), *[c for c in g.columns if c not in ("year_month", "_gid")])
+    f = F.col
+    outcome = f("delivery_outcome")
+    d = dim_date.select(f("date_day").alias("purchase_date"), "year_month")
+    parts = fact_orders.join(d, "purchase_date", "inner").groupBy(
+        "year_month", "delivery_days", F.when(outcome == "Late", f("delay_days")).alias("late_delay")).agg(
+        F.count(F.lit(1)).alias("orders"), count_if(f("has_items")).alias("orders_with_items"),
+        F.sum("items_value").alias("gmv"), F.sum("freight_value").alias("freight"), F.sum("order_total").alias("total"),
+        count_if(f("is_delivered")).alias("delivered_orders"), count_if(outcome == "On time").alias("on_time_orders"),
+        count_if(outcome == "Late").alias("late_orders"), count_if(outcome == "Not delivered").alias("not_delivered_orders"),
+        count_if(f("has_review")).alias("reviewed_orders"), F.sum("review_score").alias("scores"), F.count("review_score").alias("scored"),
+        count_if(f("is_low_score")).alias("low_score_orders"), count_if(f("has_comment")).alias("commented_orders"))
+    months = _roll_up(parts, "year_month").withColumnRenamed("year_month", "period")
+    return months.unionByName(_roll_up(parts).withColumn("period", F.lit("Total")))
 
 
 def kpi_customers(dim_customer: DataFrame) -> DataFrame:

@@ -61,3 +61,10 @@ def test_lazy_layer_builds_on_first_access_only():
     assert copy["a"] == 10 and layer["a"] == 1 and "b" in copy
     with pytest.raises(KeyError):
         layer["c"]
+
+
+def test_kpi_cube_of_an_empty_period_is_one_total_row(spark, star):
+    from shipshape.operators.kpis import kpi_orders
+
+    out = kpi_orders(star.model["fact_orders"].limit(0), star.model["dim_date"]).collect()
+    assert [(r["period"], r["orders"], r["late_orders"], r["gmv"], r["late_rate"]) for r in out] == [("Total", 0, 0, None, None)]
