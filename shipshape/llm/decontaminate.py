@@ -1,9 +1,9 @@
 """Benchmark decontamination (operator 4): SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-DataFrame functions only. Word shingles of a document are hashed once. A window can reach a positive
-similarity with an item only if it holds one of the item's shingles, so windows of the item's size
-are laid where a shingle of the document meets one of an item (aligned on it); every other window
-has similarity 0 and is skipped without loss. Each window gets a 64-bit SimHash of its shingles,
+DataFrame functions only. Word shingles of a document are hashed once. A window of an item's size is
+laid at every start, also over the ends of a text, at which it holds so many shingles of items of
+that size, at whatever offsets, that its similarity with one of them can reach the bound; every other
+window stays below it and is skipped without loss. Each window gets a 64-bit SimHash of its shingles,
 each weighted by its count. Fingerprints are cut into 8 blocks of 8 bits; two fingerprints within
 ``8 * (PROBE + 1) - 1 = 23`` bits agree in at least one block up to PROBE bits, so probing every
 block value within PROBE bits returns all of them. Candidates of the same size are verified by the
@@ -12,7 +12,7 @@ exact weighted similarity: sum of the smaller counts over sum of the larger coun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipshape.llm.common import written
 
@@ -21,6 +21,8 @@ BLOCKS, BITS, PROBE = 8, 8, 2
 RADIUS = BLOCKS * (PROBE + 1) - 1
 #: Item shingles that are sent to every executor; a larger benchmark is joined by shuffle.
 SENT_SHINGLES = 1_000_000
+#: Windows whose places are sent to every executor; more are joined by shuffle.
+SENT_PLACES = 200_000
 
 
 def normal_words(text: Column) -> Column:
@@ -29,15 +31,18 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, r"[\x20\x09-\x0D]+"), "")
 
 
-def word_shingles(words: Column, k: int) -> Column:
-    """Hashes of the ``k``-word shingles in order; none if there are fewer words.
+def word_shingles(words: Column, k: int, sized: bool = False) -> Column:
+    """Hashes of the ``k``-word shingles in order; none if there are fewer words. ``sized``: (h, size) with the number of words.
 
     The words are bound as the variable of an outer ``transform``, else the optimizer inlines their
     split into the inner one and evaluates it for every shingle.
     """
     def of(w: Column) -> Column:
-        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))).otherwise(
-            F.array().cast("array<bigint>"))
+        def one(i: Column) -> Column:
+            h = F.xxhash64(*(F.get(w, i + j) for j in range(k)))
+            return F.struct(h.alias("h"), F.size(w).alias("size")) if sized else h
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), one)).otherwise(
+            F.array().cast("array<struct<h:bigint,size:int>>" if sized else "array<bigint>"))
     return F.get(F.transform(F.array(words), of), 0)
 
 
@@ -60,6 +65,33 @@ def blocks(fingerprint: Column) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, b * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).alias("value")) for b in range(BLOCKS)))
 
 
+def numbered(shingles: Column) -> Column:
+    """Shingles with repeats told apart by their number, so that sets of them intersect as bags do."""
+    def of(s: Column) -> Column:
+        return F.transform(s, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(s, x)))
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), F.transform(shingles, lambda x: F.xxhash64(x, F.lit(0).cast("long")))).otherwise(
+        F.get(F.transform(F.array(F.array_sort(shingles)), of), 0))
+
+
+def starts(met: DataFrame, similarity: float) -> DataFrame:
+    """(id, t, size, at, n_words, k): every window start whose shared shingles may reach ``similarity``.
+
+    ``met`` has the distinct places i of shared shingles, by row (id, t; ``size`` words) and item size.
+    A window at ``at`` holds those of ``at`` to ``at + n_words - k``: their number steps up where the
+    window begins to hold one and down behind it. With m shingles of the item and m2 of the window
+    (fewer at the ends of a text), c shared ones give a similarity of at most c / (m + m2 - c).
+    """
+    one = ["id", "t", "size", "n_words", "k"]
+    m = F.col("n_words") - F.col("k") + 1
+    steps = met.select(*one, F.explode(F.array(F.struct((F.col("i") - m + 1).alias("at"), F.lit(1).alias("step")), F.struct((F.col("i") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    steps = steps.groupBy(*one, "e.at").agg(F.sum("e.step").alias("step"))
+    by = Window.partitionBy(*one).orderBy("at")
+    runs = steps.select(*one, "at", F.sum("step").over(by).alias("shared"), (F.lead("at").over(by) - 1).alias("last")).where(F.col("shared") >= similarity * m - 1e-9)
+    laid = runs.select(*one, "shared", F.explode(F.sequence("at", "last")).alias("at"))
+    held = F.least(F.col("at") + m, F.col("size") - F.col("k") + 1) - F.greatest("at", F.lit(0))
+    return laid.where(F.col("shared") * (1 + similarity) >= similarity * (m + held) - 1e-9).select(*one, "at")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document and item it holds: id, item, start (word), n_words, distance (bits), similarity.
@@ -70,33 +102,37 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     bench = written(items.select(F.col(item_col).alias("item"), normal_words(F.col(item_text_col)).alias("w")).where("size(w) > 0").distinct())
     sizes = [words] + sorted(r[0] for r in bench.where(F.size("w") < words).select(F.size("w")).distinct().collect())  # at most ``words`` values
-    text = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w"))
+    text = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w"), F.xxhash64(F.col(text_col).cast("string")).alias("t"))
     few = (bench.agg(F.sum(F.size("w"))).first()[0] or 0) <= SENT_SHINGLES
     hits = None
     for k in sizes:
         some = bench.where(F.size("w") >= k if k == words else F.size("w") == k)
-        seeds = some.select(F.size("w").alias("n_words"), F.posexplode(word_shingles(F.col("w"), k)).alias("j", "h")).distinct()
-        met = text.select("id", F.posexplode(word_shingles(F.col("w"), k)).alias("i", "h")).join(F.broadcast(seeds) if few else seeds, "h")
-        laid = met.select("id", (F.col("i") - F.col("j")).alias("at"), "n_words", F.lit(k).alias("k")).distinct()
-        hits = laid if hits is None else hits.union(laid)
-    hits = written(hits)
-    places = hits.select(F.col("id").alias("hit"), "at", "n_words", "k")
-    places = F.broadcast(places) if hits.count() <= SENT_SHINGLES else places
-    begin = F.greatest("at", F.lit(0))
-    held = text.join(places, F.col("id").eqNullSafe(F.col("hit"))).select(
-        "id", begin.alias("start"), "n_words", "k", F.slice("w", begin + 1, F.col("n_words") + F.least("at", F.lit(0))).alias("words"))
-    held = written(held)  # windows at the ends of a text are shorter
+        seeds = some.select(F.size("w").alias("n_words"), F.explode(word_shingles(F.col("w"), k)).alias("h")).distinct()
+        shingles = text.select("id", "t", F.posexplode(word_shingles(F.col("w"), k, True)).alias("i", "s")).select("id", "t", "i", "s.h", "s.size")
+        met = shingles.join(F.broadcast(seeds) if few else seeds, "h")
+        met = met.select("id", "t", "size", "n_words", F.lit(k).alias("k"), "i").distinct()
+        hits = met if hits is None else hits.union(met)
+    begin = F.greatest("at", F.lit(0))  # windows at the ends of a text are shorter
+    hits = written(starts(hits, similarity).select("id", "t", begin.alias("start"), (F.least(F.col("at") + F.col("n_words"), "size") - begin).alias("length"), "n_words", "k").distinct())
+    places = hits.groupBy(F.col("id").alias("hit"), F.col("t").alias("hit_t")).agg(F.collect_list(F.struct("start", "length", "n_words", "k")).alias("places"))
+    places = F.broadcast(places) if hits.count() <= SENT_PLACES else places
+
+    def cut(w: Column) -> Column:  # the words bound as in word_shingles, and not carried through the explode
+        return F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_words"].alias("n_words"), p["k"].alias("k"), F.slice(w, p["start"] + 1, p["length"]).alias("words")))
+    held = text.join(places, F.col("id").eqNullSafe(F.col("hit")) & (F.col("t") == F.col("hit_t"))).select(
+        "id", F.explode(F.get(F.transform(F.array("w"), cut), 0)).alias("p")).select("id", "p.*")
+    held = written(held)
     shingled = F.lit(None).cast("array<bigint>")
     for k in sizes:
         shingled = F.when(F.col("k") == k, word_shingles(F.col("words"), k)).otherwise(shingled)
     found = written(held.select("id", "start", "n_words", "k", shingled.alias("window")).withColumn("own", F.xxhash64("window")))
-    found = written(found.withColumn("fingerprint", simhash(F.col("window"))))
+    found = written(found.select("*", simhash(F.col("window")).alias("fingerprint"), numbered(F.col("window")).alias("window_bag")).drop("window"))
 
     items_ = bench.select("item", "w", F.size("w").alias("n_words"), F.least(F.size("w"), F.lit(words)).alias("k"))
     marked = F.lit(None).cast("array<bigint>")
     for k in sizes:
         marked = F.when(F.col("k") == k, word_shingles(F.col("w"), k)).otherwise(marked)
-    marks = written(written(items_.select("item", "n_words", "k", marked.alias("item_shingles"))).withColumn("fingerprint", simhash(F.col("item_shingles"))))
+    marks = written(written(items_.select("item", "n_words", "k", marked.alias("item_shingles"))).select("*", simhash(F.col("item_shingles")).alias("fingerprint"), numbered(F.col("item_shingles")).alias("item_bag")))
     near = [m for m in range(1 << BITS) if m.bit_count() <= PROBE]
     probes = marks.select("item", "n_words", "k", F.col("fingerprint").alias("mark"), F.explode(blocks(F.col("fingerprint"))).alias("b")).select(
         "item", "n_words", "k", "mark", "b.block", F.explode(F.transform(F.array(*map(F.lit, near)), lambda m: F.col("b.value").bitwiseXOR(m.cast("long")))).alias("value"))
@@ -108,13 +144,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     near_by = written(near_by)
 
     place = ["id", "start", "n_words", "k", "own", "item", "distance"]
-    pair = near_by.join(found.select(F.col("id").alias("i2"), F.col("start").alias("s2"), F.col("n_words").alias("n2"), F.col("k").alias("k2"), F.col("own").alias("o2"), "window"),
+    pair = near_by.join(found.select(F.col("id").alias("i2"), F.col("start").alias("s2"), F.col("n_words").alias("n2"), F.col("k").alias("k2"), F.col("own").alias("o2"), "window_bag"),
                         F.col("id").eqNullSafe(F.col("i2")) & (F.col("start") == F.col("s2")) & (F.col("n_words") == F.col("n2")) & (F.col("k") == F.col("k2")) & (F.col("own") == F.col("o2")))
-    pair = pair.join(marks.select(F.col("item").alias("it"), F.col("n_words").alias("n3"), "item_shingles"), F.col("item").eqNullSafe(F.col("it")) & (F.col("n_words") == F.col("n3")))
-    both = pair.select(*place, F.explode("window").alias("h"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(
-        pair.select(*place, F.explode("item_shingles").alias("h"), F.lit(0).alias("x"), F.lit(1).alias("y")))
-    counted = both.groupBy(*place, "h").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    scored = counted.groupBy(*place).agg((F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("similarity")).where(F.col("similarity") >= similarity)
+    pair = pair.join(marks.select(F.col("item").alias("it"), F.col("n_words").alias("n3"), "item_bag"), F.col("item").eqNullSafe(F.col("it")) & (F.col("n_words") == F.col("n3")))
+    # sum of the smaller counts; that of the larger ones is what remains of both sizes
+    scored = pair.withColumn("both", F.size(F.array_intersect("window_bag", "item_bag"))).select(
+        *place, (F.col("both") / (F.size("window_bag") + F.size("item_bag") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similarity)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", (-F.col("distance")).alias("d"))).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("m.s")).cast("long").alias("start"), F.col("m.n_words").cast("long").alias("n_words"),
                        (-F.col("m.d")).cast("long").alias("distance"), F.col("m.similarity").alias("similarity"))

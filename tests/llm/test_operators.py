@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,6 +103,30 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert leaks(spark.createDataFrame([], DOCS), bench).collect() == []
 
 
+def test_leaks_with_swapped_parts_are_found(spark):
+    """The best window over swapped halves is aligned on no shared shingle; windows are held against all starts."""
+    rng = random.Random(8)
+    words = [f"q{i}" for i in range(60)]
+    around = [f"w{rng.randrange(400)}" for _ in range(200)]
+    twice = ["la"] * 20 + [f"p{i}" for i in range(20)]
+    texts = {1: around[:100] + words[30:] + words[:30] + around[100:], 2: words[30:] + words[:27], 3: around[:50] + twice[15:] + twice[:14], 4: words[:30] + around[:30]}
+    rows = [(None if i == 3 else i, " ".join(w), "s", 1, 2, "x") for i, w in texts.items()] + [(None, " ".join(around), "s", 1, 2, "x")]
+    items = {1: words, 2: twice}
+
+    def bag(w):
+        return Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4))
+    expected = {}
+    for i, w in texts.items():
+        for item, x in items.items():
+            cuts = ((max(a, 0), w[max(a, 0):a + len(x)]) for a in range(1 - len(x), len(w)))
+            best = max((((bag(c) & bag(x)).total() / (bag(c) | bag(x)).total(), -a) for a, c in cuts))
+            if best[0] >= 0.8:
+                expected[None if i == 3 else i, item] = (-best[1], round(best[0], 9))
+    out = leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")).collect()
+    assert (1, 1) in expected and expected[1, 1][0] == 100 and (2, 1) in expected
+    assert {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in out} == expected
+
+
 def test_quality_separates_held_out_documents(spark):
     rng = random.Random(1)
     rows, labels = [], []
