@@ -35,20 +35,29 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
+        own, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        _state.update(path=path, own=own, words={})
+        added = re.compile("|".join(re.escape(t.content) for t in plain.get_added_tokens_decoder().values()) or r"(?!)")
+        _state.update(path=path, own=own, words={}, plain=plain, added=added)
     return _state["own"], _state["words"]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, special: bool = False) -> list[bytes]:
     """Little-endian 32-bit ids of each text, whole.
 
+    With ``special`` the ids are those of the tokenizer as loaded, for which a special token's content
+    is that token: texts that hold one are encoded as they are. Otherwise the content is text like any other.
+
     The byte-level pre-tokenizer never joins a space to what stands before it, so a text falls into
     pieces that each begin with a space, and pieces are encoded once and kept. Texts with runs of
     white space around a space are encoded as they are.
     """
     own, words = _tokenizer(path)
+    if special and (held := [i for i, t in enumerate(texts) if _state["added"].search(t)]):
+        out, at = encode([t for t in texts if not _state["added"].search(t)], path), set(held)
+        whole = iter([np.array(_state["plain"].encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() for i in held])
+        rest = iter(out)
+        return [next(whole if i in at else rest) for i in range(len(texts))]
     pieces = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
     if len(words) > CACHE:
         words.clear()
@@ -78,7 +87,7 @@ def _encode(path: str, end_id: int):
         block, pos, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
         for b in it:
-            ids = [x + end for x in encode(b.column("text").fill_null("").to_pylist(), path)]
+            ids = [x + end for x in encode(b.column("text").fill_null("").to_pylist(), path, True)]
             n = np.array([len(x) // 4 for x in ids], "i8")
             off = np.concatenate([[0], np.cumsum(n)])
             flat = np.frombuffer(b"".join(ids), "<i4")
@@ -90,7 +99,7 @@ def _encode(path: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text (null: empty) plus ``end_id`` and write the files in ascending order of id.
+    """Encode every whole text (null: empty) with the tokenizer as its file has it, no tokens added, plus ``end_id`` and write the files in ascending order of id.
 
     Null ids come first; rows of the same id stand by their texts. An empty table writes an empty file set.
     """

@@ -154,6 +154,16 @@ def test_encoding_by_pieces_equals_the_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, tokenizer_file())] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_tokens_are_encoded_as_the_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_file())
+    texts = ["x <|endoftext|> y", "plain words", "", "<|endoftext|>", "a <|endof text|> b", "a<|endoftext|><|endoftext|>  b\n c"]
+    out = tokens.token_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_file()).collect()
+    ids = [[*own.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in out} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_token_files_round_trip(spark):
     rows = corpus()
     out = sorted(tokens.token_digests(spark.createDataFrame(rows, DOCS), tokenizer_file()).collect(), key=lambda r: r["start"])
