@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from shipshape.llm.common import batches, components, mix, partitions, shingle_sets, sums, written
 
@@ -40,6 +40,8 @@ FREQUENT = 0.001
 CHUNK = 2_000_000
 #: Voronoi levels before a region is cut into blocks; pivots of a region; member ids sent to every task.
 DEPTH, PIVOTS, SENT_IDS = 3, 32, 2_000_000
+#: Shingles of pivots that pass through the driver at one level; regions beyond that are cut into blocks.
+PIVOT_SHINGLES = 20_000_000
 #: Width of the slice in which lone shingles are counted, in radii; ratio of the size rings.
 SLICE, RING = 1.6, 1.3
 
@@ -273,8 +275,8 @@ def _cells(pivots, num: int, den: int):
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Large regions (region, id, parts) as pairs of blocks: each document in as many pairs as there are blocks."""
-    half = F.col("parts") * 2
+    """Large regions (region, id, parts, docs) as pairs of blocks: each document in as many pairs as there are blocks."""
+    half = F.least(F.col("parts") * 2, F.col("docs"))
     cut = members.select("region", "id", half.alias("half"), F.pmod(F.xxhash64("id"), half).alias("block"))
     cut = cut.select("region", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("half").cast("long") - 1)).alias("other"))
     return cut.select(F.concat_ws(":", "region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "id")
@@ -296,11 +298,18 @@ def _split(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         if depth == DEPTH:
             done.append(_blocks(members))
             break
-        drawn = (members.withColumn("draw", F.xxhash64("id", F.lit(depth)))
-                 .groupBy("region", "parts", F.pmod("draw", F.lit(PIVOTS)).alias("slot")).agg(F.min_by("id", "draw").alias("id"))
-                 .where("slot < parts * 4").join(sets, "id").select("region", "shingles"))
+        # a slot for every document, so every region has a pivot; of few documents (or sets too large for the driver) no cells are made
+        slots = F.least(F.lit(PIVOTS), F.col("parts") * 4).cast("int")
+        drawn = written(members.withColumn("draw", F.xxhash64("id", F.lit(depth)))
+                 .groupBy("region", "parts", F.pmod("draw", slots).alias("slot")).agg(F.min_by("id", "draw").alias("id"))
+                 .join(sets.select("id", "n"), "id").select("region", "id", "n"))
+        size = drawn.groupBy("region").agg(F.sum("n").alias("sent")).join(large.where(F.col("docs") > slots), "region")
+        sent = written(size.withColumn("sum", F.sum("sent").over(Window.orderBy("sent", "region"))).where(F.col("sum") <= PIVOT_SHINGLES).select("region"))  # a row per large region
+        done.append(_blocks(members.join(sent, "region", "left_anti")))
+        members = members.join(sent, "region", "left_semi")
+        drawn = drawn.join(sent, "region", "left_semi").join(sets.select("id", "shingles"), "id").select("region", "shingles")
         held: dict[str, list] = {}
-        for r in drawn.toLocalIterator():  # at most PIVOTS sets for each region beyond a task's size
+        for r in drawn.toLocalIterator():  # at most PIVOT_SHINGLES
             held.setdefault(r["region"], []).append(np.array(r["shingles"], "i8").view(np.uint64))
         pivots = {key: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x]), np.array([len(y) for y in x])) for key, x in held.items()}
         shared = spark.sparkContext.broadcast(pivots)

@@ -78,6 +78,21 @@ def test_large_regions_are_split_without_losing_links(spark, monkeypatch, depth)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("sent", [20_000_000, 0])
+def test_regions_of_few_long_documents_keep_their_links(spark, monkeypatch, sent):
+    """Regions large by shingles: too few documents for pivots, or pivots too large for the driver."""
+    from shipshape.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "REGION_SHINGLES", 1000)
+    monkeypatch.setattr(jaccard_join, "PIVOT_SHINGLES", sent)
+    rows = []
+    for g in range(8):
+        words = [f"w{g}v{i}" for i in range(700)]
+        rows += [(10 * g + i, " ".join([*words, f"x{i}"]), "a", 1, 2, "x") for i in range(2 if g else 12)]
+    out = jaccard_components(spark.createDataFrame(rows, DOCS), words=3, num=90, den=100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected_components(rows, 3, 90, 100)
+
+
 def test_components_of_an_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
 
