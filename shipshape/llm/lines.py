@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from shipshape.llm.common import batches, written
 
-#: Units of fewer words are not judged.
+#: Units of fewer words are not judged unless the caller says so.
 LEAST_WORDS = 8
+#: A digest in this share of all units is frequent: it is sent to every task, so its units aren't dealt by it.
+FREQUENT = 0.0001
 _CUT = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:(?!\n[\x20\t]*\n)[\s\S])+")}
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -55,8 +57,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     kind = dict(base.dtypes)["id"]
     found = written(base.mapInArrow(_units(unit, least), f"id {kind}, start long, end long, d1 long, d2 long"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "start")
-    kept = found.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other").select("d1", "d2", "kept")
-    return found.join(kept, ["d1", "d2"]).where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("start") == F.col("kept.start")))).select(
+    kept = found.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other"), F.count("*").alias("n")).where("kept <> other")
+    kept = written(kept.select("d1", "d2", "kept", "n"))
+    often = F.col("n") >= max(1000, FREQUENT * found.count())  # at most 1 / FREQUENT digests
+    hot, rest = F.broadcast(kept.where(often).drop("n")), kept.where(~often).drop("n")
+    both = found.join(hot, ["d1", "d2"]).union(found.join(hot, ["d1", "d2"], "left_anti").join(rest, ["d1", "d2"]))
+    return both.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("start") == F.col("kept.start")))).select(
         "id", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start")).distinct()
 
 

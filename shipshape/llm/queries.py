@@ -50,8 +50,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of all documents: what is removed from each, with original offsets."""
-    return removed(table(spark, sf_dir, "documents"))
+    """Repeated lines of all documents, however short: what is removed from each, with original offsets."""
+    return removed(table(spark, sf_dir, "documents"), least=1)
 
 
 def op6_hashing_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,19 @@ def test_repeated_lines_keep_the_first(spark):
     assert [(r["id"], r["start"], r["kept_id"], r["kept_start"]) for r in out] == [(2, 15, 1, 0)]
 
 
+@pytest.mark.parametrize("least_often", [1000, 0])
+def test_query_removes_short_lines(spark, tmp_path, monkeypatch, least_often):
+    """A verse of short lines goes from all documents but the first, by shuffle and by the frequent digests."""
+    from shipshape.llm import queries
+
+    if not least_often:
+        monkeypatch.setattr(lines, "max", lambda a, b: 0, raising=False)
+    verse = "one line\nand two\n}\n\n"
+    spark.createDataFrame([(i, verse + f"own {i}") for i in range(4)] + [(9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: [(s["start"], s["end"], s["kept_id"]) for s in r["spans"]] for r in out} == {i: [(0, 8, 0), (9, 16, 0), (17, 18, 0)] for i in (1, 2, 3)}
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
