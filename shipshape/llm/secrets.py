@@ -1,8 +1,9 @@
 """Secret scan (operator 2): fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order models over the characters of identifiers are trained from labelled samples: random
-strings and ordinary identifiers. A run of identifier characters is reported when the random model
-explains it clearly better. Training sums transition counts in Spark; a table of fixed size reaches
+strings and ordinary runs of the same characters that are judged (identifiers, paths, rules). A
+share of each row goes to the label's character shares, so a transition without samples costs the
+same however large the corpus is. A run is reported when the random model explains it clearly better. Training sums transition counts in Spark; a table of fixed size reaches
 the driver and the scanning tasks.
 """
 
@@ -24,13 +25,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run of at least 32
 KINDS = ("assign", "access", "hex", "markov")
 
 CLUES = ("password", "passwd", "secret", "token", "api")
-#: Runs that the models judge, runs that count as ordinary samples, and the least log-likelihood ratio (nats).
+#: Runs that the models judge, runs (of the same characters) that are ordinary samples, and the least log-likelihood ratio (nats).
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-WORD = re.compile(r"[A-Za-z0-9_]{3,}")
+WORD = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
 THRESHOLD = 12.0
-CODES = 66  # letters, digits, + / _ = or -, and the end
+BACK, EVEN = 0.05, 0.2  # least share of a row that goes to the label's character shares, share of those that is uniform
+CODES = 68  # letters, digits, + / _ = -, and the end
 _CODE = np.full(128, CODES - 1, np.int64)
-for _i, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_"):
+for _i, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"):
     _CODE[ord(_c)] = _i
 END = CODES - 1
 
@@ -82,12 +84,16 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def ratios(counts: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each transition (random over ordinary); at most 2 * 66 * 66 counts reach the driver."""
-    total = np.full((2, CODES, CODES), 0.5)
+    """Log-likelihood ratio of each transition (random over ordinary); at most 2 * CODES * CODES counts reach the driver."""
+    total = np.zeros((2, CODES, CODES))
     for r in counts.where("label in (0, 1) and pair is not null and n is not null").collect():
         total[r["label"], r["pair"] // CODES, r["pair"] % CODES] += r["n"]
-    # the random model's characters are independent of one another but for their shares
-    logs = np.log(total / total.sum(2, keepdims=True))
+    of_all, of_row = total.sum((1, 2))[:, None], total.sum(2, keepdims=True)
+    shares = np.where(of_all > 0, (1 - EVEN) * total.sum(1) / np.maximum(of_all, 1) + EVEN / CODES, 1 / CODES)[:, None, :]
+    # rows of few samples for their distinct successors go further back
+    kinds = (total > 0).sum(2, keepdims=True)
+    back = np.where(of_row > 0, np.maximum(BACK, kinds / np.maximum(of_row + kinds, 1)), 1)
+    logs = np.log((1 - back) * total / np.maximum(of_row, 1) + back * shares)
     return logs[1] - logs[0]
 
 
@@ -98,7 +104,8 @@ def markov_spans(text: str, table: np.ndarray, base: list, threshold: float = TH
         if any(a < e and s < b for a, b, _ in base):
             continue
         code = _CODE[np.frombuffer(m[0].encode(), np.uint8)]
-        if table[code[:-1], code[1:]].sum() >= threshold:
+        # each transition once: repeats of one (rules, borders) are no further evidence
+        if table.ravel()[np.unique(code[:-1] * CODES + code[1:])].sum() >= threshold:
             out.append((s, e, 3))
     return out
 

@@ -193,6 +193,30 @@ def test_secret_spans():
     assert secrets.base_spans("paſſword=abcdefgh12") == []
 
 
+@pytest.mark.parametrize("size", [300, 30_000])
+def test_markov_spans_are_random_keys_only(size):
+    """Ordinary counts of a small and a large corpus; rules and paths hardly occur in it."""
+    rng = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    vocab = "the home user projects notes river stone walked well-known over local share python library table border value return import report".split()
+    words = [rng.choice(vocab) for _ in range(size)] + ["/home/user/projects/notes", "-" * 16, "=" * 20]
+    keys = ["".join(rng.choice(signs) for _ in range(32)) for _ in range(30)]
+    counts = [(label, int(p), int(c[p])) for label, c in ((0, secrets.transitions(words)), (1, secrets.transitions(keys))) for p in np.flatnonzero(c)]
+
+    class Counts:
+        def where(self, _):
+            return self
+
+        def collect(self):
+            return [dict(zip(("label", "pair", "n"), r)) for r in counts]
+    table = secrets.ratios(Counts())
+    for text in ("-" * 16, "=" * 60, "-" * 200, "/home/user/projects/notes", "usr/local/share/python", "+----------+----------+", "well-known-border-values"):
+        assert secrets.markov_spans(text, table, []) == [], text
+    for _ in range(20):
+        key = "".join(rng.choice(signs) for _ in range(32))
+        assert secrets.markov_spans(f"see {key} here", table, []) == [(4, 36, 3)]
+
+
 def test_secret_scan_handles_nulls(spark):
     out = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(corpus(), DOCS)).collect()}
     assert out[100]["base_sha256"] == out[101]["base_sha256"] == hashlib.sha256(b"").hexdigest()
