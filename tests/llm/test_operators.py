@@ -142,6 +142,16 @@ def test_leaks_with_swapped_parts_are_found(spark):
     assert {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in out} == expected
 
 
+def test_decontamination_stage_keeps_clean_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus() + [(200, f"lead in {item} and out", "s", 1, 2, "x"), (201, item[:40], "s", 1, 2, "x")]
+    kept = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, DOCS), str(tmp_path))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([r for r in rows if r[0] != 200], DOCS).collect()))
+
+
 def test_quality_separates_held_out_documents(spark):
     rng = random.Random(1)
     rows, labels = [], []
