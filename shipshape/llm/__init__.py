@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten operators, their registered queries and SQL twins.
+"""Operators of a training-data pipeline: thirteen operators, their registered queries and SQL twins.
 
 Nothing outside this subpackage (and ``corpus_pipeline.py``) imports it.
 """

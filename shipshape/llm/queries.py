@@ -13,10 +13,13 @@ from shipshape.llm.chat import read_back, windows
 from shipshape.llm.common import table, written
 from shipshape.llm.decontaminate import leaks
 from shipshape.llm.jaccard_join import jaccard_components
+from shipshape.llm.licences import licences
 from shipshape.llm.lines import removed
 from shipshape.llm.quality import classify
 from shipshape.llm.secrets import scan
+from shipshape.llm.spelling import variants
 from shipshape.llm.tokens import token_digests
+from shipshape.llm.whitening import whiten
 
 
 def tokenizer_file() -> str:
@@ -79,8 +82,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, their near words, forms and roots."""
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened on the eight leading components."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents."""
+    return licences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_entropy_mix, op2_secrets, op3_chat_windows, op4_decontaminate, op5_line_dedup, op6_hashing_ann, op7_token_files, op8_url_filter, op9_jaccard_join, op10_quality)}
+    op1_entropy_mix, op2_secrets, op3_chat_windows, op4_decontaminate, op5_line_dedup, op6_hashing_ann, op7_token_files, op8_url_filter, op9_jaccard_join, op10_quality,
+    op11_spelling_variants, op12_embedding_whitening, op13_license_scan)}
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
