@@ -2,8 +2,9 @@
 
 Units are cut at line breaks (or blank lines) and normalised (A-Z lower-cased, runs of white space
 one space, none at the ends). Their 128-bit digests are grouped globally; of each digest the
-occurrence that ranks first (smallest id, then place) stays and the others go, with their offsets
-in the original text.
+occurrence that ranks first (smallest id, then place) stays and the others are repeats. Short lines
+are repeated by chance, so a repeat goes only as part of a run: adjacent repeats whose kept units
+are adjacent too, of at least ``run`` words together. All offsets are those of the original text.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from shipshape.llm.common import batches, written
 
-#: Units of fewer words are not judged unless the caller says so.
-LEAST_WORDS = 8
+#: Units of fewer words are not judged, and runs of fewer words stay, unless the caller says otherwise.
+LEAST_WORDS = 1
+RUN_WORDS = 13
 #: A digest in this share of all units is frequent: it is sent to every task, so its units aren't dealt by it.
 FREQUENT = 0.0001
 _CUT = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:(?!\n[\x20\t]*\n)[\s\S])+")}
@@ -26,48 +28,64 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def units(text: str, unit: str = "line", least: int = LEAST_WORDS):
-    """(start, end, digest) of the units of a text; code points, end exclusive."""
+    """(start, end, words, digest) of the units of a text; code points, end exclusive."""
     for m in _CUT[unit].finditer(text):
         words = m[0].translate(_LOWER).split()
         if len(words) >= least:
-            yield m.start(), m.end(), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            yield m.start(), m.end(), len(words), hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _units(unit: str, least: int):
     def run(it):
         for b in it:
-            rows = [(i, s, e, d) for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()) for s, e, d in units(t or "", unit, least)]
+            rows = [(i, h, k, *u) for i, h, t in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), b.column("text").to_pylist()) for k, u in enumerate(units(t or "", unit, least))]
             if rows:
-                ids, s, e, d = zip(*rows)
+                ids, h, k, s, e, n, d = zip(*rows)
                 two = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1])],
-                                                 names=["id", "start", "end", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), *(pa.array(c, pa.int64()) for c in (h, k, s, e, n)), pa.array(two[:, 0]), pa.array(two[:, 1])],
+                                                 names=["id", "t", "k", "start", "end", "words", "d1", "d2"])
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least: int = LEAST_WORDS) -> DataFrame:
-    """(id, start, end, kept_id, kept_start) of every unit to be removed.
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least: int = LEAST_WORDS, run: int = RUN_WORDS) -> DataFrame:
+    """(id, start, end, kept_id, kept_start, kept_end) of every unit to be removed.
 
-    Null and empty texts have no units. Of rows that repeat an id the same places repeat: they count
-    as one occurrence and are removed, or kept, together. Rows with a null id rank last. An empty
-    table gives no rows.
+    ``run`` = 0 removes every repeat, whatever stands beside it. Null and empty texts have no units.
+    Of rows that repeat an id the same places repeat: they count as one occurrence and are removed,
+    or kept, together. Rows with a null id rank last. An empty table gives no rows.
     """
     batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     kind = dict(base.dtypes)["id"]
-    found = written(base.mapInArrow(_units(unit, least), f"id {kind}, start long, end long, d1 long, d2 long"))
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "start")
-    kept = found.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other"), F.count("*").alias("n")).where("kept <> other")
+    found = written(base.mapInArrow(_units(unit, least), f"id {kind}, t long, k long, start long, end long, words long, d1 long, d2 long"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "start", "end", "t", "k")
+    kept = found.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("other"), F.count("*").alias("n")).where(
+        ~F.struct("kept.id", "kept.start").eqNullSafe(F.struct("other.id", "other.start")))
     kept = written(kept.select("d1", "d2", "kept", "n"))
     often = F.col("n") >= max(1000, FREQUENT * found.count())  # at most 1 / FREQUENT digests
     hot, rest = F.broadcast(kept.where(often).drop("n")), kept.where(~often).drop("n")
     both = found.join(hot, ["d1", "d2"]).union(found.join(hot, ["d1", "d2"], "left_anti").join(rest, ["d1", "d2"]))
-    return both.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("start") == F.col("kept.start")))).select(
-        "id", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start")).distinct()
+    both = both.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("start") == F.col("kept.start"))))
+    if run > 0:
+        # repeats of one document and one kept text that stand at the same distance; a run ends where a unit is left out
+        side = ["id", "t", F.col("kept.id"), F.col("kept.t"), F.col("k") - F.col("kept.k")]
+        both = both.distinct().withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*side).orderBy("k")))
+        both = both.withColumn("of_run", F.sum("words").over(Window.partitionBy(*side, "run"))).where(F.col("of_run") >= run)
+    return both.select("id", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"), F.col("kept.end").alias("kept_end")).distinct()
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least: int = LEAST_WORDS) -> DataFrame:
-    """Per document with a removal: id, n_removed, removed_chars, spans (start, end, kept_id, kept_start by start)."""
-    found = repeats(docs, id_col, text_col, unit, least)
-    return found.groupBy("id").agg(F.count("*").alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"),
-                                   F.array_sort(F.collect_list(F.struct("start", "end", "kept_id", "kept_start"))).alias("spans")).withColumnRenamed("id", id_col)
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", least: int = LEAST_WORDS, run: int = RUN_WORDS) -> DataFrame:
+    """Per document that loses a unit, or keeps one for other places: id, n_removed, removed_chars, spans, n_kept, kept.
+
+    ``spans`` are its removed units (start, end, kept_id, kept_start), ``kept`` the units it keeps
+    (start, end, places removed elsewhere), both by start.
+    """
+    found = written(repeats(docs, id_col, text_col, unit, least, run))
+    lost = found.select("id", "start", "end", "kept_id", "kept_start", F.lit(None).cast("long").alias("places"))
+    held = found.groupBy(F.col("kept_id").alias("id"), F.col("kept_start").alias("start"), F.col("kept_end").alias("end")).agg(F.count("*").alias("places")).select(
+        "id", "start", "end", F.lit(None).cast(dict(found.dtypes)["kept_id"]).alias("kept_id"), F.lit(None).cast("long").alias("kept_start"), "places")
+    gone = F.col("places").isNull()
+    return lost.union(held).groupBy("id").agg(
+        F.count(F.when(gone, 1)).alias("n_removed"), F.coalesce(F.sum(F.when(gone, F.col("end") - F.col("start"))), F.lit(0).cast("long")).alias("removed_chars"),
+        F.array_sort(F.collect_list(F.when(gone, F.struct("start", "end", "kept_id", "kept_start")))).alias("spans"),
+        F.count("places").alias("n_kept"), F.array_sort(F.collect_list(F.when(~gone, F.struct("start", "end", "places")))).alias("kept")).withColumnRenamed("id", id_col)

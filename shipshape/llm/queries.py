@@ -53,8 +53,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of all documents, however short: what is removed from each, with original offsets."""
-    return removed(table(spark, sf_dir, "documents"), least=1)
+    """Repeated lines of all documents in runs of 13 words or more: what each loses and what it keeps for others, with original offsets."""
+    return removed(table(spark, sf_dir, "documents"))
 
 
 def op6_hashing_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

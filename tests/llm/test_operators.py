@@ -246,21 +246,60 @@ def test_chat_windows_read_back(spark):
 def test_repeated_lines_keep_the_first(spark):
     line = "a passage of many words that stands in several documents at once"
     rows = [(2, f"own words here\n  {line.upper()}", "s", 1, 2, "x"), (1, f"{line}\nshort\nshort", "s", 1, 2, "x"), (3, None, "s", 1, 2, "x")]
-    out = lines.repeats(spark.createDataFrame(rows, DOCS)).collect()
+    out = lines.repeats(spark.createDataFrame(rows, DOCS), run=8).collect()
     assert [(r["id"], r["start"], r["kept_id"], r["kept_start"]) for r in out] == [(2, 15, 1, 0)]
 
 
-@pytest.mark.parametrize("least_often", [1000, 0])
-def test_query_removes_short_lines(spark, tmp_path, monkeypatch, least_often):
-    """A verse of short lines goes from all documents but the first, by shuffle and by the frequent digests."""
-    from shipshape.llm import queries
-
+def expected_repeats(rows, run):
+    """Kept first occurrences, and runs of adjacent repeats whose kept lines are adjacent too."""
+    cut = {}
+    for i, t in rows:
+        lines_ = [(m.start(), m.end(), m[0].lower().split()) for m in re.finditer(r"[^\n]+", t or "")]
+        cut[i, t] = [(s, e, len(w), " ".join(w)) for s, e, w in lines_ if w]
+    first = {}
+    for i, t in sorted(cut, key=lambda k: (k[0] is None, k[0] or 0)):
+        for k, (s, _, _, d) in enumerate(cut[i, t]):
+            first.setdefault(d, (i, t, k, s))
+    lost = {}
+    for (i, t), us in cut.items():
+        at = [first[d] if (first[d][0], first[d][3]) != (i, s) else None for s, _, _, d in us]
+        k = 0
+        while k < len(us):
+            j = k + 1
+            while at[k] and j < len(us) and at[j] and at[j][:2] == at[k][:2] and at[j][2] - at[k][2] == j - k:
+                j += 1
+            if at[k] and sum(n for _, _, n, _ in us[k:j]) >= run:
+                lost.setdefault(i, set()).update((s, e, a[0], a[3]) for (s, e, _, _), a in zip(us[k:j], at[k:j]))
+            k = j
+    return lost
+
+
+def line_corpus():
+    rng = random.Random(12)
+    verse = "\n".join(f"verse {i} has words" for i in range(8))
+    pool = ["Of.", "a b c", "  A  b C ", "one two three four five six seven", "x " * 14, "}", "last line of all"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.choice([1, 4, 12])))) for i in range(40)]
+    rows += [(50 + i, f"own {i} words\n\n{verse}\nend {i}") for i in range(5)] + [(60, verse[:60]), (61, "\n".join(f"line {i} of a long text" for i in range(5000)))]
+    return rows + [(62, rows[-1][1]), (70, None), (71, ""), (72, "\n\n"), (3, rows[3][1]), (None, verse)]
+
+
+@pytest.mark.parametrize("run,least_often", [(13, 1000), (13, 0), (0, 1000)])
+def test_repeated_lines_equal_brute_force(spark, monkeypatch, run, least_often):
+    """Runs and single lines, by shuffle and by the frequent digests; kept documents are rows too."""
     if not least_often:
         monkeypatch.setattr(lines, "max", lambda a, b: 0, raising=False)
-    verse = "one line\nand two\n}\n\n"
-    spark.createDataFrame([(i, verse + f"own {i}") for i in range(4)] + [(9, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = queries.op5_line_dedup(spark, str(tmp_path)).collect()
-    assert {r["doc_id"]: [(s["start"], s["end"], s["kept_id"]) for s in r["spans"]] for r in out} == {i: [(0, 8, 0), (9, 16, 0), (17, 18, 0)] for i in (1, 2, 3)}
+    rows = line_corpus()
+    out = lines.removed(spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, id long, t long, k int, words int"), run=run).collect()
+    lost = expected_repeats(rows, run)
+    assert {r["doc_id"]: set(map(tuple, r["spans"])) for r in out if r["n_removed"]} == lost
+    kept = Counter((i, s) for spans in lost.values() for _, _, i, s in spans)
+    assert {(r["doc_id"], k["start"]): k["places"] for r in out for k in r["kept"]} == kept
+    assert all((r["n_removed"], r["n_kept"]) == (len(r["spans"]), len(r["kept"])) and r["removed_chars"] == sum(s["end"] - s["start"] for s in r["spans"]) for r in out)
+    assert any(i is None for i in lost) and len(out) == len(set(lost) | {i for i, _ in kept})
+
+
+def test_repeated_lines_of_an_empty_table(spark):
+    assert lines.removed(spark.createDataFrame([], DOCS)).collect() == []
 
 
 def test_neighbours_recall(spark):
