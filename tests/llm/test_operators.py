@@ -97,17 +97,84 @@ def test_components_of_an_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def expected_targets(sizes, most=3):
+    """Source sizes -> targets: weights 1, 2, 3 in turn, stopped at ``most`` times, the excess reshared."""
+    order = sorted(sizes, key=lambda c: (c is None, c or ""))
+    weight = {c: i % 3 + 1 for i, c in enumerate(order)}
+    full = set()
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[c] for c in full)
+        share = {c: left * weight[c] / (sum(weight[x] for x in order if x not in full) or 1) for c in order if c not in full}
+        above = {c for c, v in share.items() if v > most * sizes[c]}
+        if not above:
+            return share | {c: most * sizes[c] for c in full}
+        full |= above
+
+
 def test_mix_is_near_its_targets_and_repeats(spark):
-    docs = spark.createDataFrame(corpus(), DOCS)
-    first = sorted(mix(docs).select("row", "copies").collect())
+    rows = corpus() + [(500 + i, "w " * 40, ["s0", "s1", "s2", None, "tiny"][i % 5], 1, 2, "x") for i in range(200)] + [(900, "a b", "tiny", 1, 2, "x")] * 2
+    docs = spark.createDataFrame(rows, DOCS)
     out = mix(docs).collect()
-    assert first == sorted((r["row"], r["copies"]) for r in out)
-    assert all(0 <= r["copies"] <= 3 for r in out)
-    total = sum(r["size"] for r in out)
-    assert abs(sum({r["class"]: r["target"] for r in out}.values()) - total) < 1e-6
+    assert sorted((r["row"], r["copies"]) for r in out) == sorted(mix(docs).select("row", "copies").collect())
+    assert all(0 <= r["copies"] <= 3 for r in out) and sum(r["rows"] for r in out) == len(rows)
+    sizes = Counter()
+    for _, t, c, *_ in rows:
+        sizes[c] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    targets = expected_targets(sizes)
+    longest = {c: max(len((t or "").split()) for _, t, x, *_ in rows if x == c) for c in sizes}
+    for c, goal in targets.items():
+        own = [r for r in out if r["class"] == c]
+        assert {r["class_size"] for r in own} == {sizes[c]} and all(abs(r["target"] - goal) < 1e-6 for r in own)
+        assert abs(sum(r["size"] * r["copies"] * r["rows"] for r in own) - goal) <= max(0.01 * goal, longest[c] / 2)  # half a text that can't be cut
     assert mix(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_base_spans_of_the_query_equal_brute_force(spark):
+    """The query's counts and digest on given documents; patterns written out anew."""
+    from shipshape.llm import queries
+
+    src = "/root/testdata/sf0.01"
+    out = {r["doc_id"]: r for r in queries.op2_secrets(spark, src).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{src}/documents.parquet").collect()}
+    assert len(out) == len(texts)
+    for i, t in texts.items():
+        spans = []
+        for m in re.finditer(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.ASCII):
+            spans += [(m.start(), 0, m.end())] if len(m[1]) >= 8 else []
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        spans.sort()
+        assert [out[i][k] for k in ("n_assign", "n_access", "n_hex")] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert out[i]["base_sha256"] == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in out.values()) > 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Each stage on its own input: what it keeps, and the token files of the mix."""
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    rows = [(i, f"{t} {' '.join(rng.choice(['tree', 'house']) for _ in range(3))}" if t else t, c, *x) for i, t, c, *x in corpus() if i is not None and i < 102]
+    labels = [(r[0], r[0] % 2) for r in rows[:40]]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = cp.quality(spark, docs, str(tmp_path))
+    accepted = {r["doc_id"] for r in quality.classify(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() if r["predicted"] == 1}
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[0] in accepted), key=str)
+    single = cp.near_duplicates(spark, docs, str(tmp_path))
+    parts = expected_components(rows, 5, 80, 100)
+    assert {r["doc_id"] for r in single.collect()} == {i for i, (_, c) in parts.items() if i == c} != set(parts)
+    mixed = cp.written(cp.mixing(spark, single, str(tmp_path)))
+    copies = {r["id"]: r["copies"] for r in mix(single).collect()}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({i: n for i, n in copies.items() if n}) and mixed.columns == docs.columns
+    own = Tokenizer.from_file(tokenizer_file())
+    ids = {r["doc_id"]: [*own.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in mixed.collect()}
+    out = cp.token_files(spark, mixed, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == Counter({(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())): copies[i] for i, x in ids.items()})
+
+
 def test_leaks_are_found_and_clean_documents_are_not(spark):
     rows = corpus()
     item = "one two three four five six seven eight nine ten eleven twelve"
