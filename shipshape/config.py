@@ -8,8 +8,6 @@ customers, sellers and products) are documented in FIXTURES.md section 3.
 # --- fixed values: analysis period (half-open) and calendar --------------------------------------
 PERIOD_START = "1996-01-01"
 PERIOD_END = "2001-01-01"
-CALENDAR_START = "1996-01-01"
-CALENDAR_END = "2000-12-31"
 
 # --- fixed values: binding of the driver tables ---------------------------------------------------
 DELIVERED_STATUSES = ("F", "O")        # statuses that mean "delivered"; P = not delivered
@@ -34,9 +32,10 @@ SELLER_SHORT_CHARS = 8                 # short seller label = last 8 characters
 # --- fixed values: business rules -----------------------------------------------------------------
 LOW_SCORE_MAX = 2                      # score <= 2 is a low score
 OUTCOMES = ("On time", "Late", "Not delivered", "Unknown")
-OUTCOME_SORT = {"On time": 1, "Late": 2, "Not delivered": 3, "Unknown": 4}
-DELAY_BANDS = (("On time", 1), ("Late 1-3 days", 2), ("Late 4-7 days", 3), ("Late 8-14 days", 4),
-               ("Late 15+ days", 5), ("Not delivered", 6), ("Unknown", 7))
+# delay bands of delivered orders: label, first and last day of delay; the two outcomes without a delay follow
+DELAY_RULES = (("On time", None, 0), ("Late 1-3 days", 1, 3), ("Late 4-7 days", 4, 7), ("Late 8-14 days", 8, 14), ("Late 15+ days", 15, None))
+DELAY_BANDS = tuple(label for label, _, _ in DELAY_RULES) + ("Not delivered", "Unknown")
+LATE_BANDS = DELAY_BANDS[1:5]
 Z_95 = 1.96
 
 # --- fixed values: bands and thresholds of the cuts ------------------------------------------------
@@ -138,4 +137,44 @@ RELATIONSHIPS = (
     ("sellers", "seller_zip_code_prefix", "geolocation", "geolocation_zip_code_prefix"),
 )
 LATE_LIMIT_TS = "2001-06-30 23:59:59"  # shipping limits after the data's horizon
-ACCTBAL_RANGE = (-999.99, 9999.99)     # plausible account balance (bounding-box check)
+PLAUSIBLE_BOX = {"c_acctbal": (0, 9000), "c_nationkey": (1, 20)}   # rows outside in one column or the other count
+
+# --- fixed values: labels of the check lists -----------------------------------------------------------
+CHECK_LABELS = {
+    "A1": "all orders", "A2": "orders never handed over", "A3": "orders older than the window", "A4": "orders newer than the window",
+    "A5": "orders inside the window", "A6": "dated deliveries inside the window", "A7": "dated deliveries overall",
+    "A8": "orders rated low at last", "A9": "rated low at last and never handed over",
+    "B1": "handed over, no arrival date", "B2": "arrival date, never handed over", "B3": "arrival precedes purchase", "B4": "arrival precedes handover",
+    "B5": "handover precedes purchase", "B6": "handover precedes approval", "B7": "approval precedes purchase", "B8": "promise precedes purchase day",
+    "B9": "dated delivery, no approval", "B10": "dated delivery, no handover", "B11": "arrived on the promised day", "B12": "arrived after the promised day",
+    "B13": "arrived after the promised moment", "B14": "over 60 days under way", "B15": "over 30 days past the promise",
+    "C1": "price not positive", "C2": "free freight", "C3": "freight dearer than the goods", "C4": "price beyond 100,000",
+    "C5": "orders on both sides", "C6": "sides a cent or more apart", "C7": "sides over a unit apart", "C8": "empty payments", "C9": "payments of no defined type",
+    "D1": "reviews", "D2": "orders reviewed", "D3": "orders reviewed repeatedly", "D4": "reviewed repeatedly, scores unlike", "D5": "reviews superseded by a later one",
+    "D6": "review ids spanning orders", "D7": "reviews under such ids", "D8": "such ids, score or comment unlike", "D9": "such ids, several people",
+    "D10": "comments of blanks alone", "D11": "orders never reviewed", "D12": "last review answered before arrival", "D13": "review ids low and commented",
+    "D14": "in time and reviewed", "D15": "in time, asked within a day of arrival", "D16": "late and reviewed", "D17": "late, asked within three days of the promise",
+    "D18": "late, asked before arrival",
+    "E1": "items", "E2": "items lacking a category", "E3": "items, category untranslated", "E4": "orders of several sellers", "E5": "orders of several categories",
+    "E6": "people of several states", "E7": "customers, prefix unknown", "E8": "sellers, prefix unknown", "E9": "customers lacking a state", "E10": "sellers lacking a state",
+}
+TRAP_LABELS = (
+    "customer rows", "customers told apart", "customers under several ids", "orders handed over", "orders handed over, no arrival date",
+    "orders with an arrival date, never handed over", "orders of several items", "orders of several sellers", "items due past the horizon",
+    "payments without instalments", "payments of nothing", "review ids on several rows", "review ids on several orders", "orders with several reviews",
+    "reviews with words", "low reviews", "low reviews with words", "products lacking a category", "reviews lacking every text", "products weighing nothing",
+    "categories lacking a translation", "document rows", "document rows repeating a text", "prefixes told apart", "prefixes of several states",
+    "customers outside the plausible box",
+)
+TEST_LABELS = (
+    ("Row counts", "orders kept"), ("Row counts", "items kept"), ("Row counts", "people kept"), ("Row counts", "orders by person add up"), ("Row counts", "days without gaps"),
+    ("Unique keys", "order"), ("Unique keys", "order and item number"), ("Unique keys", "person"), ("Unique keys", "seller"), ("Unique keys", "seller's short name"),
+    ("Unique keys", "product"), ("Unique keys", "day"), ("Unique keys", "state"),
+    ("Relationships", "order to person"), ("Relationships", "order to day"), ("Relationships", "order to state"), ("Relationships", "item to order"),
+    ("Relationships", "item to product"), ("Relationships", "item to seller"), ("Relationships", "seller to region"), ("Relationships", "product to category"),
+    ("Value reconciliation", "price of items"), ("Value reconciliation", "price of orders"), ("Value reconciliation", "freight of orders"),
+    ("Value reconciliation", "items by order add up"), ("Value reconciliation", "orders without items"),
+    ("Reviews", "orders reviewed"), ("Reviews", "reviewed, no score"), ("Reviews", "score, not reviewed"), ("Reviews", "score off the scale"),
+    ("Delivery logic", "delivered"), ("Delivery logic", "late"), ("Delivery logic", "in time and late make up delivered"), ("Delivery logic", "in-time flag without delivery"),
+    ("Delivery logic", "in-time flag against outcome"), ("Delivery logic", "negative durations"), ("Delivery logic", "never handed over"),
+)

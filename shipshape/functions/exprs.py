@@ -30,10 +30,6 @@ def varies(c: Column | str) -> Column:
     return F.min(col(c)) != F.max(col(c))
 
 
-def sum_if(cond: Column, value: Column | str) -> Column:
-    return F.sum(F.when(cond, col(value)))
-
-
 def avg_if(cond: Column, value: Column | str) -> Column:
     return F.avg(F.when(cond, col(value)).cast("double"))
 
@@ -126,6 +122,20 @@ def squash_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"[{C.WHITE_SPACE}]+", " "))
 
 
+def null_splitting_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left.join(right, key, "left")`` whose rows without a key go round the exchange.
+
+    A NULL key matches nothing, but an outer join must keep its rows, and a shuffle sends them all to
+    one task. Here they are unioned with NULLs for the columns of ``right``. ``key`` stays in the
+    place it has in ``left``.
+    """
+    more = [c for c in right.columns if c != key]
+    matched = left.where(F.col(key).isNotNull()).join(right.where(F.col(key).isNotNull()), key, "left").select(*left.columns, *more)
+    types = dict(right.dtypes)
+    bare = left.where(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(types[c]).alias(c) for c in more])
+    return matched.unionByName(bare)
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row result bound once, as a struct-valued scalar subquery: ``one_row(base)["low"]``.
 

@@ -101,7 +101,7 @@ def _gap_cols(prefix: str = "") -> list[Column]:
 
 def _with_region(fact: DataFrame, geo: DataFrame) -> DataFrame:
     g = geo.select(f("state_code").alias("customer_state"), "region", "state_name")
-    return fact.join(F.broadcast(g), "customer_state", "inner")
+    return fact.join(g, "customer_state", "inner")
 
 
 def gap_region_range(fact: DataFrame, geo: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 Every per-table statistic is one aggregation pass (all columns' nulls, distinct counts, first
 example, min, max in a single ``agg``), unpivoted afterwards with ``stack``; key and relationship
-checks are distinct + left-anti joins; trap counts are fused per table.
+checks take one grouping per candidate or one join of keys per relation; trap counts take one aggregate
+for each relation and grouping key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shipshape import config as C
 from shipshape.functions.exprs import count_if, ratio, unicode_trim, varies
+from shipshape.operators.quality import reviews_with_digests, totals
 from shipshape.plans.star import Star
 
 f = F.col
@@ -94,62 +98,51 @@ def fk_profile(star: Star, relations=C.RELATIONSHIPS) -> DataFrame:
     return _union(parts)
 
 
-def _having_count(df: DataFrame, key: str, cond) -> object:
-    return df.groupBy(key).agg(cond.alias("_h")).filter(f("_h")).agg(F.count(F.lit(1))).scalar()
+def all_missing(columns) -> Column:
+    """Every one of the columns is NULL."""
+    return reduce(lambda x, y: x & y, [f(c).isNull() for c in columns])
+
+
+def outside_box(box: dict[str, tuple]) -> Column:
+    """Some column lies outside its range."""
+    return reduce(lambda x, y: x | y, [~f(c).between(lo, hi) for c, (lo, hi) in box.items()])
 
 
 def trap_checks(star: Star) -> DataFrame:
-    """Q5 + Q6: labelled trap counts (check suite: id, label, count)."""
+    """Q5 + Q6: check suite (check_id, label, value); one aggregate for each relation and grouping key.
+
+    Document texts are compared by digest, comments reach the reviews as flags.
+    """
     r = star.raw
-    shipped = f("order_status").isin(*C.DELIVERED_STATUSES)
-    text = unicode_trim(f("review_comment_message")) != ""
-    o, i, p, rv, cu, pr = (r[x] for x in ("orders", "order_items", "order_payments", "order_reviews", "customers",
-                                          "products"))
-    docs = star.tables.documents
-    cust = star.tables.customer
-    lo, hi = C.ACCTBAL_RANGE
-
-    def n(df, cond=None):
-        return (df if cond is None else df.filter(cond)).agg(F.count(F.lit(1))).scalar()
-
-    checks = [
-        ("customers: rows", n(cu)),
-        ("customers: distinct customer_unique_id", cu.agg(F.count_distinct("customer_unique_id")).scalar()),
-        ("customers: people with more than one customer_id", _having_count(cu, "customer_unique_id", F.count(F.lit(1)) > 1)),
-        ("orders: delivered status", n(o, shipped)),
-        ("orders: delivered status without delivery date", n(o, shipped & f("order_delivered_customer_date").isNull())),
-        ("orders: other status with a delivery date", n(o, ~shipped & f("order_delivered_customer_date").isNotNull())),
-        ("order items: orders with more than one item row", _having_count(i, "order_id", F.count(F.lit(1)) > 1)),
-        ("order items: orders with more than one seller", _having_count(i, "order_id", varies("seller_id"))),
-        ("order items: shipping limit after the horizon",
-         n(i, f("shipping_limit_date") > F.lit(C.LATE_LIMIT_TS).cast("timestamp_ntz"))),
-        ("payments: rows with 0 instalments", n(p, f("payment_installments") == 0)),
-        ("payments: rows with payment_value = 0", n(p, f("payment_value") == 0)),
-        ("reviews: review_id on more than one row", _having_count(rv, "review_id", F.count(F.lit(1)) > 1)),
-        ("reviews: review_id on more than one order", _having_count(rv, "review_id", varies("order_id"))),
-        ("reviews: orders with more than one review", _having_count(rv, "order_id", F.count(F.lit(1)) > 1)),
-        ("reviews: rows with a written comment", n(rv, text)),
-        ("reviews: rows with score 1-2", n(rv, f("review_score") <= C.LOW_SCORE_MAX)),
-        ("reviews: rows with score 1-2 and a comment", n(rv, (f("review_score") <= C.LOW_SCORE_MAX) & text)),
-        ("products: rows without a category", n(pr, f("product_category_name").isNull())),
-        ("products: rows with category and weight missing",
-         n(pr, f("product_category_name").isNull() & f("product_weight_g").isNull())),
-        ("products: rows with weight = 0", n(pr, f("product_weight_g") == 0)),
-        ("products: categories without a translation",
-         pr.filter(f("product_category_name").isNotNull())
-           .join(r["category_translation"], "product_category_name", "left_anti")
-           .agg(F.count_distinct("product_category_name")).scalar()),
-        ("documents: rows", n(docs)),
-        ("documents: rows that are exact duplicates of another row (text)",
-         n(docs.select("text")) - n(docs.select("text").distinct())),
-        ("geolocation: distinct zip code prefixes", r["geolocation"].agg(F.count_distinct("geolocation_zip_code_prefix")).scalar()),
-        ("geolocation: prefixes mapped to more than one state",
-         _having_count(r["geolocation"], "geolocation_zip_code_prefix", varies("geolocation_state"))),
-        ("customers: account balance outside the plausible range", n(cust, ~f("c_acctbal").between(lo, hi))),
+    shipped, arrived = f("order_status").isin(*C.DELIVERED_STATUSES), f("order_delivered_customer_date").isNotNull()
+    n = f("n")
+
+    def grouped(df, key, **parts):
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in parts.items()])
+    reviews = reviews_with_digests(star)
+    low = f("review_score") <= C.LOW_SCORE_MAX
+    bare = f("review_comment_title").isNull() & ~F.coalesce(f("blank") | f("words"), F.lit(False))
+    texts = star.tables.documents.select(F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
+    categories = grouped(r["products"], "product_category_name", light=count_if(f("product_weight_g") == 0)).join(
+        r["category_translation"].select("product_category_name", F.lit(True).alias("known")), "product_category_name", "left")
+    named = f("product_category_name").isNotNull()
+    lists = [
+        (grouped(r["customers"], "customer_unique_id"), {1: F.sum(n), 2: count_if(f("customer_unique_id").isNotNull()), 3: count_if(n > 1)}),
+        (r["orders"], {4: count_if(shipped), 5: count_if(shipped & ~arrived), 6: count_if(~shipped & arrived)}),
+        (grouped(r["order_items"], "order_id", several=varies("seller_id"), late=count_if(f("shipping_limit_date") > F.lit(C.LATE_LIMIT_TS).cast("timestamp_ntz"))),
+         {7: count_if(n > 1), 8: count_if(f("several")), 9: F.sum("late")}),
+        (r["order_payments"], {10: count_if(f("payment_installments") == 0), 11: count_if(f("payment_value") == 0)}),
+        (grouped(reviews, "review_id", several=varies("order_id"), words=count_if(f("words")), low=count_if(low), both=count_if(low & f("words")), bare=count_if(bare)),
+         {12: count_if(n > 1), 13: count_if(f("several")), 15: F.sum("words"), 16: F.sum("low"), 17: F.sum("both"), 19: F.sum("bare")}),
+        (grouped(r["order_reviews_keyed"], "order_id"), {14: count_if(n > 1)}),
+        (categories, {18: F.sum(F.when(~named, n)), 20: F.sum("light"), 21: count_if(named & f("known").isNull())}),
+        (grouped(texts, "digest"), {22: F.sum(n), 23: F.sum(n - 1)}),
+        (grouped(r["geolocation"], "geolocation_zip_code_prefix", several=varies("geolocation_state")),
+         {24: count_if(f("geolocation_zip_code_prefix").isNotNull()), 25: count_if(f("several"))}),
+        (star.tables.customer, {26: count_if(outside_box(C.PLAUSIBLE_BOX))}),
     ]
-    structs = [F.struct(F.lit(k + 1).cast("bigint").alias("check_id"), F.lit(label).alias("label"),
-                        v.cast("bigint").alias("value")) for k, (label, v) in enumerate(checks)]
-    return star.spark.range(1).select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+    labels = dict(enumerate(C.TRAP_LABELS, 1))
+    return _union([totals(df, checks, labels) for df, checks in lists]).withColumn("check_id", f("check_id").cast("bigint"))
 
 
 def status_breakdown(star: Star) -> DataFrame:

@@ -1,8 +1,9 @@
 """Q13-Q32: data-quality checks on the raw layer and on the facts.
 
-Conditions on one relation are counted by one aggregate (``fused``): one scan per table. The lists of
-Q21-Q23 and Q27 still take a scalar subquery per check. Lists come back as (check_id, label, value)
-rows.
+Conditions on one relation are counted by one aggregate (``fused``); conditions on groups of its rows
+("orders with several reviews") by a second aggregate over one grouping by the key (``totals``). A list
+scans each relation once for each key that it groups by. Lists come back as (check_id, label, value)
+rows, labels in ``config.CHECK_LABELS``.
 """
 
 from __future__ import annotations
@@ -10,33 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import count_if, days_between, ratio, unicode_trim, varies
+from shipshape.functions.exprs import count_if, days_between, has_text, null_splitting_left_join, ratio, varies
 from shipshape.operators.rank import exact_quantiles
 from shipshape.plans.star import Star, in_period, latest_review_per_order
 
 f = F.col
 
 
-def check_list(star: Star, checks: list[tuple[str, str, Column]]) -> DataFrame:
-    structs = [F.struct(F.lit(cid).alias("check_id"), F.lit(label).alias("label"), v.cast("bigint").alias("value"))
-               for cid, label, v in checks]
-    return star.spark.range(1).select(F.explode(F.array(*structs)).alias("c")).select("c.*")
-
-
-def fused(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
-    """(check_id, label, value): how many rows of ``df`` meet each condition, in one aggregate over one scan."""
-    one = df.agg(*[count_if(cond).alias(f"v{i}") for i, (_, _, cond) in enumerate(checks)])
-    rows = [F.struct(F.lit(cid).alias("check_id"), F.lit(label).alias("label"), f(f"v{i}").alias("value"))
-            for i, (cid, label, _) in enumerate(checks)]
+def totals(df: DataFrame, checks: dict[str, Column], labels: dict[str, str] = C.CHECK_LABELS) -> DataFrame:
+    """(check_id, label, value): aggregates of one relation, in one aggregation over one scan."""
+    one = df.agg(*[F.coalesce(value, F.lit(0)).cast("bigint").alias(f"v{i}") for i, value in enumerate(checks.values())])
+    rows = [F.struct(F.lit(cid).alias("check_id"), F.lit(labels[cid]).alias("label"), f(f"v{i}").alias("value")) for i, cid in enumerate(checks)]
     return one.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
 
 
-def _n(df: DataFrame, cond: Column | None = None) -> Column:
-    return (df if cond is None else df.filter(cond)).agg(F.count(F.lit(1))).scalar()
-
-
-def _having(df: DataFrame, key: str, cond: Column) -> Column:
-    return df.groupBy(key).agg(cond.alias("_h")).filter(f("_h")).agg(F.count(F.lit(1))).scalar()
+def fused(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(check_id, label, value): how many rows of ``df`` meet each condition."""
+    return totals(df, {cid: count_if(cond) for cid, cond in checks.items()})
 
 
 def delivered_view(star: Star) -> DataFrame:
@@ -63,18 +54,18 @@ def scope_checks(star: Star) -> DataFrame:
     p0, p1 = F.lit(C.PERIOD_START).cast("timestamp_ntz"), F.lit(C.PERIOD_END).cast("timestamp_ntz")
     low = f("review_score") <= C.LOW_SCORE_MAX
     reviewed = latest_reviews(star).select("order_id", "review_score").join(star.raw["orders"].select("order_id", "order_status"), "order_id", "left")
-    return fused(star.raw["orders"], [
-        ("A1", "orders in total", F.lit(True)),
-        ("A2", "orders with a not-delivered status", ~shipped),
-        ("A3", "orders purchased before the period", f("order_purchase_timestamp") < p0),
-        ("A4", "orders purchased after the period", f("order_purchase_timestamp") >= p1),
-        ("A5", "orders purchased in the period", in_period("order_purchase_timestamp")),
-        ("A6", "delivered orders with a date, in the period", dated & in_period("order_purchase_timestamp")),
-        ("A7", "delivered orders with a date, all periods", dated),
-    ]).unionByName(fused(reviewed, [
-        ("A8", "orders whose latest review has 1-2 stars", low),
-        ("A9", "of these: status not delivered", low & ~shipped),
-    ]))
+    return fused(star.raw["orders"], {
+        "A1": (F.lit(True)),
+        "A2": (~shipped),
+        "A3": (f("order_purchase_timestamp") < p0),
+        "A4": (f("order_purchase_timestamp") >= p1),
+        "A5": (in_period("order_purchase_timestamp")),
+        "A6": (dated & in_period("order_purchase_timestamp")),
+        "A7": (dated),
+    }).unionByName(fused(reviewed, {
+        "A8": (low),
+        "A9": (low & ~shipped),
+    }))
 
 
 def review_outcome_by_status(star: Star) -> DataFrame:
@@ -93,23 +84,23 @@ def timestamp_checks(star: Star) -> DataFrame:
                                      "order_purchase_timestamp", "order_approved_at"))
     dated = shipped & dc.isNotNull()
     delay = days_between(F.to_date("order_estimated_delivery_date"), F.to_date(dc))
-    return fused(star.raw["orders"], [
-        ("B1", "delivered status without delivery date", shipped & dc.isNull()),
-        ("B2", "other status with delivery date", ~shipped & dc.isNotNull()),
-        ("B3", "delivered before purchase", dc < pt),
-        ("B4", "delivered before handover to carrier", dc < cc),
-        ("B5", "handed to carrier before purchase", cc < pt),
-        ("B6", "handed to carrier before approval", cc < ap),
-        ("B7", "approved before purchase", ap < pt),
-        ("B8", "estimated date before purchase date", F.to_date("order_estimated_delivery_date") < F.to_date(pt)),
-        ("B9", "delivered orders without approval date", dated & ap.isNull()),
-        ("B10", "delivered orders without carrier date", dated & cc.isNull()),
-        ("B11", "delivered on the estimated day", dated & (delay == 0)),
-        ("B12", "late by calendar day", dated & (delay > 0)),
-        ("B13", "late by timestamp", dated & (dc > f("order_estimated_delivery_date"))),
-        ("B14", "delivery took more than 60 days", dated & (days_between(F.to_date(pt), F.to_date(dc)) > 60)),
-        ("B15", "more than 30 days late", dated & (delay > 30)),
-    ])
+    return fused(star.raw["orders"], {
+        "B1": (shipped & dc.isNull()),
+        "B2": (~shipped & dc.isNotNull()),
+        "B3": (dc < pt),
+        "B4": (dc < cc),
+        "B5": (cc < pt),
+        "B6": (cc < ap),
+        "B7": (ap < pt),
+        "B8": (F.to_date("order_estimated_delivery_date") < F.to_date(pt)),
+        "B9": (dated & ap.isNull()),
+        "B10": (dated & cc.isNull()),
+        "B11": (dated & (delay == 0)),
+        "B12": (dated & (delay > 0)),
+        "B13": (dated & (dc > f("order_estimated_delivery_date"))),
+        "B14": (dated & (days_between(F.to_date(pt), F.to_date(dc)) > 60)),
+        "B15": (dated & (delay > 30)),
+    })
 
 
 QS = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -141,15 +132,15 @@ def duration_quantiles(star: Star) -> DataFrame:
 
 def value_checks(star: Star) -> DataFrame:
     """Q17: C1-C4 in one aggregate over the items, C8 and C9 in one over the payments."""
-    return fused(star.raw["order_items"], [
-        ("C1", "item rows with price <= 0", f("price") <= 0),
-        ("C2", "item rows with freight = 0", f("freight_value") == 0),
-        ("C3", "item rows with freight above price", f("freight_value") > f("price")),
-        ("C4", "item rows with price above 100,000", f("price") > 100000),
-    ]).unionByName(fused(star.raw["order_payments"], [
-        ("C8", "payment rows with value = 0", f("payment_value") == 0),
-        ("C9", "payment rows with type not_defined", f("payment_type") == "not_defined"),
-    ]))
+    return fused(star.raw["order_items"], {
+        "C1": (f("price") <= 0),
+        "C2": (f("freight_value") == 0),
+        "C3": (f("freight_value") > f("price")),
+        "C4": (f("price") > 100000),
+    }).unionByName(fused(star.raw["order_payments"], {
+        "C8": (f("payment_value") == 0),
+        "C9": (f("payment_type") == "not_defined"),
+    }))
 
 
 def payment_reconciliation(star: Star) -> DataFrame:
@@ -157,11 +148,11 @@ def payment_reconciliation(star: Star) -> DataFrame:
     i = star.raw["order_items"].groupBy("order_id").agg(F.sum(f("price") + f("freight_value")).alias("items_total"))
     p = star.raw["order_payments"].groupBy("order_id").agg(F.sum("payment_value").alias("paid_total"))
     diff = F.abs(f("items_total") - f("paid_total"))
-    return fused(i.join(p, "order_id", "inner"), [
-        ("C5", "orders with both items and payments", F.lit(True)),
-        ("C6", "of these: totals differ by more than 0.01", diff > 0.01),
-        ("C7", "of these: totals differ by more than 1.00", diff > 1.00),
-    ])
+    return fused(i.join(p, "order_id", "inner"), {
+        "C5": (F.lit(True)),
+        "C6": (diff > 0.01),
+        "C7": (diff > 1.00),
+    })
 
 
 def price_quantiles(star: Star) -> DataFrame:
@@ -189,46 +180,46 @@ def top5_freight(star: Star, n: int = 5) -> DataFrame:
 
 
 def duplicate_reviews(star: Star) -> DataFrame:
-    """Q21: D1-D5, D11."""
-    r = star.raw["order_reviews_keyed"]
-    o = star.raw["orders"]
-    return check_list(star, [
-        ("D1", "review rows", _n(r)),
-        ("D2", "orders with at least one review", r.agg(F.count_distinct("order_id")).scalar()),
-        ("D3", "orders with more than one review", _having(r, "order_id", F.count(F.lit(1)) > 1)),
-        ("D4", "of these: different scores",
-         _having(r, "order_id", (F.count(F.lit(1)) > 1) & varies("review_score"))),
-        ("D5", "rows removed by keeping the latest review per order", _n(r) - _n(latest_reviews(star))),
-        ("D11", "orders without any review", _n(o.join(r.select("order_id"), "order_id", "left_anti"))),
-    ])
+    """Q21: D1-D5, D11; reviews and orders meet in one grouping by order, neither is joined."""
+    none = F.lit(None).cast("bigint")
+    r = star.raw["order_reviews_keyed"].select("order_id", f("review_score").alias("score"), F.lit(1).alias("review"), F.lit(0).alias("placed"))
+    o = star.raw["orders"].select("order_id", none.alias("score"), F.lit(0).alias("review"), F.lit(1).alias("placed"))
+    n = f("reviews")
+    by_order = r.unionByName(o).groupBy("order_id").agg(F.sum("review").alias("reviews"), F.sum("placed").alias("orders"), varies("score").alias("unlike"))
+    return totals(by_order, {
+        "D1": F.sum(n), "D2": count_if((n > 0) & f("order_id").isNotNull()), "D3": count_if(n > 1), "D4": count_if((n > 1) & f("unlike")),
+        "D5": F.sum(n) - count_if(n > 0), "D11": F.sum(F.when(n == 0, f("orders")))})
+
+
+def comment_digests(star: Star) -> DataFrame:
+    """comment_doc_id, digest, blank, words: what the checks need of a comment, without its text."""
+    text = f("text")
+    return star.tables.documents.select(f("doc_id").alias("comment_doc_id"), F.md5(text).alias("digest"),
+                                        (text.isNotNull() & ~has_text(text)).alias("blank"), has_text(text).alias("words"))
+
+
+def reviews_with_digests(star: Star) -> DataFrame:
+    return null_splitting_left_join(star.raw["order_reviews_keyed"], comment_digests(star), "comment_doc_id")
 
 
 def shared_review_ids(star: Star) -> DataFrame:
-    """Q22: D6-D9 review ids shared by several orders."""
-    r = star.raw["order_reviews"]
-    shared = r.groupBy("review_id").agg(varies("order_id").alias("_shared")).filter(f("_shared"))
-    ppl = (r.join(star.raw["orders"].select("order_id", "customer_id"), "order_id", "inner")
-           .join(star.raw["customers"].select("customer_id", "customer_unique_id"), "customer_id", "inner"))
-    return check_list(star, [
-        ("D6", "review_id linked to more than one order", _n(shared)),
-        ("D7", "review rows of such a shared review_id", _n(r.join(shared.select("review_id"), "review_id", "left_semi"))),
-        ("D8", "shared review_id whose rows differ in score or comment",
-         _having(r, "review_id", varies("order_id") & (
-             varies("review_score") | varies(F.coalesce(f("review_comment_message"), F.lit("")))))),
-        ("D9", "shared review_id whose orders belong to different people",
-         _having(ppl, "review_id", varies("order_id") & varies("customer_unique_id"))),
-    ])
+    """Q22: D6-D9, review ids shared by several orders; one grouping by id, comments compared by digest."""
+    people = (star.raw["orders"].select("order_id", "customer_id").join(star.raw["customers"].select("customer_id", "customer_unique_id"), "customer_id", "inner")
+              .groupBy("order_id").agg(F.min("customer_unique_id").alias("low"), F.max("customer_unique_id").alias("high")))
+    r = reviews_with_digests(star).select("review_id", "order_id", "review_score", F.coalesce("digest", F.md5(F.lit(""))).alias("digest"))
+    known = F.when(f("low").isNotNull(), f("order_id"))
+    by_id = r.join(people, "order_id", "left").groupBy("review_id").agg(
+        F.count(F.lit(1)).alias("n"), varies("order_id").alias("shared"), (varies("review_score") | varies("digest")).alias("unlike"),
+        (varies(known) & (F.min("low") != F.max("high"))).alias("several"))
+    shared = f("shared")
+    return totals(by_id, {"D6": count_if(shared), "D7": F.sum(F.when(shared, f("n"))), "D8": count_if(shared & f("unlike")), "D9": count_if(f("several"))})
 
 
 def comment_checks(star: Star) -> DataFrame:
-    """Q23: D10 blank comments, D13 distinct low + commented review ids."""
-    r = star.raw["order_reviews"]
-    t = unicode_trim(f("review_comment_message"))
-    return check_list(star, [
-        ("D10", "comments with only spaces", _n(r, f("review_comment_message").isNotNull() & (t == ""))),
-        ("D13", "1-2 star reviews with a comment, distinct review_id",
-         r.filter((f("review_score") <= C.LOW_SCORE_MAX) & (t != "")).agg(F.count_distinct("review_id")).scalar()),
-    ])
+    """Q23: D10 blank comments, D13 distinct low + commented review ids; one grouping by id."""
+    low = (f("review_score") <= C.LOW_SCORE_MAX) & f("words")
+    by_id = reviews_with_digests(star).groupBy("review_id").agg(count_if(f("blank")).alias("blank"), count_if(low).alias("low"))
+    return totals(by_id, {"D10": F.sum("blank"), "D13": count_if((f("low") > 0) & f("review_id").isNotNull())})
 
 
 def survey_timing(star: Star) -> DataFrame:
@@ -236,17 +227,14 @@ def survey_timing(star: Star) -> DataFrame:
     x = delivered_view(star).join(latest_reviews(star), "order_id", "inner")
     sent = F.to_date("review_creation_date")
     on, late = f("delay_days") <= 0, f("delay_days") > 0
-    return fused(x, [
-        ("D12", "delivered orders whose latest review was answered before delivery",
-         f("review_answer_timestamp") < f("order_delivered_customer_date")),
-        ("D14", "on-time delivered orders with a review", on),
-        ("D15", "of these: survey sent 0-1 days after delivery",
-         on & days_between(F.to_date("order_delivered_customer_date"), sent).between(0, 1)),
-        ("D16", "late delivered orders with a review", late),
-        ("D17", "of these: survey sent 0-3 days after the estimated date",
-         late & days_between(F.to_date("order_estimated_delivery_date"), sent).between(0, 3)),
-        ("D18", "of these: survey sent before delivery", late & (sent < F.to_date("order_delivered_customer_date"))),
-    ])
+    return fused(x, {
+        "D12": (f("review_answer_timestamp") < f("order_delivered_customer_date")),
+        "D14": (on),
+        "D15": (on & days_between(F.to_date("order_delivered_customer_date"), sent).between(0, 1)),
+        "D16": (late),
+        "D17": (late & days_between(F.to_date("order_estimated_delivery_date"), sent).between(0, 3)),
+        "D18": (late & (sent < F.to_date("order_delivered_customer_date"))),
+    })
 
 
 def review_gaps_by_outcome(star: Star) -> DataFrame:
@@ -269,28 +257,26 @@ def review_gaps_by_status(star: Star) -> DataFrame:
 
 
 def entity_checks(star: Star) -> DataFrame:
-    """Q27: E1-E10."""
+    """Q27: E1-E10; one grouping of items by order, of customers by person, one aggregate of sellers."""
     r = star.raw
-    i, p, t = r["order_items"], r["products"], r["category_translation"]
-    ip = i.join(p, "product_id", "inner")
-    geo = r["geolocation"].select(f("geolocation_zip_code_prefix").alias("_z"))
-    cu, se = r["customers"], r["sellers"]
-    return check_list(star, [
-        ("E1", "item rows in total", _n(i)),
-        ("E2", "item rows without a category", _n(ip, f("product_category_name").isNull())),
-        ("E3", "item rows whose category has no translation",
-         _n(ip.filter(f("product_category_name").isNotNull()).join(t, "product_category_name", "left_anti"))),
-        ("E4", "orders with more than one seller", _having(i, "order_id", varies("seller_id"))),
-        ("E5", "orders with more than one category",
-         _having(ip, "order_id", varies(F.coalesce(f("product_category_name"), F.lit("(no category)"))))),
-        ("E6", "people with orders in more than one state", _having(cu, "customer_unique_id", varies("customer_state"))),
-        ("E7", "customer rows whose zip prefix is not in geolocation",
-         _n(cu.join(geo, f("customer_zip_code_prefix") == f("_z"), "left_anti"))),
-        ("E8", "sellers whose zip prefix is not in geolocation", _n(se.join(geo, f("seller_zip_code_prefix") == f("_z"), "left_anti"))),
-        ("E9", "customer rows with a missing or empty state",
-         _n(cu, f("customer_state").isNull() | (F.trim(f("customer_state")) == ""))),
-        ("E10", "sellers with a missing or empty state", _n(se, f("seller_state").isNull() | (F.trim(f("seller_state")) == ""))),
-    ])
+    products = (r["products"].select("product_id", "product_category_name")
+                .join(r["category_translation"].select("product_category_name", F.lit(True).alias("translated")), "product_category_name", "left")
+                .select("product_id", f("product_category_name").alias("category"), "translated", F.lit(True).alias("product")))
+    places = r["geolocation"].select(f("geolocation_zip_code_prefix").alias("zip")).distinct().withColumn("place", F.lit(True))
+    has, lacks = f("product"), f("category").isNull()
+    items = r["order_items"].join(products, "product_id", "left").groupBy("order_id").agg(
+        varies("seller_id").alias("sellers"), count_if(has & lacks).alias("bare"), count_if(has & ~lacks & f("translated").isNull()).alias("foreign"),
+        varies(F.when(has, F.coalesce("category", F.lit("(no category)")))).alias("categories"))
+
+    def empty(c: str) -> Column:
+        return f(c).isNull() | (F.trim(f(c)) == "")
+    customers = r["customers"].join(places, f("customer_zip_code_prefix") == f("zip"), "left").groupBy("customer_unique_id").agg(
+        varies("customer_state").alias("states"), count_if(f("place").isNull()).alias("lost"), count_if(empty("customer_state")).alias("empty"))
+    sellers = r["sellers"].join(places, f("seller_zip_code_prefix") == f("zip"), "left")
+    return (fused(r["order_items"], {"E1": F.lit(True)})
+            .unionByName(totals(items, {"E2": F.sum("bare"), "E3": F.sum("foreign"), "E4": count_if(f("sellers")), "E5": count_if(f("categories"))}))
+            .unionByName(totals(customers, {"E6": count_if(f("states")), "E7": F.sum("lost"), "E9": F.sum("empty")}))
+            .unionByName(fused(sellers, {"E8": f("place").isNull(), "E10": empty("seller_state")})))
 
 
 def value_without_category(star: Star) -> DataFrame:

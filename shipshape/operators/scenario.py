@@ -26,7 +26,7 @@ def state_inputs(fact: DataFrame, geo: DataFrame) -> DataFrame:
     nat = one_row(base_totals(fact))["national_late_rate"]   # same subquery as the scenario's other base reads
     g = geo.select(f("state_code").alias("customer_state"), "state_name")
     late, on = f("delivery_outcome") == "Late", f("delivery_outcome") == "On time"
-    x = fact.join(F.broadcast(g), "customer_state", "inner")
+    x = fact.join(g, "customer_state", "inner")
     return x.groupBy(f("customer_state").alias("state"), "state_name").agg(
         count_if(f("is_delivered")).alias("delivered"), count_if(late).alias("late"),
         (count_if(late) - count_if(f("is_delivered")) * nat).alias("excess_late"),

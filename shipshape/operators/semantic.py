@@ -144,10 +144,10 @@ def _base(star: Star, table: str, cols: set[str], coded: DataFrame | None) -> Da
     dims = _ORDER_DIMS if table == "orders" else _ITEM_DIMS
     need = {dims[c] for c in cols if c in dims}
     if "date" in need:
-        fact = fact.join(F.broadcast(m["dim_date"].select(f("date_day").alias("purchase_date"), "year", "year_month",
+        fact = fact.join((m["dim_date"].select(f("date_day").alias("purchase_date"), "year", "year_month",
                                                           "month_name")), "purchase_date", "inner")
     if "geo" in need:
-        fact = fact.join(F.broadcast(m["dim_geography"].select(f("state_code").alias("customer_state"), "state_name",
+        fact = fact.join((m["dim_geography"].select(f("state_code").alias("customer_state"), "state_name",
                                                                "region")), "customer_state", "inner")
     if "product" in need:
         fact = fact.join(m["dim_product"], "product_id", "inner")

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import blank_to_null, days_between, guarded_days, has_text
+from shipshape.functions.exprs import blank_to_null, days_between, guarded_days, has_text, label_sort, null_splitting_left_join
 from shipshape.operators.rank import sequence_in_group
 from shipshape.sources import binding
 from shipshape.sources.tables import Tables
@@ -76,7 +76,8 @@ def stg_reviews(raw_reviews_keyed: DataFrame, orders: DataFrame, flags: DataFram
                  F.to_date("review_creation_date").alias("survey_sent_date"), "review_answer_timestamp")
     latest = latest_review_per_order(r, ["review_id", "review_score", "comment_doc_id", "survey_sent_date",
                                          "review_answer_timestamp"])
-    return (latest.join(flags, "comment_doc_id", "left")
+    # three fifths of the reviews have no comment: their NULL keys go round the join
+    return (null_splitting_left_join(latest, flags, "comment_doc_id")
             .withColumn("has_comment", F.coalesce(F.col("comment_present"), F.lit(False))).drop("comment_present"))
 
 
@@ -96,10 +97,10 @@ def stg_order_items(raw_items: DataFrame, orders: DataFrame, raw_sellers: DataFr
                     "shipping_limit_date", "price", "freight_value"))
 
 
-def dim_date(spark: SparkSession, start: str = C.CALENDAR_START, end: str = C.CALENDAR_END) -> DataFrame:
-    """One row per calendar day."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"),
-                                                      F.expr("interval 1 day"))).alias("d"))
+def dim_date(placed: DataFrame, ts_col: str = "o_orderdate") -> DataFrame:
+    """One row per calendar day of the months from the first to the last purchase in the period."""
+    ends = placed.filter(in_period(ts_col)).agg(F.trunc(F.min(ts_col), "MM").alias("a"), F.last_day(F.max(ts_col)).alias("b"))
+    days = ends.filter(F.col("a").isNotNull()).select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("d"))
     d = F.col("d")
     iso = (F.weekday(d) + 1).cast("bigint")
     return days.select(
@@ -129,7 +130,7 @@ def dim_product(raw_products: DataFrame, translation: DataFrame,
 def dim_seller(raw_sellers: DataFrame, geo: DataFrame, short_chars: int = C.SELLER_SHORT_CHARS) -> DataFrame:
     """Seller with a short label and its region."""
     g = geo.select(F.col("state_code").alias("seller_state"), F.col("region").alias("seller_region"))
-    return (raw_sellers.join(F.broadcast(g), "seller_state", "left")
+    return (raw_sellers.join(g, "seller_state", "left")
             .select("seller_id", F.substring("seller_name", -short_chars, short_chars).alias("seller_short"),
                     "seller_city", "seller_state", "seller_region"))
 
@@ -159,18 +160,17 @@ def item_agg(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _outcome_cols():
-    d = F.col("is_delivered")
-    delay = F.col("delay_days")
-    shipped = F.col("order_status").isin(*C.DELIVERED_STATUSES)
-    outcome = (F.when(d & (delay <= 0), "On time").when(d & (delay > 0), "Late")
-               .when(shipped, "Unknown").otherwise("Not delivered"))
-    outcome_sort = (F.when(d & (delay <= 0), 1).when(d & (delay > 0), 2).when(shipped, 4).otherwise(3))
-    band = (F.when(d & (delay <= 0), "On time").when(d & delay.between(1, 3), "Late 1-3 days")
-            .when(d & delay.between(4, 7), "Late 4-7 days").when(d & delay.between(8, 14), "Late 8-14 days")
-            .when(d & (delay >= 15), "Late 15+ days").when(shipped, "Unknown").otherwise("Not delivered"))
-    band_sort = (F.when(d & (delay <= 0), 1).when(d & delay.between(1, 3), 2).when(d & delay.between(4, 7), 3)
-                 .when(d & delay.between(8, 14), 4).when(d & (delay >= 15), 5).when(shipped, 7).otherwise(6))
-    return outcome, outcome_sort.cast("bigint"), band, band_sort.cast("bigint")
+    """Outcome and delay band with the places of both in ``config.OUTCOMES`` and ``config.DELAY_BANDS``."""
+    d, delay = F.col("is_delivered"), F.col("delay_days")
+    open_ = F.when(F.col("order_status").isin(*C.DELIVERED_STATUSES), C.OUTCOMES[3]).otherwise(C.OUTCOMES[2])
+    outcome = F.when(d, F.when(delay <= 0, C.OUTCOMES[0]).when(delay > 0, C.OUTCOMES[1])).otherwise(open_)
+    inside = None
+    for label, low, high in C.DELAY_RULES:
+        hit = F.lit(True) if low is None else delay >= low
+        hit = hit if high is None else hit & (delay <= high)
+        inside = F.when(hit, label) if inside is None else inside.when(hit, label)
+    band = F.when(d, inside).otherwise(open_)
+    return outcome, label_sort(outcome, C.OUTCOMES), band, label_sort(band, C.DELAY_BANDS)
 
 
 FACT_ORDER_COLUMNS = [
@@ -273,6 +273,7 @@ class Star:
     raw: dict = field(default_factory=dict)
     stg: dict = field(default_factory=dict)
     model: dict = field(default_factory=dict)
+    observed: dict = field(default_factory=dict)   # written table -> its observed metrics
 
     def __getitem__(self, name: str) -> DataFrame:
         for layer in (self.model, self.stg):
@@ -289,7 +290,7 @@ def build_star(spark: SparkSession, src: str) -> Star:
     sr = stg_reviews(raw["order_reviews_keyed"], so, binding.comment_flags(t, has_text))
     si = stg_order_items(raw["order_items"], so, raw["sellers"])
     model = LazyLayer({
-        "dim_geography": lambda m: dim_geography(geo), "dim_date": lambda m: dim_date(spark),
+        "dim_geography": lambda m: dim_geography(geo), "dim_date": lambda m: dim_date(t.orders),
         "dim_product": lambda m: dim_product(raw["products"], raw["category_translation"]),
         "dim_seller": lambda m: dim_seller(raw["sellers"], geo), "dim_customer": lambda m: dim_customer(so),
         "item_agg": lambda m: item_agg(si, so),
@@ -350,54 +351,70 @@ def star_for(spark: SparkSession, src: str) -> Star:
     return _CACHE[key]
 
 
-def _persist_parquet(df: DataFrame, folder: str, name: str) -> DataFrame:
+def _persist_parquet(df: DataFrame, folder: str, name: str, metrics: dict) -> tuple[DataFrame, dict | None]:
+    """Write a table and read it back; ``metrics`` (name -> aggregate) are gathered by the same job."""
     path = f"{folder.rstrip('/')}/{name}"
+    seen = Observation() if metrics else None
+    if seen:
+        df = df.observe(seen, *[c.alias(n) for n, c in metrics.items()])
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), seen.get if seen else None
 
 
-def _persist_level(jobs: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, DataFrame]:
+def _persist_level(jobs: dict[str, tuple[DataFrame, str]], folder: str, observed: dict) -> dict[str, DataFrame]:
     """Write independent tables as concurrent Spark jobs (one driver thread each); the scheduler
     interleaves their stages, so small stages of one table do not leave the cluster idle."""
     from concurrent.futures import ThreadPoolExecutor
 
+    from shipshape.operators.validate import metrics
     if not jobs:
         return {}
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        futures = {k: pool.submit(_persist_parquet, df, folder, name) for k, (df, name) in jobs.items()}
-        return {k: fut.result() for k, fut in futures.items()}
+        futures = {k: pool.submit(_persist_parquet, df, folder, name, metrics(k)) for k, (df, name) in jobs.items()}
+        done = {k: fut.result() for k, fut in futures.items()}
+    observed.update({k: seen for k, (_, seen) in done.items() if seen is not None})
+    return {k: df for k, (df, _) in done.items()}
+
+
+DIMENSIONS = ("dim_date", "dim_geography", "dim_product", "dim_seller")
+#: The tables that the reconciliation tests read.
+VALIDATED = ("orders", "reviews", "order_items", "fact_orders", "fact_order_items", "dim_customer", *DIMENSIONS)
 
 
 def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_orders", "fact_order_items",
-                                   "dim_customer", "frame")) -> Star:
+                                   "dim_customer", "frame"), numbered: bool = True) -> Star:
     """Cut lineage of the reused layers by writing them as Parquet tables into the cluster's shared
     checkpoint folder (``spark.checkpoint.dir``) and reading them back.
 
     One computation per table (a reliable RDD checkpoint would compute twice), the tables survive
     executor loss, and later queries get column pruning and filter pushdown on them. Tables that do
-    not depend on each other are written concurrently, in three levels: staging; facts and
-    customers; item facts and the review frame.
+    not depend on each other are written concurrently, in three levels: staging and dimensions; facts
+    and customers; item facts and the review frame. What the reconciliation tests need of a table is
+    observed while it is written (``Star.observed``).
     """
     import uuid
 
     from shipshape.session import ensure_checkpoint_dir
     folder = f"{ensure_checkpoint_dir(star.spark).rstrip('/')}/star-{uuid.uuid4().hex}"
-    stg, model = dict(star.stg), star.model.copy()
-    stg.update(_persist_level({n: (stg[n], f"stg_{n}") for n in names if n in stg}, folder))
+    stg, model, observed = dict(star.stg), star.model.copy(), {}
+    first = {n: (stg[n], f"stg_{n}") for n in names if n in stg} | {n: (model[n], n) for n in names if n in DIMENSIONS}
+    done = _persist_level(first, folder, observed)
+    stg.update({n: df for n, df in done.items() if n in stg})
+    model.update({n: df for n, df in done.items() if n in DIMENSIONS})
     si, so, sr = stg["order_items"], stg["orders"], stg["reviews"]
     ia = item_agg(si, so)
     fo = fact_orders(so, ia, sr, numbered=False)
     dc = dim_customer(so)
     level = {k: v for k, v in {"fact_orders": (fo, "fact_orders"), "dim_customer": (dc, "dim_customer"),
-                               "_numbers": (order_numbers(so), "order_numbers")}.items()
-             if k in names or (k == "_numbers" and "fact_orders" in names)}
-    done = _persist_level(level, folder)
+                               "_numbers": (order_numbers(so), "order_numbers") if numbered else None}.items()
+             if k in names or (k == "_numbers" and numbered and "fact_orders" in names)}
+    done = _persist_level(level, folder, observed)
     fo, dc = done.get("fact_orders", fo), done.get("dim_customer", dc)
     fi = fact_order_items(si, fo, so)
     model.update({"item_agg": ia, "fact_orders": fo, "fact_order_items": fi, "dim_customer": dc})
     model.pop("_frame", None)
     model.pop("fact_orders_numbered", None)
-    out = Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model)
+    out = Star(star.spark, star.src, tables=star.tables, raw=star.raw, stg=stg, model=model, observed=observed)
     level = {}
     if "fact_order_items" in names:
         level["fact_order_items"] = (fi, "fact_order_items")
@@ -405,5 +422,5 @@ def materialize(star: Star, names=("orders", "reviews", "order_items", "fact_ord
         level["_frame"] = (review_frame(out), "review_frame")
     if "_numbers" in done:  # the facts with the per-person order number, written once
         level["fact_orders_numbered"] = (attach_numbers(fo, done["_numbers"]), "fact_orders_numbered")
-    out.model.update(_persist_level(level, folder))
+    out.model.update(_persist_level(level, folder, observed))
     return out

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape import config as C
+from shipshape.functions.exprs import null_splitting_left_join
 from shipshape.sources.tables import Tables
 
 
@@ -125,7 +126,7 @@ def attach_comment(df: DataFrame, t: Tables, out: str = "review_comment_message"
     """Join the comment text by document key (only where the text itself is needed)."""
     docs = comment_texts(t).select(F.col("doc_id").alias("comment_doc_id"), F.col("text"))
     text = F.col("text") if clean is None else clean(F.col("text"))
-    return df.join(docs, "comment_doc_id", "left").withColumn(out, text).drop("text")
+    return null_splitting_left_join(df, docs, "comment_doc_id").withColumn(out, text).drop("text")
 
 
 def comment_flags(t: Tables, present) -> DataFrame:
@@ -158,7 +159,7 @@ def _state_of(t: Tables) -> DataFrame:
 
 def raw_customers(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    return (c.join(F.broadcast(_state_of(t)), c.c_nationkey == F.col("_nationkey"), "left")
+    return (c.join(_state_of(t), c.c_nationkey == F.col("_nationkey"), "left")
             .select(F.col("c_custkey").alias("customer_id"), F.col("c_custkey").alias("customer_unique_id"),
                     F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("customer_zip_code_prefix"),
                     F.col("c_mktsegment").alias("customer_city"), F.col("_state").alias("customer_state")))
@@ -166,7 +167,7 @@ def raw_customers(t: Tables) -> DataFrame:
 
 def raw_sellers(t: Tables) -> DataFrame:
     s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
-    return (s.join(F.broadcast(_state_of(t)), s.s_nationkey == F.col("_nationkey"), "left")
+    return (s.join(_state_of(t), s.s_nationkey == F.col("_nationkey"), "left")
             .select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("seller_name"),
                     F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("seller_zip_code_prefix"),
                     F.lit(None).cast("string").alias("seller_city"), F.col("_state").alias("seller_state")))
