@@ -110,7 +110,7 @@ CTES["band_places"] = "SELECT * FROM (" + values((o, i) for i, o in enumerate(C.
 _T = {"bought": "order_purchase_timestamp", "handed": "order_delivered_carrier_date", "arrived": "order_delivered_customer_date",
       "promised": "order_estimated_delivery_date"}
 CTES["stg_orders"] = f"""
-    SELECT order_id, customer_unique_id, customer_state, order_status, order_approved_at, {", ".join(_T.values())},
+    SELECT order_id, customer_unique_id, customer_state, order_status, order_approved_at, {", ".join(list(_T.values())[:3])},
            {_T["bought"]}::DATE AS purchase_date, {_T["handed"]}::DATE AS carrier_date,
            {_T["arrived"]}::DATE AS delivered_date, {_T["promised"]}::DATE AS estimated_date,
            {_T["arrived"]} IS NOT NULL AND order_status IN ({DELIV}) AS is_delivered,

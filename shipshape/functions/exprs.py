@@ -143,7 +143,3 @@ def one_row(df: DataFrame) -> Column:
     would be planned and computed once per field (each prunes the row to a different column).
     """
     return df.select(F.struct(*[F.col(c) for c in df.columns])).scalar()
-
-
-def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c.cast("double"), digits)

@@ -79,13 +79,6 @@ def order_measures() -> list[Column]:
     ]
 
 
-def cut(fact: DataFrame, group: list[Column], where: Column | None = None,
-        extra: list[Column] | None = None) -> DataFrame:
-    """``orders_by(group, where)`` -> the measure pack per group."""
-    x = fact if where is None else fact.filter(where)
-    return x.groupBy(*group).agg(*order_measures(), *(extra or []))
-
-
 def kpi_sheet(kpi: DataFrame, customers: DataFrame) -> DataFrame:
     """K3: the KPI sheet, one row per KPI with value, numerator and denominator (unpivot)."""
     t = kpi.filter(F.col("period") == "Total")
