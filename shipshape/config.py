@@ -136,6 +136,7 @@ RELATIONSHIPS = (
     ("customers", "customer_zip_code_prefix", "geolocation", "geolocation_zip_code_prefix"),
     ("sellers", "seller_zip_code_prefix", "geolocation", "geolocation_zip_code_prefix"),
 )
+SKETCH_TURN = "1998-01-01 00:00:00"    # sketches of earlier purchases are stored first, later ones merged in
 LATE_LIMIT_TS = "2001-06-30 23:59:59"  # shipping limits after the data's horizon
 PLAUSIBLE_BOX = {"c_acctbal": (0, 9000), "c_nationkey": (1, 20)}   # rows outside in one column or the other count
 

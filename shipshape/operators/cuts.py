@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shipshape import config as C
 from shipshape.functions.exprs import count_if, ratio, wilson
 from shipshape.operators.kpis import order_measures
+from shipshape.operators.quantiles import quantiles
 from shipshape.operators.rank import ntile
 
 f = F.col
@@ -252,8 +253,9 @@ def seller_stats(items: DataFrame) -> DataFrame:
 def seller_base(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS) -> DataFrame:
     """Seller count, median orders, sellers above the threshold and their shares."""
     big = f("orders") >= min_orders
+    median = quantiles(stats.select("orders"), {"orders": f("orders")}, [0.5]).select(f("q")[0]).scalar()
     return stats.agg(
-        F.count(F.lit(1)).cast("bigint").alias("sellers"), F.median(f("orders").cast("double")).alias("median_orders"),
+        F.count(F.lit(1)).cast("bigint").alias("sellers"), median.alias("median_orders"),
         F.sum("orders").cast("bigint").alias("orders"), F.sum("late").cast("bigint").alias("late"),
         F.sum("low").cast("bigint").alias("low"), count_if(big).alias("sellers_min"),
         ratio(F.sum(F.when(big, f("orders"))), F.sum("orders")).alias("share_orders_min"),

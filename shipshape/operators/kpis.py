@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipshape.functions.exprs import count_if, one_row, ratio
-from shipshape.operators.rank import exact_quantiles
+from shipshape.operators.quantiles import quantiles
 
 
 def _roll_up(parts: DataFrame, *group: str) -> DataFrame:
@@ -121,7 +121,7 @@ def supporting_figures(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
         count_if(f("delivery_outcome") == "Unknown").alias("unknown_outcome"),
         F.median(f("delay_days").cast("double")).alias("median_delay_all_delivered"))
     # day counts have few distinct values (built-in median is fine); order values do not
-    s = s.select("*", exact_quantiles(fact, "items_value", [0.5])[0].alias("median_order_value"))
+    s = s.select("*", quantiles(fact, {"value": F.col("items_value")}, [0.5]).select(F.col("q")[0]).scalar().alias("median_order_value"))
     multi = count_if(f("order_count") > 1)
     r = dim_customer.agg(multi.alias("multi_order_customers"), ratio(multi, F.count(F.lit(1))).alias("multi_order_rate"))
     one = one_row(r)

@@ -1,7 +1,7 @@
 """Q1-Q12: profiling of the raw layer.
 
-Every per-table statistic is one aggregation pass (all columns' nulls, distinct counts, first
-example, min, max in a single ``agg``), unpivoted afterwards with ``stack``; key and relationship
+Every per-table statistic is one aggregation pass (all columns' nulls, first example, min, max in a
+single ``agg``), unpivoted afterwards with ``stack``, and one pass of digests for the distinct counts; key and relationship
 checks take one grouping per candidate or one join of keys per relation; trap counts take one aggregate
 for each relation and grouping key.
 """
@@ -40,20 +40,35 @@ def _is_text(dt) -> bool:
     return isinstance(dt, T.StringType)
 
 
+def digest(c: Column) -> Column:
+    """128 bits of a value: two 64-bit hashes with different seeds (NULL stays NULL)."""
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(77), c).alias("h2")))
+
+
+def distinct_counts(df: DataFrame, by: dict[str, Column] | None = None) -> DataFrame:
+    """(column_name, by..., distinct_values): exact, of all columns in one pass.
+
+    Rows are turned into (column, digest), counted in two phases (distinct digests, then their
+    number): values themselves, however long, aren't shuffled, and repeats collapse before the shuffle.
+    """
+    groups = by or {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), digest(f(c)).alias("d")) for c in df.columns])
+    long = df.select(*[c.alias(n) for n, c in groups.items()], F.explode(cells).alias("x")).select(*groups, "x.*").where(f("d").isNotNull())
+    return long.select("column_name", *groups, "d.h1", "d.h2").distinct().groupBy("column_name", *groups).agg(F.count(F.lit(1)).cast("bigint").alias("distinct_values"))
+
+
 def column_profile(df: DataFrame, table: str, keys, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Q2: per column type, nulls, null share, distinct, first example (in key order), min, max.
 
-    One aggregation pass per table. Exact distinct counts (the default, as the reference reports
-    them) make Spark expand each row once per column before the partial aggregation; with
-    ``exact=False`` they are HyperLogLog++ estimates (relative error ``rsd``): mergeable sketches,
-    no expansion, for profiling very large raw tables.
+    One aggregation pass for all but the distinct counts, which are exact by ``distinct_counts`` or,
+    with ``exact=False``, HyperLogLog++ estimates (relative error ``rsd``) of the same pass.
     """
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, fld in enumerate(df.schema.fields):
         c = f(fld.name)
         order = F.struct(*[f(k) for k in keys], c.cast("string"))
-        distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)
-        aggs += [F.count_if(c.isNull()).cast("bigint").alias(f"n{i}"), distinct.cast("bigint").alias(f"d{i}"),
+        estimate = F.lit(None) if exact else F.approx_count_distinct(c, rsd)
+        aggs += [F.count_if(c.isNull()).cast("bigint").alias(f"n{i}"), estimate.cast("bigint").alias(f"d{i}"),
                  F.min_by(c.cast("string"), F.when(c.isNotNull(), order)).alias(f"e{i}")]
         if _is_text(fld.dataType):
             aggs += [F.lit(None).cast("string").alias(f"lo{i}"), F.lit(None).cast("string").alias(f"hi{i}")]
@@ -62,8 +77,12 @@ def column_profile(df: DataFrame, table: str, keys, exact: bool = True, rsd: flo
     one = df.agg(*aggs)
     parts = ", ".join(f"'{fld.name}', '{fld.dataType.simpleString()}', n{i}, d{i}, e{i}, lo{i}, hi{i}"
                       for i, fld in enumerate(df.schema.fields))
-    x = one.selectExpr("_rows", f"stack({len(df.columns)}, {parts}) AS (column_name, data_type, nulls, distinct_values, "
+    x = one.selectExpr("_rows", f"stack({len(df.columns)}, {parts}) AS (column_name, data_type, nulls, estimate, "
                                 "example, min_value, max_value)")
+    if exact:  # a row per column on both sides
+        x = x.join(distinct_counts(df), "column_name", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint")))
+    else:
+        x = x.withColumnRenamed("estimate", "distinct_values")
     return x.select(F.lit(f"raw.{table}").alias("table_name"), "column_name", "data_type", "nulls",
                     ratio(f("nulls"), f("_rows")).alias("null_share"), "distinct_values", "example", "min_value",
                     "max_value")

@@ -186,40 +186,3 @@ def running_total(df: DataFrame, order_cols: Sequence[Column | str], weight_col:
     out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
            .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
     return out.drop(_PID, _LRN, "_o_pid", "_carry")
-
-
-def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
-                    partitions: int | None = None) -> Column:
-    """Exact interpolated quantiles (``quantile_cont`` / ``percentile``) of ``value`` as a scalar
-    subquery returning ``array<double>`` in the order of ``probs``.
-
-    Built-in ``percentile`` merges one value -> count map per group in a single task; with money
-    values the distinct set grows with the data. Here the values are first counted per distinct
-    value (a value holding a third of the rows collapses to one row in the partial aggregation),
-    the (value, count) pairs are range-partitioned and given a running total, and only the rows
-    holding the ranks floor/ceil((n - 1) * p) are kept: at most two per quantile.
-    """
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    counts = (df.select(v.alias("_qv")).filter(F.col("_qv").isNotNull())
-              .groupBy("_qv").agg(F.count(F.lit(1)).alias("_qn")))
-    cum = running_total(counts, ["_qv"], "_qn", "_qc", partitions)
-    total = counts.agg(F.sum("_qn")).scalar()
-    start = F.col("_qc") - F.col("_qn")                 # 0-based rank of the value's first row
-
-    def holds(k: Column) -> Column:
-        return (start <= k) & (k < F.col("_qc"))
-
-    pos = [(total - 1).cast("double") * F.lit(p) for p in probs]
-    lo = [F.floor(x) for x in pos]
-    hi = [F.ceil(x) for x in pos]
-    keep = None
-    for a, b in zip(lo, hi):
-        c = holds(a) | holds(b)
-        keep = c if keep is None else keep | c
-    picked = cum.filter(keep)
-    qs = []
-    for x, a, b in zip(pos, lo, hi):
-        v_lo = F.max(F.when(holds(a), F.col("_qv")))
-        v_hi = F.max(F.when(holds(b), F.col("_qv")))
-        qs.append(v_lo + (x - a) * (v_hi - v_lo))
-    return picked.agg(F.array(*qs)).scalar()

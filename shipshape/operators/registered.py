@@ -258,6 +258,32 @@ from shipshape.operators import profile  # noqa: E402
 
 query("table_overview")(profile.table_overview)
 query("column_profile")(profile.column_profiles)
+
+
+@query("column_sketches")
+def _column_sketches(s):
+    """Monthly sketches of the orders, stored year by year, against the exact counts of the same months."""
+    import uuid
+
+    from shipshape.operators import sketches
+    from shipshape.session import ensure_checkpoint_dir
+    orders = s.raw["orders"].select("order_id", "customer_id", "order_status", "order_purchase_timestamp")
+    month, columns = F.date_format("order_purchase_timestamp", "yyyy-MM"), ["order_id", "customer_id", "order_status"]
+    store = sketches.SketchStore(s.spark, f"{ensure_checkpoint_dir(s.spark).rstrip('/')}/sketches-{uuid.uuid4().hex}")
+    turn = F.lit(C.SKETCH_TURN).cast("timestamp_ntz")
+    early = f("order_purchase_timestamp") < turn
+    for batch in (orders.filter(early), orders.filter(~F.coalesce(early, F.lit(False)))):
+        store.refresh(sketches.sketched(batch, month, columns))
+    kept = store.read()
+    whole = sketches.estimates(kept, ["column_name"]).withColumn("month", F.lit("all"))
+    seen = sketches.estimates(kept).unionByName(whole)
+    exact = profile.distinct_counts(orders.select(*columns, "order_purchase_timestamp"), {"month": month}).unionByName(
+        profile.distinct_counts(orders.select(*columns)).withColumn("month", F.lit("all")))
+    near = F.abs(f("estimate") - f("distinct_values")) <= F.greatest(F.lit(1.0), sketches.ERROR * f("distinct_values"))
+    return exact.where(f("column_name").isin(columns)).join(seen, ["column_name", "month"], "left").select(
+        "column_name", "month", "distinct_values", F.coalesce(near, F.lit(False)).alias("within_error"))
+
+
 query("key_candidates")(profile.key_candidates)
 query("fk_profile")(profile.fk_profile)
 query("trap_checks")(profile.trap_checks)

@@ -23,7 +23,10 @@ def test_money_quantiles_avoid_single_task_percentile(star):
     from pyspark.sql import functions as F
 
     from shipshape.operators.rank import running_total
-    assert "percentile(" not in _plan(quality.price_quantiles(star))
+    p = _plan(quality.price_quantiles(star))
+    assert "percentile(" not in p
+    from tests.test_checks import scans
+    assert scans(quality.price_quantiles(star))["lineitem"] <= 2
     counts = star.raw["order_items"].groupBy("price").agg(F.count(F.lit(1)).alias("n"))
     p = _plan(running_total(counts, ["price"], "n"))
     assert "rangepartitioning" in p and "Window" in p      # the window runs on the per-partition totals only
@@ -36,12 +39,31 @@ def test_period_filter_and_columns_reach_the_scan(star):
     assert li and all("l_comment" not in line and "l_quantity" not in line for line in li)
 
 
-def test_profile_with_sketches_has_no_expand(star):
+def test_profile_has_no_expand_and_shuffles_no_text(star):
     from shipshape.operators import profile
-    assert "Expand" in _plan(profile.column_profile(star.raw["orders"], "orders", ("order_id",)))
+    from shipshape.sources import binding
+    exact_plan = profile.column_profile(star.raw["orders"], "orders", ("order_id",))
     approx = profile.column_profile(star.raw["orders"], "orders", ("order_id",), exact=False)
-    assert "Expand" not in _plan(approx)
-    exact = {r.column_name: r.distinct_values for r in
-             profile.column_profile(star.raw["orders"], "orders", ("order_id",)).collect()}
+    assert "Expand" not in _plan(exact_plan) and "Expand" not in _plan(approx)
+    counts = _plan(profile.distinct_counts(binding.comment_texts(star.tables)))
+    assert all("text" not in line for line in counts.splitlines() if "Exchange" in line) and "Exchange" in counts
+    exact = {r.column_name: r.distinct_values for r in exact_plan.collect()}
     est = {r.column_name: r.distinct_values for r in approx.collect()}
     assert all(abs(est[k] - v) <= max(2, 0.05 * v) for k, v in exact.items())
+
+
+def test_sketches_merge_like_one_pass(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shipshape.operators import sketches
+    df = spark.range(0, 30000).select((F.col("id") % 7000).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("b"), (F.col("id") % 3).cast("string").alias("m"))
+    store = sketches.SketchStore(spark, str(tmp_path))
+    assert store.read() is None
+    for part in range(3):
+        store.refresh(sketches.sketched(df.where(F.col("a") % 3 == part), F.col("m"), ["a", "b"]))
+    got = {(r.column_name, r.month): r.estimate for r in sketches.estimates(store.read()).collect()}
+    once = {(r.column_name, r.month): r.estimate for r in sketches.estimates(sketches.sketched(df, F.col("m"), ["a", "b"])).collect()}
+    exact = {(c, str(m)): df.where(F.col("m") == str(m)).select(c).distinct().where(F.col(c).isNotNull()).count() for c in "ab" for m in range(3)}
+    assert got.keys() == once.keys() == exact.keys()
+    assert all(abs(v - exact[k]) <= max(1, sketches.ERROR * exact[k]) and abs(v - once[k]) <= max(1, sketches.ERROR * exact[k]) for k, v in got.items())
+    assert store.read().agg(F.sum("rows")).first()[0] == df.agg(F.count("a") + F.count("b")).first()[0]

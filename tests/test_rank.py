@@ -44,17 +44,17 @@ def test_global_row_number_with_empty_partitions(spark):
 
 
 def test_exact_quantiles_match_percentile(spark):
-    from shipshape.operators.rank import exact_quantiles
+    from shipshape.operators.quantiles import quantiles
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     # a hot value holds a third of the rows; the rest are spread with duplicates
     hot = spark.range(0, 3000).select(F.lit(12.5).alias("x"))
     rest = spark.range(3000, 9000).select(((F.col("id") * 37) % 1001 / 4.0).alias("x"))
     df = hot.unionByName(rest).unionByName(spark.createDataFrame([(None,)], "x double"))
-    got = df.limit(1).select(exact_quantiles(df, "x", probs, partitions=7).alias("q")).first().q
+    got = quantiles(df, {"x": F.col("x"), "minus": -F.col("x")}, probs).where("measure = 'x'").first().q
     want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
     assert [round(a, 9) for a in got] == [round(b, 9) for b in want]
     empty = df.filter("x > 1e9")
-    assert df.limit(1).select(exact_quantiles(empty, "x", [0.5]).alias("q")).first().q == [None]
+    assert quantiles(empty, {"x": F.col("x")}, [0.5]).select("n", "q").first() == (0, [None])
 
 
 def test_numbering_consistent_when_range_bounds_are_sampled(spark):
@@ -71,14 +71,28 @@ def test_numbering_consistent_when_range_bounds_are_sampled(spark):
 
 
 def test_exact_quantiles_with_sampled_bounds(spark):
-    from shipshape.operators.rank import exact_quantiles
+    from shipshape.operators.quantiles import quantiles
     probs = [0.001, 0.5, 0.9, 0.999]
     df = spark.range(0, 150000).select((((F.col("id") * 104729) % 99991) / 100.0).alias("x"))
-    got = df.limit(1).select(exact_quantiles(df, "x", probs, partitions=16).alias("q")).first().q
+    got = quantiles(df, {"x": F.col("x")}, probs).first().q
     want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs]))).first()[0]
     assert [round(a, 9) for a in got] == [round(b, 9) for b in want]
 
 
+def test_quantiles_of_signs_spread_and_hot_values(spark):
+    """Negative, zero, tiny and huge values; all rows in one bin; a hot value; several columns at once."""
+    from shipshape.operators.quantiles import quantiles
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    df = spark.range(0, 5000).select(((F.col("id") - 2500) * F.lit(1.7)).alias("a"), (F.pow(F.lit(10.0), F.col("id") % 19 - 9) * F.when(F.col("id") % 2 == 0, -1.0).otherwise(1.0)).alias("b"),
+                                     (F.lit(1000.0) + F.col("id") / 1e6).alias("c"), F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("d"),
+                                     F.when(F.col("id") == 7, 1.0).alias("e"))
+    got = {r.measure: r for r in quantiles(df, {c: F.col(c) for c in df.columns}, probs).collect()}
+    for c in df.columns:
+        want = df.agg(F.percentile(c, F.array(*[F.lit(p) for p in probs])), F.min(c), F.max(c), F.avg(c), F.count(c)).first()
+        assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(got[c].q, want[0])), c
+        assert (got[c].min_value, got[c].max_value, got[c].n) == (want[1], want[2], want[4]) and abs(got[c].mean_value - want[3]) <= 1e-6 * max(1, abs(want[3]))
+
+
 def test_numbering_without_exchange_reuse_falls_back_to_checkpoint(spark):
     df = spark.range(0, 60000).select(((F.col("id") * 7919) % 500).alias("g"), ((F.col("id") * 104729) % 100003).alias("o"),
                                       F.col("id"))
