@@ -109,6 +109,7 @@ SLOW_ON_TIME_DAYS = 22
 TOP_SELLERS = 10
 TOP_MATRIX_CATEGORIES = 12
 SLICER_YEAR = 1998
+QUARTER = (1998, 2)
 SLICER_REGION = "EUROPE"
 
 # --- fixed values: profiling ---------------------------------------------------------------------------

@@ -321,6 +321,13 @@ def _table_listing(s):
     return files.list_tables(s.spark, tabs)
 
 
+# --- written layers, asked by SQL -----------------------------------------------------------------
+from shipshape.plans import layers as _layers  # noqa: E402
+
+query("quarter_orders")(lambda s: _layers.quarter_orders(s.layers, C.QUARTER[0], C.QUARTER[1]))
+query("state_views")(lambda s: _layers.state_views(s.layers))
+
+
 @query("figures_json")
 def _figures_json(s):
     from shipshape.operators import figures

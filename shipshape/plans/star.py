@@ -340,14 +340,46 @@ def review_frame(star: "Star") -> DataFrame:
     return star.model["_frame"]
 
 
+class StarOnce:
+    """A star whose staging, dimensions and facts are written when a query first asks for one of them,
+    and read by all later queries. Raw tables stay lazy: a profile of them builds nothing."""
+
+    def __init__(self, lazy: Star):
+        self.lazy = lazy
+        self.spark, self.src, self.tables, self.raw = lazy.spark, lazy.src, lazy.tables, lazy.raw
+        self._written: Star | None = None
+        self._layers = None
+
+    @property
+    def written(self) -> Star:
+        if self._written is None:
+            self._written = materialize(self.lazy, (*VALIDATED, "frame"))
+        return self._written
+
+    @property
+    def layers(self):
+        """The written tables and views of :mod:`shipshape.plans.layers`."""
+        if self._layers is None:
+            from shipshape.plans.layers import write_layers
+            self._layers = write_layers(self.written)
+        return self._layers
+
+    stg = property(lambda self: self.written.stg)
+    model = property(lambda self: self.written.model)
+    observed = property(lambda self: self.written.observed)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.written[name]
+
+
 _CACHE: dict = {}
 
 
-def star_for(spark: SparkSession, src: str) -> Star:
-    """Session-scoped memo of the lazy star (plans only; no data is held)."""
+def star_for(spark: SparkSession, src: str) -> StarOnce:
+    """Session-scoped memo: the star of a folder, as it was listed first, is written at most once."""
     key = (spark.sparkContext.applicationId, id(spark), src)
     if key not in _CACHE:
-        _CACHE[key] = build_star(spark, src)
+        _CACHE[key] = StarOnce(build_star(spark, src))
     return _CACHE[key]
 
 
