@@ -56,9 +56,10 @@ COMPOSITION = (("1 item", 1), ("2+ units of the same product", 2), ("2+ differen
                ("2+ items from different sellers", 4))
 SCORE_CLASSES = ("1-2 stars", "3 stars", "4-5 stars")
 SIZE_CLASSES = ("1 item", "2+ items")
-MIN_SELLER_ORDERS = 30
-MIN_STATE_ORDERS = 300
-MIN_CATEGORY_ORDERS = 500
+MIN_SELLER_ORDERS = 440                # sellers have 380 to 520 orders at any scale
+MIN_STATE_ORDERS = 450
+MIN_SELLER_STATE_ORDERS = 1000
+MIN_CATEGORY_ORDERS = 1700
 LARGE_CATEGORY_SHARE = 0.03
 TOP_CATEGORIES = 15
 WORST_CATEGORIES = 10
@@ -95,8 +96,7 @@ FAMILY_4_OF = {
     "Seller service and refunds": "Service or unclear", "Other or unclear": "Service or unclear",
 }
 SERVICE_CATEGORY = "Seller service and refunds"   # deck figure: share of coded reviews mentioning it
-SECONDARY_EVERY = 3                    # doc_id mod 3 = 0 -> secondary category = (primary + 3) mod 8
-SECONDARY_SHIFT = 3
+SECONDARY_EVERY = 3                    # doc_id mod 3 = 0 -> secondary category = (primary + doc_id div 3) mod 8, at times the primary itself
 QUOTE_EVERY = 7                        # doc_id mod 7 = 0 -> marked as a quote candidate
 
 # --- fixed values: what-if scenarios -----------------------------------------------------------------

@@ -8,7 +8,7 @@ statistics are grouped aggregations; the category list is a fixed eight-row tabl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shipshape import config as C
 from shipshape.functions.exprs import count_if, ratio, squash_spaces, wilson
@@ -30,8 +30,9 @@ def coded_reviews(frame: DataFrame, docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").alias("comment_doc_id"), "source", "lang")
     x = frame.join(d, "comment_doc_id", "inner")
     p = F.pmod(F.regexp_extract(f("source"), r"(\d+)$", 1).cast("bigint"), F.lit(len(C.CATEGORIES)))
+    shift = F.floor(f("comment_doc_id") / C.SECONDARY_EVERY)  # now and then by all categories: the secondary repeats the primary
     sec = F.when(f("comment_doc_id") % C.SECONDARY_EVERY == 0,
-                 _cat_at(F.pmod(p + C.SECONDARY_SHIFT, F.lit(len(C.CATEGORIES)))))
+                 _cat_at(F.pmod(p + shift, F.lit(len(C.CATEGORIES)))))
     group_sort = F.array_position(F.array(*[F.lit(g) for g in C.DELIVERY_GROUPS]), f("delivery_group"))
     return x.select(
         f("review_id").alias("sample_id"), "review_id", "review_score", _cat_at(p).alias("primary_category"),
@@ -39,7 +40,7 @@ def coded_reviews(frame: DataFrame, docs: DataFrame) -> DataFrame:
         F.when(f("comment_doc_id") % C.QUOTE_EVERY == 0, F.lit("x")).alias("good_quote"),
         F.concat(F.lit("tag: "), f("lang"), F.lit("; source ")).alias("notes"),
         "delivery_outcome", "delivery_group", group_sort.cast("bigint").alias("delivery_group_sort"),
-        "review_comment_message")
+        "comment_doc_id")
 
 
 def coding_violations(coded: DataFrame, frame: DataFrame, cats: DataFrame) -> DataFrame:
@@ -47,10 +48,10 @@ def coding_violations(coded: DataFrame, frame: DataFrame, cats: DataFrame) -> Da
     known = cats.select(f("category").alias("_c"))
     empty = coded.filter(f("primary_category").isNull()).select("sample_id", F.lit("primary empty").alias("rule"))
     unk_p = (coded.filter(f("primary_category").isNotNull())
-             .join(F.broadcast(known), f("primary_category") == f("_c"), "left_anti")
+             .join(known, f("primary_category") == f("_c"), "left_anti")
              .select("sample_id", F.lit("unknown primary").alias("rule")))
     unk_s = (coded.filter(f("secondary_category").isNotNull())
-             .join(F.broadcast(known), f("secondary_category") == f("_c"), "left_anti")
+             .join(known, f("secondary_category") == f("_c"), "left_anti")
              .select("sample_id", F.lit("unknown secondary").alias("rule")))
     rep = coded.filter(f("secondary_category") == f("primary_category")).select(
         "sample_id", F.lit("secondary repeats primary").alias("rule"))
@@ -166,26 +167,26 @@ def tags(coded: DataFrame) -> DataFrame:
 
 
 def tag_counts(coded: DataFrame) -> DataFrame:
-    """Reviews per tag and delivery group, with the tag total."""
-    t = tags(coded)
-    g = t.groupBy("tag", "delivery_group").agg(F.count(F.lit(1)).cast("bigint").alias("reviews"))
-    tot = t.groupBy("tag").agg(F.count(F.lit(1)).cast("bigint").alias("tag_total"))
-    return g.join(tot, "tag", "inner")
+    """Reviews per tag and delivery group, with the tag total (summed from its groups)."""
+    g = tags(coded).groupBy("tag", "delivery_group").agg(F.count(F.lit(1)).cast("bigint").alias("reviews"))
+    return g.withColumn("tag_total", F.sum("reviews").over(Window.partitionBy("tag")).cast("bigint"))
 
 
 def coder_agreement(labels: DataFrame) -> DataFrame:
-    """N, same, percent and Cohen's kappa of two codings (1.0 when expected agreement is 1)."""
-    x = labels.select(f("quality").cast("string").alias("a"), (1 - f("toxic")).cast("string").alias("b"))
-    n = x.agg(F.count(F.lit(1))).scalar()
-    same = x.agg(count_if(f("a") == f("b"))).scalar()
-    ca = x.groupBy(f("a").alias("c")).agg(F.count(F.lit(1)).alias("na"))
-    cb = x.groupBy(f("b").alias("c")).agg(F.count(F.lit(1)).alias("nb"))
-    expected = ca.join(cb, "c", "full").agg(
-        F.sum(F.coalesce(f("na"), F.lit(0)) * F.coalesce(f("nb"), F.lit(0))).cast("double")).scalar() / (n * n)
-    observed = same / n
+    """N, same, percent and Cohen's kappa of two codings (1.0 when expected agreement is 1).
+
+    The table of both codes is counted once; its margins are sums of its cells.
+    """
+    cells = labels.groupBy(f("quality").cast("string").alias("a"), (1 - f("toxic")).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(F.struct(f("a").alias("c"), f("n").alias("na"), zero.alias("nb"), F.when(f("a") == f("b"), f("n")).otherwise(zero).alias("same")),
+                    F.struct(f("b").alias("c"), zero.alias("na"), f("n").alias("nb"), zero.alias("same")))
+    margins = cells.select(F.explode(sides).alias("s")).select("s.*").groupBy("c").agg(*[F.sum(x).alias(x) for x in ("na", "nb", "same")])
+    by_chance = F.sum(F.when(f("c").isNotNull(), f("na") * f("nb"))).cast("double")
+    one = margins.agg(F.coalesce(F.sum("na"), zero).cast("bigint").alias("reviews"), F.coalesce(F.sum("same"), zero).cast("bigint").alias("same"), by_chance.alias("chance"))
+    expected, observed = ratio(f("chance"), f("reviews") * f("reviews")), ratio(f("same"), f("reviews"))
     kappa = F.when(expected == 1, F.lit(1.0)).otherwise((observed - expected) / (1 - expected))
-    return x.agg(F.count(F.lit(1)).cast("bigint").alias("reviews")).select(
-        "reviews", same.cast("bigint").alias("same"), ratio(same, n).alias("share_same"), kappa.alias("kappa"))
+    return one.select("reviews", "same", observed.alias("share_same"), kappa.alias("kappa"))
 
 
 def coder_disagreements(labels: DataFrame) -> DataFrame:
@@ -195,9 +196,14 @@ def coder_disagreements(labels: DataFrame) -> DataFrame:
             .filter(f("first_pass") != f("second_pass")))
 
 
-def quote_candidates(coded: DataFrame) -> DataFrame:
-    """Flagged reviews with whitespace collapsed and '|' replaced."""
-    return coded.filter(f("good_quote").isNotNull()).select(
+def quoted(coded: DataFrame) -> DataFrame:
+    """Coded reviews marked as quotes."""
+    return coded.filter(f("good_quote").isNotNull())
+
+
+def quote_candidates(quotes: DataFrame) -> DataFrame:
+    """Quoted reviews (with their comments), whitespace collapsed and '|' replaced."""
+    return quotes.select(
         "sample_id", f("primary_category").alias("category"), "delivery_group",
         F.translate(squash_spaces(f("review_comment_message")), "|", "/").alias("comment"))
 

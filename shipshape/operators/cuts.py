@@ -348,7 +348,7 @@ def largest_excess_state(states: DataFrame) -> DataFrame:
         "customer_state", "state_name", "orders", "late_rate", "excess_late")
 
 
-def by_seller_state(items: DataFrame, sellers: DataFrame, min_orders: int = C.MIN_STATE_ORDERS) -> DataFrame:
+def by_seller_state(items: DataFrame, sellers: DataFrame, min_orders: int = C.MIN_SELLER_STATE_ORDERS) -> DataFrame:
     """By seller state (distinct orders, two-phase), states with enough orders."""
     x = items.join(sellers.select("seller_id", "seller_state"), "seller_id", "inner")
     g = distinct_orders(x, ["seller_state"], {"delivered": f("is_delivered"), "late": f("delivery_outcome") == "Late",

@@ -174,13 +174,17 @@ def _drawn(s):
     return sampling.stratified_sample(_frame(s))
 
 
-query("sample_frame")(lambda s: _frame(s).drop("comment_doc_id"))
+def _texts(s, rows, few=True):
+    return sampling.with_comments(rows, s.tables.documents, few)
+
+
+query("sample_frame")(lambda s: _texts(s, _frame(s), few=False))
 query("sample_allocation")(lambda s: sampling.allocation(sampling.stratum_sizes(_frame(s))))
-query("stratified_sample")(lambda s: _drawn(s)[0].drop("comment_doc_id"))
-query("pilot_sample")(lambda s: _drawn(s)[1].drop("comment_doc_id"))
-query("recode_sample")(lambda s: sampling.recode_sample(_drawn(s)[0]).drop("comment_doc_id"))
-query("blind_text")(lambda s: sampling.blind_split(_drawn(s)[0])[0])
-query("sample_key")(lambda s: sampling.blind_split(_drawn(s)[0])[1])
+query("stratified_sample")(lambda s: _texts(s, _drawn(s)[0]))
+query("pilot_sample")(lambda s: _texts(s, _drawn(s)[1]))
+query("recode_sample")(lambda s: _texts(s, sampling.recode_sample(_drawn(s)[0])))
+query("blind_text")(lambda s: sampling.blind_text(_texts(s, _drawn(s)[0])))
+query("sample_key")(lambda s: sampling.sample_key(_drawn(s)[0]))
 query("masked_text")(lambda s: s.tables.documents.select(
     "doc_id", sampling.mask_text(f("text")).alias("masked_text")))
 query("sample_checks")(lambda s: sampling.sample_checks(
@@ -196,7 +200,7 @@ def _cats(s):
     return coding.categories(s.spark)
 
 
-query("coded_reviews")(_coded)
+query("coded_reviews")(lambda s: _texts(s, _coded(s), few=False))
 query("coding_violations")(lambda s: coding.coding_violations(_coded(s), _frame(s), _cats(s)))
 query("category_shares_ci")(lambda s: coding.category_shares_ci(_coded(s), _cats(s)))
 query("category_families")(lambda s: coding.category_families(_coded(s)))
@@ -206,7 +210,7 @@ query("key_shares_ci")(lambda s: coding.key_shares_ci(_coded(s)))
 query("tag_counts")(lambda s: coding.tag_counts(_coded(s)))
 query("coder_agreement_kappa")(lambda s: coding.coder_agreement(s.tables.labels))
 query("coder_disagreements")(lambda s: coding.coder_disagreements(s.tables.labels))
-query("quote_candidates")(lambda s: coding.quote_candidates(_coded(s)))
+query("quote_candidates")(lambda s: coding.quote_candidates(_texts(s, coding.quoted(_coded(s)), few=False)))
 query("mentioned_share")(lambda s: coding.mentioned_share(_frame(s), _coded(s)))
 query("service_mentioned_share")(lambda s: coding.mentioned_share(_frame(s), _coded(s), C.SERVICE_CATEGORY))
 
@@ -248,6 +252,7 @@ query("state_late_flag")(semantic.state_late_flag)
 query("band_visuals")(semantic.band_visuals)
 query("seller_ranking")(semantic.seller_ranking)
 query("size_by_outcome")(semantic.size_by_outcome)
+query("size_shares_by_region")(semantic.size_shares_by_region)
 query("complaint_matrix")(lambda s: semantic.complaint_matrix(s, _coded(s)))
 query("category_matrix")(semantic.category_matrix)
 query("measures_sliced")(semantic.measures_sliced)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import count_if, ratio, strip_white_space
+from shipshape.functions.exprs import blank_to_null, count_if, ratio, strip_white_space
 from shipshape.operators.rank import top_per_group
 
 f = F.col
@@ -34,26 +34,37 @@ def delivery_group(outcome: Column, items: Column) -> Column:
             .otherwise(outcome))
 
 
-def sample_frame(reviews_text: DataFrame, fact: DataFrame, raw_reviews: DataFrame) -> DataFrame:
+def sample_frame(reviews: DataFrame, fact: DataFrame, raw_reviews: DataFrame) -> DataFrame:
     """Low score + comment + known outcome; one row per review id (lowest order id).
 
-    ``reviews_text``: stg reviews with the cleaned comment and its document key.
+    ``reviews``: stg reviews, whose comment is a flag and a document key. Everything is drawn and
+    counted on such narrow rows; ``with_comments`` fetches the texts of rows that are shown.
     """
     fact = fact.select("order_id", "delivery_outcome", "delay_band", "delay_days", "item_count", "seller_count",
                        "review_before_delivery", "customer_state")
-    r = reviews_text.filter((f("review_score") <= C.LOW_SCORE_MAX) & f("review_comment_message").isNotNull())
+    r = reviews.filter((f("review_score") <= C.LOW_SCORE_MAX) & f("has_comment"))
     x = (r.join(fact.filter(f("delivery_outcome") != "Unknown"), "order_id", "inner")
          .join(raw_reviews.select("review_id", "order_id", "review_comment_title"), ["review_id", "order_id"], "inner"))
-    cols = ["order_id", "review_score", "review_comment_title", "review_comment_message", "delivery_outcome",
+    cols = ["order_id", "review_score", "review_comment_title", "delivery_group", "delivery_outcome",
             "delay_band", "delay_days", "item_count", "seller_count", "review_before_delivery", "customer_state",
             "comment_doc_id"]
     x = x.withColumn("delivery_group", delivery_group(f("delivery_outcome"), f("item_count")))
-    cols.insert(4, "delivery_group")
     # one row per review id: the row with the lowest order id (partial aggregation, skew-safe)
     picked = x.groupBy("review_id").agg(F.min_by(F.struct(*[f(c) for c in cols]), f("order_id")).alias("_r"))
     return picked.select("review_id", *[f(f"_r.{c}").alias(c) for c in cols])
 
 
+def with_comments(rows: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+    """Rows with the cleaned text of their comment in place of its document key.
+
+    ``few``: the rows are a drawn sample, whose size is a parameter; they are sent to the scan of the
+    documents, so no text is shuffled. Otherwise both sides are dealt by key.
+    """
+    text = docs.select(f("doc_id").alias("comment_doc_id"), blank_to_null(f("text")).alias("review_comment_message"))
+    side = F.broadcast(rows) if few else rows
+    return text.join(side, "comment_doc_id", "inner").drop("comment_doc_id")
+
+
 def stratum_sizes(frame: DataFrame) -> DataFrame:
     """R2."""
     return frame.groupBy("delivery_group").agg(F.count(F.lit(1)).cast("bigint").alias("frame_size"))
@@ -108,12 +119,15 @@ def masked(df: DataFrame, text_columns=TEXT_COLUMNS) -> DataFrame:
     return df.select(*[mask_text(f(c)).alias(c) if c in text_columns else f(c) for c in df.columns])
 
 
-def blind_split(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Text file (what the coder sees) and key file (what links it back)."""
-    text = masked(sample.select("sample_id", "review_score", "review_comment_title", "review_comment_message"))
-    key = sample.select("sample_id", "review_id", "order_id", "delivery_group", "delivery_outcome", "delay_band",
-                        "delay_days", "item_count", "seller_count", "review_before_delivery", "customer_state")
-    return text, key
+def blind_text(sample: DataFrame) -> DataFrame:
+    """What the coder sees (``sample`` with its comments)."""
+    return masked(sample.select("sample_id", "review_score", "review_comment_title", "review_comment_message"))
+
+
+def sample_key(sample: DataFrame) -> DataFrame:
+    """What links the coder's rows back."""
+    return sample.select("sample_id", "review_id", "order_id", "delivery_group", "delivery_outcome", "delay_band",
+                         "delay_days", "item_count", "seller_count", "review_before_delivery", "customer_state")
 
 
 def sample_checks(sample: DataFrame, pilot: DataFrame, recode: DataFrame) -> DataFrame:

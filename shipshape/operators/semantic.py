@@ -1,12 +1,18 @@
 """A measure registry with explicit filter context.
 
 A measure is an aggregate Column over one base table (``orders`` = fact_orders, ``items`` =
-fact_order_items, ``customers`` = dim_customer, ``coded`` = coded reviews). ``evaluate`` groups the
-base by the visual's axis columns after applying slicers. Slicers filter the facts through the
-dimensions (dim_date, dim_geography), in one direction only: customer measures are never filtered
-by them, and coded reviews are a disconnected table. REMOVEFILTERS is a second aggregation of the
-same (sliced) base without the removed keys, joined back on the keys that remain (or a scalar
-subquery when none remain). Item-grain measures count distinct orders in two phases.
+fact_order_items, ``customers`` = dim_customer, ``coded`` = coded reviews), or a ratio of two. The
+filters of an evaluation are data (``Context``): slicers of the page, filters of the visual, minimum
+values of measures. Before anything is planned they are resolved for each part of each measure:
+
+* slicers reach the facts through the dimensions (dim_date, dim_geography), in one direction only:
+  customer measures are never filtered by them, and coded reviews are a disconnected table;
+* filters that a measure removes don't reach the part that removes them, whether they come from a
+  slicer, from the visual or from the axis;
+* filters that a measure sets itself replace all others on the same column.
+
+Parts that resolve to the same filters and axis share one aggregation; others are joined to the axis
+on the keys that they keep. Item-grain measures count distinct orders in two phases.
 """
 
 from __future__ import annotations
@@ -31,6 +37,43 @@ class Measure:
     den: str | None = None
     remove: tuple[str, ...] = field(default=())   # keys whose filters are removed for the denominator
     remove_all: bool = False                # CALCULATE(ratio, REMOVEFILTERS): numerator too
+    given: tuple[tuple[str, tuple], ...] = ()   # filters the measure sets itself: (column, values)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Rows whose ``column`` is among ``values`` (``keep``), or isn't (NULL is among nothing, so it stays)."""
+
+    column: str
+    values: tuple
+    keep: bool = True
+    scope: str = "visual"                   # "slicer", "visual" or "measure"
+
+    def condition(self) -> Column:
+        hit = f(self.column).isin(*self.values)
+        return hit if self.keep else ~F.coalesce(hit, F.lit(False))
+
+
+@dataclass(frozen=True)
+class Context:
+    """The filters around an evaluation; ``minimum`` keeps axis rows by the value of a measure."""
+
+    filters: tuple[Filter, ...] = ()
+    minimum: tuple[tuple[str, float], ...] = ()
+
+    @classmethod
+    def of(cls, slicers: dict | None = None, only: dict | None = None, without: dict | None = None, minimum: dict | None = None) -> "Context":
+        rows = [Filter(c, tuple(v), True, "slicer") for c, v in (slicers or {}).items()]
+        rows += [Filter(c, tuple(v)) for c, v in (only or {}).items()] + [Filter(c, tuple(v), False) for c, v in (without or {}).items()]
+        return cls(tuple(rows), tuple((minimum or {}).items()))
+
+
+@dataclass(frozen=True)
+class Scope:
+    """Where one part of a measure is computed: the axis columns it keeps and the filters that reach it."""
+
+    keys: tuple[str, ...]
+    filters: frozenset[Filter]
 
 
 def _orders_measures() -> list[Measure]:
@@ -65,12 +108,8 @@ def _orders_measures() -> list[Measure]:
         Measure("share_of_orders", o, num="orders", den="orders", remove=("delivery_outcome", "delivery_outcome_sort")),
         Measure("share_of_low_score_reviews", o, num="low_score_orders", den="low_score_orders",
                 remove=("delivery_outcome", "delivery_outcome_sort")),
-        Measure("low_single", o, count_if(f("is_low_score") & (f("order_size") == "Single item"))),
-        Measure("reviewed_single", o, count_if(f("has_review") & (f("order_size") == "Single item"))),
-        Measure("low_score_share_single_item", o, num="low_single", den="reviewed_single"),
-        Measure("low_several", o, count_if(f("is_low_score") & (f("order_size") == "Several items"))),
-        Measure("reviewed_several", o, count_if(f("has_review") & (f("order_size") == "Several items"))),
-        Measure("low_score_share_several_items", o, num="low_several", den="reviewed_several"),
+        Measure("low_score_share_single_item", o, num="low_score_orders", den="reviewed_orders", given=(("order_size", ("Single item",)),)),
+        Measure("low_score_share_several_items", o, num="low_score_orders", den="reviewed_orders", given=(("order_size", ("Several items",)),)),
         Measure("problem_orders", o, count_if(late | nd)),
         Measure("problem_order_share", o, num="problem_orders", den="orders"),
         Measure("problem_low", o, count_if((late | nd) & f("is_low_score"))),
@@ -157,17 +196,7 @@ def _base(star: Star, table: str, cols: set[str], coded: DataFrame | None) -> Da
     return fact
 
 
-def _leaves(names: list[str]) -> list[str]:
-    out: list[str] = []
-    for n in names:
-        m = REGISTRY[n]
-        for x in ([n] if m.agg is not None else [m.num, m.den]):
-            if x not in out:
-                out.append(x)
-    return out
-
-
-def _aggregate(base: DataFrame, table: str, keys: list[str], leaves: list[str], suffix: str = "") -> DataFrame:
+def _aggregate(base: DataFrame, table: str, keys, leaves, suffix: str = "") -> DataFrame:
     if table == "items":                    # distinct orders: (keys, order) first, flags constant per order
         base = base.groupBy(*keys, "order_id").agg(
             F.sum("price").alias("_gmv"), F.max(f("is_delivered").cast("int")).alias("_delivered"),
@@ -179,44 +208,64 @@ def _aggregate(base: DataFrame, table: str, keys: list[str], leaves: list[str],
     return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
 
 
-def evaluate(star: Star, measures: list[str], by: list[str] | None = None, slicers: dict | None = None,
+def resolve(m: Measure, by: tuple[str, ...], context: Context) -> dict[str, tuple[str, Scope]]:
+    """The parts of a measure (value, or num and den) with their leaf measure and scope."""
+    reaching = [x for x in context.filters if x.scope != "slicer" or m.table in ("orders", "items")]
+
+    def scope(removed: tuple[str, ...] = ()) -> Scope:
+        gone = set(removed) | {c for c, _ in m.given}
+        own = [Filter(c, tuple(v), True, "measure") for c, v in m.given]
+        return Scope(tuple(k for k in by if k not in gone), frozenset([x for x in reaching if x.column not in gone] + own))
+    if m.agg is not None:
+        return {"value": (m.name, scope())}
+    return {"num": (m.num, scope(m.remove if m.remove_all else ())), "den": (m.den, scope(m.remove))}
+
+
+def evaluate(star: Star, measures: list[str], by: list[str] | None = None, context: Context = Context(),
              coded: DataFrame | None = None) -> DataFrame:
-    """Evaluate measures of one base table on the axis ``by`` under ``slicers`` {column: values}."""
-    by = list(by or [])
-    slicers = dict(slicers or {})
-    tables = {REGISTRY[n].table for n in measures}
+    """Evaluate measures of one base table on the axis ``by`` under ``context``.
+
+    The axis has the rows that the filters of the context leave; a measure may look beyond them.
+    """
+    by = tuple(by or ())
+    names = list(dict.fromkeys([*measures, *(n for n, _ in context.minimum)]))
+    tables = {REGISTRY[n].table for n in names}
     assert len(tables) == 1, "one base table per evaluation"
     table = tables.pop()
-    if table in ("customers", "coded"):
-        slicers = {}                          # single-direction filters never reach these tables
-    base = _base(star, table, set(by) | set(slicers), coded)
-    for c, values in slicers.items():
-        base = base.filter(f(c).isin(*values))
-    leaves = _leaves(measures)
-    out = _aggregate(base, table, by, leaves)
-    for n in measures:                        # denominators with removed filters
-        m = REGISTRY[n]
-        if not m.remove:
-            continue
-        keep = [k for k in by if k not in m.remove]
-        parts = [m.num, m.den] if m.remove_all and m.num != m.den else [m.den]
-        den = _aggregate(base, table, keep, parts, "__all")
-        if keep:
-            out = out.join(den, keep, "left")
-        else:
-            one = one_row(den)
-            for p in parts:
-                out = out.withColumn(p + "__all", one[p + "__all"])
-    cols = [f(k) for k in by]
-    for n in measures:
-        m = REGISTRY[n]
-        if m.agg is not None:
-            cols.append(f(n))
+    parts = {n: resolve(REGISTRY[n], by, context) for n in names}
+    axis = resolve(Measure("", table, F.lit(1)), by, context)["value"][1]
+    wanted: dict[Scope, list[str]] = {axis: []}
+    for leaf, scope in (p for ps in parts.values() for p in ps.values()):
+        leaves = wanted.setdefault(scope, [])
+        if leaf not in leaves:
+            leaves.append(leaf)
+    if not wanted[axis]:
+        wanted[axis].append({"orders": "orders", "items": "item_orders", "customers": "customers", "coded": "coded_reviews"}[table])
+    columns = set(by) | {x.column for scope in wanted for x in scope.filters}
+    base = _base(star, table, columns, coded)
+    out, number = None, {}
+    for i, (scope, leaves) in enumerate(wanted.items()):
+        number[scope] = i
+        rows = base
+        for x in sorted(scope.filters, key=repr):
+            rows = rows.filter(x.condition())
+        found = _aggregate(rows, table, scope.keys, leaves, f"__{i}")
+        if out is None:
+            out = found
+        elif scope.keys:
+            found = found.select(*[f(k).alias(f"__{i}_{k}") for k in scope.keys], *[f"{n}__{i}" for n in leaves])
+            on = [f(k).eqNullSafe(f(f"__{i}_{k}")) for k in scope.keys]
+            out = out.join(found, on, "left").drop(*[f"__{i}_{k}" for k in scope.keys])
         else:
-            den = f(m.den + "__all") if m.remove else f(m.den)
-            num = f(m.num + "__all") if m.remove_all else f(m.num)
-            cols.append(ratio(num, den).alias(n))
-    return out.select(*cols)
+            one = one_row(found)
+            out = out.select("*", *[one[f"{n}__{i}"].alias(f"{n}__{i}") for n in leaves])
+
+    def at(part: tuple[str, Scope]) -> Column:
+        return f(f"{part[0]}__{number[part[1]]}")
+    cols = {n: at(ps["value"]) if "value" in ps else ratio(at(ps["num"]), at(ps["den"])) for n, ps in parts.items()}
+    for n, least in context.minimum:
+        out = out.filter(cols[n] >= least)
+    return out.select(*by, *[cols[n].alias(n) for n in measures])
 
 
 # --- visuals --------------------------------------------------------------------------------------
@@ -239,7 +288,7 @@ def measures_total(star: Star) -> DataFrame:
 
 def measures_by_month(star: Star, slicers: dict | None = None) -> DataFrame:
     """V2: trend by month."""
-    return evaluate(star, ["orders", "late_rate", "low_score_share", "avg_review_score"], ["year_month"], slicers)
+    return evaluate(star, ["orders", "late_rate", "low_score_share", "avg_review_score"], ["year_month"], Context.of(slicers))
 
 
 def share_pair_by_outcome(star: Star, reference: str = "On time") -> DataFrame:
@@ -252,31 +301,39 @@ def share_pair_by_outcome(star: Star, reference: str = "On time") -> DataFrame:
 
 def state_late_flag(star: Star, min_orders: int = C.MIN_STATE_ORDERS) -> DataFrame:
     """V4 (M17, M18): late rate by state with enough orders vs the rate over all states."""
-    x = evaluate(star, ["orders", "late_orders", "late_rate", "low_score_share", "late_rate_all_states"], ["state_name"])
-    return (x.filter(f("orders") >= min_orders)
-            .withColumn("is_above_national", f("late_rate") > f("late_rate_all_states")))
+    x = evaluate(star, ["orders", "late_orders", "late_rate", "low_score_share", "late_rate_all_states"], ["state_name"], Context.of(minimum={"orders": min_orders}))
+    return x.withColumn("is_above_national", f("late_rate") > f("late_rate_all_states"))
 
 
 def band_visuals(star: Star) -> DataFrame:
-    """V5: by delay band."""
-    return evaluate(star, ["orders", "late_orders", "low_score_share", "avg_review_score"], ["delay_band", "delay_band_sort"])
+    """V5: orders by days late (bands of late orders only), and low share by band (all but unknown)."""
+    axis, shown = ["delay_band", "delay_band_sort"], []
+    for name, hidden in (("late_by_band", [b for b in C.DELAY_BANDS if b not in C.LATE_BANDS]), ("low_by_band", [C.DELAY_BANDS[-1]])):
+        x = evaluate(star, ["orders", "late_orders", "low_score_share", "avg_review_score"], axis, Context.of(without={"delay_band": hidden}))
+        shown.append(x.select(F.lit(name).alias("visual"), "*"))
+    return shown[0].unionByName(shown[1])
 
 
 def seller_ranking(star: Star, min_orders: int = C.MIN_SELLER_ORDERS, top: int = C.TOP_SELLERS) -> DataFrame:
     """V6: sellers with enough orders ranked by late orders (top list), with the number of such sellers."""
     x = evaluate(star, ["item_orders", "item_late_orders", "item_late_rate", "item_low_score_share"],
-                 ["seller_short", "seller_state"]).filter(f("item_orders") >= min_orders)
+                 ["seller_short", "seller_state"], Context.of(minimum={"item_orders": min_orders}))
     n = x.agg(F.count(F.lit(1))).scalar()
     return (x.orderBy(f("item_late_orders").desc(), f("item_orders").desc(), f("seller_short")).limit(top)
             .withColumn("sellers_min", n.cast("bigint")))
 
 
 def size_by_outcome(star: Star) -> DataFrame:
-    """V7: low share by outcome x order size (Unknown excluded by a visual filter)."""
-    base = star.model["fact_orders"].filter(f("delivery_outcome") != "Unknown")
-    return base.groupBy("delivery_outcome", "order_size").agg(
-        F.count(F.lit(1)).cast("bigint").alias("orders"), count_if(f("is_low_score")).alias("low_score_orders"),
-        ratio(count_if(f("is_low_score")), count_if(f("has_review"))).alias("low_score_share"))
+    """V7 (M24, M25): low share of single and of several items by outcome (unknown hidden by the visual)."""
+    return evaluate(star, ["orders", "low_score_orders", "low_score_share", "low_score_share_single_item", "low_score_share_several_items"],
+                    ["delivery_outcome", "delivery_outcome_sort"], Context.of(without={"delivery_outcome": [C.OUTCOMES[3]]}))
+
+
+def size_shares_by_region(star: Star, region: str = C.SLICER_REGION) -> DataFrame:
+    """M23-M25 under a slicer, on an axis that two of them override: by outcome and order size, the shares of
+    single and of several items stay those of the outcome, the share of low reviews is of all outcomes of the size."""
+    return evaluate(star, ["orders", "low_score_share", "share_of_low_score_reviews", "low_score_share_single_item", "low_score_share_several_items"],
+                    ["delivery_outcome", "order_size"], Context.of(slicers={"region": [region]}, without={"delivery_outcome": [C.OUTCOMES[3]]}))
 
 
 def complaint_matrix(star: Star, coded: DataFrame) -> DataFrame:
@@ -291,13 +348,13 @@ def complaint_matrix(star: Star, coded: DataFrame) -> DataFrame:
 def category_matrix(star: Star, min_orders: int = C.MIN_CATEGORY_ORDERS, top: int = C.TOP_MATRIX_CATEGORIES) -> DataFrame:
     """V9 (M31-M40): categories with enough orders, top by item GMV, with the all-categories low share."""
     x = evaluate(star, ["item_gmv", "item_orders", "item_low_score_share", "item_avg_review_score",
-                        "low_score_share_all_categories"], ["category_en"])
-    return x.filter(f("item_orders") >= min_orders).orderBy(f("item_gmv").desc(), f("category_en")).limit(top)
+                        "low_score_share_all_categories"], ["category_en"], Context.of(minimum={"item_orders": min_orders}))
+    return x.orderBy(f("item_gmv").desc(), f("category_en")).limit(top)
 
 
 def measures_sliced(star: Star, year: int = C.SLICER_YEAR, region: str = C.SLICER_REGION) -> DataFrame:
     """Year + region slicers: order measures by month are filtered, customer measures are not."""
     x = measures_by_month(star, {"year": [year], "region": [region]})
-    c = evaluate(star, ["customers", "repeat_purchase_rate"], slicers={"year": [year]})
+    c = evaluate(star, ["customers", "repeat_purchase_rate"], context=Context.of({"year": [year]}))
     r = one_row(c)
     return x.select("*", *[r[n].alias(n) for n in c.columns])

@@ -327,16 +327,10 @@ def _number(star: "Star") -> DataFrame:
 
 
 def review_frame(star: "Star") -> DataFrame:
-    """R1 sampling frame of a star (with the comment text and its document key).
-
-    Only low-score reviews with a usable comment can enter the frame, so texts are attached to
-    those only.
-    """
+    """R1 sampling frame of a star: keys, flags and the comments' document keys, no texts."""
     if "_frame" not in star.model:
         from shipshape.operators.sampling import sample_frame
-        low = star.stg["reviews"].filter((F.col("review_score") <= C.LOW_SCORE_MAX) & F.col("has_comment"))
-        rt = binding.attach_comment(low, star.tables, clean=blank_to_null)
-        star.model["_frame"] = sample_frame(rt, star.model["fact_orders"], star.raw["order_reviews_keyed"])
+        star.model["_frame"] = sample_frame(star.stg["reviews"], star.model["fact_orders"], star.raw["order_reviews_keyed"])
     return star.model["_frame"]
 
 
