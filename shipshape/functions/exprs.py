@@ -122,6 +122,16 @@ def squash_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"[{C.WHITE_SPACE}]+", " "))
 
 
+def shorten(text: Column, most: int = 40) -> Column:
+    """F16: texts longer than ``most`` are cut to that length, dots included."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def about(x: Column) -> Column:
+    """to the nearest hundred, ties to the even one."""
+    return F.bround(x, -2)
+
+
 def null_splitting_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """``left.join(right, key, "left")`` whose rows without a key go round the exchange.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shipshape import config as C
+from shipshape.functions import exprs
 from shipshape.functions.exprs import count_if, ratio
 from shipshape.catalog import query
 from shipshape.operators import cuts, kpis
@@ -333,6 +334,104 @@ query("quarter_orders")(lambda s: _layers.quarter_orders(s.layers, C.QUARTER[0],
 query("state_views")(lambda s: _layers.state_views(s.layers))
 
 
+def _folder(s, name: str) -> str:
+    import uuid
+
+    from shipshape.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(s.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip")
+def _csv_round_trip(s):
+    """Raw tables as CSV (texts with quotes and line breaks), read back by their declared types."""
+    out, folder = None, _folder(s, "csv")
+    for name in ("orders", "order_items", "order_reviews", "customers"):
+        table = s.raw[name]
+        files.write_csv(table, f"{folder}/{name}")
+        back = files.read_csv(s.spark, f"{folder}/{name}", table.schema)
+        filled = sum((F.count(c) for c in back.columns), F.lit(0).cast("bigint"))
+        text = sum((F.coalesce(F.sum(F.length(x.name)), F.lit(0)) for x in back.schema.fields if x.dataType.simpleString() == "string"), F.lit(0).cast("bigint"))
+        money = sum((F.coalesce(F.sum(x.name).cast("double"), F.lit(0.0)) for x in back.schema.fields if x.dataType.simpleString().startswith("decimal")), F.lit(0.0))
+        one = back.agg(F.count(F.lit(1)).alias("rows"), filled.alias("filled"), text.alias("text_chars"), money.alias("money")).select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("csv_cells_trimmed")
+def _csv_cells_trimmed(s):
+    """Cells padded with blanks, tabs and no-break spaces (or only of them), read trimmed, empty ones as NULL."""
+    pads = F.array(*[F.lit(x) for x in (" ", "\t ", "\u00a0", "  \u2003")])
+    people = s.raw["customers"].select(f("customer_id").cast("string").alias("customer_id"), F.when(f("customer_state").like("%1%"), F.lit("")).otherwise(f("customer_state")).alias("state"),
+                                       "customer_city")
+    pad = F.element_at(pads, (F.pmod(F.xxhash64("customer_id"), F.lit(4)) + 1).cast("int"))
+    folder = _folder(s, "cells")
+    files.write_csv(people.select(*[F.concat(pad, F.col(c), pad).alias(c) for c in people.columns]), folder)
+    back = files.read_csv_trimmed(s.spark, folder)
+    return back.groupBy("state", "customer_city").agg(F.count(F.lit(1)).alias("rows"), F.min(F.length("customer_id")).cast("bigint").alias("shortest_id"))
+
+
+@query("parquet_round_trip")
+def _parquet_round_trip(s):
+    """The seven tables of the star exported, and imported with money as double."""
+    names = ("dim_customer", "dim_date", "dim_geography", "dim_product", "dim_seller", "fact_orders", "fact_order_items")
+    folder = _folder(s, "export")
+    files.export_tables({n: s.model[n].drop("customer_order_number") for n in names}, folder)
+    out = None
+    for name in names:
+        back = files.read_exported(s.spark, folder, name)
+        money = [x for x in ("price", "items_value", "freight_value") if x in back.columns]
+        total = sum((F.sum(x) for x in money), F.lit(0.0))
+        one = back.agg(F.count(F.lit(1)).alias("rows"), total.alias("money")).select(F.lit(name).alias("table_name"), "rows", F.lit(len(back.columns)).cast("bigint").alias("columns"), "money")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("described_tables")
+def _described_tables(s):
+    """Names and types of the raw columns, as the catalog gives them, with the rows that fill each."""
+    out = None
+    for name in profile.PROFILED:
+        df = s.raw[name]
+        parts = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("filled")) for c in df.columns])
+        filled = df.agg(parts.alias("p")).select(F.explode("p").alias("x")).select("x.*")
+        one = files.describe(df).join(filled, "column_name").select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("file_examples")
+def _file_examples(s):
+    """The first filled value of each column in file order, long ones cut."""
+    out = None
+    for name in ("part", "customer", "supplier", "documents", "events"):
+        df = getattr(s.tables, name)
+        one = files.first_in_file(df.select("*", files.file_place().alias("_row")), [c for c, t in df.dtypes if t == "string"])
+        one = one.select(F.lit(name).alias("table_name"), "column_name", exprs.shorten(f("example")).alias("example"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("about_figures")
+def _about_figures(s):
+    """figures of the whole period as a one-page text gives them, to the nearest hundred."""
+    total = _kpi(s).filter(f("period") == "Total")
+    names = ("orders", "delivered_orders", "late_orders", "reviewed_orders", "low_score_orders", "gmv")
+    cells = F.array(*[F.struct(F.lit(n).alias("figure"), f(n).cast("double").alias("value")) for n in names])
+    return total.select(F.explode(cells).alias("c")).select("c.figure", "c.value", exprs.about(f("c.value")).alias("about"))
+
+
+@query("scenario_document")
+def _scenario_document(s):
+    """The nested scenario section, written beside a section of another shape, and every leaf read back by its path."""
+    base, b, folder = _base(s), scenario.scenario_b_inputs(fo(s)), _folder(s, "document")
+    states = scenario.state_inputs(fo(s), s.model["dim_geography"])
+    targets = _targets(s)
+    section = scenario.scenario_section(scenario.scenario_grid(targets, b, base), targets, b, scenario.scenario_ceiling(fo(s), base), states)
+    totals = base.select(files.as_variant({c: f(c) for c in base.columns}).alias("doc"))
+    files.write_sections({"scenario": section, "baseline": totals}, folder)
+    return files.read_paths(s.spark, folder, "scenario", scenario.section_paths()).withColumn("text", F.when(f("value").isNull(), f("text"))).where("value is not null or text is not null")
+
+
 @query("figures_json")
 def _figures_json(s):
     from shipshape.operators import figures

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shipshape import config as C
 from shipshape.functions.exprs import count_if, one_row, ratio
+from shipshape.sources.files import as_variant
 
 f = F.col
 
@@ -132,3 +133,30 @@ def scenario_anchor(fact: DataFrame, min_days: int = C.SLOW_ON_TIME_DAYS) -> Dat
     p_slow = ratio(sl["slow_low"], sl["slow_reviewed"])
     return x.select(sl["slow_reviewed"].alias("slow_reviewed"), p_slow.alias("p_slow"),
                     p_on.alias("p_on"), p_late.alias("p_late"), F.try_divide(p_late - p_slow, p_late - p_on).alias("realised"))
+
+
+def scenario_section(grid: DataFrame, targets: DataFrame, b: DataFrame, ceiling: DataFrame, states: DataFrame,
+                     cases=C.SCENARIO_CASES, top: int = C.SCENARIO_TOP_STATES) -> DataFrame:
+    """The scenario as one nested document: inputs, the effect of each scenario by case, and the ceiling (one row, ``doc``)."""
+    measures = ("avoided", "share_of_all_bad", "new_low_share")
+    effects = {"a": f"A: top {top}", "b": "B", "ab": "A+B"}
+    aggs = [F.max(F.when((f("scenario") == label) & (f("case") == case), f(m))).alias(f"{key}_{case}_{m}")
+            for key, label in effects.items() for case, _ in cases for m in measures]
+    g = one_row(grid.agg(*aggs))
+    best = states.orderBy(f("excess_late").desc(), f("state")).limit(top)  # ``top`` rows
+    names = best.agg(F.transform(F.array_sort(F.collect_list(F.struct((-f("excess_late")).alias("x"), "state"))), lambda r: r["state"])).scalar()
+    fields = {"cases": F.struct(*[F.lit(v).alias(n.lower()) for n, v in cases]), "target_states": names,
+              "orders_moved_a": targets.where(f("target") == f"top {top}").agg(F.max("orders_moved")).scalar(),
+              "reviews_moved_b": b.agg(F.max("reviews_moved")).scalar()}
+    for key in effects:
+        fields[key] = F.struct(*[F.struct(*[g[f"{key}_{case}_{m}"].alias(m) for m in measures]).alias(case.lower()) for case, _ in cases])
+    c = one_row(ceiling)
+    fields |= {"ceiling_avoided": c["ceiling"], "ceiling_share_of_all_bad": c["share_of_all_bad"]}
+    return grid.sparkSession.range(1).select(as_variant(fields).alias("doc"))
+
+
+def section_paths(cases=C.SCENARIO_CASES, top: int = C.SCENARIO_TOP_STATES) -> list[str]:
+    """Every path to a leaf of the scenario section."""
+    leaves = [f"{key}.{case.lower()}.{m}" for key in ("a", "b", "ab") for case, _ in cases for m in ("avoided", "share_of_all_bad", "new_low_share")]
+    return [*(f"cases.{n.lower()}" for n, _ in cases), *(f"target_states[{i}]" for i in range(top)), "orders_moved_a", "reviews_moved_b", *leaves,
+            "ceiling_avoided", "ceiling_share_of_all_bad"]

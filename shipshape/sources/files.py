@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shipshape.functions.exprs import strip_white_space
 
@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
     Multi-line CSV files are not splittable; convert them to Parquet once (``export_tables``)."""
     return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("mode", "FAILFAST").schema(schema).csv(path))
+            .option("mode", "FAILFAST").option("lineSep", "\n").schema(schema).csv(path))
 
 
 def read_csv_trimmed(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +65,9 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, order_
         x = x.orderBy(*order_by)
     if single_file:
         x = x.coalesce(1)
-    x.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    # white space at the ends of a cell is part of it
+    (x.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\n")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def export_tables(tables: dict[str, DataFrame], out_dir: str, partition_by: dict[str, list[str]] | None = None) -> None:
@@ -112,6 +114,42 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return d.select("section", F.explode("rows").alias("row")).select("section", "row.*")
 
 
+def as_variant(fields: dict[str, Column]) -> Column:
+    """A nested section as one VARIANT value, so that sections of any shape share a column."""
+    return F.to_variant_object(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def write_sections(sections: dict[str, DataFrame], path: str) -> None:
+    """Nested sections (one row with a VARIANT column ``doc`` each) as Parquet: (section, doc)."""
+    out = None
+    for name, df in sections.items():
+        x = df.select(F.lit(name).alias("section"), "doc")
+        out = x if out is None else out.unionByName(x)
+    out.write.mode("overwrite").parquet(path)
+
+
+def read_paths(spark: SparkSession, path: str, section: str, paths: list[str]) -> DataFrame:
+    """(path, value, text) of the given paths of a section; a path that isn't there gives NULLs."""
+    doc = spark.read.parquet(path).where(F.col("section") == section)
+    cells = [F.struct(F.lit(p).alias("path"), F.try_variant_get("doc", f"$.{p}", "double").alias("value"), F.try_variant_get("doc", f"$.{p}", "string").alias("text")) for p in paths]
+    return doc.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def first_in_file(df: DataFrame, columns: list[str], row: str = "_row") -> DataFrame:
+    """(column_name, example): the first filled value of each column in file order.
+
+    ``row`` is a column with the place of the row, see ``file_place``.
+    """
+    aggs = [F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.col(row))).alias(f"e{i}") for i, c in enumerate(columns)]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"e{i}").alias("example")) for i, c in enumerate(columns)])
+    return df.agg(*aggs).select(F.explode(cells).alias("c")).select("c.*")
+
+
+def file_place() -> Column:
+    """Where a row stands in the files of a scan: by path, then by its number in the file."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """Column name and type (what DESCRIBE returns)."""
     spark = df.sparkSession
