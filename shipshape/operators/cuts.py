@@ -14,7 +14,7 @@ from shipshape import config as C
 from shipshape.functions.exprs import count_if, ratio, wilson
 from shipshape.operators.kpis import order_measures
 from shipshape.operators.quantiles import quantiles
-from shipshape.operators.rank import ntile
+from shipshape.operators.rank import desc, ntile
 
 f = F.col
 
@@ -265,7 +265,7 @@ def seller_base(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS) -> Data
 
 def seller_deciles_volume(stats: DataFrame, buckets: int = C.DECILES) -> DataFrame:
     """Sellers in deciles by order volume (1 = largest) with shares of orders, late, low."""
-    r = ntile(stats, buckets, [f("orders").desc(), f("seller_id").asc()], "decile")
+    r = ntile(stats, buckets, [desc(f("orders")), "seller_id"], "decile")
     t_o, t_l, t_w = (_scalar(stats, F.sum(c)) for c in ("orders", "late", "low"))
     return r.groupBy("decile").agg(
         F.count(F.lit(1)).cast("bigint").alias("sellers"), F.sum("orders").cast("bigint").alias("orders"),
@@ -276,7 +276,7 @@ def seller_deciles_volume(stats: DataFrame, buckets: int = C.DECILES) -> DataFra
 def seller_deciles_late(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS, buckets: int = C.DECILES) -> DataFrame:
     """Sellers with enough orders in deciles by late rate (1 = worst)."""
     s = stats.filter(f("orders") >= min_orders)
-    r = ntile(s, buckets, [ratio(f("late"), f("delivered")).desc_nulls_last(), f("seller_id").asc()], "decile")
+    r = ntile(s, buckets, [desc(ratio(f("late"), f("delivered"))), "seller_id"], "decile")
     t_o, t_l = (_scalar(s, F.sum(c)) for c in ("orders", "late"))
     return r.groupBy("decile").agg(
         F.count(F.lit(1)).cast("bigint").alias("sellers"), F.sum("orders").cast("bigint").alias("orders"),
@@ -287,7 +287,7 @@ def seller_deciles_late(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS,
 def seller_deciles_low(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS, buckets: int = C.DECILES) -> DataFrame:
     """Sellers with enough orders in deciles by low share (1 = worst)."""
     s = stats.filter(f("orders") >= min_orders)
-    r = ntile(s, buckets, [ratio(f("low"), f("reviewed")).desc_nulls_last(), f("seller_id").asc()], "decile")
+    r = ntile(s, buckets, [desc(ratio(f("low"), f("reviewed"))), "seller_id"], "decile")
     t_o, t_w = (_scalar(s, F.sum(c)) for c in ("orders", "low"))
     return r.groupBy("decile").agg(
         F.count(F.lit(1)).cast("bigint").alias("sellers"), F.sum("orders").cast("bigint").alias("orders"),
@@ -299,7 +299,7 @@ def seller_deciles_low(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS,
 def worst_decile_summary(stats: DataFrame, min_orders: int = C.MIN_SELLER_ORDERS, buckets: int = C.DECILES) -> DataFrame:
     """Worst late-rate decile: sellers, its share of orders and of late orders."""
     s = stats.filter(f("orders") >= min_orders)
-    r = ntile(s, buckets, [ratio(f("late"), f("delivered")).desc_nulls_last(), f("seller_id").asc()], "decile")
+    r = ntile(s, buckets, [desc(ratio(f("late"), f("delivered"))), "seller_id"], "decile")
     d1 = f("decile") == 1
     return r.agg(count_if(d1).alias("sellers"),
                  ratio(F.sum(F.when(d1, f("orders"))), F.sum("orders")).alias("share_of_orders"),

@@ -1,149 +1,180 @@
 """Exact ranking operators that never put one group (or the whole table) into a single task.
 
 ``sequence_in_group`` is ``row_number() OVER (PARTITION BY g ORDER BY o)``; ``global_row_number``
-and ``ntile`` are the unpartitioned variants. A plain window would send every row of one group to
-one task (and every row to one task when there is no PARTITION BY). Here the rows are
-range-partitioned on ``(g, o)`` instead, so a hot group is spread over several partitions. Each
-partition is numbered in one vectorised pass (Arrow batches); a group that continues from earlier
-partitions gets its carry from a per-partition summary, whose size is bounded by the number of
-partitions and which is therefore broadcast.
+and ``ntile`` are the unpartitioned variants, ``running_total`` is a running sum. A plain window
+would send every row of one group to one task (and every row to one task when there is no
+PARTITION BY). Here the order of (g, o) is cut by explicit splitters: keys of a sample, chosen once
+and held as a small sorted array. Every row gets a bucket column, the number of splitters up to its
+key, by binary search; a window numbers the rows of a bucket, and what earlier buckets hold of a
+bucket's first group is added from a summary of one row per bucket.
+
+The bucket is a function of the row alone. Rows and summary agree however Spark plans them (with or
+without exchange reuse or adaptive plans, after lost executors), and no Python worker is involved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-_PID = "_rk_pid"
-_LRN = "_rk_lrn"
-
-
-def _num_partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _one_partitioning(local: DataFrame) -> DataFrame:
-    """Both branches of a ranking (rows and per-partition summary) must see one range partitioning.
-    Spark guarantees it by reusing the identical exchange; where exchange reuse is switched off, the
-    numbered rows are checkpointed (reliably, into ``spark.checkpoint.dir``) and both branches read
-    them."""
-    reuse = local.sparkSession.conf.get("spark.sql.exchange.reuse", "true")
-    if str(reuse).lower() == "true":
-        return local
-    from shipshape.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(local.sparkSession)
-    return local.checkpoint(eager=True)
-
-
-def _local_numbering(group_cols: Sequence[str]):
-    """Per partition (sorted by group, order): 1-based row number inside each group run.
-
-    Group changes are found with typed Arrow comparisons of each row with its predecessor (two
-    NULLs count as the same group); a run continuing across batches keeps counting.
+#: Rows of one bucket, about; a smaller table is one bucket.
+BUCKET_ROWS = 1_000_000
+#: Sampled rows for each bucket.
+SAMPLE = 64
+_BUCKET, _LOCAL, _KEY, _NULL, _SEP = "_rk_bucket", "_rk_local", "_rk_k", "\u0002", "\u0001"
+
+
+@dataclass(frozen=True)
+class Desc:
+    """An order column that falls, NULLs last."""
+
+    column: Column
+
+
+def desc(c: Column | str) -> Desc:
+    return Desc(F.col(c) if isinstance(c, str) else c)
+
+
+def _falling(c: Column, kind: T.DataType) -> list[Column]:
+    """Columns whose rising order is the falling order of ``c`` with NULLs last."""
+    if isinstance(kind, T.BooleanType):
+        value = (~c).cast("int")
+    elif isinstance(kind, T.DateType):
+        value = -F.unix_date(c)
+    elif isinstance(kind, T.TimestampType):
+        value = -F.unix_micros(c)
+    elif isinstance(kind, T.TimestampNTZType):
+        return [c.isNull(), -F.unix_date(c.cast("date")), -(F.hour(c) * 3600 + F.minute(c) * 60) - F.date_part(F.lit("SECONDS"), c)]
+    elif isinstance(kind, T.LongType):
+        value = -c.cast("decimal(20,0)")  # the smallest long has no negative
+    elif isinstance(kind, T.NumericType):
+        value = -c
+    else:
+        raise TypeError(f"no falling order for {kind.simpleString()}")
+    return [c.isNull(), value]
+
+
+def _rising(df: DataFrame, order: Sequence[Column | str | Desc]) -> list[Column]:
+    """The order as columns that all rise, NULLs first."""
+    out = []
+    for o in order:
+        if isinstance(o, Desc):
+            out += _falling(o.column, df.select(o.column.alias("c")).schema[0].dataType)
+        else:
+            out.append(F.col(o) if isinstance(o, str) else o)
+    return out
+
+
+def _spelled(rows: list, i: int, kind: T.DataType) -> Column:
+    """The i-th values of some rows as one constant array: spelled in one string, cast to their type."""
+    if isinstance(kind, T.StringType) and any(_SEP in (r[i] or "") or r[i] == _NULL for r in rows):
+        return F.array(*[F.lit(r[i]) for r in rows])
+    text = _SEP.join(_NULL if r[i] is None else str(r[i]) for r in rows)
+    values = F.transform(F.split(F.lit(text), _SEP), lambda x: F.nullif(x, F.lit(_NULL)))
+    return values.cast(T.ArrayType(kind))
+
+
+def bucketed(df: DataFrame, order: Sequence[Column | str | Desc], partitions: int | None = None) -> tuple[DataFrame, list[Column], int, int]:
+    """``df`` with its bucket column and rising key columns; the keys, the number of buckets, the number of rows.
+
+    Two small jobs come first: one counts the rows, one fetches the sampled keys (by hash, so every
+    run takes the same), of which every ``SAMPLE``-th in order is a splitter. A sample that is itself
+    too large for a task is numbered by the same operator.
     """
-
-    def number(batches):
-        prev_key = None
-        run = 0
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                yield batch.append_column(_LRN, pa.array([], pa.int64()))
-                continue
-            change = np.zeros(n, dtype=bool)
-            for c in group_cols:
-                a = batch.column(c)
-                if n > 1:
-                    cur, prev = a.slice(1), a.slice(0, n - 1)
-                    same = pc.or_(pc.fill_null(pc.equal(cur, prev), False),
-                                  pc.and_(pc.is_null(cur), pc.is_null(prev)))
-                    change[1:] |= ~same.to_numpy(zero_copy_only=False)
-            first_key = tuple(batch.column(c)[0].as_py() for c in group_cols)
-            last_key = tuple(batch.column(c)[n - 1].as_py() for c in group_cols)
-            starts_new = prev_key is None or first_key != prev_key
-            change[0] = starts_new
-            gid = np.cumsum(change)                      # run id inside the batch
-            idx = np.arange(n)
-            run_start = np.maximum.accumulate(np.where(change, idx, 0))
-            lrn = idx - run_start + 1
-            if not starts_new:                           # first run continues from the previous batch
-                lrn[gid == 0] += run
-            run = int(lrn[-1])
-            prev_key = last_key
-            yield batch.append_column(_LRN, pa.array(lrn.astype(np.int64)))
-
-    return number
-
-
-def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
+    keys = _rising(df, order)
+    named = [k.alias(f"{_KEY}{i}") for i, k in enumerate(keys)]
+    rows = df.count()
+    buckets = partitions or -(-rows // BUCKET_ROWS)
+    keyed = df.select("*", *named)
+    names = [f"{_KEY}{i}" for i in range(len(keys))]
+    if buckets <= 1 or not rows:
+        return keyed.withColumn(_BUCKET, F.lit(0)), [F.col(n) for n in names], 1, rows
+    part = min(1.0, buckets * SAMPLE / rows)
+    # another hash at each level
+    hit = F.xxhash64(F.lit(rows), *keys).bitwiseAND(F.lit((1 << 32) - 1)) < F.lit(int(part * (1 << 32)))
+    sample = df.select(*named).where(hit) if part < 1 else df.select(*named)
+    numbered, total = _numbered(sample, names)
+    step = max(1, total // buckets)
+    splitters = sorted(numbered.where((F.col(_LOCAL) % step == 0) & (F.col(_LOCAL) < F.lit(total))).collect(), key=lambda r: r[_LOCAL])
+    if not splitters:
+        return keyed.withColumn(_BUCKET, F.lit(0)), [F.col(n) for n in names], 1, rows
+    kinds = [keyed.schema[n].dataType for n in names]
+    held = F.arrays_zip(*[_spelled(splitters, i, k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))])
+    held = held.cast(T.ArrayType(T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])))
+    key = F.struct(*names)
+    found = F.lit(0)  # splitters up to the key: binary search by falling powers of two
+    for power in reversed(range(len(splitters).bit_length())):
+        at = found + (1 << power)
+        found = F.when(F.get(held, at - 1) <= key, at).otherwise(found)
+        keyed = keyed.withColumn(f"{_BUCKET}{power}", found)
+        found = F.col(f"{_BUCKET}{power}")
+    keyed = keyed.withColumn(_BUCKET, found).drop(*[f"{_BUCKET}{p}" for p in range(len(splitters).bit_length())])
+    return keyed, [F.col(n) for n in names], len(splitters) + 1, rows
+
+
+def _numbered(sample: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
+    """The sampled keys with their place in order, and their number."""
+    total = sample.count()
+    if total <= BUCKET_ROWS:
+        return sample.withColumn(_LOCAL, F.row_number().over(Window.orderBy(*names)).cast("bigint")), total
+    inner = sample.select(*[F.col(n).alias(f"s{n}") for n in names])
+    done = global_row_number(inner, [f"s{n}" for n in names], "_rk_place")
+    return done.select(*[F.col(f"s{n}").alias(n) for n in names], F.col("_rk_place").alias(_LOCAL)), total
+
+
+def sequence_in_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str | Desc],
                       out_col: str = "rn", partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by group_cols order by order_cols)``, skew-safe.
 
-    ``order_cols`` must be a total order inside each group (add a unique tie-break).
+    ``order_cols`` must be a total order inside each group (add a unique tie-break). ``partitions``
+    sets the number of buckets (default: by the rows).
     """
     return _sequence(df, group_cols, order_cols, out_col, partitions)[0]
 
 
-def _sequence(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], out_col: str,
-              partitions: int | None) -> tuple[DataFrame, DataFrame]:
-    """The numbered rows and the per-partition summary (pid, last group, its row count there)."""
+def _sequence(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str | Desc], out_col: str,
+              partitions: int | None) -> tuple[DataFrame, int]:
+    """The numbered rows, and the number of rows."""
     g = list(group_cols)
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = _num_partitions(df, partitions)
-    keys = [F.col(c).asc_nulls_first() for c in g] + order
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id()))
-    schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
-    local = _one_partitioning(ranged.mapInArrow(_local_numbering(g), schema))
-
-    # last group of each partition and its row count there (one row per non-empty partition).
-    # Taken from the numbered rows themselves: the Arrow pass reads every column, so both branches
-    # stand on one and the same range exchange (reused). A branch that pruned columns would get an
-    # exchange of its own, with its own sampled range bounds, i.e. a different partitioning.
-    last = F.max(F.struct(*[F.col(c) for c in g], F.col(_LRN).alias("_cnt"))).alias("_last")
-    summary = local.groupBy(_PID).agg(last).select(
-        _PID, *[F.col(f"_last.{c}").alias(c) for c in g], F.col("_last._cnt").alias("_cnt"))
-    by_group = Window.partitionBy(*g).orderBy(_PID) if g else Window.orderBy(_PID)
-    by_pid = Window.orderBy(_PID)
+    keyed, keys, buckets, rows = bucketed(df, [*g, *order_cols], partitions)
+    local = keyed.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(_BUCKET, *g).orderBy(*keys)).cast("bigint"))
+    if buckets == 1:
+        return local.withColumn(out_col, F.col(_LOCAL)).select(*df.columns, out_col), rows
+    # the last group of each bucket and its rows there: one row per bucket
+    last = F.max(F.struct(*[F.col(c) for c in g], F.col(_LOCAL).alias("_cnt"))).alias("_last")
+    summary = local.groupBy(_BUCKET).agg(last).select(_BUCKET, *[F.col(f"_last.{c}").alias(c) for c in g], F.col("_last._cnt").alias("_cnt"))
+    by_group = Window.partitionBy(*g).orderBy(_BUCKET) if g else Window.orderBy(_BUCKET)
     offsets = (summary
                .withColumn("_carry", F.sum("_cnt").over(by_group.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("_next", F.lead(_PID).over(by_pid))
+               .withColumn("_next", F.lead(_BUCKET).over(Window.orderBy(_BUCKET)))
                .filter(F.col("_next").isNotNull())
-               .select(F.col("_next").alias("_o_pid"), *[F.col(c).alias(f"_o_{c}") for c in g], "_carry"))
-    cond = F.col(_PID) == F.col("_o_pid")
+               .select(F.col("_next").alias("_o_bucket"), *[F.col(c).alias(f"_o_{c}") for c in g], "_carry"))
+    cond = F.col(_BUCKET) == F.col("_o_bucket")
     for c in g:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     out = (local.join(F.broadcast(offsets), cond, "left")
-           .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
-    return out.drop(_PID, _LRN, "_o_pid", "_carry", *[f"_o_{c}" for c in g]), summary
+           .withColumn(out_col, (F.col(_LOCAL) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
+    return out.select(*df.columns, out_col), rows
 
 
-def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], out_col: str = "rn",
+def global_row_number(df: DataFrame, order_cols: Sequence[Column | str | Desc], out_col: str = "rn",
                       partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (order by order_cols)`` without a single-partition window."""
     return sequence_in_group(df, [], order_cols, out_col, partitions)
 
 
-def ntile(df: DataFrame, buckets: int, order_cols: Sequence[Column | str], out_col: str = "ntile",
+def ntile(df: DataFrame, buckets: int, order_cols: Sequence[Column | str | Desc], out_col: str = "ntile",
           partitions: int | None = None) -> DataFrame:
     """Exact ``ntile(buckets) over (order by order_cols)`` (first N mod b buckets get one more row)."""
-    numbered, summary = _sequence(df, [], order_cols, "_nt_rn", partitions)
-    # the row total from the per-partition counts the numbering already has (one row per partition),
-    # not from a second evaluation of the input; the sum does not depend on the partition bounds
-    total = summary.agg(F.sum("_cnt")).scalar()
-    x = numbered.withColumn("_nt_n", total)
-    q = F.floor(F.col("_nt_n") / buckets)
-    rem = F.col("_nt_n") % buckets
+    x, n = _sequence(df, [], order_cols, "_nt_rn", partitions)
+    q, rem = divmod(n, buckets)
     big = rem * (q + 1)
     rn = F.col("_nt_rn")
-    tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1).otherwise(rem + F.floor((rn - big - 1) / q) + 1)
-    return x.withColumn(out_col, tile.cast("bigint")).drop("_nt_rn", "_nt_n")
+    small = rem + F.floor((rn - big - 1) / max(q, 1)) + 1
+    tile = F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1).otherwise(small)
+    return x.withColumn(out_col, tile.cast("bigint")).drop("_nt_rn")
 
 
 def top_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int,
@@ -154,35 +185,19 @@ def top_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     return df.withColumn(out_col, F.row_number().over(w).cast("bigint")).filter(F.col(out_col) <= k)
 
 
-def _local_cumsum(weight_col: str):
-    """Per partition (sorted): running total of ``weight_col``, carried across Arrow batches."""
-
-    def run(batches):
-        carry = 0
-        for batch in batches:
-            w = batch.column(weight_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            cs = np.cumsum(w) + carry
-            if len(cs):
-                carry = int(cs[-1])
-            yield batch.append_column(_LRN, pa.array(cs, pa.int64()))
-
-    return run
-
-
-def running_total(df: DataFrame, order_cols: Sequence[Column | str], weight_col: str, out_col: str = "cum",
+def running_total(df: DataFrame, order_cols: Sequence[Column | str | Desc], weight_col: str, out_col: str = "cum",
                   partitions: int | None = None) -> DataFrame:
-    """Exact ``sum(weight) over (order by order_cols rows unbounded preceding)``, no single-partition
-    window: range partitions are summed locally in one Arrow pass, then shifted by the totals of the
-    earlier partitions (one row per partition, broadcast). ``order_cols`` must be a total order."""
-    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = _num_partitions(df, partitions)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn(_PID, F.spark_partition_id()))
-    schema = T.StructType(list(ranged.schema.fields) + [T.StructField(_LRN, T.LongType(), False)])
-    local = _one_partitioning(ranged.mapInArrow(_local_cumsum(weight_col), schema))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (local.groupBy(_PID).agg(F.max(_LRN).alias("_cnt"))     # same subtree as the rows (see above)
-               .select(F.col(_PID).alias("_o_pid"), F.sum("_cnt").over(before).alias("_carry")))
-    out = (local.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"), "left")
-           .withColumn(out_col, (F.col(_LRN) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
-    return out.drop(_PID, _LRN, "_o_pid", "_carry")
+    """Exact ``sum(weight) over (order by order_cols rows unbounded preceding)``: summed within each
+    bucket, then shifted by the totals of the earlier ones (one row per bucket, broadcast).
+    ``order_cols`` must be a total order."""
+    keyed, keys, buckets, _ = bucketed(df, order_cols, partitions)
+    within = Window.partitionBy(_BUCKET).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = keyed.withColumn(_LOCAL, F.sum(weight_col).over(within))
+    if buckets == 1:
+        return local.withColumn(out_col, F.col(_LOCAL).cast("bigint")).select(*df.columns, out_col)
+    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (keyed.groupBy(_BUCKET).agg(F.sum(weight_col).alias("_cnt"))
+               .select(F.col(_BUCKET).alias("_o_bucket"), F.sum("_cnt").over(before).alias("_carry")))
+    out = (local.join(F.broadcast(offsets), F.col(_BUCKET) == F.col("_o_bucket"), "left")
+           .withColumn(out_col, (F.col(_LOCAL) + F.coalesce(F.col("_carry"), F.lit(0))).cast("bigint")))
+    return out.select(*df.columns, out_col)

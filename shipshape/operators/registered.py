@@ -380,7 +380,7 @@ def _parquet_round_trip(s):
     for name in names:
         back = files.read_exported(s.spark, folder, name)
         money = [x for x in ("price", "items_value", "freight_value") if x in back.columns]
-        total = sum((F.sum(x) for x in money), F.lit(0.0))
+        total = sum((F.sum(F.col(x).cast("decimal(12,2)")).cast("double") for x in money), F.lit(0.0))  # cents, whatever the order of the sum
         one = back.agg(F.count(F.lit(1)).alias("rows"), total.alias("money")).select(F.lit(name).alias("table_name"), "rows", F.lit(len(back.columns)).cast("bigint").alias("columns"), "money")
         out = one if out is None else out.unionByName(one)
     return out
