@@ -246,6 +246,26 @@ def test_encoding_by_pieces_equals_the_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, tokenizer_file())] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("most", [400_000, 3])
+def test_words_at_borders_encode_like_the_tokenizer(monkeypatch, most):
+    """All given texts and odd ones, with caches that turn over all the time too."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_file())
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()][:60 if most == 3 else None]
+    rng = random.Random(6)
+    signs = "aZ9é Ÿſ×÷ªº²½'’.,;:_-—<>|\\/\"$#@~`^*+=()[]{}\t\n\r\x0b\x1c\x85\u00a0\u2003漢字かな٣ё🙂\u0301\u200d's're"
+    texts += ["".join(rng.choice(signs) for _ in range(rng.choice([1, 3, 9, 40]))) for _ in range(4000)]
+    texts += ["don't we'll I'M it's' ''s 's 'll x'd'd", "a1b2 c3_d ß9 ÀÉÎ-õü", "word," * 50, "'" * 30, " ".join("ab'cd" * 3 for _ in range(9))]
+    monkeypatch.setattr(tokens, "CACHE", most)
+    tokens._state.clear()
+    got = tokens.encode(texts, tokenizer_file(), True)
+    tokens._state.clear()
+    wrong = [t for t, x in zip(texts, got) if np.frombuffer(x, "<u4").tolist() != own.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def test_special_tokens_are_encoded_as_the_tokenizer_does(spark):
     from tokenizers import Tokenizer
 
