@@ -1,10 +1,12 @@
 """Chat formatting (operator 3): budgeted, turn-aligned windows with a loss mask.
 
-Prefix sums of turn tokens lay each turn into the window of its grid cell, so a span is turn-aligned
-and holds less than the span budget plus its last turn. A window repeats the conversation's opening
-system turn and the turns of the cell before that still fit the history budget; repeated turns are
-masked. Prefix sums over a conversation of any length use its range-partitioned pieces and one
-total per piece.
+A window's budget holds its own turns, the conversation's opening system turn and repeated history.
+What is left for own turns is halved: a turn of more than one half is a window of its own, and runs of
+shorter turns between such are cut where their prefix sums of tokens pass a multiple of the other
+half, so that the last turn of a window never takes it beyond the budget. Every window is thus found
+from prefix sums alone, without walking a conversation. History are the turns at the end of the window
+before, as many as the history budget and the window's room allow; repeated turns are masked. Prefix
+sums over a conversation of any length use its range-partitioned pieces and one total per piece.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shipshape.llm.common import batches, partitions, written
 
-SPAN_TOKENS, HISTORY_TOKENS, TURN_TOKENS = 512, 128, 4
+WINDOW_TOKENS, HISTORY_TOKENS, TURN_TOKENS = 512, 128, 4
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _RESTORE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -65,33 +67,36 @@ def parse(window: str) -> list[tuple[str, str, int, int]]:
 
 
 def _numbered(it):
-    """Tokens before each turn within its conversation and this partition."""
-    part, now, total = TaskContext.get().partitionId(), object(), 0
+    """Tokens and long turns before each turn within its conversation and this partition."""
+    part, now, total, longs = TaskContext.get().partitionId(), object(), 0, 0
     for b in it:
-        before, convs = [], b.column("conv").to_pylist()
-        for conv, n in zip(convs, b.column("tokens").to_pylist()):
+        before, runs = [], []
+        for conv, n, long in zip(b.column("conv").to_pylist(), b.column("tokens").to_pylist(), b.column("long").to_pylist()):
             if conv != now:
-                now, total = conv, 0
+                now, total, longs = conv, 0, 0
             before.append(total)
-            total += n
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv", "turn", "role", "text", "tokens", "tie")), pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64())],
-                                         names=["conv", "turn", "role", "text", "tokens", "tie", "part", "before"])
+            runs.append(longs)
+            total, longs = total + n, longs + long
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array([part] * len(before), pa.int32()), pa.array(before, pa.int64()), pa.array(runs, pa.int64())],
+                                         names=[*b.schema.names, "part", "before", "run"])
 
 
 def _rendered(it):
     for b in it:
         made = [render([(t["role"], t["text"], t["own"]) for t in turns]) for turns in b.column("turns").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("window"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.list_(pa.int32())), b.column("repeated")],
-                                         names=["conv", "window", "formatted", "loss", "repeated"])
+        yield pa.RecordBatch.from_arrays([b.column("conv"), b.column("window"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.list_(pa.int32())), b.column("repeated"), b.column("tokens")],
+                                         names=["conv", "window", "formatted", "loss", "repeated", "tokens"])
 
 
 def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-            span: int = SPAN_TOKENS, history: int = HISTORY_TOKENS) -> DataFrame:
-    """conv, window, formatted, loss (flat spans), repeated (turns at the front that are repeats).
-
-    Null texts and roles count as empty. Turns of one number stand by role, then text; null numbers
-    come first; rows of a null conversation form one. Repeated rows are turns of their own. A turn
-    longer than the budget stays whole. An empty table gives no windows. ``history`` < ``span``.
+            budget: int = WINDOW_TOKENS, history: int = HISTORY_TOKENS) -> DataFrame:
+    """conv, window, formatted, loss (flat spans), repeated (turns at the front that are repeats), tokens.
+
+    ``window`` is the number of the conversation's tokens before the window's own turns. No window has
+    more than ``budget`` tokens, unless one own turn with the system turn has. Null texts and roles
+    count as empty. Turns of one number stand by role, then text; null numbers come first; rows of a
+    null conversation form one. Repeated rows are turns of their own. An empty table gives no windows.
+    Other columns of the input, whatever their names, take no part.
     """
     spark = turns.sparkSession
     batches(spark)
@@ -99,24 +104,37 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text.alias("text"),
                         (F.regexp_count(text, F.lit(r"\w+|[^\w\s]+")) + TURN_TOKENS).cast("long").alias("tokens"), F.xxhash64(text).alias("tie"))
     kinds = dict(rows.dtypes)
+    opening = rows.groupBy("conv", "turn", "role").agg(F.max("tokens").alias("n")).groupBy("conv").agg(F.min(F.struct("turn", "role", "n")).alias("f")).where("f.role = 'system'")
+    opening = opening.select(F.col("conv").alias("c1"), F.col("f.n").alias("system"))
+    half = F.floor(F.greatest(F.lit(budget - history) - F.col("system"), F.lit(2)) / 2)
+    rows = rows.join(opening, F.col("conv").eqNullSafe(F.col("c1")), "left").drop("c1").withColumn("system", F.coalesce("system", F.lit(0)).cast("long"))
+    rows = rows.withColumn("half", half.cast("long")).withColumn("long", (F.col("tokens") > F.col("half")).cast("int"))
     placed = rows.repartitionByRange(partitions(spark), "conv", "turn", "role", "tie").sortWithinPartitions("conv", "turn", "role", "text")
-    placed = written(placed.mapInArrow(_numbered, f"conv {kinds['conv']}, turn {kinds['turn']}, role string, text string, tokens long, tie long, part int, before long"))
+    placed = written(placed.mapInArrow(_numbered, ", ".join(f"{c} {k}" for c, k in rows.dtypes) + ", part int, before long, run long"))
     # a conversation continues into later partitions only as their first: one total per conversation and partition, of those that span several
-    sums = placed.groupBy("conv", "part").agg(F.sum("tokens").alias("s"))
+    sums = placed.groupBy("conv", "part").agg(F.sum("tokens").alias("s"), F.sum("long").alias("l"))
     over = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("carry", F.sum("s").over(over)).where("carry is not null").select(F.col("conv").alias("c2"), F.col("part").alias("p2"), "carry")
-    placed = placed.join(sums, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2")), "left").withColumn("before", F.col("before") + F.coalesce("carry", F.lit(0)))
-    placed = written(placed.select("conv", "role", "text", "before", "tokens", F.floor(F.col("before") / span).alias("window")))
-    first = placed.where((F.col("before") == 0) & (F.col("role") == "system")).select(F.col("conv").alias("c3"), F.col("text").alias("system"))
-    again = placed.where(((F.col("window") + 1) * span - F.col("before") <= history) & ~((F.col("before") == 0) & (F.col("role") == "system")))
-    used = placed.groupBy("conv", "window").agg(F.count("*").alias("own"))
-    front = used.where("window > 0").join(first, F.col("conv").eqNullSafe(F.col("c3"))).select("conv", "window", F.lit(-1).cast("long").alias("before"), F.lit("system").alias("role"), F.col("system").alias("text"), F.lit(False).alias("own"))
-    both = placed.select("conv", "window", "before", "role", "text", F.lit(True).alias("own")).union(
-        again.select("conv", F.col("window") + 1, "before", "role", "text", F.lit(False))).union(front)
-    # a window holds less than span + history tokens besides its last turn, so its turns are few
-    held = both.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("before", "role", "text", "own"))).alias("turns"), F.sum((~F.col("own")).cast("int")).alias("repeated"), F.max("own").alias("any_own"))
-    held = held.where("any_own").select("conv", "window", "turns", "repeated")
-    return held.mapInArrow(_rendered, f"conv {kinds['conv']}, window long, formatted string, loss array<int>, repeated long")
+    sums = sums.select(F.col("conv").alias("c2"), F.col("part").alias("p2"), F.sum("s").over(over).alias("carry"), F.sum("l").over(over).alias("carry_run")).where("carry is not null")
+    placed = placed.join(sums, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("part") == F.col("p2")), "left").withColumn(
+        "before", F.col("before") + F.coalesce("carry", F.lit(0))).withColumn("run", F.col("run") + F.coalesce("carry_run", F.lit(0)))
+    cell = F.when(F.col("long") == 1, F.lit(-1)).otherwise(F.floor(F.col("before") / F.col("half"))).cast("long")
+    placed = written(placed.select("conv", "role", "text", "before", "tokens", "system", "run", cell.alias("cell")))
+    end = F.col("before") + F.col("tokens")
+    spans = written(placed.groupBy(F.col("conv").alias("c4"), F.col("run").alias("r4"), F.col("cell").alias("k4")).agg(
+        F.min("before").alias("window"), F.max(end).alias("stop"), F.sum("tokens").alias("own_tokens")))
+    placed = placed.join(spans, F.col("conv").eqNullSafe(F.col("c4")) & (F.col("run") == F.col("r4")) & (F.col("cell") == F.col("k4"))).drop("c4", "r4", "k4")
+    opens = (F.col("before") == 0) & (F.col("role") == "system")
+    first = placed.where(opens).select(F.col("conv").alias("c3"), F.col("text").alias("s3"), F.col("tokens").alias("n3"))
+    after = spans.select(F.col("c4").alias("c5"), F.col("window").alias("next"), F.col("own_tokens").alias("next_tokens"))
+    room = F.least(F.lit(history), F.lit(budget) - F.col("system") - F.col("next_tokens"))
+    again = placed.where(~opens & (F.col("stop") - F.col("before") <= history)).join(after, F.col("conv").eqNullSafe(F.col("c5")) & (F.col("stop") == F.col("next"))).where(
+        F.col("stop") - F.col("before") <= room)
+    kept, mine = F.lit(False).alias("own"), F.lit(True).alias("own")
+    front = spans.where("window > 0").join(first, F.col("c4").eqNullSafe(F.col("c3"))).select(F.col("c4").alias("conv"), "window", F.lit(-1).cast("long").alias("before"), F.lit("system").alias("role"), F.col("s3").alias("text"), kept, "n3")
+    both = placed.select("conv", "window", "before", "role", "text", mine, "tokens").union(again.select("conv", "next", "before", "role", "text", kept, "tokens")).union(front)
+    # a window's turns are few: each has TURN_TOKENS tokens or more
+    held = both.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("before", "role", "text", "own"))).alias("turns"), F.sum((~F.col("own")).cast("int")).alias("repeated"), F.sum("tokens").alias("tokens"))
+    return held.select("conv", "window", "turns", "repeated", "tokens").mapInArrow(_rendered, f"conv {kinds['conv']}, window long, formatted string, loss array<int>, repeated long, tokens long")
 
 
 def _read_back(it):

@@ -330,6 +330,38 @@ def test_chat_windows_read_back(spark):
         assert (out[conv]["loss_chars"], out[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_windows_keep_their_budget(spark):
+    """Random conversations, long turns, a long system turn, repeated and clashing columns: contents, order, budget, history."""
+    rng = random.Random(3)
+    rows = []
+    for conv in range(30):
+        if conv % 3 == 0:
+            rows.append((conv, -1, "system", "be " * rng.choice([2, 60, 700])))
+        rows += [(conv, i, ["user", "assistant"][i % 2], f"t{i} " + "word " * rng.choice([0, 3, 20, 90, 200, 600])) for i in range(rng.choice([1, 6, 70]))]
+    rows += rows[-3:]
+    df = spark.createDataFrame([(*r, 1, 2, "x", 4) for r in rows], "conv_id long, turn long, role string, text string, conv int, before int, window string, tokens int")
+    made = chat.windows(df.repartition(7)).collect()
+    tokens_of = lambda text: len(re.findall(r"\w+|[^\w\s]+", text)) + chat.TURN_TOKENS
+    by_conv, repeats = {}, 0
+    for w in sorted(made, key=lambda w: (w["conv"], w["window"])):
+        turns = [(r, t) for r, t, _, _ in chat.parse(w["formatted"])]
+        own = turns[w["repeated"]:]
+        size = sum(tokens_of(t) for _, t in turns)
+        assert size == w["tokens"] and own
+        system = [t for t in turns[:w["repeated"]] if t[0] == "system"]
+        assert size <= chat.WINDOW_TOKENS or len(own) == 1 and len(system) == w["repeated"], (size, len(own))
+        past = by_conv.setdefault(w["conv"], [])
+        history = turns[len(system):w["repeated"]]
+        assert (past[:1] if past and past[0][0] == "system" else []) == system and (not history or past[-len(history):] == history)
+        assert sum(tokens_of(t) for _, t in history) <= chat.HISTORY_TOKENS
+        repeats += len(history)
+        past += own
+    for conv, past in by_conv.items():
+        assert past == [(r, t) for _, r, t in sorted((i, r, t) for c, i, r, t in rows if c == conv)]
+    assert repeats > 20 and sum(len({w["window"] for w in made if w["conv"] == c}) for c in by_conv) == len(made)
+    assert chat.windows(df.limit(0)).collect() == []
+
+
 def test_repeated_lines_keep_the_first(spark):
     line = "a passage of many words that stands in several documents at once"
     rows = [(2, f"own words here\n  {line.upper()}", "s", 1, 2, "x"), (1, f"{line}\nshort\nshort", "s", 1, 2, "x"), (3, None, "s", 1, 2, "x")]
