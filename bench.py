@@ -15,13 +15,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shipshape import catalog  # noqa: E402
-from shipshape.plans.star import build_star, materialize  # noqa: E402
+from shipshape.plans.star import VALIDATED, build_star, materialize  # noqa: E402
 from shipshape.session import get_session  # noqa: E402
 
 HEADLINE = [
     "kpi_orders", "kpi_sheet", "by_outcome", "time_decomposition", "order_composition", "category_stats",
     "seller_deciles_late", "by_state_excess", "by_seller_state", "value_bands", "repeat_by_first_outcome",
     "gap_by_region", "stratified_sample", "category_shares_ci", "scenario_grid", "fact_orders",
+    "model_validation", "column_profile", "fk_profile", "trap_checks",
 ]
 
 
@@ -32,7 +33,7 @@ def main() -> None:
                         extra={"spark.driver.memory": "16g"})
     times: dict[str, float] = {}
     t0 = time.time()
-    star = materialize(build_star(spark, src))
+    star = materialize(build_star(spark, src), (*VALIDATED, "frame"))
     times["star_build"] = round(time.time() - t0, 3)
     for name in HEADLINE:
         t = time.time()

@@ -9,7 +9,6 @@ Layers (each a function returning a lazy DataFrame):
 * ``operators`` – analytical operators on top of the star (KPIs, profiling, quality checks,
                   validation, cuts, deciles, cohorts, sampling, coding statistics, what-if,
                   measure registry with filter context).
-* ``streaming`` – empty on purpose: the reference has no streaming operators.
 """
 
 __all__ = ["session"]

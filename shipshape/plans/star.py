@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from shipshape import config as C
-from shipshape.functions.exprs import blank_to_null, days_between, guarded_days, has_text, label_sort, null_splitting_left_join
+from shipshape.functions.exprs import band, blank_to_null, days_between, guarded_days, has_text, label_sort, null_splitting_left_join
 from shipshape.operators.rank import sequence_in_group
 from shipshape.sources import binding
 from shipshape.sources.tables import Tables
@@ -164,13 +164,8 @@ def _outcome_cols():
     d, delay = F.col("is_delivered"), F.col("delay_days")
     open_ = F.when(F.col("order_status").isin(*C.DELIVERED_STATUSES), C.OUTCOMES[3]).otherwise(C.OUTCOMES[2])
     outcome = F.when(d, F.when(delay <= 0, C.OUTCOMES[0]).when(delay > 0, C.OUTCOMES[1])).otherwise(open_)
-    inside = None
-    for label, low, high in C.DELAY_RULES:
-        hit = F.lit(True) if low is None else delay >= low
-        hit = hit if high is None else hit & (delay <= high)
-        inside = F.when(hit, label) if inside is None else inside.when(hit, label)
-    band = F.when(d, inside).otherwise(open_)
-    return outcome, label_sort(outcome, C.OUTCOMES), band, label_sort(band, C.DELAY_BANDS)
+    banded = F.when(d, band(delay, [(low, high, label) for label, low, high in C.DELAY_RULES])).otherwise(open_)
+    return outcome, label_sort(outcome, C.OUTCOMES), banded, label_sort(banded, C.DELAY_BANDS)
 
 
 FACT_ORDER_COLUMNS = [
