@@ -15,14 +15,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shipshape.llm.common import written
 
-#: Newton stops at this relative error, or after so many rounds (constraints that contradict one another).
-TOLERANCE, ROUNDS = 1e-9, 60
-#: Rows of one prefix-sum bucket; correction passes over the rounded copies.
-BUCKET_ROWS, PASSES = 5000, 8
-#: Correction ends when every class is this near to its target (relative).
+#: Newton stops at this relative error, or when so many rounds brought none of a tenth less (constraints that contradict one another).
+TOLERANCE, STALE = 1e-9, 6
+#: Rows of one prefix-sum bucket.
+BUCKET_ROWS = 5000
+#: Correction ends when every class is this near to its target (relative), or STALE passes brought the worst no tenth nearer.
 NEAR = 0.002
 
 
+class Progress:
+    """Whether to go on: until ``enough`` is reached, and as long as the error falls by a tenth within STALE looks."""
+
+    def __init__(self, enough: float):
+        self.enough, self.best, self.idle = enough, float("inf"), 0
+
+    def done(self, error: float) -> bool:
+        self.idle = 0 if error < 0.9 * self.best else self.idle + 1
+        self.best = min(self.best, error)
+        return error < self.enough or self.idle >= STALE
+
+
 def sized(docs: DataFrame, id_col: str, text_col: str, class_col: str) -> DataFrame:
     """id, class, size (number of words ``[^\\x20\\x09-\\x0D]+``; null text: 0) of every row."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -57,7 +69,8 @@ def tilt(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     Classes are matched null-safely; a class without a target, or with target or size 0, has rate 0.
     """
     cells = written(cells.withColumn("lambda", F.lit(0.0)))
-    for _ in range(ROUNDS):
+    progress, worst = Progress(TOLERANCE), float("inf")
+    while not progress.done(worst):
         worst = 0.0
         for col, wanted in targets.items():
             tilted = cells.groupBy(col).agg(F.sum(F.col("size") * F.exp("lambda")).alias("g")).withColumnRenamed(col, "k")
@@ -67,8 +80,6 @@ def tilt(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
             cells = written(cells.drop("step").join(step, F.col(col).eqNullSafe(F.col("k")), "left").drop("k")
                             .withColumn("lambda", F.col("lambda") + F.greatest(F.least("step", F.lit(1.0)), F.lit(-1.0))))
             worst = max(worst, cells.agg(F.max(F.abs("step"))).first()[0] or 0.0)
-        if worst < TOLERANCE:
-            break
     return cells.withColumn("rate", F.coalesce(F.exp("lambda"), F.lit(0.0))).drop("lambda", "step")
 
 
@@ -80,12 +91,13 @@ def rounded(rows: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """Whole copies (0..most) of every row of (id, class, size, row, rate); ``classes``: class, n, target."""
     now = rows.withColumn("u", _unit("row", F.lit(7)))
     now = now.withColumn("copies", F.least(F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int"), F.lit(most)).cast("long"))
-    now = written(now)
-    for p in range(PASSES):
+    now, progress, p = written(now), Progress(NEAR), -1
+    while True:
+        p += 1
         taken = now.groupBy("class").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
         gap = written(taken.join(classes.select(F.col("class").alias("c2"), "n", "target"), F.col("class").eqNullSafe(F.col("c2")))
                       .select("c2", (F.col("target") - F.col("taken")).alias("gap"), F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("parts"), "target"))
-        if (gap.agg(F.max(F.abs("gap") / F.greatest("target", F.lit(1.0)))).first()[0] or 0.0) < NEAR:
+        if progress.done(gap.agg(F.max(F.abs("gap") / F.greatest("target", F.lit(1.0)))).first()[0] or 0.0):
             break
         open_ = now.join(gap, F.col("class").eqNullSafe(F.col("c2"))).where("size > 0").where(
             F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0))

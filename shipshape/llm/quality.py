@@ -139,8 +139,8 @@ def held_out(col):
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-             sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
-    """id, held_out, score, predicted for every row of ``docs``.
+             sample: int = SAMPLE, threshold: float = 0.3, row_col: str | None = None) -> DataFrame:
+    """id, held_out, score, predicted for every row of ``docs``; with ``row_col`` that column too.
 
     Learns from labelled rows that are not held out, at most ``sample`` of them. Null labels and ids
     are not learnt from; of several labels of an id the largest counts. Without any label the score
@@ -148,15 +148,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     batches(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = F.col(id_col) if row_col is None else F.struct(F.col(id_col).alias("of"), F.col(row_col).alias("row"))
+    base = docs.select(own.alias("id"), F.col(text_col).cast("string").alias("text"))
+    doc_id = F.col("id") if row_col is None else F.col("id.of")
     stats = written(base.mapInArrow(_statistics, f"id {dict(base.dtypes)['id']}, stats array<double>"))
     known = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
              .groupBy("k").agg(F.max("y").alias("y")).where(~held_out(F.col("k"))))
-    drawn = stats.join(known, F.col("id") == F.col("k")).select("id", "stats", "y").orderBy(F.xxhash64("id"), "id", "stats").limit(sample)
+    drawn = stats.join(known, doc_id == F.col("k")).select("id", "stats", "y").orderBy(F.xxhash64(doc_id), doc_id, "stats").limit(sample)
     drawn = written(drawn).collect()  # collected at once, every partition would send its own ``sample`` rows to the driver
     if drawn:
         model = grow(np.array([r["stats"] for r in drawn]), np.array([r["y"] for r in drawn], float))
     else:
         model = {"base": 0.0, "feature": np.zeros((0, 1), int), "threshold": np.zeros((0, 1)), "value": np.zeros((0, 2))}
     scored = stats.mapInArrow(_score(model), f"id {dict(base.dtypes)['id']}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    row = [] if row_col is None else [F.col("id.row").alias(row_col)]
+    return scored.select(doc_id.alias(id_col), *row, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

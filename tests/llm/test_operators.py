@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shipshape.llm import ann, chat, lines, quality, secrets, tokens, urls
 from shipshape.llm.balance import mix
@@ -219,6 +220,31 @@ def test_decontamination_stage_keeps_clean_documents(spark, tmp_path):
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([r for r in rows if r[0] != 200], DOCS).collect()))
 
 
+def test_stages_decide_by_row(spark, tmp_path, monkeypatch):
+    """Rows that share an id or have none: only those that a stage objects to go; equal rows are copies."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    one, two, three = text(), text(), text()
+    item = " ".join(f"q{i}" for i in range(20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, one, "a", None, 1), (1, two, None, "a", 1), (None, one, "a", "b", 1), (None, three, None, None, 1), (None, f"{three} x", None, None, 1), (2, three, "a", "b", 1),
+            (2, three, "a", "b", 1), (3, None, None, None, None), (4, None, None, None, None), (4, None, None, None, None), (1, f"lead {item} out", "a", "b", 1), (None, item, "a", "b", 1)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    clean = Counter(map(tuple, cp.decontaminate(spark, docs, str(tmp_path)).collect()))
+    assert clean == Counter(rows[:10])
+    kept = Counter(map(tuple, cp.near_duplicates(spark, docs, str(tmp_path)).collect()))
+    assert kept == Counter([rows[0], rows[1], rows[5], rows[7], rows[8], rows[10]])  # the last row is a copy of the one before
+    monkeypatch.setattr(cp, "classify", lambda d, labels, row_col: d.withColumn("predicted", (~F.col("text").startswith("lead")).cast("int")).na.fill(1, ["predicted"]))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert Counter(map(tuple, cp.quality(spark, docs, str(tmp_path)).collect())) == Counter(r for r in rows if r is not rows[10])
+    # null cells count: the same values in other columns are another row
+    swapped = spark.createDataFrame([(1, "x", "a", None, 1), (1, "x", None, "a", 1)], schema)
+    assert swapped.select(cp.row_key(swapped).alias("k")).distinct().count() == 2
+
+
 def test_quality_separates_held_out_documents(spark):
     rng = random.Random(1)
     rows, labels = [], []
