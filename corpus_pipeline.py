@@ -2,13 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
 last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet into the
-shared folder and rereads them for the next. Documents with a null id can't be named by a decision
-and stay in filtering stages.
+shared folder and rereads them for the next. Filtering stages decide row by row: rows that share an
+id, or have none, are told apart by a key of all their columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shipshape.llm.balance import mixed
 from shipshape.llm.common import table, written
@@ -22,35 +22,56 @@ from shipshape.llm.tokens import token_digests
 SENT_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``dropped`` (one column)."""
-    dropped = written(dropped.toDF("dropped_id").where("dropped_id is not null").distinct())
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit key of a row's content: equal for equal rows, different for all other rows of ``docs``.
+
+    It is a hash of all columns. Unlike rows of one key would show by a second hash; if there are any,
+    another seed is taken.
+    """
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    seed = 0
+    while True:
+        both = docs.select(F.xxhash64(F.lit(seed), *cells).alias("a"), F.xxhash64(F.lit(seed + 1), *cells).alias("b"))
+        if both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").isEmpty():
+            return F.xxhash64(F.lit(seed), *cells)
+        seed += 2
+
+
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key isn't among ``dropped`` (one column)."""
+    dropped = written(dropped.toDF("dropped_row").distinct())
     side = F.broadcast(dropped) if dropped.count() <= SENT_IDS else dropped
-    return docs.join(side, docs["doc_id"] == side["dropped_id"], "left_anti")
+    return docs.join(side, key == side["dropped_row"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of operator 10 accepts."""
-    scored = classify(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 0").select("doc_id"))
+    key = row_key(docs)
+    scored = classify(docs.select("doc_id", "text", key.alias("row")), table(spark, sf_dir, "labels"), row_col="row")
+    return _without(docs, key, scored.where("predicted = 0").select("row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by operator 9 (five words, 0.8).
-
-    Of rows that repeat an id the greatest (by text, then the other columns) stays.
-    """
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("row"))
-        docs = written(one.select("doc_id", "row.*").select(*docs.columns).union(docs.where("doc_id is null")))
-    found = jaccard_components(docs, words=5, num=80, den=100)
-    return _without(docs, found.where("component_id <> doc_id").select("doc_id"))
+    """One document, that of the smallest id (null last), of each group linked by operator 9 (five words, 0.8); of equal rows one."""
+    key = row_key(docs)
+    rows = docs.select(key.alias("row"), "doc_id")
+    found = written(jaccard_components(docs.select(key.alias("row"), "text"), id_col="row", words=5, num=80, den=100).select("row", "component_id").distinct())
+    grouped = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    linked = found.join(grouped, "component_id").join(rows, "row")
+    stays = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row").alias("row"))).alias("s"))
+    single = _without(docs, key, linked.select("row", "component_id").join(stays, "component_id").where("row <> s.row").select("row"))
+    again = written(rows.groupBy("row").count().where("count > 1").select("row"))
+    if again.isEmpty():
+        return single
+    equal = single.withColumn("equal_row", key).join(again, F.col("equal_row") == F.col("row"), "left_semi")
+    return _without(single, key, again).unionByName(equal.dropDuplicates(["equal_row"]).drop("equal_row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which operator 4 finds no benchmark item."""
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    key = row_key(docs)
+    found = leaks(docs.select(key.alias("row"), "text"), table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(docs, key, found.select("row"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
