@@ -22,12 +22,19 @@ from shipshape.llm.tokens import token_digests
 SENT_IDS = 1_000_000
 
 
+def ids_name_rows(docs: DataFrame) -> bool:
+    """Whether every row has an id of its own."""
+    return docs.select("doc_id").groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
+
+
 def row_key(docs: DataFrame) -> Column:
-    """A 64-bit key of a row's content: equal for equal rows, different for all other rows of ``docs``.
+    """A 64-bit key of each row: equal for equal rows, different for all other rows of ``docs``.
 
-    It is a hash of all columns. Unlike rows of one key would show by a second hash; if there are any,
-    another seed is taken.
+    Where every row has an id of its own, that is the key. Otherwise it is a hash of all columns;
+    unlike rows of one hash would show by a second one, and then another seed is taken.
     """
+    if ids_name_rows(docs):
+        return F.col("doc_id")
     cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     seed = 0
     while True:
@@ -46,8 +53,11 @@ def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of operator 10 accepts."""
+    labels = table(spark, sf_dir, "labels")
+    if ids_name_rows(docs):
+        return _without(docs, F.col("doc_id"), classify(docs, labels).where("predicted = 0").select("doc_id"))
     key = row_key(docs)
-    scored = classify(docs.select("doc_id", "text", key.alias("row")), table(spark, sf_dir, "labels"), row_col="row")
+    scored = classify(docs.select("doc_id", "text", key.alias("row")), labels, row_col="row")
     return _without(docs, key, scored.where("predicted = 0").select("row"))
 
 
