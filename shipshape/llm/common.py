@@ -6,6 +6,7 @@ columns of the input, whatever their names.
 
 from __future__ import annotations
 
+import ctypes
 import pathlib
 import shutil
 import tempfile
@@ -61,6 +62,19 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A task's generator that gives freed memory back to the system at its end: Python workers live on between tasks."""
+    def body(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return body
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from shipshape.llm.common import batches, components, mix, partitions, shingle_sets, sums, written
+from shipshape.llm.common import batches, components, mix, partitions, shingle_sets, sums, tidy, written
 
 #: A region of more documents or shingles than this is split before it is joined.
 REGION_DOCS = 1500
@@ -70,7 +70,7 @@ def _sketches(k: int):
                 held, docs = [], 0
         if docs:
             yield frequent()
-    return run
+    return tidy(run)
 
 
 def _slices(k: int, num: int, den: int):
@@ -87,7 +87,7 @@ def _slices(k: int, num: int, den: int):
             one = own[first]
             one[inv[own != one[inv]]] = 0
             yield pa.RecordBatch.from_arrays([pa.array(vals.view("i8")), pa.array(one.view("i8"))], names=["shingle", "d"])
-    return run
+    return tidy(run)
 
 
 def _needed(n, num: int, den: int):
@@ -121,7 +121,7 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 in_ring = (low + more <= high)[row]
                 key = mix(vals[in_ring] + (low + more + 1).astype(np.uint64)[row[in_ring]] * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(ids[row[in_ring]])], names=["shingle", "id"])
-    return run
+    return tidy(run)
 
 
 def _only(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def _only(base: DataFrame, ids: DataFrame) -> DataFrame:
             hit = w[np.minimum(np.searchsorted(w, own), len(w) - 1)] == own if len(w) else np.zeros(len(own), bool)
             if hit.any():
                 yield b.filter(pa.array(hit))
-    return base.mapInArrow(run, base.schema)
+    return base.mapInArrow(tidy(run), base.schema)
 
 
 def _top(radii: float, num: int, den: int) -> np.uint64:
@@ -159,7 +159,7 @@ def _sets(k: int, num: int, den: int):
             n, low = np.diff(off), vals < top
             in_slice = np.diff(np.concatenate([[0], np.cumsum(low)])[off])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), lists(vals, n), lists(vals[low], in_slice)], names=["id", "n", "shingles", "part"])
-    return run
+    return tidy(run)
 
 
 def _least_labels(linked: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def _each_region(column: str, close, types: dict):
                 yield batch(out)
         if out := closed():
             yield batch(out)
-    return run
+    return tidy(run)
 
 
 def _cells(pivots, num: int, den: int):
@@ -271,7 +271,7 @@ def _cells(pivots, num: int, den: int):
                 out += [(key, int(j), ids[i]) for j in np.flatnonzero(d <= d.min() + radius2)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64())],
                                              names=["region", "cell", "id"])
-    return run
+    return tidy(run)
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def _slice_rows(num: int, den: int):
             keep = flat < top
             ids, needed = np.repeat(np.asarray(b.column("id")), n), np.repeat(_needed(n, num, den), n)
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view("i8")), pa.array(ids[keep]), pa.array(needed[keep].astype("i8"))], names=["shingle", "id", "needed"])
-    return run
+    return tidy(run)
 
 
 def _unsettled(sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shipshape.llm.common import batches, string_bytes, word_hashes, written
+from shipshape.llm.common import batches, string_bytes, tidy, word_hashes, written
 
 #: Labelled rows the trees are grown on at most (parameter of ``classify``).
 SAMPLE = 20_000
@@ -130,7 +130,7 @@ def _score(model):
         for b in it:
             x = np.asarray(b.column("stats").values).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(walk(model, x))], names=["id", "score"])
-    return run
+    return tidy(run)
 
 
 def held_out(col):
@@ -151,7 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = F.col(id_col) if row_col is None else F.struct(F.col(id_col).alias("of"), F.col(row_col).alias("row"))
     base = docs.select(own.alias("id"), F.col(text_col).cast("string").alias("text"))
     doc_id = F.col("id") if row_col is None else F.col("id.of")
-    stats = written(base.mapInArrow(_statistics, f"id {dict(base.dtypes)['id']}, stats array<double>"))
+    stats = written(base.mapInArrow(tidy(_statistics), f"id {dict(base.dtypes)['id']}, stats array<double>"))
     known = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
              .groupBy("k").agg(F.max("y").alias("y")).where(~held_out(F.col("k"))))
     drawn = stats.join(known, doc_id == F.col("k")).select("id", "stats", "y").orderBy(F.xxhash64(doc_id), doc_id, "stats").limit(sample)
