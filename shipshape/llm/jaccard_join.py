@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from shipshape.llm.common import batches, components, mix, partitions, shingle_sets, sums, tidy, written
+from shipshape.llm.common import batches, components, mix, partitions, shingle_sets, sums, tidy, written, written_by
 
 #: A region of more documents or shingles than this is split before it is joined.
 REGION_DOCS = 1500
@@ -145,23 +145,24 @@ def _top(radii: float, num: int, den: int) -> np.uint64:
     return np.uint64(min(1.0, radii * (1 - num / den)) * (2**64 - 2048))
 
 
-def _sets(k: int, num: int, den: int):
-    """(id, n, shingles, part): the set of each document, and what of it lies in the slice."""
-    top = _top(SLICE, num, den)
-
-    def lists(vals, n):
-        off = pa.array(np.concatenate([[0], np.cumsum(n)]))
-        return pa.LargeListArray.from_arrays(off, pa.array(vals.view("i8"))).cast(pa.list_(pa.int64()))
-
+def _sets(k: int):
+    """(id, n, shingles): the set of each document, in unsigned order."""
     def run(it):
         for b in it:
             vals, off = shingle_sets(b.column("text"), k)
-            n, low = np.diff(off), vals < top
-            in_slice = np.diff(np.concatenate([[0], np.cumsum(low)])[off])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), lists(vals, n), lists(vals[low], in_slice)], names=["id", "n", "shingles", "part"])
+            lists = pa.LargeListArray.from_arrays(pa.array(off), pa.array(vals.view("i8"))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(off)), lists], names=["id", "n", "shingles"])
     return tidy(run)
 
 
+def _in_slice(num: int, den: int):
+    """Of a column ``shingles`` what lies in the slice; the unsigned hashes are held in signed longs."""
+    top = int(_top(SLICE, num, den))
+    if top < 1 << 63:
+        return F.filter("shingles", lambda x: (x >= 0) & (x < F.lit(top)))
+    return F.filter("shingles", lambda x: (x >= 0) | (x < F.lit(top - (1 << 64))))
+
+
 def _least_labels(linked: np.ndarray) -> np.ndarray:
     """The smallest row reachable from each row of a symmetric boolean matrix."""
     label = np.arange(len(linked))
@@ -346,8 +347,8 @@ def _slice_rows(num: int, den: int):
             off, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
             flat, n = flat[off[0]:off[-1]], np.diff(off).astype("i8")
             keep = flat < top
-            ids, needed = np.repeat(np.asarray(b.column("id")), n), np.repeat(_needed(n, num, den), n)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view("i8")), pa.array(ids[keep]), pa.array(needed[keep].astype("i8"))], names=["shingle", "id", "needed"])
+            ids, roots = (np.repeat(np.asarray(b.column(c)), n)[keep] for c in ("id", "root"))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep].view("i8")), pa.array(ids), pa.array(roots)], names=["shingle", "id", "root"])
     return tidy(run)
 
 
@@ -358,11 +359,13 @@ def _unsettled(sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFra
     has enough of them meets a partner within its component only.
     """
     spark = sets.sparkSession
-    rows = sets.select("id", "shingles").mapInArrow(_slice_rows(num, den), "shingle long, id long, needed long")
-    rows = rows.join(label, "id", "left").select("shingle", "id", "needed", F.coalesce("root", "id").alias("root")).repartition(partitions(spark), "shingle")
-    shared = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("r_max")).where("r <> r_max").select("shingle")
-    enough = rows.join(shared.hint("shuffle_hash"), "shingle", "left_anti").groupBy("id", "needed").agg(F.count("*").alias("lone")).where("lone >= needed").select("id")
-    return sets.select("id").join(enough, "id", "left_anti")
+    rooted = sets.join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "shingles")
+    rows = rooted.mapInArrow(_slice_rows(num, den), "shingle long, id long, root long").repartition(partitions(spark), "shingle")
+    # both uses read all three columns (a root is the least id of its component), so one exchange serves both
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("r_max"), F.max("id").alias("last")).where("r <> r_max and last >= r").select("shingle")
+    lone = rows.join(shared.hint("shuffle_hash"), "shingle", "left_anti").groupBy("id", "root").agg(F.count("*").alias("lone"))
+    needed = F.expr(f"n - (({num} * n + {den} - 1) div {den}) + 1")
+    return sets.select("id", "n").join(lone, "id", "left").where(F.coalesce("lone", F.lit(0)) < needed).select("id")
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -412,7 +415,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = _only(base, open_).mapInArrow(_prefixes(words, num, den, shared), "shingle long, id long").repartition(partitions(spark), "shingle")
     met = prefix.groupBy("shingle").agg(F.min("id").alias("p"), F.max("id").alias("other")).where("p < other").select("shingle", "p")
     pairs = written(prefix.join(met.hint("shuffle_hash"), "shingle").where("p < id").groupBy("p", F.col("id").alias("x")).agg(F.count("*").alias("met")))
-    sets = written(_only(base, written(pairs.select("x").union(pairs.select("p")).distinct().toDF("id"))).mapInArrow(_sets(words, num, den), "id long, n long, shingles array<long>, part array<long>"))
+    # the sets are shuffled by id once; whatever is joined to them afterwards comes to their buckets
+    sets = _only(base, written(pairs.select("x").union(pairs.select("p")).distinct().toDF("id"))).mapInArrow(_sets(words), "id long, n long, shingles array<long>")
+    sets = written_by(sets, "id", part=_in_slice(num, den))
 
     # first each document with its nearest pivot only, then the regions of what may still link elsewhere
     nearest = pairs.groupBy("x").agg(F.max_by("p", F.struct("met", -F.col("p"))).alias("p"))

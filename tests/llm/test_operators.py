@@ -466,3 +466,26 @@ def test_url_globs():
     rules = ["a.b/**", "*.b/x?", "**z", "*/y/" + "q" * 70]
     found = urls.fits(pa.array(["a.b/c", "q.b/x?", "a/b.b/x?", "zzz", "host/y/" + "q" * 70, None, ""]), urls.compiled(rules))
     assert found.tolist() == [[True, False, False, False], [False, True, False, False], [False] * 4, [False, False, True, False], [False, False, False, True], [False] * 4, [False] * 4]
+
+
+def test_slices_told_by_spark_equal_those_of_numpy(spark):
+    from shipshape.llm import jaccard_join
+
+    hashes = np.random.default_rng(5).integers(0, 1 << 64, 400, dtype=np.uint64)
+    df = spark.createDataFrame([(hashes.view("i8").tolist(),)], "shingles array<long>")
+    for num in (90, 80, 60, 10):  # the slice of 60 ends beyond the signed longs, that of 10 is everything
+        got = df.select(jaccard_join._in_slice(num, 100).alias("part")).first()["part"]
+        assert got == hashes[hashes < jaccard_join._top(jaccard_join.SLICE, num, 100)].view("i8").tolist()
+
+
+def test_bucketed_sets_are_joined_without_an_exchange(spark):
+    from shipshape.llm.common import written_by
+
+    base = spark.range(300).selectExpr("id * 7 as id", "array(id) as shingles")
+    sets = written_by(base, "id", size=F.size("shingles"))
+    other = spark.range(0, 300, 3).selectExpr("id * 7 as id").hint("merge")
+    joined = sets.join(other, "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert sorted(r["id"] for r in joined.collect()) == list(range(0, 2100, 21))
+    assert spark.sql("show tables").where("tableName like 'bucketed%'").isEmpty()
