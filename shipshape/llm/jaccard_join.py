@@ -361,9 +361,8 @@ def _unsettled(sets: DataFrame, label: DataFrame, num: int, den: int) -> DataFra
     spark = sets.sparkSession
     rooted = sets.join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "shingles")
     rows = rooted.mapInArrow(_slice_rows(num, den), "shingle long, id long, root long").repartition(partitions(spark), "shingle")
-    # both uses read all three columns (a root is the least id of its component), so one exchange serves both
-    shared = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("r_max"), F.max("id").alias("last")).where("r <> r_max and last >= r").select("shingle")
-    lone = rows.join(shared.hint("shuffle_hash"), "shingle", "left_anti").groupBy("id", "root").agg(F.count("*").alias("lone"))
+    shared = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("r_max")).where("r <> r_max").select("shingle")
+    lone = rows.join(shared.hint("shuffle_hash"), "shingle", "left_anti").groupBy("id").agg(F.count("*").alias("lone"))
     needed = F.expr(f"n - (({num} * n + {den} - 1) div {den}) + 1")
     return sets.select("id", "n").join(lone, "id", "left").where(F.coalesce("lone", F.lit(0)) < needed).select("id")
 
