@@ -12,3 +12,8 @@ def _categories(spark):
 
 def test_worst_categories_of_500_orders(spark):
     assert [r.category_en for r in cuts.worst_categories(_categories(spark)).collect()] == ["edge", "some", "many"]
+
+
+def test_clean_range_of_500_orders(spark):
+    r = cuts.category_clean_range(_categories(spark)).first()
+    assert (r.categories, r.categories_min, r.clean_min, r.clean_median, r.clean_max) == (4, 3, 0.2, 0.4, 0.6)
