@@ -17,3 +17,8 @@ def test_worst_categories_of_500_orders(spark):
 def test_clean_range_of_500_orders(spark):
     r = cuts.category_clean_range(_categories(spark)).first()
     assert (r.categories, r.categories_min, r.clean_min, r.clean_median, r.clean_max) == (4, 3, 0.2, 0.4, 0.6)
+
+
+def test_flags_of_500_orders(spark):
+    got = {r.category_en: (r.is_flagged, r.is_worst) for r in cuts.category_flags(_categories(spark), F.lit(0.45)).collect()}
+    assert got == {"edge": (True, True), "some": (False, False), "many": (False, False)}
