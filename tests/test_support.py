@@ -22,3 +22,13 @@ def test_clean_range_of_500_orders(spark):
 def test_flags_of_500_orders(spark):
     got = {r.category_en: (r.is_flagged, r.is_worst) for r in cuts.category_flags(_categories(spark), F.lit(0.45)).collect()}
     assert got == {"edge": (True, True), "some": (False, False), "many": (False, False)}
+
+
+def _sellers(spark):
+    rows = [(1, 29, 29, 29, 29, 29), (2, 30, 30, 20, 30, 10), (3, 300, 300, 30, 300, 30), (4, 500, 500, 10, 500, 10)]
+    return spark.createDataFrame(rows, "seller_id bigint, orders bigint, delivered bigint, late bigint, reviewed bigint, low bigint")
+
+
+def test_late_deciles_of_30_orders(spark):
+    got = {r.decile: (r.sellers, r.orders, r.late) for r in cuts.seller_deciles_late(_sellers(spark)).collect()}
+    assert got == {1: (1, 30, 20), 2: (1, 300, 30), 3: (1, 500, 10)}
