@@ -32,3 +32,8 @@ def _sellers(spark):
 def test_late_deciles_of_30_orders(spark):
     got = {r.decile: (r.sellers, r.orders, r.late) for r in cuts.seller_deciles_late(_sellers(spark)).collect()}
     assert got == {1: (1, 30, 20), 2: (1, 300, 30), 3: (1, 500, 10)}
+
+
+def test_low_deciles_of_30_orders(spark):
+    got = {r.decile: (r.sellers, r.orders, r.low) for r in cuts.seller_deciles_low(_sellers(spark)).collect()}
+    assert got == {1: (1, 30, 10), 2: (1, 300, 30), 3: (1, 500, 10)}
