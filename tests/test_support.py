@@ -37,3 +37,8 @@ def test_late_deciles_of_30_orders(spark):
 def test_low_deciles_of_30_orders(spark):
     got = {r.decile: (r.sellers, r.orders, r.low) for r in cuts.seller_deciles_low(_sellers(spark)).collect()}
     assert got == {1: (1, 30, 10), 2: (1, 300, 30), 3: (1, 500, 10)}
+
+
+def test_worst_decile_of_30_orders(spark):
+    r = cuts.worst_decile_summary(_sellers(spark)).first()
+    assert (r.sellers, round(r.share_of_orders, 6), round(r.share_of_late, 6)) == (1, round(30 / 830, 6), round(20 / 60, 6))
