@@ -42,3 +42,11 @@ def test_low_deciles_of_30_orders(spark):
 def test_worst_decile_of_30_orders(spark):
     r = cuts.worst_decile_summary(_sellers(spark)).first()
     assert (r.sellers, round(r.share_of_orders, 6), round(r.share_of_late, 6)) == (1, round(30 / 830, 6), round(20 / 60, 6))
+
+
+def test_seller_states_of_300_orders(spark):
+    items = spark.range(899).select(F.col("id").alias("order_id"), F.when(F.col("id") < 300, 1).when(F.col("id") < 599, 2).otherwise(3).cast("bigint").alias("seller_id"),
+                                    F.lit(True).alias("is_delivered"), F.lit("Late").alias("delivery_outcome"), F.lit(True).alias("has_review"), F.lit(False).alias("is_low_score"))
+    sellers = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "seller_id bigint, seller_state string")
+    got = {r.seller_state: r.orders for r in cuts.by_seller_state(items, sellers).collect()}
+    assert got == {"A": 300, "C": 300}
