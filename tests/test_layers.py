@@ -47,3 +47,37 @@ def test_star_is_written_once_and_only_when_asked(spark, monkeypatch):
     assert not calls
     s.model["dim_customer"], s.stg["orders"], s["fact_orders"], s.observed
     assert len(calls) == 1
+
+
+def test_a_query_writes_only_the_tables_it_needs(spark):
+    import os
+    s = StarOnce(build_star(spark, SF))
+    assert s.stg["orders"].count() and set(os.listdir(s.written.folder.replace("file:", ""))) == {"stg_orders"}
+    s.model["fact_orders"]
+    assert set(os.listdir(s.written.folder.replace("file:", ""))) == {"stg_orders", "stg_reviews", "stg_order_items", "fact_orders"}
+
+
+def test_joins_by_order_are_dealt_by_rows(spark, monkeypatch):
+    from shipshape.operators import registered as R
+    from shipshape.sources import tables as T
+    monkeypatch.setattr(T, "TASK_ROWS", 500)
+    star = build_star(spark, SF)
+    n = -(-star.tables.lineitem.count() // 500)
+    m = -(-max(star.tables.orders.count(), star.tables.events.count()) // 500)
+    for df, tasks in ((star.raw["orders"], n), (star.raw["order_items"], n), (star.raw["order_reviews_keyed"], m), (R._cat(star), n), (R._sellers(star), n)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"{tasks}), REPARTITION_BY_NUM" in plan
+
+
+def test_census_of_keys_is_dealt_by_rows(spark, monkeypatch):
+    from shipshape.operators.validate import star_census
+    from shipshape.sources import tables as T
+    star = build_star(spark, SF)
+    rows = star.model["fact_order_items"], star.model["fact_orders"]
+    star.model.update(fact_order_items=spark.createDataFrame(rows[0].limit(9).collect(), rows[0].schema), fact_orders=spark.createDataFrame(rows[1].limit(9).collect(), rows[1].schema))
+    monkeypatch.setattr(T, "TASK_ROWS", 500)
+    n = -(-star.tables.lineitem.count() // 500)
+    plan = star_census(star)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    made = [i for i, line in enumerate(lines) if f"{n}), REPARTITION_BY_NUM" in line]
+    assert sum(any("ExistingRDD" in x or "LocalTableScan" in x for x in lines[i + 1:i + 4]) for i in made) == 2, plan
