@@ -14,7 +14,7 @@ from shipshape.llm.common import table, written
 from shipshape.llm.decontaminate import leaks
 from shipshape.llm.jaccard_join import jaccard_components
 from shipshape.llm.licences import licences
-from shipshape.llm.lines import removed
+from shipshape.llm.lines import PASSAGE_WORDS, removed
 from shipshape.llm.quality import classify
 from shipshape.llm.secrets import scan
 from shipshape.llm.spelling import variants
@@ -53,8 +53,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated lines of all documents in runs of 13 words or more: what each loses and what it keeps for others, with original offsets."""
-    return removed(table(spark, sf_dir, "documents"))
+    """Repeated lines of all documents in runs of 13 words or more, and passages of 50 words or more wherever they stand: what each loses and what it keeps for others, with original offsets."""
+    return removed(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS)
 
 
 def op6_hashing_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -445,6 +445,45 @@ def test_repeated_lines_equal_brute_force(spark, monkeypatch, run, least_often):
 
 def test_repeated_lines_of_an_empty_table(spark):
     assert lines.removed(spark.createDataFrame([], DOCS)).collect() == []
+    assert lines.removed(spark.createDataFrame([], DOCS), words=50).collect() == []
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    """Every run of 50 words that two documents share, inside lines and with other breaks; the spans hold equal words."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(4))
+    own = lambda n: [word() for _ in range(n)]
+    spread = lambda ws: "".join(w + rng.choice([" ", " ", " ", "\n", "\t "]) for w in ws)
+    rows = []
+    for i in range(30):
+        p = own(rng.choice([25, 50, 51, 70]))
+        for k in range(rng.choice([1, 2, 4])):
+            rows.append((len(rows), spread(own(rng.randrange(60)) + [w.upper() if rng.random() < 0.1 and w.isascii() else w for w in p] + own(rng.randrange(60)))))
+    rows += [(200, "la " * 300), (201, "x " + "la " * 90), (202, " ".join(rows[0][1].split() * 3)), (203, None), (204, ""), (None, rows[5][1]), (5, rows[9][1]), (205, rows[5][1])]
+    words = [(i, [(m.start(), m.end(), m[0].translate({u: u + 32 for u in range(65, 91)})) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]) for i, t in rows]
+    runs = lambda ws, n: {tuple(w for *_, w in ws[k:k + n]) for k in range(len(ws) - n + 1)}
+    held = {n: Counter(r for _, ws in words for r in runs(ws, n)) for n in (26, 50)}
+    must, may = ({i for i, ws in words if any(held[n][r] > 1 for r in runs(ws, n))} for n in (50, 26))
+    out = lines.removed(spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, w long, t long, part int"), words=50).collect()
+    found = {r["doc_id"] for r in out if r["n_passages"] or r["n_passages_kept"]}
+    assert must <= found <= may and len(must) > 20 and not {203, 204} & found
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, []).append(t or "")
+    plain = lambda x: [w.translate({u: u + 32 for u in range(65, 91)}) for w in x.split()]
+    kept = Counter()
+    for r in out:
+        for p in r["passages"]:
+            n, ws = p["end"] - p["start"], {tuple(plain(t[p["start"]:p["end"]])) for t in text[r["doc_id"]]}
+            assert any(len(w) >= 26 and tuple(plain(t[p["kept_start"]:])[:len(w)]) == w for w in ws for t in text[p["kept_id"]]) and n > 0
+            kept[p["kept_id"], p["kept_start"]] += 1
+        covered = {x for s in [*r["spans"], *r["passages"]] for x in range(s["start"], s["end"])}
+        assert r["removed_chars"] == len(covered) and r["n_passages"] == len(r["passages"]) and r["n_passages_kept"] == len(r["passages_kept"])
+    again = Counter()
+    for r in out:
+        for k in r["passages_kept"]:
+            again[r["doc_id"], k["start"]] += k["places"]
+    assert again == kept
 
 
 def test_neighbours_recall(spark):
