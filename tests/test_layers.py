@@ -81,3 +81,23 @@ def test_census_of_keys_is_dealt_by_rows(spark, monkeypatch):
     lines = plan.splitlines()
     made = [i for i, line in enumerate(lines) if f"{n}), REPARTITION_BY_NUM" in line]
     assert sum(any("ExistingRDD" in x or "LocalTableScan" in x for x in lines[i + 1:i + 4]) for i in made) == 2, plan
+
+
+def test_ship_dates_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """A scan task doesn't hold a group for nearly each of its rows; null, repeated and unmatched keys."""
+    from datetime import datetime
+
+    from shipshape.sources import binding, tables as T
+    monkeypatch.setattr(T, "TASK_ROWS", 500)
+    star = build_star(spark, SF)
+    n = -(-star.tables.lineitem.count() // 500)
+    df = star.raw["orders"]
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "l_shipdate" in x)
+    dealt = max(i for i, x in enumerate(lines[:scan]) if f"{n}), REPARTITION_BY_NUM" in x)
+    assert not any("Aggregate" in x for x in lines[dealt:scan]) and sum("REPARTITION_BY_NUM" in x for x in lines) == 2
+    day = [datetime(2020, 1, d) for d in (1, 2, 3)]
+
+    class Own:
+        lineitem = spark.createDataFrame([(1, day[1]), (1, day[0]), (1, day[2]), (2, None), (None, day[0]), (1, day[1])], "l_orderkey long, l_shipdate timestamp_ntz")
+    assert sorted(map(tuple, binding.ship_window(Own, 3).collect())) == [(1, day[0], day[2]), (2, None, None)]
