@@ -50,7 +50,7 @@ def _units(unit: str, least: int):
                 two = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), *(pa.array(c, pa.int64()) for c in (h, k, s, e, n)), pa.array(two[:, 0]), pa.array(two[:, 1])],
                                                  names=["id", "t", "k", "start", "end", "words", "d1", "d2"])
-    return run
+    return tidy(run)
 
 
 def _with_kept(found: DataFrame, place, repeated) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shipshape.llm.common import batches, partitions, shared_folder
+from shipshape.llm.common import batches, kept, partitions, shared_folder, tidy
 
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10),
            "parquet.page.row.count.limit": "20000", "parquet.enable.dictionary": "true", "compression": "zstd"}
@@ -25,7 +25,7 @@ PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32
 CACHE = 600_000
 #: White space before or after a space that stands at a cut: there a word doesn't encode by itself.
 _UNSAFE = re.compile(r"\s \s|\s \Z|\A ")
-_state: dict = {}
+_state = kept("tokens")
 
 
 def _tokenizer(path: str):
@@ -35,10 +35,11 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        added = re.compile("|".join(re.escape(t.content) for t in plain.get_added_tokens_decoder().values()) or r"(?!)")
-        _state.update(path=path, own=own, words={}, plain=plain, added=added)
+        added = re.compile("|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values()) or r"(?!)")
+        _state.clear()
+        _state.update(path=path, own=own, words={}, added=added)
     return _state["own"], _state["words"]
 
 
@@ -55,6 +56,8 @@ def encode(texts: list[str], path: str, special: bool = False) -> list[bytes]:
     own, words = _tokenizer(path)
     if special and (held := [i for i, t in enumerate(texts) if _state["added"].search(t)]):
         out, at = encode([t for t in texts if not _state["added"].search(t)], path), set(held)
+        if "plain" not in _state:  # loaded only for such texts
+            _state["plain"] = type(own).from_file(path)
         whole = iter([np.array(_state["plain"].encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() for i in held])
         rest = iter(out)
         return [next(whole if i in at else rest) for i in range(len(texts))]
@@ -95,7 +98,7 @@ def _encode(path: str, end_id: int):
                                               pa.ListArray.from_arrays(pa.array(off.astype("i4")), pa.array(flat))],
                                              names=["id", "block", "pos", "local_start", "n_tokens", "tokens"])
             pos, start = pos + len(n), start + int(off[-1])
-    return run
+    return tidy(run, "tokens")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -133,4 +136,4 @@ def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     path = shared_folder(spark)
     write_tokens(docs, path, tokenizer, 0, id_col, text_col)
     back = read_tokens(spark, path)
-    return back.mapInArrow(_digests, f"id {dict(back.dtypes)['id']}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return back.mapInArrow(tidy(_digests, "tokens"), f"id {dict(back.dtypes)['id']}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -528,3 +528,15 @@ def test_bucketed_sets_are_joined_without_an_exchange(spark):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
     assert sorted(r["id"] for r in joined.collect()) == list(range(0, 2100, 21))
     assert spark.sql("show tables").where("tableName like 'bucketed%'").isEmpty()
+
+
+def test_a_worker_drops_what_it_keeps_for_another_operator():
+    """A worker's encoded words go when it takes another operator's task, stay for the same one; ids are the same after."""
+    from shipshape.llm.common import kept, tidy
+
+    texts = ["some words here", "a <|endoftext|> b", "some other words"]
+    first = tokens.encode(texts, tokenizer_file(), True)
+    assert kept("tokens")["words"] and list(tidy(lambda it: it, "tokens")([1, 2])) == [1, 2] and kept("tokens")["words"]
+    assert list(tidy(lambda it: it)([3])) == [3] and not kept("tokens")
+    assert tokens.encode(texts[:1], tokenizer_file(), True) == first[:1] and "plain" not in kept("tokens")
+    assert tokens.encode(texts, tokenizer_file(), True) == first
