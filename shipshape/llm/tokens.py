@@ -9,11 +9,12 @@ read alone. Prefix sums over the file need one number per block.
 
 from __future__ import annotations
 
-import re
 import zlib
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -21,10 +22,13 @@ from shipshape.llm.common import batches, kept, partitions, shared_folder, tidy
 
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10),
            "parquet.page.row.count.limit": "20000", "parquet.enable.dictionary": "true", "compression": "zstd"}
-#: Encoded words a worker keeps.
-CACHE = 600_000
-#: White space before or after a space that stands at a cut: there a word doesn't encode by itself.
-_UNSAFE = re.compile(r"\s \s|\s \Z|\A ")
+#: Encoded words a worker keeps, in two generations.
+CACHE = 800_000
+#: Bytes of text that a worker encodes at a time.
+TEXT_BYTES = 8 << 20
+#: White space of every script, and white space before or after a space that stands at a cut: there a word doesn't encode by itself.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNSAFE = rf"{_WHITE} {_WHITE}|{_WHITE} \z|\A "
 _state = kept("tokens")
 
 
@@ -37,67 +41,158 @@ def _tokenizer(path: str):
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
-        added = re.compile("|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values()) or r"(?!)")
         _state.clear()
-        _state.update(path=path, own=own, words={}, added=added)
-    return _state["own"], _state["words"]
+        _state.update(path=path, own=own, words={}, older={}, added=[t.content for t in own.get_added_tokens_decoder().values()],
+                      brk=own.encode("\n", add_special_tokens=False).ids)
+    return _state["own"]
 
 
-def encode(texts: list[str], path: str, special: bool = False) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, whole.
+def _whole(own, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    With ``special`` the ids are those of the tokenizer as loaded, for which a special token's content
-    is that token: texts that hold one are encoded as they are. Otherwise the content is text like any other.
 
-    The byte-level pre-tokenizer never joins a space to what stands before it, so a text falls into
-    pieces that each begin with a space, and pieces are encoded once and kept. Texts with runs of
-    white space around a space are encoded as they are.
+def _parts(piece: str, spaced: bool) -> tuple[str, ...] | list[str] | None:
+    """Keys of the words that a piece's ids are joined from; None if it is encoded as it is.
+
+    A single line break between other characters is a pre-token, and so is ASCII punctuation behind a
+    letter or digit, up to the end of the word. A word behind a space is its own key; others, and a
+    line break (empty), have a space before, which no piece holds.
     """
-    own, words = _tokenizer(path)
-    if special and (held := [i for i, t in enumerate(texts) if _state["added"].search(t)]):
-        out, at = encode([t for t in texts if not _state["added"].search(t)], path), set(held)
-        if "plain" not in _state:  # loaded only for such texts
-            _state["plain"] = type(own).from_file(path)
-        whole = iter([np.array(_state["plain"].encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() for i in held])
-        rest = iter(out)
-        return [next(whole if i in at else rest) for i in range(len(texts))]
-    pieces = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-    if len(words) > CACHE:
-        words.clear()
-    new = {x for p in pieces if p for x in p[1:]}.difference(words)
-    # pieces without other white space are encoded many at a time, a line break (one id, in none of them) between
-    plain = [x for x in new if x and len(x.split()) == 1 and x.strip() == x]
-    odd = list(new.difference(plain))
-    brk = own.encode("\n", add_special_tokens=False).ids
-    lots = [plain[i:i + 200] for i in range(0, len(plain), 200)] if len(brk) == 1 else []
-    odd += plain if len(brk) != 1 else []
+    if not piece or len(piece) > 200:
+        return None
+    head = piece.rstrip(punctuation)
+    if spaced and head.isalnum() and head[-1] <= "\u024f":
+        return (head,) if len(head) == len(piece) else (head, f" {piece[len(head):]}")
+    lines = piece.split()
+    if "\n".join(lines) != piece:
+        return None
+    keys = []
+    for j, word in enumerate(lines):
+        if j:
+            keys.append(" ")
+        mark = " " if j or not spaced else ""
+        head = word.rstrip(punctuation)
+        if head and len(head) < len(word) and head[-1] <= "\u024f" and head[-1].isalnum():
+            keys += [mark + head, f" {word[len(head):]}"]
+        else:
+            keys.append(mark + word)
+    return keys
+
+
+def _learn(own, keys: list[str]) -> None:
+    """Encode words many at a time, a line break (one id, in none of them) between."""
+    words, brk, lots = _state["words"], _state["brk"][0], [keys[i:i + 200] for i in range(0, len(keys), 200)]
     for i in range(0, len(lots), 20):
-        for lot, e in zip(lots[i:i + 20], own.encode_batch_fast(["\n".join(f" {w}" for w in lot) for lot in lots[i:i + 20]], add_special_tokens=False)):
+        group = lots[i:i + 20]
+        texts = ["\n".join([k[1:] if k[0] == " " else f" {k}" for k in lot]) for lot in group]
+        for lot, e in zip(group, own.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            cut = np.flatnonzero(ids == brk[0])
-            words.update(zip(lot, (ids[j:k].tobytes() for j, k in zip([0, *(cut + 1)], [*cut, len(ids)]))))
-    words.update((w, np.array(own.encode(f" {w}", add_special_tokens=False).ids, "<u4").tobytes()) for w in odd)
-    get, out = words.__getitem__, []
-    for t, p in zip(texts, pieces):
-        head = t if p is None else p[0]
-        first = np.array(own.encode(head, add_special_tokens=False).ids, "<u4").tobytes() if head else b""
-        out.append(first if p is None else first + b"".join(map(get, p[1:])))
+            cut, raw = (np.flatnonzero(ids == brk) * 4).tolist(), ids.tobytes()
+            words.update((k, raw[x:y]) for k, x, y in zip(lot, [0, *(c + 4 for c in cut)], [*cut, len(raw)]))
+
+
+def _pieces(own, pieces: list[str], spaced: bool) -> list[bytes]:
+    """Ids of distinct pieces, each with a space before it or without."""
+    words, older, brk = _state["words"], _state["older"], _state["brk"]
+    out = list(map(words.get, pieces)) if spaced else [None] * len(pieces)
+    joined, odd, new = [], [], set()
+    words[" "] = np.array(brk, "<u4").tobytes()
+    for i in [i for i, x in enumerate(out) if x is None]:
+        keys = _parts(pieces[i], spaced) if len(brk) == 1 else None
+        if keys is None:
+            odd.append(i)
+            continue
+        joined.append((i, keys))
+        for k in keys:
+            if k not in words:
+                if (x := older.get(k)) is None:
+                    new.add(k)
+                else:
+                    words[k] = x
+    _learn(own, list(new))
+    for i, keys in joined:
+        out[i] = words[keys[0]] if len(keys) == 1 else b"".join([words[k] for k in keys])
+    for i, x in zip(odd, _whole(own, [f" {pieces[i]}" if spaced else pieces[i] for i in odd])):
+        out[i] = x
     return out
 
 
+def encode_column(texts: pa.Array, path: str, special: bool = False, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ids of all texts, one after the other, each whole and with ``end`` behind it, and their offsets.
+
+    With ``special`` the ids are those of the tokenizer as loaded, for which a special token's content
+    is that token: texts that hold one are encoded as they are. Otherwise the content is text like any other.
+
+    The byte-level pre-tokenizer never joins a space to what stands before it, so a text falls into
+    pieces that each begin with a space; distinct pieces are encoded once, and the words they are made of
+    kept. Texts with runs of white space around a space are encoded as they are.
+    """
+    own = _tokenizer(path)
+    if len(_state["words"]) > CACHE // 2:
+        _state.update(older=_state["words"], words={})
+    held = np.zeros(len(texts), bool)
+    for content in _state["added"] if special else ():
+        held |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+    whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False) & ~held
+    if held.any() and "plain" not in _state:  # loaded only for such texts
+        _state["plain"] = type(own).from_file(path)
+    lists = pc.split_pattern(pc.if_else(pa.array(held | whole), "", texts), " ")
+    off = np.asarray(lists.offsets)
+    found = lists.flatten().dictionary_encode()
+    words, at = found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy()
+    # pieces behind a space, then those that begin a text, then whole texts, then the end
+    begins = np.zeros(len(at), bool)
+    begins[off[:-1]] = True
+    used = np.zeros(len(words), bool)
+    used[at[~begins]] = True
+    heads, head_at = np.unique(at[begins], return_inverse=True)
+    ids = _pieces(own, words[used].tolist(), True)
+    place = (np.cumsum(used) - 1)[at]
+    place[begins] = len(ids) + head_at
+    ids += _pieces(own, words[heads].tolist(), False)
+    for mask, by in ((whole, own), (held, _state.get("plain"))):
+        place[off[:-1][mask]] = len(ids) + np.arange(mask.sum())
+        ids += _whole(by, texts.filter(pa.array(mask)).to_pylist())
+    place = np.insert(place, off[1:], len(ids))
+    ids.append(end)
+    size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), "i8", len(ids)))])
+    taken = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(size), pa.py_buffer(b"".join(ids))]).take(pa.array(place))
+    _, ends, raw = taken.buffers()
+    ends = np.frombuffer(ends, "i8", len(taken) + 1)
+    return np.frombuffer(raw, "<i4", ends[-1] // 4) if ends[-1] else np.zeros(0, "<i4"), ends[off + np.arange(len(off))] // 4
+
+
+def encode(texts: list[str], path: str, special: bool = False) -> list[bytes]:
+    """Little-endian 32-bit ids of each text, whole, as :func:`encode_column` finds them."""
+    flat, off = encode_column(pa.array(texts, pa.large_string()), path, special)
+    return [flat[i:j].tobytes() for i, j in zip(off[:-1], off[1:])]
+
+
+def _gathered(it):
+    """Batches put together up to ``TEXT_BYTES`` of text: words that repeat are then looked up once."""
+    held, size = [], 0
+    for b in it:
+        held.append(b)
+        size += b.column("text").nbytes
+        if size >= TEXT_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _encode(path: str, end_id: int):
     def run(it):
         block, pos, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4").tobytes()
-        for b in it:
-            ids = [x + end for x in encode(b.column("text").fill_null("").to_pylist(), path, True)]
-            n = np.array([len(x) // 4 for x in ids], "i8")
-            off = np.concatenate([[0], np.cumsum(n)])
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.full(len(n), block, "i4")), pa.array(pos + np.arange(len(n))), pa.array(start + off[:-1]), pa.array(n),
-                                              pa.ListArray.from_arrays(pa.array(off.astype("i4")), pa.array(flat))],
-                                             names=["id", "block", "pos", "local_start", "n_tokens", "tokens"])
-            pos, start = pos + len(n), start + int(off[-1])
+        for t in _gathered(it):
+            for b in t.combine_chunks().to_batches():
+                flat, off = encode_column(b.column("text").cast(pa.large_string()).fill_null(""), path, True, end)
+                n = np.diff(off)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.full(len(n), block, "i4")), pa.array(pos + np.arange(len(n))), pa.array(start + off[:-1]), pa.array(n),
+                                                  pa.ListArray.from_arrays(pa.array(off.astype("i4")), pa.array(flat))],
+                                                 names=["id", "block", "pos", "local_start", "n_tokens", "tokens"])
+                pos, start = pos + len(n), start + int(off[-1])
     return tidy(run, "tokens")
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,25 @@ def test_words_at_borders_encode_like_the_tokenizer(monkeypatch, most):
     assert wrong == []
 
 
+def test_words_are_kept_without_punctuation_and_line_breaks(monkeypatch):
+    """A word that was seen isn't encoded again for a comma or a line break behind it; ids are the tokenizer's, also as caches turn over."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_file())
+    texts = ["so and the end", "so the, and.\nend and the.\nend!?", "a \nb a.\nb \n b\n\nc \nb", "\nb b", "é. 3.\n٣, don't. x\u0301. 中,\u2028 y_.", "z" * 300 + ". z"]
+    tokens._state.clear()
+    for most in (800_000, 4):
+        monkeypatch.setattr(tokens, "CACHE", most)
+        for _ in range(3):
+            got = [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts, tokenizer_file())]
+            assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+        held = {k.strip() for k in tokens._state["words"]}
+        assert {"and", "the", "end"} <= held and not any("\n" in k or k in ("the,", "and.", "end!?") or len(k) > 200 for k in held)
+    tokens._state.clear()
+    flat, off = tokens.encode_column(pa.array(["b", "", None, "\n"]).fill_null(""), tokenizer_file(), True, b"\0\0\0\0")
+    assert off.tolist() == [0, 2, 3, 4, 6] and flat.tolist() == [*own.encode("b").ids, 0, 0, 0, *own.encode("\n").ids, 0]
+
+
 def test_special_tokens_are_encoded_as_the_tokenizer_does(spark):
     from tokenizers import Tokenizer
 
