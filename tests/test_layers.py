@@ -101,3 +101,23 @@ def test_ship_dates_are_dealt_before_they_are_grouped(spark, monkeypatch):
     class Own:
         lineitem = spark.createDataFrame([(1, day[1]), (1, day[0]), (1, day[2]), (2, None), (None, day[0]), (1, day[1])], "l_orderkey long, l_shipdate timestamp_ntz")
     assert sorted(map(tuple, binding.ship_window(Own, 3).collect())) == [(1, day[0], day[2]), (2, None, None)]
+
+
+def _sent_by(plan: str, key: str) -> list[str]:
+    """Joins on a key whose one side is sent whole to every task."""
+    return [x for x in plan.splitlines() if "BroadcastHashJoin" in x and f"[{key}#" in x]
+
+
+def test_raw_orders_are_not_sent_to_every_task(spark, monkeypatch):
+    """The planner knows bytes of compressed files only: a threshold above them stands for a file that compresses well."""
+    from shipshape.sources import tables as T
+    monkeypatch.setattr(T, "SENT_ROWS", 500, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        star = build_star(spark, SF)
+        for name in ("orders", "order_items", "order_reviews_keyed", "order_reviews"):
+            plan = star.raw[name]._jdf.queryExecution().executedPlan().toString()
+            assert not _sent_by(plan, "order_id") and "SortMergeJoin [order_id" in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
