@@ -121,3 +121,18 @@ def test_raw_orders_are_not_sent_to_every_task(spark, monkeypatch):
             assert not _sent_by(plan, "order_id") and "SortMergeJoin [order_id" in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_written_orders_are_not_sent_to_every_task(spark, monkeypatch):
+    from shipshape.plans.star import materialize
+    from shipshape.sources import tables as T
+    monkeypatch.setattr(T, "SENT_ROWS", 500, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        star = materialize(build_star(spark, SF), when_asked=True)
+        for name in ("reviews", "order_items", "item_agg", "fact_orders", "fact_order_items", "fact_orders_numbered"):
+            plan = star.built(name)._jdf.queryExecution().executedPlan().toString()
+            assert not _sent_by(plan, "order_id") and "SortMergeJoin [order_id" in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
