@@ -10,7 +10,7 @@ read alone. Prefix sums over the file need one number per block.
 from __future__ import annotations
 
 import zlib
-from string import punctuation
+from string import ascii_letters, digits, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +18,53 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shipshape.llm.common import batches, kept, partitions, shared_folder, tidy
+from shipshape.llm.common import batches, kept, partitions, shared_folder, string_bytes, tidy
 
 PARQUET = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10),
            "parquet.page.row.count.limit": "20000", "parquet.enable.dictionary": "true", "compression": "zstd"}
-#: Encoded words a worker keeps, in two generations.
+#: Encoded words a worker keeps; beyond, those not used for longest go until half of it is left.
 CACHE = 800_000
 #: Bytes of text that a worker encodes at a time.
 TEXT_BYTES = 8 << 20
-#: White space of every script, and white space before or after a space that stands at a cut: there a word doesn't encode by itself.
-_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_UNSAFE = rf"{_WHITE} {_WHITE}|{_WHITE} \z|\A "
+#: White space of every script but the space.
+_OTHER = r"\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Slices that hold white space besides a space at their beginning, or are long: they aren't kept.
+_ODD = rf"(?s:.)[ {_OTHER}]|\A[{_OTHER}]|\A \z|(?s:.{{201}})"
+_WIDE = np.array([0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_WHITE, _PUNCT, _ALNUM = np.zeros((3, 256), bool)
+_WHITE[[*range(9, 14), *range(0x1C, 0x21)]] = True
+_PUNCT[list(punctuation.encode())] = True
+_ALNUM[list((digits + ascii_letters).encode())] = True
 _state = kept("tokens")
 
 
+class _Words:
+    """Words that were encoded, as columns: the words, their ids as bytes, the turn each was last used in."""
+
+    def __init__(self):
+        self.words, self.ids, self.used, self.turn = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, "i4"), 0
+
+    def __len__(self):
+        return len(self.words)
+
+    def __iter__(self):
+        return iter(self.words.to_pylist())
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Places of words, -1 for those not here."""
+        return pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+
+    def use(self, at: np.ndarray, words: pa.Array, ids: pa.Array) -> None:
+        """Mark the words at these places as used, add words; those not used for longest may go."""
+        self.turn += 1
+        self.used[at] = self.turn
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        self.used = np.concatenate([self.used, np.full(len(words), self.turn, "i4")])
+        if len(self) > CACHE:
+            stays = self.used > min(np.partition(self.used, -(CACHE // 2))[-(CACHE // 2)], self.turn - 1)
+            self.words, self.ids, self.used = self.words.filter(pa.array(stays)), self.ids.filter(pa.array(stays)), self.used[stays]
+
+
 def _tokenizer(path: str):
     if _state.get("path") != path:
         import os
@@ -42,79 +75,56 @@ def _tokenizer(path: str):
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
         _state.clear()
-        _state.update(path=path, own=own, words={}, older={}, added=[t.content for t in own.get_added_tokens_decoder().values()],
+        _state.update(path=path, own=own, words=_Words(), added=[t.content for t in own.get_added_tokens_decoder().values()],
                       brk=own.encode("\n", add_special_tokens=False).ids)
     return _state["own"]
 
 
-def _whole(own, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+def _whole(own, texts: list[str]) -> pa.Array:
+    """Ids of each text, as bytes."""
+    return pa.array([np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], pa.large_binary())
 
 
-def _parts(piece: str, spaced: bool) -> tuple[str, ...] | list[str] | None:
-    """Keys of the words that a piece's ids are joined from; None if it is encoded as it is.
+def _slices(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First bytes of slices of texts, UTF-8 from ``off`` on; what is behind each begins a pre-token wherever the slice stands.
 
-    A single line break between other characters is a pre-token, and so is ASCII punctuation behind a
-    letter or digit, up to the end of the word. A word behind a space is its own key; others, and a
-    line break (empty), have a space before, which no piece holds.
+    A text is cut before a space and on both sides of a line break that stands between other characters
+    than white space, and between a letter or digit and ASCII punctuation. The pre-tokenizer's pattern
+    looks ahead in white space only, so the ids of slices are those of the text.
     """
-    if not piece or len(piece) > 200:
-        return None
-    head = piece.rstrip(punctuation)
-    if spaced and head.isalnum() and head[-1] <= "\u024f":
-        return (head,) if len(head) == len(piece) else (head, f" {piece[len(head):]}")
-    lines = piece.split()
-    if "\n".join(lines) != piece:
-        return None
-    keys = []
-    for j, word in enumerate(lines):
-        if j:
-            keys.append(" ")
-        mark = " " if j or not spaced else ""
-        head = word.rstrip(punctuation)
-        if head and len(head) < len(word) and head[-1] <= "\u024f" and head[-1].isalnum():
-            keys += [mark + head, f" {word[len(head):]}"]
-        else:
-            keys.append(mark + word)
-    return keys
-
-
-def _learn(own, keys: list[str]) -> None:
-    """Encode words many at a time, a line break (one id, in none of them) between."""
-    words, brk, lots = _state["words"], _state["brk"][0], [keys[i:i + 200] for i in range(0, len(keys), 200)]
+    n = len(raw)
+    raw = np.concatenate([raw, np.zeros(3, "u1")])
+    white = _WHITE[raw]
+    at = np.flatnonzero(raw == 0xC2)
+    at = at[(raw[at + 1] == 0x85) | (raw[at + 1] == 0xA0)]
+    white[at] = white[at + 1] = True
+    at = np.flatnonzero((raw >= 0xE1) & (raw <= 0xE3))
+    code = raw[[at, at + 1, at + 2]].astype("i4")
+    at = at[np.isin((code[0] & 15) << 12 | (code[1] & 63) << 6 | code[2] & 63, _WIDE)]
+    for j in range(3):
+        white[at + j] = True
+    cut = np.zeros(n + 3, bool)
+    cut[off] = True
+    at = np.flatnonzero((raw[:n] == 0x20) | (raw[:n] == 0x0A))
+    at = at[~(white[at - 1] | cut[at] | white[at + 1] | cut[at + 1])]
+    marks = np.flatnonzero(_PUNCT[raw[:n]])
+    last, lead = raw[marks - 1], raw[marks - 2]
+    letter = (last >> 6 == 2) & (lead >= 0xC3) & ((lead <= 0xC8) | (lead == 0xC9) & (last <= 0x8F)) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    marks = marks[(_ALNUM[last] | letter) & ~cut[marks]]
+    cut[at] = cut[at[raw[at] == 0x0A] + 1] = cut[marks] = True
+    return np.flatnonzero(cut[:n])
+
+
+def _learn(own, words: list[str]) -> pa.Array:
+    """Ids of words, as bytes: many are encoded at a time, a line break (one id, in none of them) between."""
+    lots, brk, found = ["\n".join(words[i:i + 200]) for i in range(0, len(words), 200)], _state["brk"], []
     for i in range(0, len(lots), 20):
-        group = lots[i:i + 20]
-        texts = ["\n".join([k[1:] if k[0] == " " else f" {k}" for k in lot]) for lot in group]
-        for lot, e in zip(group, own.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cut, raw = (np.flatnonzero(ids == brk) * 4).tolist(), ids.tobytes()
-            words.update((k, raw[x:y]) for k, x, y in zip(lot, [0, *(c + 4 for c in cut)], [*cut, len(raw)]))
-
-
-def _pieces(own, pieces: list[str], spaced: bool) -> list[bytes]:
-    """Ids of distinct pieces, each with a space before it or without."""
-    words, older, brk = _state["words"], _state["older"], _state["brk"]
-    out = list(map(words.get, pieces)) if spaced else [None] * len(pieces)
-    joined, odd, new = [], [], set()
-    words[" "] = np.array(brk, "<u4").tobytes()
-    for i in [i for i, x in enumerate(out) if x is None]:
-        keys = _parts(pieces[i], spaced) if len(brk) == 1 else None
-        if keys is None:
-            odd.append(i)
-            continue
-        joined.append((i, keys))
-        for k in keys:
-            if k not in words:
-                if (x := older.get(k)) is None:
-                    new.add(k)
-                else:
-                    words[k] = x
-    _learn(own, list(new))
-    for i, keys in joined:
-        out[i] = words[keys[0]] if len(keys) == 1 else b"".join([words[k] for k in keys])
-    for i, x in zip(odd, _whole(own, [f" {pieces[i]}" if spaced else pieces[i] for i in odd])):
-        out[i] = x
-    return out
+        for e in own.encode_batch_fast(lots[i:i + 20], add_special_tokens=False):
+            found += [np.array(e.ids, "<u4"), np.array(brk, "<u4")]
+    ids = np.concatenate([*found, np.zeros(0, "<u4")])
+    ends = np.flatnonzero(ids == brk[0])
+    off = np.concatenate([[0], ends - np.arange(len(ends))]) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(off), pa.py_buffer(ids[ids != brk[0]])])
 
 
 def encode_column(texts: pa.Array, path: str, special: bool = False, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -123,43 +133,43 @@ def encode_column(texts: pa.Array, path: str, special: bool = False, end: bytes
     With ``special`` the ids are those of the tokenizer as loaded, for which a special token's content
     is that token: texts that hold one are encoded as they are. Otherwise the content is text like any other.
 
-    The byte-level pre-tokenizer never joins a space to what stands before it, so a text falls into
-    pieces that each begin with a space; distinct pieces are encoded once, and the words they are made of
-    kept. Texts with runs of white space around a space are encoded as they are.
+    Texts are cut into slices that encode by themselves; distinct slices are looked up among the words
+    kept, by columns, and encoded once if they are new.
     """
     own = _tokenizer(path)
-    if len(_state["words"]) > CACHE // 2:
-        _state.update(older=_state["words"], words={})
     held = np.zeros(len(texts), bool)
     for content in _state["added"] if special else ():
         held |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
-    whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False) & ~held
     if held.any() and "plain" not in _state:  # loaded only for such texts
         _state["plain"] = type(own).from_file(path)
-    lists = pc.split_pattern(pc.if_else(pa.array(held | whole), "", texts), " ")
-    off = np.asarray(lists.offsets)
-    found = lists.flatten().dictionary_encode()
-    words, at = found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy()
-    # pieces behind a space, then those that begin a text, then whole texts, then the end
-    begins = np.zeros(len(at), bool)
-    begins[off[:-1]] = True
-    used = np.zeros(len(words), bool)
-    used[at[~begins]] = True
-    heads, head_at = np.unique(at[begins], return_inverse=True)
-    ids = _pieces(own, words[used].tolist(), True)
-    place = (np.cumsum(used) - 1)[at]
-    place[begins] = len(ids) + head_at
-    ids += _pieces(own, words[heads].tolist(), False)
-    for mask, by in ((whole, own), (held, _state.get("plain"))):
-        place[off[:-1][mask]] = len(ids) + np.arange(mask.sum())
-        ids += _whole(by, texts.filter(pa.array(mask)).to_pylist())
-    place = np.insert(place, off[1:], len(ids))
-    ids.append(end)
-    size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), "i8", len(ids)))])
-    taken = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(size), pa.py_buffer(b"".join(ids))]).take(pa.array(place))
-    _, ends, raw = taken.buffers()
+    raw, off = string_bytes(pc.if_else(pa.array(held), "", texts) if held.any() else texts)
+    starts = _slices(raw, off)
+    slices = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw))
+    found = slices.dictionary_encode()
+    words, place = found.dictionary, found.indices.to_numpy()
+    kept_words = _state["words"]
+    at = kept_words.find(words)
+    known = at >= 0
+    odd = pc.match_substring_regex(words, _ODD).to_numpy(zero_copy_only=False) | (len(_state["brk"]) != 1)
+    new = words.filter(pa.array(~known & ~odd))
+    new_ids = _learn(own, new.to_pylist())
+    # ids of the words kept, then of new ones, odd ones, whole texts, then the end
+    ids = [kept_words.ids, new_ids, _whole(own, words.filter(pa.array(odd)).to_pylist()), _whole(_state.get("plain"), texts.filter(pa.array(held)).to_pylist()), pa.array([end], pa.large_binary())]
+    first = np.cumsum([0, *map(len, ids)])
+    used = at[known]
+    at = at.copy()
+    at[~known & ~odd] = first[1] + np.arange(len(new))
+    at[odd] = first[2] + np.arange(len(ids[2]))
+    tail = np.full(len(texts) + held.sum(), first[4], "i4")
+    rows = np.repeat(np.arange(len(texts)), 1 + held)
+    tail[:-1][rows[:-1] == rows[1:]] = first[3] + np.arange(len(ids[3]))
+    off = np.searchsorted(starts, off)
+    taken = pa.concat_arrays(ids).take(pa.array(np.insert(at[place], off[1:][rows], tail)))
+    kept_words.use(used, new, new_ids)
+    off[1:] += np.cumsum(1 + held)
+    _, ends, flat = taken.buffers()
     ends = np.frombuffer(ends, "i8", len(taken) + 1)
-    return np.frombuffer(raw, "<i4", ends[-1] // 4) if ends[-1] else np.zeros(0, "<i4"), ends[off + np.arange(len(off))] // 4
+    return np.frombuffer(flat, "<i4", ends[-1] // 4) if ends[-1] else np.zeros(0, "<i4"), ends[off] // 4
 
 
 def encode(texts: list[str], path: str, special: bool = False) -> list[bytes]:

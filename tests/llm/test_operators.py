@@ -312,6 +312,24 @@ def test_words_are_kept_without_punctuation_and_line_breaks(monkeypatch):
     assert off.tolist() == [0, 2, 3, 4, 6] and flat.tolist() == [*own.encode("b").ids, 0, 0, 0, *own.encode("\n").ids, 0]
 
 
+def test_words_are_kept_as_columns_whatever_white_space_a_text_has():
+    """Two spaces in a text don't send all of it to the tokenizer again, and a kept word takes few bytes."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_file())
+    texts = ["one  two three four-five", " ".join(f"w{i:x}q" for i in range(5000)), "", "one\n\ntwo three,\n", "\nthree four- \n"]
+    tokens._state.clear()
+    flat, off = tokens.encode_column(pa.array(texts).slice(0), tokenizer_file())
+    assert [flat[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    words = tokens._state["words"]
+    assert {" three", " four", "-five"} <= set(words) and len(words) >= 5000
+    assert (words.words.nbytes + words.ids.nbytes + words.used.nbytes) / len(words) < 64
+    tokens._state.clear()
+    flat, off = tokens.encode_column(pa.array(["zz", *texts, "y"]).slice(1, 4), tokenizer_file())
+    assert [flat[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == [own.encode(t, add_special_tokens=False).ids for t in texts[:4]]
+    tokens._state.clear()
+
+
 def test_special_tokens_are_encoded_as_the_tokenizer_does(spark):
     from tokenizers import Tokenizer
 
