@@ -136,3 +136,81 @@ def test_written_orders_are_not_sent_to_every_task(spark, monkeypatch):
             assert not _sent_by(plan, "order_id") and "SortMergeJoin [order_id" in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_written_tables_are_joined_by_order_without_an_exchange(spark):
+    """Tables written before are in buckets by order: only raw rows, and the reviews' documents, are dealt again."""
+    from shipshape.plans.star import materialize
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        star = materialize(build_star(spark, SF), when_asked=True)
+        for name, of in (("reviews", 2), ("order_items", 1), ("item_agg", 2), ("fact_orders", 4), ("fact_order_items", 3)):
+            lines = star.built(name)._jdf.queryExecution().executedPlan().toString().splitlines()
+            scans = [x for x in lines if "FileScan" in x and ("stg_" in x or "fact_" in x)]
+            assert len(scans) == of and all("Bucketed: true" in x for x in scans), name
+            assert not any("Exchange" in x and "ENSURE_REQUIREMENTS" in x and "(order_id" in x for x in lines), name
+            assert not any("Exchange hashpartitioning(seller_id" in x for x in lines), name
+            if name in ("item_agg", "fact_orders", "fact_order_items"):
+                assert not any("Exchange" in x for x in lines), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_sellers_are_not_sent_to_every_task(spark, monkeypatch):
+    from shipshape.plans.star import materialize
+    from shipshape.sources import tables as T
+
+    def written():
+        return materialize(build_star(spark, SF), when_asked=True).stg["order_items"]
+    few = written()
+    monkeypatch.setattr(T, "SENT_SELLERS", 5, raising=False)
+    many = written()
+    assert few.count() == many.count() and few.exceptAll(many).count() == 0
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import time
+
+    from shipshape.plans.star import materialize
+
+    def shuffled() -> int:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+    star = build_star(spark, SF)
+    before, end = shuffled(), time.time() + 20
+    layers = L.write_layers(materialize(star, ("orders", "reviews", "order_items", "fact_orders", "fact_order_items", "dim_customer"), numbered=False))
+    assert layers.table("fact_orders").count()
+    while shuffled() > before + 2 and time.time() < end:   # the count's own; files are removed in the background
+        time.sleep(0.5)
+    assert shuffled() <= before + 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_the_person_may_be_joined_before_the_ship_dates(spark):
+    """Null, repeated and unmatched orders and customers give the same staged orders either way."""
+    from datetime import datetime
+
+    from shipshape.plans.star import in_period, stg_orders, with_person
+    from shipshape.sources import binding
+    day = [datetime(2018, 1, d) for d in (1, 2, 9)] + [datetime(1970, 1, 1)]
+
+    class Own:
+        orders = spark.createDataFrame([(1, 7, "F", day[0], "1-URGENT"), (1, 7, "O", day[1], "2-HIGH"), (2, 8, "P", day[2], "5-LOW"), (3, None, "F", day[0], "1-URGENT"),
+                                        (None, 7, "F", day[0], "3-MEDIUM"), (4, 9, "F", day[1], None), (5, 7, None, day[3], "1-URGENT"), (6, 99, "F", day[0], "1-URGENT")],
+                                       "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string")
+        lineitem = spark.createDataFrame([(1, day[1]), (1, day[2]), (2, None), (None, day[0]), (4, day[2]), (6, day[2])], "l_orderkey long, l_shipdate timestamp_ntz")
+
+        def tasks(self, *names):
+            return 3
+
+        def rows(self, name):
+            return 9
+    t = Own()
+    people = spark.createDataFrame([(7, 7, "A"), (7, 7, "B"), (8, 8, None), (None, None, "C"), (9, 9, "D")], "customer_id long, customer_unique_id long, customer_state string")
+    period = "2018-01-01", "2018-02-01"
+    late = stg_orders(binding.raw_orders(t), people, *period)
+    placed = with_person(binding.placed_orders(t).filter(in_period("order_purchase_timestamp", *period)), people)
+    early = stg_orders(binding.raw_orders(t, placed=placed), None, *period)
+    assert late.columns == early.columns and late.count() == 8
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.collect()))
